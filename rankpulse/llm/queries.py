@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpulse.llm import quality_rules
-from rankpulse.llm.common import table
+from rankpulse.llm import mixing, quality_rules
+from rankpulse.llm.common import cut, table
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curriculum over all documents: what the mix takes of each, and when it first appears."""
+    planned = mixing.plan(cut(mixing.measure(table(spark, sf_dir, "documents"))))
+    return planned.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", F.round("position", 6).alias("position"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +22,41 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_mix_sources": op4_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+_OP4_SQL = r"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+    md5(coalesce(cast(doc_id as varchar), '')) as h
+  from documents
+), s as (
+  select source, cast(sum(size) as bigint) as source_size, (row_number() over (order by source nulls last) - 1) % 3 as kind from d group by source
+), w as (
+  select *, kind + 1.0::double as weight, 3.0::double * source_size as cap from s
+), o as (
+  select *, sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as remaining,
+    sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as weights
+  from w
+), t as (
+  select *, case when cap <= remaining / weights * weight then cap
+    else weight * (min(case when cap > remaining / weights * weight then remaining / weights end) over ()) end as target from o
+), r as (
+  select d.*, t.source_size, t.target, t.kind, cast(round(t.target) as bigint) as goal,
+    cast(coalesce(sum(size) over (partition by d.source order by h, doc_id nulls last, size rows between unbounded preceding and 1 preceding), 0) as bigint) as start
+  from d join t on d.source is not distinct from t.source
+), k as (
+  select *, case when source_size > 0 then goal // source_size else 0 end as epochs from r
+), x as (
+  select *, epochs * size + greatest(least(goal - epochs * source_size - start, size), 0) as taken, start / nullif(target, 0) as part from k
+)
+select doc_id, size, source_size, round(target, 3) as target, cast(taken as bigint) as taken,
+  round(case when taken > 0 then case kind when 0 then part when 1 then (sqrt(1 + 8 * part) - 1) / 2
+    else case when part <= 0.5 then sqrt(0.5625 + 2 * part) - 0.75 else 0.5 + 1.25 - sqrt(1.5625 - 2 * (part - 0.5)) end end end, 6) as position
+from x
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_mix_sources": _OP4_SQL,
+}
