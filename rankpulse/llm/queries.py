@@ -5,16 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpulse.llm import mixing, quality_rules
+from rankpulse.llm import mixing, packing, quality_rules, warc
 from rankpulse.llm.common import cut, table
 
 
+def byte_bpe() -> str:
+    """Path of the vocabulary that op1 packs with."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into sequences of 1024 tokens."""
+    pieces = packing.tokenise(table(spark, sf_dir, "documents"), byte_bpe())
+    return packing.pack(pieces).drop("row")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curriculum over all documents: what the mix takes of each, and when it first appears."""
     planned = mixing.plan(cut(mixing.measure(table(spark, sf_dir, "documents"))))
     return planned.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", F.round("position", 6).alias("position"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back from the archives."""
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak supervision over all documents."""
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -22,7 +41,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -41,7 +62,7 @@ with d as (
   from w
 ), t as (
   select *, case when cap <= remaining / weights * weight then cap
-    else weight * (min(case when cap > remaining / weights * weight then remaining / weights end) over ()) end as target from o
+    else weight * (arg_min(remaining / weights, cap / weight) filter (where cap > remaining / weights * weight) over ()) end as target from o
 ), r as (
   select d.*, t.source_size, t.target, t.kind, cast(round(t.target) as bigint) as goal,
     cast(coalesce(sum(size) over (partition by d.source order by h, doc_id nulls last, size rows between unbounded preceding and 1 preceding), 0) as bigint) as start
@@ -57,6 +78,24 @@ select doc_id, size, source_size, round(target, 3) as target, cast(taken as bigi
 from x
 """
 
+_OP9_SQL = r"""
+with p as (
+  select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as hex,
+    min(page_id) over (partition by sha1(coalesce(html, ''))) as first
+  from pages
+), b as (
+  select *, list_transform(range(0, 8), i -> cast('0x' || substr(hex, cast(1 + 5 * i as bigint), 5) as bigint)) as parts from p
+)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), j ->
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((parts[1 + j // 4] >> cast(15 - 5 * (j % 4) as bigint)) & 31) as bigint), 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to, true as intact
+from b
+"""
+
 ORACLES: dict[str, str] = {
+    "op9_warc": _OP9_SQL,
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_mix_sources": _OP4_SQL,
 }
