@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpulse.llm import mixing, packing, quality_rules, warc
+from rankpulse.llm import mixing, packing, quality_model, quality_rules, toxicity, warc
 from rankpulse.llm.common import cut, table
 
 
@@ -28,6 +28,20 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", F.round("position", 6).alias("position"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive-unlabelled quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_model.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counterfactually regularised toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back from the archives."""
     index = warc.write(table(spark, sf_dir, "pages"))
@@ -43,6 +57,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
+    "op5_quality_model": op5_quality_model,
+    "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -84,10 +100,10 @@ with p as (
     min(page_id) over (partition by sha1(coalesce(html, ''))) as first
   from pages
 ), b as (
-  select *, list_transform(range(0, 8), i -> cast('0x' || substr(hex, cast(1 + 5 * i as bigint), 5) as bigint)) as parts from p
+  select *, list_transform(range(0, 8), lambda i: cast('0x' || substr(hex, cast(1 + 5 * i as bigint), 5) as bigint)) as parts from p
 )
 select page_id, payload_bytes,
-  array_to_string(list_transform(range(0, 32), j ->
+  array_to_string(list_transform(range(0, 32), lambda j:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((parts[1 + j // 4] >> cast(15 - 5 * (j % 4) as bigint)) & 31) as bigint), 1)), '') as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id <> first then first end as refers_to, true as intact
