@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpulse.llm import mixing, packing, quality_model, quality_rules, toxicity, warc
+from rankpulse.llm import mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
 from rankpulse.llm.common import cut, table
 
 
@@ -35,6 +35,11 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return simhash.compare(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counterfactually regularised toxicity scores of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_model": op5_quality_model,
+    "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
