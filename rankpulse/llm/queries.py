@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpulse.llm import mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
+from rankpulse.llm import jaccard, mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
 from rankpulse.llm.common import cut, table
 
 
@@ -22,6 +22,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).drop("row")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by similarity of their five-word shingles."""
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curriculum over all documents: what the mix takes of each, and when it first appears."""
     planned = mixing.plan(cut(mixing.measure(table(spark, sf_dir, "documents"))))
@@ -61,6 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_model": op5_quality_model,
     "op7_simhash": op7_simhash,
