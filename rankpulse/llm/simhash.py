@@ -54,7 +54,8 @@ def with_next(df: DataFrame, value: str, key: str, tie: str, name: str) -> DataF
     df = df.withColumn("_range", _ranges(df.select(key), key))
     heads = df.groupBy("_range").agg(F.max(key).alias("_top"))
     alone = F.row_number().over(Window.partitionBy("_range").orderBy(tie, value))
-    first = df.withColumnRenamed("_range", "_r").join(heads.withColumnRenamed("_range", "_h"), (F.col("_r") == F.col("_h")) & F.col(key).eqNullSafe(F.col("_top")))
+    # there are at most MOST_RANGES + 1 heads: without the broadcast all texts would be shuffled to find theirs
+    first = df.withColumnRenamed("_range", "_r").join(F.broadcast(heads.withColumnRenamed("_range", "_h")), (F.col("_r") == F.col("_h")) & F.col(key).eqNullSafe(F.col("_top")))
     first = first.select(F.col("_r").alias("_range"), tie, value).withColumn("_n", alone).filter("_n = 1").drop("_n")
     line = Window.orderBy("_range")
     before = heads.select("_range", F.coalesce(F.lag("_range").over(line), F.max("_range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_before"))
