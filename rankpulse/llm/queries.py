@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpulse.llm import jaccard, mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
+from rankpulse.llm import jaccard, line_dedup, mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
 from rankpulse.llm.common import cut, table
 
 
@@ -40,6 +40,11 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the runs of lines that stood before."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return simhash.compare(table(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_model": op5_quality_model,
+    "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
