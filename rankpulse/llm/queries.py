@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpulse.llm import jaccard, line_dedup, mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
+from rankpulse.llm import jaccard, licenses, line_dedup, mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
 from rankpulse.llm.common import cut, table
 
 
@@ -27,6 +27,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curriculum over all documents: what the mix takes of each, and when it first appears."""
     planned = mixing.plan(cut(mixing.measure(table(spark, sf_dir, "documents"))))
@@ -72,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_license_scan": op3_license_scan,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_model": op5_quality_model,
     "op6_line_dedup": op6_line_dedup,
