@@ -108,7 +108,10 @@ class Tokens:
                 yield self._whole(text)
 
 
-_tokens = functools.lru_cache(maxsize=2)(Tokens)
+@functools.lru_cache(maxsize=2)
+def _tokens(path: str) -> Tokens:
+    """One for each vocabulary and worker, so that later tasks know the words of earlier ones."""
+    return Tokens(path)
 
 
 def _tokeniser(path: str, size: int, end_id: int, keep_ids: bool):
