@@ -53,11 +53,18 @@ def similarity_match(incoming: DataFrame, stored: DataFrame, block: Sequence[str
     The newest `cap` rows of a block are compared, as the data model has it. With sequence=False only words count. Ties go to the
     newest, then the smallest uid.
     """
+    normal = T.normalize_text(F.col(text))
+    words = F.array_distinct(F.filter(F.split(normal, " "), lambda t: t != ""))
     order = Window.partitionBy(*block).orderBy(F.desc(seen), uid)
-    right = stored.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap).select(*[F.col(b).alias(f"_b_{b}") for b in block], F.col(uid).alias("_uid"), F.col(text).alias("_text"), F.col(seen).alias("_seen"))
-    pairs = incoming.join(right, [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in block]).filter(F.col(key) != F.col("_uid"))
-    a, b = T.normalize_text(F.col(text)), T.normalize_text(F.col("_text"))
-    score = intro_similarity(a, b) if sequence else T.jaccard(T.tokenize(a), T.tokenize(b))
+    right = stored.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap)
+    right = right.select(*[F.col(b).alias(f"_b_{b}") for b in block], F.col(uid).alias("_uid"), normal.alias("_text"), words.alias("_words"), F.col(seen).alias("_seen"))
+    left = incoming.select(key, *block, normal.alias("_own_text"), words.alias("_own_words"))
+    pairs = left.join(right, [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in block]).filter(F.col(key) != F.col("_uid"))
+    common, n, m = F.size(F.array_intersect("_own_words", "_words")), F.size("_own_words"), F.size("_words")
+    pairs = pairs.withColumn("_jaccard", F.when((n == 0) & (m == 0), 1.0).otherwise(common / F.nullif(n + m - common, F.lit(0))))
+    # texts whose sequences are compared must be able to reach the threshold
+    pairs = pairs.filter(F.col("_jaccard") >= ((threshold - 0.35) / 0.65 if sequence else threshold))
+    score = 0.65 * F.col("_jaccard") + 0.35 * sequence_ratio("_own_text", "_text") if sequence else F.col("_jaccard")
     best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("_seen"), "_uid")
     scored = pairs.withColumn("score", score).filter(F.col("score") >= threshold)
     return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(key, F.col("_uid").alias("matched_uid"), "score")
