@@ -67,9 +67,18 @@ def counterfactual(terms: set[str]) -> set[str]:
 
 
 def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each term of a document, some hundred thousand at a time."""
+    columns: tuple[list, list, list] = ([], [], [])
     for batch in batches:
         for doc_id, toxic, text in zip(batch["doc_id"], batch["toxic"], batch["text"], strict=True):
-            yield pd.DataFrame({"doc_id": doc_id, "toxic": toxic, "term": sorted(terms_of(text))})
+            terms = sorted(terms_of(text))
+            for column, values in zip(columns, ([doc_id] * len(terms), [toxic] * len(terms), terms), strict=True):
+                column.extend(values)
+            if len(columns[0]) > 200_000:
+                yield pd.DataFrame(dict(zip(("doc_id", "toxic", "term"), columns, strict=True)))
+                columns = ([], [], [])
+    if columns[0]:
+        yield pd.DataFrame(dict(zip(("doc_id", "toxic", "term"), columns, strict=True)))
 
 
 def vocabulary(terms: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
