@@ -14,7 +14,7 @@ are repeated. The union of these least runs is the union of all repeated runs, h
 Ranks, counts and first copies are partial aggregates joined back by rank; no interval is gathered in one place.
 
 Null text has no lines and stays null. Null doc ids come last. Rows that repeat a doc_id and text get the same result as
-their first. Extra columns pass through, but names beginning with an underscore are for the operator. An empty table gives no rows.
+their first. Extra columns pass through, but n_lines and n_removed are replaced and names beginning with an underscore are for the operator. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,23 +28,30 @@ MIN_WORDS = 50
 KEY = ["_d", "_t"]
 
 
-def _least(lines: Column, i: Column, min_words: int, back: bool) -> Column:
-    """How many lines from (or up to) place i have min_words words; null if there aren't so many."""
-    part = F.reverse(F.slice(lines, F.greatest(i - min_words + 2, F.lit(1)), F.least(i + 1, F.lit(min_words)))) if back else F.slice(lines, i + 1, min_words)
+def _least(words: Column, min_words: int) -> Column:
+    """How many of these word counts, from the first, make min_words; null if all don't."""
     start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
 
-    def step(a: Column, x: Column) -> Column:
-        return F.when(a.words >= min_words, a).otherwise(F.struct((a.words + x.n).alias("words"), (a.lines + 1).alias("lines")))
+    def step(a: Column, n: Column) -> Column:
+        return F.when(a.words >= min_words, a).otherwise(F.struct((a.words + n).alias("words"), (a.lines + 1).alias("lines")))
 
-    return F.aggregate(part, start, step, lambda a: F.when(a.words >= min_words, a.lines))
+    return F.aggregate(words, start, step, lambda a: F.when(a.words >= min_words, a.lines))
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row a line that isn't blank: document key, place among such lines, number among all lines, id, least runs."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """One row a line that isn't blank: document key, place among such lines, number among all lines, id, words."""
     raw = F.transform(F.split(text_of("_text"), "\n", -1), lambda x, p: F.struct(p.alias("pos"), F.xxhash64(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-    df = docs.select(*KEY, F.filter(raw, lambda x: x.n > 0).alias("_l"))
-    rows = df.withColumn("_r", F.transform("_l", lambda x, i: F.struct(i.alias("idx"), x.pos.alias("pos"), x.line.alias("line"), _least(F.col("_l"), i, min_words, False).alias("ahead"), _least(F.col("_l"), i, min_words, True).alias("back"))))
-    return rows.select(*KEY, F.inline("_r"))
+    return docs.select(*KEY, F.posexplode(F.filter(raw, lambda x: x.n > 0)).alias("idx", "_l")).select(*KEY, "idx", "_l.pos", "_l.line", "_l.n")
+
+
+def _with_runs(ranked: DataFrame, min_words: int) -> DataFrame:
+    """Adds how many lines from (ahead) and up to (back) each have min_words words, among neighbours that are all here."""
+    df = ranked.withColumn("_part", F.col("idx") - F.row_number().over(Window.partitionBy(*KEY).orderBy("idx")))
+    order = Window.partitionBy(*KEY, "_part").orderBy("idx")
+    ahead = F.collect_list("n").over(order.rowsBetween(0, min_words - 1))
+    back = F.collect_list("n").over(order.rowsBetween(-(min_words - 1), 0))
+    df = df.withColumns({"_ahead": ahead, "_back": back})
+    return df.withColumns({"ahead": _least(F.col("_ahead"), min_words), "back": _least(F.reverse("_back"), min_words)}).drop("_part", "_ahead", "_back", "n")
 
 
 def _first_ranks(lines: DataFrame) -> DataFrame:
@@ -72,8 +79,11 @@ def _double(ranked: DataFrame, k: int) -> DataFrame:
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The line numbers to remove: key, and ranges, an array of (first, last). docs has the key columns and _text."""
-    lines = cut(_lines(docs, min_words).dropDuplicates([*KEY, "idx"]))
-    ranked = lines.join(_first_ranks(lines), "line").drop("line")
+    lines = cut(_lines(docs))
+    # from here on only lines that occur twice or more; repeated rows of a document fall together
+    lines = lines.join(_first_ranks(lines), "line").drop("line").dropDuplicates([*KEY, "idx"])
+    ranked = cut(_with_runs(lines, min_words))
+    lines = ranked
     levels = max(1, min_words).bit_length()
     for k in range(levels - 1):
         ranked = _double(ranked, k)
@@ -112,7 +122,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text = F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     removed = F.coalesce(F.aggregate("_ranges", F.lit(0).cast("long"), lambda a, v: a + v["_to"] - v["_from"] + 1), F.lit(0).cast("long"))
     out = df.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": removed, "_new": text})
-    return out.select(*[F.col("_new").alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_lines", "n_removed")
+    return out.select(*[F.col("_new").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
 
 def blank(text: Column) -> Column:
