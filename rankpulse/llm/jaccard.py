@@ -7,8 +7,8 @@ entries alone. Frequent tokens fall into small groups by hash, and entries are p
 spoilt by c - 1 missing ones, so each group lengthens the prefix by one. Short sets have no groups. Group sizes go by size class,
 and a set is indexed for its class and the next, which covers all sizes that its partners can have.
 
-Counts that tell frequent from rare are over all documents. Frequent tokens number at most MOST_FREQUENT, because the least
-count is the number of occurrences over that: only so many are broadcast.
+Counts that tell frequent from rare are over all documents. At most MOST_FREQUENT tokens, those of the highest counts, are frequent: only so
+many are sent to the executors. Any such choice gives an exact join.
 
 Equal sets are one node from the start. An index entry of m nodes could give m * m pairs, and a group of near copies has many
 such entries. So nodes of an entry are first compared with one of them, a few times over, and components are formed from the
@@ -24,15 +24,17 @@ equal sets. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankpulse.llm.common import cut, text_of, words_of
+from rankpulse.llm.common import cut
 from rankpulse.llm.graph import components
 
 WIDTH = 5
@@ -43,27 +45,87 @@ MOST_FREQUENT = 1_000_000
 #: Ratio of size classes, a little over 1 / 0.8; tokens to a group.
 RATIO = 1.26
 GROUP = 6
-BITMAP = 512
+LEAST_BITS = 512
+#: Up to so many ids of 16 bytes are sent to all executors to find their texts; beyond, texts are shuffled.
+BROADCAST_IDS = 500_000
 STAR_ROUNDS = 3
 
 
-def lower_words(text: Column) -> Column:
-    """Words of the text with A-Z in lower case."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return words_of(F.translate(text, upper, upper.lower()))
+#: Bytes that are hashed at once, and the base of the words' polynomial hash with its inverse.
+PIECE = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def with_tokens(docs: DataFrame) -> DataFrame:
-    """Replaces text by tokens, the sorted distinct hashes of its shingles."""
-    df = docs.withColumn("_w", F.transform(lower_words(text_of()), lambda w: F.xxhash64(w))).drop("text")
-    w = F.col("_w")
-    runs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - (WIDTH - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WIDTH)]))
-    short = F.when(F.size(w) > 0, F.array(F.xxhash64(F.lit("short"), w))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn("tokens", F.sort_array(F.array_distinct(F.when(F.size(w) >= WIDTH, runs).otherwise(short)))).drop("_w")
+def _mix(*parts: np.ndarray | int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = np.uint64(BASE)
+        for p in parts:
+            h = (h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = h ^ (h >> np.uint64(29))
+    return h
 
 
-def set_key() -> Column:
-    return F.xxhash64(F.lit("set"), "tokens")
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    ones = np.ones(n, dtype=np.uint64)
+    up, down = ones.copy(), ones.copy()
+    up[1:], down[1:] = BASE, pow(BASE, -1, 1 << 64)
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[begin:end]: differences of a running polynomial, shifted back to power 0, piece by piece."""
+    out = np.zeros(len(begins), dtype=np.uint64)
+    i = 0
+    while i < len(begins):
+        j = max(i + 1, int(np.searchsorted(ends, begins[i] + PIECE)))
+        base, stop = int(begins[i]), int(ends[j - 1])
+        up, down = _powers(max(2 * PIECE, stop - base + 1))
+        with np.errstate(over="ignore"):
+            total = np.zeros(stop - base + 1, dtype=np.uint64)
+            np.cumsum((data[base:stop].astype(np.uint64) + np.uint64(1)) * up[: stop - base], out=total[1:])
+            a, e = begins[i:j] - base, ends[i:j] - base
+            out[i:j] = (total[e] - total[a]) * down[a]
+        i = j
+    return _mix(out, (ends - begins).astype(np.uint64))
+
+
+def token_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles of WIDTH words with A-Z in lower case; of fewer words, one of all."""
+    coded = [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+    at = np.cumsum([0] + [len(c) + 1 for c in coded])
+    data = np.frombuffer(b"\n".join([*coded, b""]), dtype=np.uint8)
+    blank = np.r_[True, _BLANK[data], True]
+    begins, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    words = _word_hashes(data, begins, ends)
+    first = np.searchsorted(begins, at)
+    runs = _mix(*[words[k : len(words) - WIDTH + 1 + k] for k in range(WIDTH)]).view(np.int64) if len(words) >= WIDTH else np.zeros(0, dtype=np.int64)
+    for i in range(len(texts)):
+        a, b = int(first[i]), int(first[i + 1])
+        if b - a >= WIDTH:
+            yield np.unique(runs[a : b - WIDTH + 1])
+        elif b > a:
+            yield np.atleast_1d(_mix(3, *words[a:b])).view(np.int64)
+        else:
+            yield np.zeros(0, dtype=np.int64)
+
+
+def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Parts of batches of some million characters at most, or one text, with their sets."""
+    for batch in batches:
+        sizes = batch["text"].str.len().fillna(0).to_numpy().cumsum() // (2 * PIECE)
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                part = batch.iloc[a:b]
+                yield part, list(token_sets(part["text"].tolist()))
+
+
+def set_key(tokens: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _class(n: int) -> int:
@@ -76,15 +138,6 @@ def _groups(size_class: int) -> int:
     return missing // GROUP if missing >= 2 * GROUP else 0
 
 
-def _mix(*parts: np.ndarray | int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = np.uint64(0x9E3779B97F4A7C15)
-        for p in parts:
-            h = (h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            h = h ^ (h >> np.uint64(29))
-    return h
-
-
 def entries(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Index entries of one set: sorted distinct tokens, and sorted frequent tokens of all sets."""
     n = len(tokens)
@@ -121,17 +174,17 @@ def entries(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for _, sets in _batches(batches):
+        yield pd.DataFrame({"token": np.concatenate([t[: np.searchsorted(t, COUNTED)] for t in sets])})
+
+
 def _index(frequent: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, keys = [], []
-            for key, tokens in zip(batch["key"], batch["tokens"], strict=True):
-                if len(tokens):
-                    own = entries(np.asarray(tokens), frequent)
-                    rows.append(own)
-                    keys.append(np.full(len(own), key))
+        for _, sets in _batches(batches):
+            rows = [(entries(t, frequent), set_key(t)) for t in sets if len(t)]
             if rows:
-                yield pd.DataFrame({"entry": np.concatenate(rows), "key": np.concatenate(keys)})
+                yield pd.DataFrame({"entry": np.concatenate([e for e, _ in rows]), "key": np.repeat([k for _, k in rows], [len(e) for e, _ in rows])})
 
     return run
 
@@ -157,26 +210,39 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"entry": [held[0]], "key": [held[1]]})
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set as longs: about a bit for each token, a power of two, LEAST_BITS or more."""
+    bits = LEAST_BITS << max(0, (len(tokens) - 1).bit_length() - LEAST_BITS.bit_length() + 1)
+    count = np.bincount(_mix(tokens, 2) % np.uint64(bits), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+
+
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Size and parity bitmap of each set."""
-    for batch in batches:
-        bits = np.zeros((len(batch), BITMAP // 64), dtype=np.int64)
-        sizes = np.zeros(len(batch), dtype=np.int64)
-        for i, tokens in enumerate(batch["tokens"]):
-            t = np.asarray(tokens, dtype=np.int64)
-            parity = np.bincount(_mix(t, 2) % np.uint64(BITMAP), minlength=BITMAP) & 1 if len(t) else np.zeros(BITMAP, dtype=np.int64)
-            bits[i], sizes[i] = np.packbits(parity.astype(np.uint8)).view(np.int64), len(t)
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"], "n": sizes} | {f"b{i}": bits[:, i] for i in range(BITMAP // 64)})
+    """Key, size and parity bitmap of each set."""
+    for part, sets in _batches(batches):
+        yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "key": [set_key(t) for t in sets], "n": [len(t) for t in sets], "bits": [_parity(t) for t in sets]})
 
 
-BITS = [f"b{i}" for i in range(BITMAP // 64)]
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sets whose key is the wanted one (a document id may have several texts)."""
+    for part, sets in _batches(batches):
+        good = [set_key(t) == k for t, k in zip(sets, part["key"], strict=True)]
+        yield pd.DataFrame({"key": part["key"][good], "tokens": [t for t, g in zip(sets, good, strict=True) if g]})
+
+
+def _halved(bits: Column) -> Column:
+    """A bitmap of half the length: places that are equal modulo it fall together, and their parities add."""
+    half = (F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
 
 def _possible(a: str, b: str) -> Column:
-    """Whether sizes and bitmaps of two described sets (columns with these prefixes) allow a link."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    apart = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITS), F.lit(0))
-    return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (9 * apart <= n + m)
+    """Whether sizes and bitmaps of two described sets (columns with these prefixes) allow a link. Sizes that allow one have bitmaps that
+    differ in length by a factor of two at most."""
+    n, m, x, y = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}bits"), F.col(f"{b}bits")
+    longer = [F.when(F.size(p) > F.size(q), _halved(p)).otherwise(p) for p, q in ((x, y), (y, x))]
+    apart = F.aggregate(F.zip_with(*longer, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + F.coalesce(c, F.lit(0)))
+    return F.when(100 * F.least(n, m) < 80 * F.greatest(n, m), False).otherwise(9 * apart <= n + m)
 
 
 def _named(df: DataFrame, prefix: str) -> DataFrame:
@@ -186,28 +252,29 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose sets are linked. known: a doc_id for each key."""
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = known.join(wanted, "key").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    texts = docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"])).select("_key", "text")
-    # written before the filter, which would otherwise take the whole expression of the tokens with it
-    sets = cut(with_tokens(texts).withColumn("_found", set_key())).filter("_found = _key").dropDuplicates(["_key"])
-    both = pairs.join(sets.select(F.col("_key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("_key").alias("b"), F.col("tokens").alias("y")), "b")
+    ids = cut(known.join(wanted, "key").select(F.col("doc_id").alias("_id"), "key"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    sets = docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"])).select("key", "text").mapInPandas(_tokens, "key long, tokens array<long>")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return cut(both.filter(100 * common >= 80 * (F.size("x") + F.size("y") - common)).select("a", "b"))
+    return cut(both.filter(100 * common >= 80 * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    tokens = with_tokens(docs).withColumn("key", set_key())
-    described = cut(tokens.select("doc_id", "key", "tokens").mapInPandas(_describe, "doc_id long, key long, n long, " + ", ".join(f"{b} long" for b in BITS)))
+    described = cut(docs.mapInPandas(_describe, "doc_id long, key long, n long, bits array<long>"))
     known = described.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    sets = described.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS])
-
-    total = described.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
-    counted = tokens.select(F.explode(F.filter("tokens", lambda x: x < COUNTED)).alias("token")).groupBy("token").count().filter(F.col("count") > least)
-    frequent = np.sort(np.array([r["token"] for r in counted.select("token").collect()], dtype=np.int64))
-    index = tokens.select("key", "tokens").mapInPandas(_index(frequent), "entry long, key long")
+    sets = described.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+    counts = docs.select("text").mapInPandas(_counted, "token long").groupBy("token").count().filter(F.col("count") > LEAST_FREQUENT)
+    top = cut(counts)
+    if top.count() > MOST_FREQUENT:
+        least = top.groupBy("count").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.sum("n").over(Window.orderBy(F.desc("count"))))
+        top = top.filter(F.col("count") >= least.filter(F.col("above") <= MOST_FREQUENT).agg(F.min("count")).first()[0])
+    frequent = np.sort(np.array([r["token"] for r in top.select("token").collect()], dtype=np.int64))
+    index = docs.select("text").mapInPandas(_index(frequent), "entry long, key long")
     shared = cut(index.repartition("entry").sortWithinPartitions("entry", "key").mapInPandas(_shared, "entry long, key long"))
 
     links, roots, stars = None, None, STAR_ROUNDS
