@@ -48,9 +48,10 @@ FEATURES = {
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds x, an array of the features."""
-    df = measure(docs, text)
-    return df.withColumn("x", F.array(*[F.expr(e).cast("double") for e in FEATURES.values()])).drop(*MEASURES)
+    """The columns of docs, untouched, and _x, an array of the features."""
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"))
+    made = measure(packed, "_text").withColumn("_x", F.array(*[F.expr(e).cast("double") for e in FEATURES.values()]))
+    return made.select("_doc.*", "_x")
 
 
 def fold(doc_id: str, parts: int) -> Column:
@@ -67,7 +68,7 @@ def draw(df: DataFrame, rows: int, of: int) -> DataFrame:
 
 def _matrix(df: DataFrame) -> np.ndarray:
     """The features of a bounded sample, in an order of their own."""
-    rows = np.array([r["x"] for r in df.select("x").collect()], dtype=float).reshape(-1, len(FEATURES))
+    rows = np.array([r["_x"] for r in df.select("_x").collect()], dtype=float).reshape(-1, len(FEATURES))
     return rows[np.lexsort(rows.T)] if len(rows) else rows
 
 
@@ -151,7 +152,7 @@ def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
         for x in batches:
             yield pd.Series(_sigmoid(_forward(model, np.stack(x.to_numpy()))[1]) if len(x) else [], dtype=float)
 
-    return features(docs, text).withColumn("score", run("x")).drop("x")
+    return features(docs, text).withColumn("score", run("_x")).drop("_x")
 
 
 def trusted(labels: DataFrame) -> DataFrame:
