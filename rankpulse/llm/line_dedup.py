@@ -116,7 +116,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # the key: doc_id with null last, and a hash of the text; none of its parts is null
     keyed = docs.withColumns({"_d": F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")), "_t": F.xxhash64("text")})
     ranges = cut(repeated(keyed.select(*KEY, F.col("text").alias("_text")), min_words))
-    df = keyed.join(ranges, KEY, "left")
+    # ranges grow with the documents: a broadcast would fit small tables only
+    df = keyed.join(ranges.hint("merge"), KEY, "left")
     lines = F.split(text_of(), "\n", -1)
     kept = F.filter(lines, lambda x, p: ~F.exists("_ranges", lambda v: (p >= v["_from"]) & (p <= v["_to"])))
     text = F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
