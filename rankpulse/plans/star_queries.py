@@ -1,7 +1,12 @@
-"""Queries over the star schema derived from the order tables, and their DuckDB SQL."""
+"""Queries over the star schema derived from the order tables, and their DuckDB SQL.
+
+`shape` is what star() takes: list_size, by default whole lists, and grain.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +14,7 @@ from rankpulse.functions import text as T
 from rankpulse.operators import browse as B
 from rankpulse.operators import cooccur, coverage, heat, longtable, newentry, panel, sections, unify
 from rankpulse.operators import upsert as U
-from rankpulse.sources.star import star
+from rankpulse.sources.star import LIST_SIZE, star
 
 START, END = "1995-01-01", "1997-12-31"
 
@@ -19,50 +24,50 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def long(spark: SparkSession, d: str) -> DataFrame:
-    return longtable.long_table(star(spark, d))
+def long(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return longtable.long_table(star(spark, d, **shape))
 
 
-def heated(spark: SparkSession, d: str) -> DataFrame:
-    return unify.add_unified(heat.add_heat(long(spark, d)))
+def heated(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return unify.add_unified(heat.add_heat(long(spark, d, **shape)))
 
 
-def tag_panel(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(panel.period_panel(heated(spark, d)))
+def tag_panel(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return rounded(panel.period_panel(heated(spark, d, **shape)))
 
 
-def category_panel(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(panel.period_panel(heated(spark, d), "cat_u"))
+def category_panel(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return rounded(panel.period_panel(heated(spark, d, **shape), "cat_u"))
 
 
-def _roll(spark: SparkSession, d: str, dim: str = "tag_u") -> DataFrame:
-    return panel.window_rollup(panel.period_panel(heated(spark, d), dim), dim)
+def _roll(spark: SparkSession, d: str, dim: str = "tag_u", **shape: object) -> DataFrame:
+    return panel.window_rollup(panel.period_panel(heated(spark, d, **shape), dim), dim)
 
 
-def tag_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_roll(spark, d))
+def tag_rollup(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return rounded(_roll(spark, d, **shape))
 
 
-def category_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_roll(spark, d, "cat_u"))
+def category_rollup(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return rounded(_roll(spark, d, "cat_u", **shape))
 
 
-def heat_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = heat.add_heat(long(spark, d))
+def heat_scores(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    rows = heat.add_heat(long(spark, d, **shape))
     return rounded(rows.select("snapshot_id", "novel_uid", "tag_name", "platform", "heat_raw", "heat_pct", "heat_rz", "heat_rz01", "heat_mix"))
 
 
-def unified_columns(spark: SparkSession, d: str) -> DataFrame:
-    rows = unify.add_unified(long(spark, d), grain="month")
+def unified_columns(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    rows = unify.add_unified(long(spark, d, **shape), grain="month")
     return rows.select("snapshot_id", "novel_uid", "tag_name", "period", "tag_u", "cat_u")
 
 
-def long_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return longtable.long_table(star(spark, d), START, END, platform="beta").drop("created_date", "last_seen_date")
+def long_filtered(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return longtable.long_table(star(spark, d, **shape), START, END, platform="beta").drop("created_date", "last_seen_date")
 
 
-def date_window(spark: SparkSession, d: str) -> DataFrame:
-    snapshots = star(spark, d)["rank_snapshots"].select("snapshot_date").distinct()
+def date_window(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    snapshots = star(spark, d, **shape)["rank_snapshots"].select("snapshot_date").distinct()
     out = None
     for lookback in ("week", "month", "quarter", "year", "all"):
         one = longtable.resolve_window(snapshots, lookback, "1998-08-15")
@@ -70,119 +75,119 @@ def date_window(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def new_entry_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(newentry.new_entry_ratio(unify.add_unified(long(spark, d)), ["tag_u"], "1993-01-01", END))
+def new_entry_ratio(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return rounded(newentry.new_entry_ratio(unify.add_unified(long(spark, d, **shape)), ["tag_u"], "1993-01-01", END))
 
 
-def new_book_heat(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(newentry.new_book_heat(heated(spark, d), "1993-01-01", END))
+def new_book_heat(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return rounded(newentry.new_book_heat(heated(spark, d, **shape), "1993-01-01", END))
 
 
-def opening_opportunities(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(newentry.opening_opportunities(heated(spark, d), "1993-01-01", END, digits=6)).drop("z_share", "z_heat", "z_new")
+def opening_opportunities(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return rounded(newentry.opening_opportunities(heated(spark, d, **shape), "1993-01-01", END, digits=6)).drop("z_share", "z_heat", "z_new")
 
 
-def tag_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cooccur.cooccurrence(unify.add_unified(long(spark, d)), 2)
+def tag_pairs(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return cooccur.cooccurrence(unify.add_unified(long(spark, d, **shape)), 2)
 
 
-def tag_triples(spark: SparkSession, d: str) -> DataFrame:
-    return cooccur.cooccurrence(unify.add_unified(long(spark, d)), 3)
+def tag_triples(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return cooccur.cooccurrence(unify.add_unified(long(spark, d, **shape)), 3)
 
 
-def platform_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.platform_coverage(long(spark, d))
+def platform_coverage(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return coverage.platform_coverage(long(spark, d, **shape))
 
 
-def list_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(coverage.list_coverage(long(spark, d)))
+def list_coverage(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return rounded(coverage.list_coverage(long(spark, d, **shape)))
 
 
-def tag_summary_topk(spark: SparkSession, d: str) -> DataFrame:
-    return sections.tag_summary(_roll(spark, d), "beta", 10, digits=6)
+def tag_summary_topk(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return sections.tag_summary(_roll(spark, d, **shape), "beta", 10, digits=6)
 
 
-def _structure(spark: SparkSession, d: str, platform: str, **more: object) -> DataFrame:
-    rows = heated(spark, d)
+def _structure(spark: SparkSession, d: str, platform: str, shape: dict, **more: object) -> DataFrame:
+    rows = heated(spark, d, **shape)
     return rounded(sections.list_structure(panel.period_panel(rows), coverage.list_coverage(rows), platform, **more))
 
 
-def list_structure_a(spark: SparkSession, d: str) -> DataFrame:
-    return _structure(spark, d, "alpha", sub_cat_when=F.contains(F.col("rank_family"), F.lit("URGENT")))
+def list_structure_a(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return _structure(spark, d, "alpha", shape, sub_cat_when=F.contains(F.col("rank_family"), F.lit("URGENT")))
 
 
-def list_structure_b(spark: SparkSession, d: str) -> DataFrame:
-    return _structure(spark, d, "beta", with_books=True)
+def list_structure_b(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return _structure(spark, d, "beta", shape, with_books=True)
 
 
-def cross_platform_diff(spark: SparkSession, d: str) -> DataFrame:
+def cross_platform_diff(spark: SparkSession, d: str, **shape: object) -> DataFrame:
     # categories of alpha are `type·brand`: the type is what both platforms share
-    rows = heated(spark, d).withColumn("cat_u", F.get(F.split("main_category", "·"), F.lit(0)))
+    rows = heated(spark, d, **shape).withColumn("cat_u", F.get(F.split("main_category", "·"), F.lit(0)))
     return rounded(sections.platform_diff(panel.window_rollup(panel.period_panel(rows, "cat_u"), "cat_u"), "alpha", "beta"))
 
 
-def concentration_daily(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(coverage.concentration_by_period(panel.period_panel(heated(spark, d))))
+def concentration_daily(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return rounded(coverage.concentration_by_period(panel.period_panel(heated(spark, d, **shape))))
 
 
-def bar_topk(spark: SparkSession, d: str) -> DataFrame:
-    return sections.bar_topk(panel.period_panel(heated(spark, d)), "tag_u", "tag_share", 10, digits=6)
+def bar_topk(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return sections.bar_topk(panel.period_panel(heated(spark, d, **shape)), "tag_u", "tag_share", 10, digits=6)
 
 
-def line_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sections.line_topk(panel.period_panel(heated(spark, d)), "period", "avg_heat_raw", "tag_u", 5, digits=6))
+def line_topk(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return rounded(sections.line_topk(panel.period_panel(heated(spark, d, **shape)), "period", "avg_heat_raw", "tag_u", 5, digits=6))
 
 
-def table_counts(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.table_counts(star(spark, d))
+def table_counts(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return coverage.table_counts(star(spark, d, **shape))
 
 
-def item_count_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    tables = star(spark, d)
+def item_count_mismatch(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    tables = star(spark, d, **shape)
     wrong = tables["rank_snapshots"].withColumn("item_count", F.col("item_count") + F.when(F.col("snapshot_id") % 3 == 0, 1).otherwise(0))
     return coverage.item_count_mismatch(tables | {"rank_snapshots": wrong}, 20)
 
 
-def run_summary(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.run_summary(star(spark, d))
+def run_summary(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return coverage.run_summary(star(spark, d, **shape))
 
 
-def browse_page(spark: SparkSession, d: str) -> DataFrame:
-    return B.page(star(spark, d)["novels"], "novel_uid", 50, 100).select("novel_uid", "platform", "author", "main_category", "status", "total_words", "url")
+def browse_page(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return B.page(star(spark, d, **shape)["novels"], "novel_uid", 50, 100).select("novel_uid", "platform", "author", "main_category", "status", "total_words", "url")
 
 
-def list_browse(spark: SparkSession, d: str) -> DataFrame:
-    return B.lists(star(spark, d), "alpha")
+def list_browse(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return B.lists(star(spark, d, **shape), "alpha")
 
 
-def snapshot_browse(spark: SparkSession, d: str) -> DataFrame:
-    return B.snapshots(star(spark, d), 3)
+def snapshot_browse(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return B.snapshots(star(spark, d, **shape), 3)
 
 
-def entries_browse(spark: SparkSession, d: str) -> DataFrame:
-    return B.entries(star(spark, d), 3199401, 20).drop("extra_json")
+def entries_browse(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return B.entries(star(spark, d, **shape), 3199401, 20).drop("extra_json")
 
 
-def novel_dossier(spark: SparkSession, d: str) -> DataFrame:
-    return B.dossier(star(spark, d))
+def novel_dossier(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return B.dossier(star(spark, d, **shape))
 
 
-def snapshot_listing(spark: SparkSession, d: str) -> DataFrame:
-    return B.snapshot_listing(star(spark, d))
+def snapshot_listing(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return B.snapshot_listing(star(spark, d, **shape))
 
 
-def full_inspection(spark: SparkSession, d: str) -> DataFrame:
-    return B.full_inspection(star(spark, d)).select("snapshot_id", "rank", "novel_uid", "title", "tags")
+def full_inspection(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return B.full_inspection(star(spark, d, **shape)).select("snapshot_id", "rank", "novel_uid", "title", "tags")
 
 
-def section_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = coverage.list_coverage(long(spark, d))
+def section_table(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    rows = coverage.list_coverage(long(spark, d, **shape))
     return sections.display(rows, ["platform", "rank_family", "rank_sub_cat", "avg_daily_books", "days_seen", "min_date"])
 
 
-def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _split(spark: SparkSession, d: str, **shape: object) -> tuple[DataFrame, DataFrame]:
     """Items first seen before and from 1994 on, and changed values for the ones before."""
-    novels = star(spark, d, list_size=None)["novels"].withColumn("signature_json", F.lit(None).cast("string"))
+    novels = star(spark, d, **shape | {"list_size": None})["novels"].withColumn("signature_json", F.lit(None).cast("string"))
     old = novels.filter("novel_uid % 3 <> 0")
     new = novels.filter("novel_uid % 2 = 0").withColumns({
         "author": F.concat("author", F.lit("+")),
@@ -193,79 +198,79 @@ def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
-def upsert_novels(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _split(spark, d)
+def upsert_novels(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    old, new = _split(spark, d, **shape)
     out = U.upsert(old, new, ["platform", "platform_novel_id"], U.NOVEL_RULES)
     return out.select("novel_uid", "platform", "platform_novel_id", "author", "url", "total_words", "last_seen_date")
 
 
-def upsert_entries(spark: SparkSession, d: str) -> DataFrame:
-    entries = star(spark, d)["rank_entries"].drop("extra_json")
+def upsert_entries(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    entries = star(spark, d, **shape)["rank_entries"].drop("extra_json")
     new = entries.filter("novel_uid % 2 = 0").withColumn("rank", F.col("rank") + 100)
     return U.upsert(entries.filter("novel_uid % 3 <> 0"), new, ["snapshot_id", "novel_uid"], U.ENTRY_RULES)
 
 
-def upsert_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    snaps = star(spark, d)["rank_snapshots"]
+def upsert_snapshots(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    snaps = star(spark, d, **shape)["rank_snapshots"]
     new = snaps.filter("year(snapshot_date) >= 1995").withColumn("item_count", F.col("item_count") + 1)
     return U.upsert(snaps.filter("year(snapshot_date) <= 1996"), new, ["rank_list_id", "snapshot_date"], U.SNAPSHOT_RULES)
 
 
-def upsert_lists(spark: SparkSession, d: str) -> DataFrame:
-    lists = star(spark, d)["rank_lists"]
+def upsert_lists(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    lists = star(spark, d, **shape)["rank_lists"]
     new = lists.filter("rank_list_id > 3").withColumn("source_url", F.when(F.col("rank_list_id") % 2 == 0, "").otherwise("https://example.org/new"))
     return U.upsert(lists.filter("rank_list_id <= 7"), new, ["platform", "rank_family", "rank_sub_cat"], U.LIST_RULES)
 
 
-def upsert_tags(spark: SparkSession, d: str) -> DataFrame:
-    tags = star(spark, d)["tags"]
+def upsert_tags(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    tags = star(spark, d, **shape)["tags"]
     new = tags.filter("tag_id % 2 = 0").withColumn("tag_name", F.upper("tag_name"))
     return U.upsert(tags.filter("tag_id % 3 <> 0"), new, ["tag_norm"], U.TAG_RULES)
 
 
-def upsert_tag_map(spark: SparkSession, d: str) -> DataFrame:
-    pairs = star(spark, d)["novel_tag_map"]
+def upsert_tag_map(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    pairs = star(spark, d, **shape)["novel_tag_map"]
     return U.insert_absent(pairs.filter("tag_id % 3 <> 0"), pairs.filter("novel_uid % 2 = 0"), ["novel_uid", "tag_id"])
 
 
-def upsert_titles(spark: SparkSession, d: str) -> DataFrame:
-    titles = star(spark, d)["novel_titles"]
+def upsert_titles(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    titles = star(spark, d, **shape)["novel_titles"]
     more = titles.filter("novel_uid % 2 = 0").withColumns({"title_id": F.col("title_id") + 1000000, "title": F.concat("title", F.lit(" II")), "title_norm": F.concat("title_norm", F.lit(" ii")), "first_seen_date": F.lit("2099-01-01").cast("date"), "last_seen_date": F.lit("2099-01-01").cast("date")})
     return U.one_primary(U.upsert(titles, more, ["novel_uid", "title_norm"], U.TITLE_RULES)).select("novel_uid", "title", "is_primary", "last_seen_date")
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
+def _items(spark: SparkSession, d: str, **shape: object) -> DataFrame:
     """Crawl records of the star's lists: what save_snapshots takes."""
-    t = star(spark, d)
+    t = star(spark, d, **shape)
     tags = t["novel_tag_map"].join(t["tags"], "tag_id").groupBy("novel_uid").agg(F.array_sort(F.collect_set("tag_name")).alias("tags"))
     rows = t["rank_entries"].join(t["rank_snapshots"], "snapshot_id").join(t["rank_lists"], "rank_list_id").join(t["novels"].drop("platform"), "novel_uid")
     rows = rows.join(t["novel_titles"].select("novel_uid", "title"), "novel_uid").join(tags, "novel_uid", "left")
     return rows.select("platform", "platform_novel_id", "title", "author", "intro", "main_category", "tags", "status", "total_words", "url", "rank", "total_recommend", "reading_count", "rank_family", "rank_sub_cat", "source_url", "snapshot_date")
 
 
-def save_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
+def save_snapshot(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    items = _items(spark, d, **shape)
     once = U.save_snapshots(U.empty_tables(spark), items)
     counts = coverage.run_summary(once)
     return counts
 
 
-def payload_validate(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d).withColumn("title", F.when(F.length("title") % 5 == 0, " ").otherwise(F.col("title")))
+def payload_validate(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    items = _items(spark, d, **shape).withColumn("title", F.when(F.length("title") % 5 == 0, " ").otherwise(F.col("title")))
     good, bad = U.valid_items(items)
     count = lambda df, side: df.groupBy("platform", "snapshot_date").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(side))
     return count(U.canonical(good), "valid").unionByName(count(bad, "quarantine"))
 
 
-def list_detail_merge(spark: SparkSession, d: str) -> DataFrame:
-    novels = star(spark, d)["novels"].select("novel_uid", "author", "intro", "status", "total_words")
+def list_detail_merge(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    novels = star(spark, d, **shape)["novels"].select("novel_uid", "author", "intro", "status", "total_words")
     listed = novels.withColumns({"author": F.when(F.col("novel_uid") % 2 == 0, "").otherwise(F.col("author")), "intro": F.substring("intro", 1, 12), "status": F.when(F.col("novel_uid") % 3 == 0, "未知").otherwise(F.col("status")), "total_words": F.when(F.col("novel_uid") % 5 == 0, 0).otherwise(F.col("total_words")).cast("long")})
     rules = {"author": ("when_empty",), "intro": ("min_len", 15), "status": ("when_unknown", 0, ("未知",)), "total_words": ("when_zero",)}
     return U.merge_records(listed, novels.filter("novel_uid % 7 <> 0"), "novel_uid", rules)
 
 
-def list_quota(spark: SparkSession, d: str) -> DataFrame:
-    lists = star(spark, d)["rank_lists"]
+def list_quota(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    lists = star(spark, d, **shape)["rank_lists"]
     new = F.startswith(F.col("rank_family"), F.lit("1-"))
     return lists.select("rank_list_id", "rank_family", F.when(new, 2).otherwise(5).alias("quota"), new.alias("is_new_list"))
 
@@ -284,10 +289,22 @@ def tag_split(spark: SparkSession, d: str) -> DataFrame:
     return part.select("p_partkey", F.array_join(T.ordered_union(tags, without=F.col("p_brand")), "/").alias("tags"), F.size(tags).cast("long").alias("n_tags"))
 
 
-QUERIES = {f.__name__: f for f in (
+_ALL = {f.__name__: f for f in (
     tag_panel, category_panel, tag_rollup, category_rollup, heat_scores, unified_columns, date_window, new_entry_ratio, new_book_heat, opening_opportunities,
     tag_pairs, tag_triples, platform_coverage, list_coverage, tag_summary_topk, list_structure_a, list_structure_b, cross_platform_diff, concentration_daily,
     bar_topk, line_topk, table_counts, item_count_mismatch, run_summary, browse_page, list_browse, snapshot_browse, entries_browse, novel_dossier, snapshot_listing,
     full_inspection, section_table, upsert_novels, upsert_entries, upsert_snapshots, upsert_lists, upsert_tags, upsert_tag_map, upsert_titles, save_snapshot,
     payload_validate, list_detail_merge, list_quota, category_split, tag_split,
 )} | {"long_table": long_filtered}
+
+#: Not cut to lists of LIST_SIZE: over no lists, or over whole ones already.
+_UNCUT = {"upsert_novels", "category_split", "tag_split"}
+
+
+def _of_first(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query over the first LIST_SIZE items of each list."""
+    return lambda spark, d: query(spark, d, list_size=LIST_SIZE)
+
+
+#: Under the plain names the queries over the lists that their SQL cuts at LIST_SIZE, under whole_ the same over all items of all lists.
+QUERIES = {k: f if k in _UNCUT else _of_first(f) for k, f in _ALL.items()} | {f"whole_{k}": f for k, f in _ALL.items() if k not in _UNCUT}

@@ -211,6 +211,7 @@ select p.novel_uid, case when trim(p.author) = '' and d.novel_uid is not null th
 from p left join (select * from novels where novel_uid % 7 <> 0) d using (novel_uid)""",
     "list_quota": STAR + "select rank_list_id, rank_family, case when starts_with(rank_family, '1-') then 2 else 5 end as quota, starts_with(rank_family, '1-') as is_new_list from rank_lists",
 }
+WHOLE = {f"whole_{k}": "with " + v.replace("LIST_SIZE", "1000000000") for k, v in SQL.items() if k != "upsert_novels"}
 SQL = {k: ("with " + v.replace("LIST_SIZE", "30")) for k, v in SQL.items()}
 SQL["category_split"] = """select p_partkey, case when p_partkey % 2 = 0 then p_type when starts_with(p_type, 'STANDARD') then 'STANDARD' when starts_with(p_type, 'SMALL') then 'SMALL' when starts_with(p_type, 'MEDIUM') then 'MEDIUM'
   when contains(p_type, 'BRUSHED') or contains(p_type, 'PLATED') then 'Surface' else p_type end as main,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankpulse.schema import SCHEMAS, Tables
 
+#: Items of a list in the queries whose SQL cuts lists.
 LIST_SIZE = 30
 
 
@@ -37,8 +38,8 @@ def facts(spark: SparkSession, sf_dir: str, grain: str = "year") -> DataFrame:
     ).agg(F.sum("l_quantity").cast("long").alias("metric"))
 
 
-def star(spark: SparkSession, sf_dir: str, list_size: int | None = LIST_SIZE, grain: str = "year") -> Tables:
-    """All tables but chapters, from orders, lineitem and part."""
+def star(spark: SparkSession, sf_dir: str, list_size: int | None = None, grain: str = "year") -> Tables:
+    """All tables but chapters, from orders, lineitem and part; of each list the first list_size items, or all."""
     order = Window.partitionBy("platform", "rank_family", "rank_sub_cat", "snapshot_date").orderBy(F.desc("metric"), "novel_uid")
     ranked = facts(spark, sf_dir, grain).withColumn("rank", F.row_number().over(order))
     if list_size is not None:
