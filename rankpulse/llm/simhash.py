@@ -5,9 +5,10 @@ weight of 1 to 3: how many of its words are longer than three characters, plus o
 weight is for it. Votes are counted in the JVM by one aggregation over the exploded terms: a sum column holds two counters of
 32 bits each, enough for any text, so 128 bits take 64 sums.
 
-Search cuts fingerprints into radius + 1 blocks; two within the radius agree in at least one. Each fingerprint stands in a
-table for each block, keyed by it, and equal fingerprints stand there once with their number. A pair is taken only in the
-first table where it agrees.
+Search cuts fingerprints into blocks. Two within a radius below 8 agree in at least one of radius + 1 blocks; two within a larger
+one differ in at most one bit in at least one of radius // 2 + 1 blocks (from 16 on: two bits and radius // 3 + 1, and so on). Each
+fingerprint stands in a table for each block, keyed by it, and equal fingerprints stand there once with their number. Queries look
+up their own block and those that differ in so few bits. A pair is taken only in the first table where it meets.
 
 Null text is empty; texts without words have a fingerprint of zeros. Null doc ids come last in the order of documents, rows
 that repeat an id follow each other by the hash of their text. An empty table gives no rows.
@@ -15,6 +16,8 @@ that repeat an id follow each other by the hash of their text. An empty table gi
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,9 @@ from rankpulse.llm.common import cut, text_of, words_of
 
 BITS = 128
 RADIUS = 3
+#: The radius of compare: texts at a similarity of 0.8 by five-word shingles share about 0.9 of their terms and are about 12 bits
+#: apart, give or take 3.
+NEAR = 15
 LONG_WORD = 3
 #: Rows of a range of ids, and ranges at most.
 RANGE_ROWS = 2000
@@ -111,30 +117,47 @@ def distance(a: Column, b: Column) -> Column:
     return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(_halves(a), _halves(b), strict=True)), F.lit(0))
 
 
+def _key(column: Column, at: int, n: int) -> Column:
+    """n hex digits from a place, as a number of as many bits."""
+    return F.conv(F.substring(column, at, n), 16, -10).cast("long")
+
+
 def within(index: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (query, found, n) of fingerprints of at most `radius` differing bits, equal ones included; n rows of the index have found."""
-    blocks = radius + 1
+    flips = 0 if radius < 8 else radius // 16 + 1
+    blocks = max(2, radius // (flips + 1) + 1)
     size = BITS // 4 // blocks
     cuts = [(1 + i * size, size if i < blocks - 1 else BITS // 4 - i * size) for i in range(blocks)]
 
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(i).alias("t"), F.substring(name, at, n).alias("key")) for i, (at, n) in enumerate(cuts)])
-        return df.withColumn("_x", F.explode(keys)).select("*", F.col("_x.t").alias(f"_t_{name}"), F.col("_x.key").alias(f"_key_{name}")).drop("_x")
-
-    left = tables(queries.select(F.col("fingerprint").alias("query")).distinct(), "query")
-    right = tables(index.groupBy(F.col("fingerprint").alias("found")).agg(F.count(F.lit(1)).alias("n")), "found")
+    def tables(df: DataFrame, name: str, flips: int) -> DataFrame:
+        """A row a table and key: the block itself, and all that differ from it in up to `flips` bits."""
+        keys = []
+        for i, (at, n) in enumerate(cuts):
+            masks = [sum(1 << j for j in c) for k in range(flips + 1) for c in combinations(range(4 * n), k)]
+            keys += [F.struct(F.lit(i).alias("t"), F.col(f"_block{i}").bitwiseXOR(F.lit(m).cast("long")).alias("key")) for m in masks]
+        df = df.withColumns({f"_block{i}": _key(F.col(name), at, n) for i, (at, n) in enumerate(cuts)})
+        words = [_key(F.col(name), at, 16).alias(f"_{name}{at}") for at in (1, 17)]
+        return df.withColumn("_x", F.explode(F.array(*keys))).select(*words, *[c for c in df.columns if c != name and not c.startswith("_block")], F.col("_x.t").alias(f"_t_{name}"), F.col("_x.key").alias(f"_key_{name}"))
+
+    # only the queries, the smaller side, are looked up under changed keys
+    left = tables(queries.select(F.col("fingerprint").alias("query")).distinct(), "query", flips)
+    right = tables(index.groupBy(F.col("fingerprint").alias("found")).agg(F.count(F.lit(1)).alias("n")), "found", 0)
+    apart = sum((F.bit_count(F.col(f"_query{at}").bitwiseXOR(F.col(f"_found{at}"))) for at in (1, 17)), F.lit(0))
+    on = (F.col("_t_query") == F.col("_t_found")) & (F.col("_key_query") == F.col("_key_found")) & (apart <= radius)
+    text = lambda name: F.lower(F.concat(*[F.lpad(F.hex(f"_{name}{at}"), 16, "0") for at in (1, 17)])).alias(name)
+    pairs = left.join(right, on).select(text("query"), text("found"), "n", F.col("_t_query").alias("_t"))
     earlier = F.lit(False)
     for i, (at, n) in enumerate(cuts):
-        earlier = earlier | ((F.lit(i) < F.col("_t_query")) & (F.substring("query", at, n) == F.substring("found", at, n)))
-    on = (F.col("_t_query") == F.col("_t_found")) & (F.col("_key_query") == F.col("_key_found")) & ~earlier & (distance(F.col("query"), F.col("found")) <= radius)
-    return left.join(right, on).select("query", "found", "n")
+        earlier = earlier | ((F.lit(i) < F.col("_t")) & (F.bit_count(_key(F.col("query"), at, n).bitwiseXOR(_key(F.col("found"), at, n))) <= flips))
+    return pairs.filter(~earlier).select("query", "found", "n")
 
 
 def compare(docs: DataFrame, search_every: int = 20) -> DataFrame:
     """For each document: its fingerprint, that of its edited text, likeness to that and to the next document.
 
     The edited text has its last third replaced by the beginning of the next document in descending doc_id. For documents
-    whose id is divisible by search_every, n_near counts the other documents within RADIUS bits.
+    whose id is divisible by search_every, n_near counts the other documents within NEAR bits, and near_ids has their ids in
+    order, each once, without null and the document's own.
     """
     df = docs.select("doc_id", text_of().alias("text")).withColumn("_sha", F.sha2("text", 256))
     df = with_next(df, "text", "doc_id", "_sha", "_next")
@@ -147,6 +170,9 @@ def compare(docs: DataFrame, search_every: int = 20) -> DataFrame:
     out = with_next(prints, "fingerprint", "doc_id", "_sha", "_next")
     out = out.withColumns({"near_edited": likeness("fingerprint", "edited_fingerprint"), "near_next": likeness("fingerprint", "_next")})
     asked = F.col("doc_id") % search_every == 0
-    near = within(prints, prints.filter(asked)).groupBy("query").agg((F.sum("n") - 1).alias("_near"))
+    pairs = cut(within(prints, prints.filter(asked), NEAR))
+    ids = pairs.join(prints.select(F.col("fingerprint").alias("found"), "doc_id"), "found").groupBy("query").agg(F.sort_array(F.collect_set("doc_id")).alias("_ids"))
+    near = pairs.groupBy("query").agg((F.sum("n") - 1).alias("_near")).join(ids, "query")
     out = out.withColumn("_query", F.when(asked, F.col("fingerprint"))).join(near, F.col("_query") == F.col("query"), "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("_near").alias("n_near"))
+    found = F.array_remove("_ids", F.col("doc_id")).alias("near_ids")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("_near").alias("n_near"), found)
