@@ -17,7 +17,7 @@ from rankpulse.functions import text as T
 def sequence_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity of two texts, the first being the incoming one; two empty ones are equal."""
     for a, b in parts:
-        yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+        yield pd.Series([1.0 if x == y else SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def intro_similarity(a: Column, b: Column) -> Column:
@@ -47,24 +47,60 @@ def priority_match(incoming: DataFrame, stored: DataFrame, key: str, uid: str, r
     return out.select(key, F.coalesce(*hits).alias("matched_uid"), rule.alias("matched_rule"))
 
 
-def similarity_match(incoming: DataFrame, stored: DataFrame, block: Sequence[str], key: str, uid: str, text: str, seen: str, threshold: float = 0.84, cap: int = 300, sequence: bool = True) -> DataFrame:
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """Of each set (_h, _words) the rarest words, so many that two sets of a Jaccard similarity of at least `least` share one: _h, _n, _word.
+
+    The empty set has the empty word.
+    """
+    n = F.size("_words")
+    each = sets.select("_h", n.alias("_n"), F.explode(F.when(n == 0, F.array(F.lit(""))).otherwise(F.col("_words"))).alias("_word"))
+    often = each.groupBy("_word").agg(F.count(F.lit(1)).alias("_often"))
+    ordered = each.join(often, "_word").groupBy("_h", "_n").agg(F.sort_array(F.collect_list(F.struct("_often", "_word"))).alias("_all"))
+    # the bound is a little lower than exact arithmetic has it: rounding must not lose a pair
+    some = F.greatest(F.lit(1), F.col("_n") - F.ceil(least * F.col("_n") - 1e-6).cast("int") + 1)
+    return ordered.select("_h", "_n", F.explode(F.transform(F.slice("_all", F.lit(1), some), lambda x: x["_word"])).alias("_word"))
+
+
+def similarity_match(incoming: DataFrame, stored: DataFrame, block: Sequence[str], key: str, uid: str, text: str, seen: str, threshold: float = 0.84, cap: int | None = None, sequence: bool = True) -> DataFrame:
     """The best stored match of each incoming record in its block, if it scores at least the threshold.
 
-    The newest `cap` rows of a block are compared, as the data model has it. With sequence=False only words count. Ties go to the
-    newest, then the smallest uid.
+    All rows of a block are compared, or the newest `cap`, where the data model limits them. With sequence=False only words count.
+    Ties go to the newest, then the smallest uid. Candidates share one of their rarest words, which all pairs of enough words in
+    common do; each pair of different texts is scored once.
     """
     normal = T.normalize_text(F.col(text))
-    words = F.array_distinct(F.filter(F.split(normal, " "), lambda t: t != ""))
-    order = Window.partitionBy(*block).orderBy(F.desc(seen), uid)
-    right = stored.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap)
-    right = right.select(*[F.col(b).alias(f"_b_{b}") for b in block], F.col(uid).alias("_uid"), normal.alias("_text"), words.alias("_words"), F.col(seen).alias("_seen"))
-    left = incoming.select(key, *block, normal.alias("_own_text"), words.alias("_own_words"))
-    pairs = left.join(right, [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in block]).filter(F.col(key) != F.col("_uid"))
+    words = F.sort_array(F.array_distinct(F.filter(F.split(normal, " "), lambda t: t != "")))
+    same = normal if sequence else F.array_join(words, " ")
+    if cap is not None:
+        newest = Window.partitionBy(*block).orderBy(F.desc(seen), uid)
+        stored = stored.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= cap)
+    # a record's own row aside, one of the two best rows of a text is its best match among the rows of that text
+    at = [f"_b_{b}" for b in block]
+    right = stored.select(*[F.col(b).alias(f"_b_{b}") for b in block], F.col(uid).alias("_uid"), same.alias("_text"), words.alias("_words"), F.col(seen).alias("_seen")).withColumn("_r", F.sha2("_text", 256))
+    rows = right.groupBy(*at, "_r", "_uid").agg(F.max("_seen").alias("_seen"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*at, "_r").orderBy(F.desc("_seen"), "_uid"))).filter("_n <= 2").drop("_n")
+    left = incoming.select(key, *block, same.alias("_text"), words.alias("_words")).withColumn("_l", F.sha2("_text", 256))
+    texts = left.select(F.col("_l").alias("_h"), "_text", "_words").unionByName(right.select(F.col("_r").alias("_h"), "_text", "_words")).dropDuplicates(["_h"])
+
+    least = (threshold - 0.35) / 0.65 if sequence else threshold
+    index = _prefixes(texts.select("_h", "_words"), least)
+    asked = left.select(*block, "_l").distinct().join(index.withColumnsRenamed({"_h": "_l", "_n": "_own_n"}), "_l")
+    found = right.select(*at, "_r").distinct().join(index.withColumnsRenamed({"_h": "_r", "_word": "_found"}), "_r")
+    on = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in block] + [F.col("_word") == F.col("_found"), F.least("_n", "_own_n") >= least * F.greatest("_n", "_own_n") - 1e-6]
+    pairs = asked.join(found, on).select(*block, "_l", "_r").distinct()
+    pairs = pairs.join(texts.select(F.col("_h").alias("_l"), F.col("_text").alias("_own_text"), F.col("_words").alias("_own_words")), "_l").join(texts.withColumnRenamed("_h", "_r"), "_r")
     common, n, m = F.size(F.array_intersect("_own_words", "_words")), F.size("_own_words"), F.size("_words")
-    pairs = pairs.withColumn("_jaccard", F.when((n == 0) & (m == 0), 1.0).otherwise(common / F.nullif(n + m - common, F.lit(0))))
-    # texts whose sequences are compared must be able to reach the threshold
-    pairs = pairs.filter(F.col("_jaccard") >= ((threshold - 0.35) / 0.65 if sequence else threshold))
-    score = 0.65 * F.col("_jaccard") + 0.35 * sequence_ratio("_own_text", "_text") if sequence else F.col("_jaccard")
+    pairs = pairs.withColumn("_jaccard", F.when((n == 0) & (m == 0), 1.0).otherwise(common / F.nullif(n + m - common, F.lit(0)))).filter(F.col("_jaccard") >= least)
+    score = F.col("_jaccard")
+    if sequence:
+        # of texts of these lengths no more can be in sequence
+        a, b = F.length("_own_text"), F.length("_text")
+        most = F.when(a + b == 0, 1.0).otherwise(2 * F.least(a, b) / F.nullif(a + b, F.lit(0)))
+        pairs = pairs.filter(0.65 * F.col("_jaccard") + 0.35 * most >= threshold - 1e-6)
+        score = 0.65 * F.col("_jaccard") + 0.35 * sequence_ratio("_own_text", "_text")
+    scored = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select(*block, "_l", "_r", "score")
+    own = left.select(key, *[F.col(b).alias(f"_o_{b}") for b in block], F.col("_l").alias("_own"))
+    scored = scored.join(rows.withColumnRenamed("_r", "_found"), [F.col("_r") == F.col("_found")] + [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in block])
+    scored = scored.join(own, [F.col("_l") == F.col("_own")] + [F.col(b).eqNullSafe(F.col(f"_o_{b}")) for b in block]).filter(F.col(key) != F.col("_uid"))
     best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("_seen"), "_uid")
-    scored = pairs.withColumn("score", score).filter(F.col("score") >= threshold)
     return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(key, F.col("_uid").alias("matched_uid"), "score")

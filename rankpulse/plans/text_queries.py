@@ -137,13 +137,12 @@ def priority_match(spark: SparkSession, d: str) -> DataFrame:
 
 def _match(spark: SparkSession, d: str, sequence: bool) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text", F.to_date(F.lit("2026-01-01")).alias("seen"))
-    short = docs.filter(F.length("text") <= 1500) if sequence else docs
-    out = resolve.similarity_match(short, short, ["lang", "source"], "doc_id", "doc_id", "text", "seen", threshold=0.7, cap=300, sequence=sequence)
+    out = resolve.similarity_match(docs, docs, ["lang", "source"], "doc_id", "doc_id", "text", "seen", threshold=0.7, sequence=sequence)
     return out.withColumn("score", F.round("score", 6))
 
 
 def similarity_match(spark: SparkSession, d: str) -> DataFrame:
-    """Best match of each document within its language and source, by words and sequence. Titles and introductions are short: so are these."""
+    """Best match of each document within its language and source, by words and sequence."""
     return _match(spark, d, True)
 
 
