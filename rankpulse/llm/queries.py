@@ -136,6 +136,5 @@ from b
 
 ORACLES: dict[str, str] = {
     "op9_warc": _OP9_SQL,
-    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_mix_sources": _OP4_SQL,
 }
