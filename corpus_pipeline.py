@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankpulse.llm import jaccard, line_dedup, mixing, packing, quality_model
@@ -25,10 +25,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that of the smallest id. Documents with null ids that are linked to none stay."""
-    linked = jaccard.link(docs.select("doc_id", "text"))
-    first = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each group of linked texts: that of the smallest id, null ids last, then of the smallest hash of its text. Those without words stay."""
+    linked = cut(jaccard.linked_texts(docs.select("doc_id", "text")))
+    triple = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    best = linked.filter("component is not null").groupBy("component").agg(F.min(triple).alias("_f")).select("_f._id", "_f._hash")
+    rows = linked.groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.count(F.lit(1)).alias("_rows"))
+    best = best.join(rows, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_id", "_hash", "_rows")
+    blank = linked.filter("component is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct().withColumn("_rows", F.lit(1).cast("long"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    kept = docs.join(best.unionByName(blank), on)
+    # of equal rows one; others need no order
+    one = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64(*docs.columns))
+    several = kept.filter("_rows > 1").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    return kept.filter("_rows = 1").select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

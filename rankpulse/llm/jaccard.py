@@ -220,7 +220,7 @@ def _parity(tokens: np.ndarray) -> np.ndarray:
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Key, size and parity bitmap of each set."""
     for part, sets in _batches(batches):
-        yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "key": [set_key(t) for t in sets], "n": [len(t) for t in sets], "bits": [_parity(t) for t in sets]})
+        yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "text_hash": part["text_hash"], "key": [set_key(t) for t in sets], "n": [len(t) for t in sets], "bits": [_parity(t) for t in sets]})
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,8 +263,16 @@ def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    out = linked_texts(docs)
+    least_id = out.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("_least"))
+    out = out.join(least_id, "component", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+
+
+def linked_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of text), n_shingles and component, the key of a group of linked texts, of every document; null without words."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    described = cut(docs.mapInPandas(_describe, "doc_id long, key long, n long, bits array<long>"))
+    described = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_describe, "doc_id long, text_hash long, key long, n long, bits array<long>"))
     known = described.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     sets = described.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
@@ -291,11 +299,8 @@ def link(docs: DataFrame) -> DataFrame:
             break
         # a round that links nothing is the last of its kind; the pairs that remain follow
         stars, shared = stars - 1 if some else 0, rows.select("entry", "key")
-    out = described.select("doc_id", "key", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("node", "key"), "key", "left")
-    out = out.withColumn("_c", F.when(F.col("n_shingles") > 0, F.coalesce("root", "key")))
-    least_id = out.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least"))
-    out = out.join(least_id, "_c", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("_c").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+    out = described.select("doc_id", "text_hash", "key", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("node", "key"), "key", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "key")).alias("component"))
 
 
 def _stars(rows: DataFrame, sets: DataFrame, round_: int) -> DataFrame:

@@ -1,0 +1,16 @@
+"""Stages of the pipeline on small tables."""
+
+import collections
+
+import corpus_pipeline
+
+
+def test_one_document_of_each_group(spark):
+    """Also where ids repeat or are null: the smallest id of a group, and one row of it."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a + " end"), (2, a), (None, a), (None, b), (None, b), (3, c), (3, "other words that stand alone here"), (4, c), (5, ""), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    first = [x for x in got if x[0] == 1]
+    assert len(first) == 1 and first[0][1] in (a, a + " end")
+    assert got == collections.Counter([first[0], (None, b), (3, c), (3, "other words that stand alone here"), (5, ""), (5, ""), (None, None)])
