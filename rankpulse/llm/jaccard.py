@@ -1,18 +1,20 @@
 """Exact Jaccard join of documents on word shingles, by prefixes of token combinations.
 
-A token is a shingle. Tokens have one order: rare ones of a fixed part of the hash space, then frequent ones of that part, then
-the rest; each by hash. Of two sets of similarity 0.8 or more, the one whose prefix ends first misses at most a fifth of its tokens
-in the other, so a prefix that a fifth of missing tokens can't wholly spoil shares an index entry with the other's. Rare tokens are
-entries alone. Frequent tokens fall into small groups by hash, and entries are pairs of tokens of a group; a group of c tokens is
+A token is a shingle. Tokens have one order: rare ones of a fixed part of the hash space, then the more frequent ones of that part
+from class to class of their counts, then the rest; within a class by hash. Of two sets of similarity 0.8 or more, the one whose prefix ends first misses at most a fifth of its tokens
+in the other, so a prefix that a fifth of missing tokens can't wholly spoil shares an index entry with the other's. Rare tokens, and
+those of the lower classes, are entries alone. Frequent tokens fall into small groups by hash, and entries are pairs of tokens of a group; a group of c tokens is
 spoilt by c - 1 missing ones, so each group lengthens the prefix by one. Short sets have no groups. Group sizes go by size class,
 and a set is indexed for its class and the next, which covers all sizes that its partners can have.
 
-Counts that tell frequent from rare are over all documents. At most MOST_FREQUENT tokens, those of the highest counts, are frequent: only so
+Counts that tell frequent from rare are over all documents. At most MOST_FREQUENT tokens, those of the highest counts, have a class: only so
 many are sent to the executors. Any such choice gives an exact join.
 
 Equal sets are one node from the start. An index entry of m nodes could give m * m pairs, and a group of near copies has many
-such entries. So nodes of an entry are first compared with one of them, a few times over, and components are formed from the
-links found. Entries within one component need no more. In the others the nodes outside the largest component are compared with all.
+such entries. So entries of more than MANY nodes are replaced: their nodes are indexed once more among themselves, by all their tokens
+from the rarest on, with exact counts. Two nodes that link meet there as well, and a copy of a copy meets its own branch instead of the whole
+group. Then nodes of an entry are compared with one or two hubs of it, those that stand in most entries, and components are formed from
+the links found. Entries within one component need no more. In the others the nodes outside the largest component are compared with all.
 Two bounds drop pairs before their sets are read, both exact: sizes differ by a fifth at most, and the parity bitmaps of the sets
 differ in at most as many bits as the sets may in tokens. What is left is verified on the whole sets. No link between different
 components is lost; links within a component aren't all listed.
@@ -40,15 +42,23 @@ from rankpulse.llm.graph import components
 WIDTH = 5
 #: Part of the hash space in which tokens are counted, as a signed hash below this.
 COUNTED = -(1 << 63) + int(0.27 * (1 << 64))
+#: Tokens of more documents than LEAST_CLASSED have a class, the binary logarithm of their number; those of more than LEAST_FREQUENT go in combinations.
+LEAST_CLASSED = 32
 LEAST_FREQUENT = 400
 MOST_FREQUENT = 1_000_000
+#: Nodes of an entry, beyond which they are indexed once more among themselves.
+MANY = 64
 #: Ratio of size classes, a little over 1 / 0.8; tokens to a group.
 RATIO = 1.26
 GROUP = 6
 LEAST_BITS = 512
 #: Up to so many ids of 16 bytes are sent to all executors to find their texts; beyond, texts are shuffled.
 BROADCAST_IDS = 500_000
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Hubs that a node is compared with in a round.
+HUBS = 2
+#: Tag that tells the second index's entries from the first's.
+SECOND = 4
 
 
 #: Bytes that are hashed at once, and the base of the words' polynomial hash with its inverse.
@@ -138,31 +148,38 @@ def _groups(size_class: int) -> int:
     return missing // GROUP if missing >= 2 * GROUP else 0
 
 
-def entries(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Index entries of one set: sorted distinct tokens, and sorted frequent tokens of all sets."""
+def entries(tokens: np.ndarray, classed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Index entries of one set: sorted distinct tokens; sorted classed tokens of all sets, with their counts."""
     n = len(tokens)
     need = n // 5 + 1
     counted = tokens < COUNTED
     low, high = tokens[counted], tokens[~counted]
-    at = np.minimum(np.searchsorted(frequent, low), max(len(frequent) - 1, 0))
-    often = frequent[at] == low if len(frequent) else np.zeros(len(low), dtype=bool)
-    rare, common = low[~often], low[often]
-    if len(rare) >= need:
-        return rare[:need]
+    at = np.minimum(np.searchsorted(classed, low), max(len(classed) - 1, 0))
+    known = classed[at] == low if len(classed) else np.zeros(len(low), dtype=bool)
+    single, common = low[~known], low[known]
+    if len(single) >= need:
+        return single[:need]
+    if len(common):
+        often = counts[at[known]]
+        order = np.argsort(np.log2(often).astype(np.int8), kind="stable")
+        common, often = common[order], often[order]
+        single, common = np.r_[single, common[often <= LEAST_FREQUENT]], common[often > LEAST_FREQUENT]
+        if len(single) >= need:
+            return single[:need]
     found = []
     for size_class in (_class(n), _class(n) + 1):
         groups = _groups(size_class)
         if not groups:
-            found.append(np.concatenate([rare, common, high])[:need])
+            found.append(np.concatenate([single, common, high])[:need])
             continue
         group = _mix(common, 1) % np.uint64(groups)
         firsts = np.zeros(len(common), dtype=bool)
         firsts[np.unique(group, return_index=True)[1]] = True
         worth = np.cumsum(~firsts)  # of common tokens so far: all but one of each group
-        k = int(np.searchsorted(worth, need - len(rare))) + 1
+        k = int(np.searchsorted(worth, need - len(single))) + 1
         k = min(k, len(common))
-        left = need - len(rare) - (int(worth[k - 1]) if k else 0)
-        found += [rare, high[: max(left, 0)]]
+        left = need - len(single) - (int(worth[k - 1]) if k else 0)
+        found += [single, high[: max(left, 0)]]
         used, g = common[:k], group[:k]
         order = np.lexsort((used, g))
         used, g = used[order], g[order]
@@ -179,10 +196,10 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"token": np.concatenate([t[: np.searchsorted(t, COUNTED)] for t in sets])})
 
 
-def _index(frequent: np.ndarray):
+def _index(classed: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, sets in _batches(batches):
-            rows = [(entries(t, frequent), set_key(t)) for t in sets if len(t)]
+            rows = [(entries(t, classed, counts), set_key(t)) for t in sets if len(t)]
             if rows:
                 yield pd.DataFrame({"entry": np.concatenate([e for e, _ in rows]), "key": np.repeat([k for _, k in rows], [len(e) for e, _ in rows])})
 
@@ -249,14 +266,19 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are linked. known: a doc_id for each key."""
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = cut(known.join(wanted, "key").select(F.col("doc_id").alias("_id"), "key"))
+def sets_of(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, tokens) of the sets with these keys. Their texts are found by the doc_id that each key has in sets."""
+    ids = cut(sets.join(keys, "key").select(F.col("doc_id").alias("_id"), "key"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    sets = docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"])).select("key", "text").mapInPandas(_tokens, "key long, tokens array<long>")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"])).select("key", "text").mapInPandas(_tokens, "key long, tokens array<long>")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are linked. sets: the described sets, a row for each key."""
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    tokens = sets_of(wanted, docs, sets)
+    both = pairs.join(tokens.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.filter(100 * common >= 80 * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
 
@@ -269,28 +291,48 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
+def _classed(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens of more than LEAST_CLASSED documents, and their counts; MOST_FREQUENT at most, those of the highest counts."""
+    counts = docs.select("text").mapInPandas(_counted, "token long").groupBy("token").count().filter(F.col("count") > LEAST_CLASSED)
+    top = cut(counts)
+    if top.count() > MOST_FREQUENT:
+        least = top.groupBy("count").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.sum("n").over(Window.orderBy(F.desc("count"))))
+        top = top.filter(F.col("count") >= least.filter(F.col("above") <= MOST_FREQUENT).agg(F.min("count")).first()[0])
+    rows = np.array([tuple(r) for r in top.select("token", "count").collect()], dtype=np.int64).reshape(-1, 2)
+    rows = rows[np.argsort(rows[:, 0])]
+    return rows[:, 0].copy(), rows[:, 1].copy()
+
+
+def _second_index(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(entry, key) of these sets among themselves: the rarest tokens of each that a fifth of missing tokens can't spoil, by exact counts."""
+    tokens = cut(sets_of(keys, docs, sets))
+    rows = tokens.select("key", F.explode("tokens").alias("token"))
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
+    shared = rows.join(counts, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("_t"))
+    both = tokens.select("key", F.size("tokens").alias("n")).join(shared, "key")
+    # tokens of one set only come first in the order and are no entries
+    need = F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.size("_t"))
+    return both.select("key", F.explode(F.slice("_t", F.lit(1), F.greatest(need, F.lit(0)).cast("int"))).alias("_e")).select(F.xxhash64(F.lit(SECOND), "_e.token").alias("entry"), "key")
+
+
 def linked_texts(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (xxhash64 of text), n_shingles and component, the key of a group of linked texts, of every document; null without words."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     described = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_describe, "doc_id long, text_hash long, key long, n long, bits array<long>"))
-    known = described.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    sets = described.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = cut(described.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
-    counts = docs.select("text").mapInPandas(_counted, "token long").groupBy("token").count().filter(F.col("count") > LEAST_FREQUENT)
-    top = cut(counts)
-    if top.count() > MOST_FREQUENT:
-        least = top.groupBy("count").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.sum("n").over(Window.orderBy(F.desc("count"))))
-        top = top.filter(F.col("count") >= least.filter(F.col("above") <= MOST_FREQUENT).agg(F.min("count")).first()[0])
-    frequent = np.sort(np.array([r["token"] for r in top.select("token").collect()], dtype=np.int64))
-    index = docs.select("text").mapInPandas(_index(frequent), "entry long, key long")
+    index = docs.select("text").mapInPandas(_index(*_classed(docs)), "entry long, key long")
     shared = cut(index.repartition("entry").sortWithinPartitions("entry", "key").mapInPandas(_shared, "entry long, key long"))
+    many = cut(shared.groupBy("entry").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MANY).select("entry"))
+    second = _second_index(shared.join(many, "entry", "left_semi").select("key").distinct(), docs, sets)
+    shared = cut(_weighed(shared.join(many, "entry", "left_anti").unionByName(second)))
 
     links, roots, stars = None, None, STAR_ROUNDS
     while True:
-        rows = shared.withColumn("c", F.col("key")) if roots is None else shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("entry", "key", F.coalesce("root", "key").alias("c"))
+        rows = shared.withColumn("c", F.col("key")) if roots is None else shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("entry", "key", "w", F.coalesce("root", "key").alias("c"))
         open_ = rows.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("entry")
         rows = cut(rows.join(open_, "entry", "left_semi"))
-        found = verify(cut(_stars(rows, sets, stars) if stars else _rest(rows, sets)), docs, known)
+        found = verify(cut(_stars(rows, sets, stars) if stars else _rest(rows, sets)), docs, sets)
         some = not found.isEmpty()
         if some or links is None:
             links = found if links is None else links.unionByName(found)
@@ -298,24 +340,32 @@ def linked_texts(docs: DataFrame) -> DataFrame:
         if not stars:
             break
         # a round that links nothing is the last of its kind; the pairs that remain follow
-        stars, shared = stars - 1 if some else 0, rows.select("entry", "key")
+        stars, shared = stars - 1 if some else 0, rows.select("entry", "key", "w")
     out = described.select("doc_id", "text_hash", "key", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "key")).alias("component"))
 
 
+def _weighed(shared: DataFrame) -> DataFrame:
+    """Adds w: how many nodes the entries of a node have together."""
+    size = shared.groupBy("entry").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    sized = shared.join(size, "entry")
+    return sized.join(sized.groupBy("key").agg(F.sum("m").alias("w")), "key").select("entry", "key", "w")
+
+
 def _stars(rows: DataFrame, sets: DataFrame, round_: int) -> DataFrame:
-    """For each node of an open entry, the other-component node that most of its entries name; entries each name one of their nodes."""
-    by = F.xxhash64(F.lit(round_), "key")
-    named = rows.groupBy("entry").agg(F.min_by(F.struct("key", "c"), by).alias("p"))
+    """For each node of an open entry, the other-component hubs that most of its entries name. An entry names its heaviest node in the first round, any in the others."""
+    by = F.struct(F.col("w") if round_ == STAR_ROUNDS else F.lit(0), F.xxhash64(F.lit(round_), "key"))
+    named = rows.groupBy("entry").agg(F.max_by(F.struct("key", "c"), by).alias("p"))
     pairs = rows.join(named, "entry").filter("c <> p.c").groupBy(F.col("key").alias("a"), F.col("p.key").alias("b")).count()
     pairs = pairs.join(_named(sets, "a_").withColumnRenamed("a_key", "a"), "a").join(_named(sets, "b_").withColumnRenamed("b_key", "b"), "b").filter(_possible("a_", "b_"))
-    return pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    best = pairs.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), False), 1, HUBS).alias("_b"))
+    return best.select("a", F.explode("_b").alias("_p")).select("a", "_p.b")
 
 
 def _rest(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of different components that share an entry and that the bounds allow."""
     main = rows.groupBy("entry", "c").count().groupBy("entry").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-    full = rows.join(main, "entry").join(sets, "key")
+    full = rows.drop("w").join(main, "entry").join(sets.select("key", "n", "bits"), "key")
     left = _named(full.filter("c <> main"), "a_")
     right = _named(full, "b_")
     on = (F.col("a_entry") == F.col("b_entry")) & (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("b_main")) | (F.col("a_key") < F.col("b_key"))) & _possible("a_", "b_")

@@ -142,10 +142,12 @@ def near_copies():
     return rows + [(900, ""), (901, None), (902, "one"), (903, "ONE"), (904, "one two")]
 
 
-@pytest.mark.parametrize("frequent", [400, 3])
-def test_jaccard_join(spark, monkeypatch, frequent):
-    """All links of brute force, also when nearly all shared tokens are frequent and stand in combinations."""
+@pytest.mark.parametrize("classed, frequent, many", [(32, 400, 64), (2, 3, 64), (2, 3, 3), (32, 400, 2)])
+def test_jaccard_join(spark, monkeypatch, classed, frequent, many):
+    """All links of brute force, also when nearly all shared tokens are frequent and stand in combinations, and when most entries are indexed again."""
+    monkeypatch.setattr(jaccard, "LEAST_CLASSED", classed)
     monkeypatch.setattr(jaccard, "LEAST_FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "MANY", many)
     rows = near_copies()
     got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows)
@@ -165,7 +167,9 @@ def test_entries_meet():
         if 100 * both < 80 * (len(a) + len(b) - both):
             continue
         frequent = np.sort(rng.permutation(np.r_[a, b])[: int(rng.integers(0, len(a) + len(b) + 1))])
-        assert len(np.intersect1d(jaccard.entries(a, np.unique(frequent)), jaccard.entries(b, np.unique(frequent))))
+        known = np.unique(frequent)
+        for counts in (np.full(len(known), 1000), rng.integers(30, 900, len(known))):
+            assert len(np.intersect1d(jaccard.entries(a, known, counts), jaccard.entries(b, known, counts)))
 
 
 def test_jaccard_edges(docs, nothing):
