@@ -152,6 +152,8 @@ def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
         for x in batches:
             yield pd.Series(_sigmoid(_forward(model, np.stack(x.to_numpy()))[1]) if len(x) else [], dtype=float)
 
+    # It isn't, but a filter on the score must stay above: pushed below, the optimizer would put the measures' arrays inside each other and compute them anew for each element.
+    run = run.asNondeterministic()
     return features(docs, text).withColumn("score", run("_x")).drop("_x")
 
 
