@@ -89,7 +89,8 @@ def vote(measured: DataFrame) -> DataFrame:
     )
 
 
-#: Of good documents a rule rejects at most this share: a rule that rejects many is held to be right about them.
+#: Of good documents a rule rejects at most this share. Without this constraint on the M-step "good" drifts: on tables where, say, a tenth of the
+#: documents repeat lines, the likelihood is highest with those in the good class and the rule held to be wrong about them.
 MOST_FALSE = 0.01
 
 
@@ -101,19 +102,6 @@ def _start() -> dict:
     return {"priors": [0.8, *[bad] * len(RULES)], "votes": [good, *kinds]}
 
 
-def _shares(model: dict) -> Column:
-    """Array of the posterior probability of each class, given the votes; the first is "good"."""
-    logs = []
-    for prior, votes in zip(model["priors"], model["votes"], strict=True):
-        total = F.lit(math.log(prior))
-        for name in RULES:
-            v = F.col(f"vote_{name}")
-            total = total + F.when(v == 1, math.log(votes[name][1])).when(v == -1, math.log(votes[name][-1])).otherwise(math.log(votes[name][0]))
-        logs.append(total)
-    likely = F.transform(F.array(*logs), lambda x: F.exp(x))
-    return F.transform(likely, lambda x: x / F.aggregate(likely, F.lit(0.0), lambda a, y: a + y))
-
-
 def posterior(model: dict) -> Column:
     """Probability that a document is good, given its votes."""
     likely = [F.lit(0.0)]
@@ -126,38 +114,42 @@ def posterior(model: dict) -> Column:
     return likely[1] / sum(likely[2:], likely[1])
 
 
+def _expected(patterns: list[tuple[tuple[int, ...], int]], model: dict) -> list[list[list[float]]]:
+    """By class and rule, how many rows vote -1, 0 and 1, each row shared out over the classes by its posterior."""
+    logs = [(math.log(p), [[math.log(votes[name][v]) for v in (-1, 0, 1)] for name in RULES]) for p, votes in zip(model["priors"], model["votes"], strict=True)]
+    sums = [[[0.0] * 3 for _ in RULES] for _ in logs]
+    for votes, n in patterns:
+        likely = [math.exp(prior + sum(x[v + 1] for x, v in zip(shares, votes, strict=True))) for prior, shares in logs]
+        total = sum(likely)
+        for of_class, x in zip(sums, likely, strict=True):
+            for of_rule, v in zip(of_class, votes, strict=True):
+                of_rule[v + 1] += n * x / total
+    return sums
+
+
+def _constrained(share: dict) -> dict:
+    """The votes of a rule on good documents, with what it rejects beyond MOST_FALSE counted as kept."""
+    over = max(0.0, share[-1] - MOST_FALSE)
+    return share | {-1: share[-1] - over, 1: share[1] + over}
+
+
 def fit(voted: DataFrame, iterations: int = 40, tolerance: float = 1e-6) -> dict:
     """Expectation-maximisation over the vote patterns of all rows: class priors and, by class and rule, the share of each vote.
 
+    Spark counts the patterns, of which there are at most 3 to the number of rules; the iterations run over these counts on the driver.
     Bad documents are of several kinds, which different rules see, so each rule starts a kind of its own: with one bad class
     the most frequent kind takes it over and the rest count as good. The start names the classes; with no rows it is returned.
     """
-    cols = [f"vote_{name}" for name in RULES]
-    patterns = cut(voted.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    model, classes = _start(), range(len(RULES) + 1)
-    for _ in range(iterations):
-        votes = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"vote_{name}").alias("vote")) for name in RULES])
-        rows = (
-            patterns.withColumn("_p", _shares(model))
-            .select("n", "_p", F.explode(votes).alias("v"))
-            .groupBy("v.rule", "v.vote")
-            .agg(*[F.sum(F.col("n") * F.col("_p")[c]).alias(str(c)) for c in classes])
-            .collect()  # three rows a rule
-        )
-        if not rows:
-            break
-        sums = {(r["rule"], r["vote"]): [r[str(c)] for c in classes] for r in rows}
-        size = [sum(sums.get((next(iter(RULES)), v), [0.0] * len(classes))[c] for v in (-1, 0, 1)) for c in classes]
-        learned = []
-        for c in classes:
-            shares = {name: {v: (sums.get((name, v), [0.0] * len(classes))[c] + 0.1) / (size[c] + 0.3) for v in (-1, 0, 1)} for name in RULES}
-            if c == 0:
-                for share in shares.values():
-                    over = max(0.0, share[-1] - MOST_FALSE)
-                    share[-1], share[1] = share[-1] - over, share[1] + over
-            learned.append(shares)
-        priors = [(x + 0.1) / (sum(size) + 0.1 * len(classes)) for x in size]
-        change, model = max(abs(x - y) for x, y in zip(priors, model["priors"], strict=True)), {"priors": priors, "votes": learned}
+    rows = voted.groupBy(*[f"vote_{name}" for name in RULES]).agg(F.count(F.lit(1)).alias("n")).collect()
+    patterns = sorted((tuple(r)[:-1], r["n"]) for r in rows)
+    model = _start()
+    for _ in range(iterations if patterns else 0):
+        sums = _expected(patterns, model)
+        size = [sum(of_class[0]) for of_class in sums]
+        votes = [{name: {v: (x[v + 1] + 0.1) / (n + 0.3) for v in (-1, 0, 1)} for name, x in zip(RULES, of_class, strict=True)} for n, of_class in zip(size, sums, strict=True)]
+        votes[0] = {name: _constrained(share) for name, share in votes[0].items()}
+        priors = [(n + 0.1) / (sum(size) + 0.1 * len(size)) for n in size]
+        change, model = max(abs(x - y) for x, y in zip(priors, model["priors"], strict=True)), {"priors": priors, "votes": votes}
         if change < tolerance:
             break
     return model
