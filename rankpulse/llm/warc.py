@@ -5,8 +5,9 @@ file, offset, length, url, page id, digest and type of every record. The index i
 it, so a lost executor repeats neither archive nor index; a repeated task writes new files, and only files that the index
 names are ever read.
 
-Reading: index rows, any selection of them, are sorted by file and offset; neighbouring byte ranges are coalesced into one
-read, and records are cut from it by the index.
+Reading: index rows, any selection of them, are dealt out by stretches of a file and sorted by file and offset; neighbouring byte ranges are
+coalesced into one read, and records are cut from it by the index. Executors open archives through pyarrow, so the folder's scheme
+must be one of its: file, hdfs, s3 (s3a is taken for it), gs, abfs.
 
 Of pages with equal payloads of at least `min_bytes` the one with the smallest page id is a response; the others are revisit
 records that name it, carry its digest and, in their HTTP header, the payload's length. Pages that repeat both page id and
@@ -35,6 +36,8 @@ SALTS = 32
 ROLL_BYTES = 256 << 20
 READ_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+#: Bytes of an archive that one task reads, about.
+SPLIT_BYTES = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
 ID = "urn:rankpulse:page:"
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string, refers_to long"
@@ -97,11 +100,17 @@ def _int(x: object) -> int | None:
     return None if pd.isna(x) else int(x)
 
 
+def _open(uri: str):
+    """File system and path of an URI whose scheme pyarrow knows: file, hdfs, s3, gs, abfs and their like; s3a and s3n are s3."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+
+
 def _writer(folder: str):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _open(folder)
         out, at, name = None, 0, ""
         try:
             for batch in batches:
@@ -150,8 +159,6 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> Da
 
 def _reader(with_payload: bool):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         opened, source = "", None
         for batch in batches:
             rows, run = [], []
@@ -163,7 +170,7 @@ def _reader(with_payload: bool):
                 if run[0][0] != opened:
                     if source is not None:
                         source.close()
-                    store, path = fs.FileSystem.from_uri(run[0][0])
+                    store, path = _open(run[0][0])
                     opened, source = run[0][0], store.open_input_file(path)
                 begin = run[0][1]
                 data = source.read_at(run[-1][1] + run[-1][2] - begin, begin)
@@ -187,5 +194,8 @@ def _reader(with_payload: bool):
 
 def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that the index rows name, read back from their archives; intact says if a payload has its digest and length."""
-    ranges = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    # a task gets stretches of about SPLIT_BYTES; the number is given, or small index rows would be merged into one task that reads all archives
+    n = max(2 * -(-total // SPLIT_BYTES), index.sparkSession.sparkContext.defaultParallelism)
+    ranges = index.select("file", "offset", "length").repartition(n, "file", F.floor(F.col("offset") / SPLIT_BYTES)).sortWithinPartitions("file", "offset")
     return ranges.mapInPandas(_reader(with_payload), RECORD + (", payload binary" if with_payload else ""))
