@@ -4,7 +4,7 @@ Each source has a weight schedule over training time 0..1: weights at knots, lin
 the source's weight. Weights share the total size; a source whose share is more than `max_epochs` times its own size gets that
 much, and the excess is shared by weight among the others until none is above (water-filling).
 
-A source's documents, in the order of a hash of their id, are laid end to end, epoch after epoch, until the target is used up;
+A source's documents, in the order of a hash of their id and text, are laid end to end, epoch after epoch, until the target is used up;
 the last document is cut there. Cumulative demand of a source at time t is its target times the normalised integral of its
 schedule up to t; inverting it at a document's start gives the document's training position, and sorting by position gives
 the training order.
@@ -112,18 +112,23 @@ def _position(pieces: Column, weight: Column, share: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """The kept columns and size, the number of words."""
-    return docs.select(*keep, F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"))
+    """The kept columns, size, the number of words, and key, by which documents of a source are dealt out and ordered."""
+    return docs.select(*keep, F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"), _order("doc_id", F.md5(text_of(text))).alias("key"))
+
+
+def _order(doc_id: str, text_md5: Column) -> Column:
+    """A hash of id and text, so that rows without an id, or with the same one, don't fall into one bucket."""
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), text_md5))
 
 
 def plan(sized: DataFrame, schedules: DataFrame | None = None, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """For each row of (doc_id, source, size): source_size, target, start (words of its source before it), taken, position.
+    """For each row of (doc_id, source, size, key): source_size, target, start (words of its source before it), taken, position.
 
     taken are the words that the mix takes of the row, repeats counted (the last repeat may be cut); position is the time of
     its first appearance, null if it never appears. pieces and weight are those of its source.
     """
     by_source = targets(sized, schedules, max_epochs).withColumn("_key", _key("source")).drop("source")
-    rows = sized.withColumn("_key", _key("source")).withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = sized.withColumn("_key", _key("source")).withColumnRenamed("key", "_hash")
     rows = rows.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     ahead = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("_sum"))
@@ -136,7 +141,7 @@ def plan(sized: DataFrame, schedules: DataFrame | None = None, max_epochs: float
     part = F.greatest(F.least(goal - epochs * F.col("source_size") - F.col("start"), F.col("size")), F.lit(0))
     df = df.withColumn("taken", (epochs * F.col("size") + part).cast("long"))
     position = F.when(F.col("taken") > 0, _position(F.col("pieces"), F.col("weight"), F.col("start") / F.col("target")))
-    return df.select(*sized.columns, "source_size", "target", "start", "taken", position.alias("position"), "pieces", "weight")
+    return df.select(*[c for c in sized.columns if c != "key"], "source_size", "target", "start", "taken", position.alias("position"), "pieces", "weight")
 
 
 def mix(docs: DataFrame, schedules: DataFrame | None = None, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -148,7 +153,8 @@ def mix(docs: DataFrame, schedules: DataFrame | None = None, max_epochs: float =
     keys = ["_id", "_key", "_text"]
     marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_key": _key("source"), "_text": F.xxhash64(text_of())})
     one = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    sized = marked.select("doc_id", "source", *keys, one.alias("_one")).groupBy("doc_id", "source", *keys, "_one").agg((F.count(F.lit(1)) * F.col("_one")).alias("size"))
+    order = _order("doc_id", F.md5(text_of())).alias("key")
+    sized = marked.select("doc_id", "source", *keys, one.alias("_one"), order).groupBy("doc_id", "source", *keys, "_one", "key").agg((F.count(F.lit(1)) * F.col("_one")).alias("size"))
     planned = cut(plan(sized, schedules, max_epochs))
     times = F.round(F.col("taken") / F.col("_one")).cast("int")
     appear = planned.filter(F.col("taken") > 0).withColumn("_nth", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1))))

@@ -33,9 +33,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curriculum over all documents: what the mix takes of each, and when it first appears."""
+    """Curriculum over all documents, range-sorted by the position at which each first appears: what the mix takes of it."""
     planned = mixing.plan(cut(mixing.measure(table(spark, sf_dir, "documents"))))
-    return planned.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", F.round("position", 6).alias("position"))
+    mixed = planned.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", F.round("position", 6).alias("position"))
+    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,7 @@ QUERIES = {
 _OP4_SQL = r"""
 with d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-    md5(coalesce(cast(doc_id as varchar), '')) as h
+    md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as h
   from documents
 ), s as (
   select source, cast(sum(size) as bigint) as source_size, (row_number() over (order by source nulls last) - 1) % 3 as kind from d group by source
