@@ -33,6 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,9 +105,9 @@ def _word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.n
     return _mix(out, (ends - begins).astype(np.uint64))
 
 
-def token_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its shingles of WIDTH words with A-Z in lower case; of fewer words, one of all."""
-    coded = [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+def token_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """For each text in UTF-8 the sorted distinct hashes of its shingles of WIDTH words with A-Z in lower case; of fewer words, one of all."""
+    coded = [b"" if t is None else t.translate(_LOWER) for t in texts]
     at = np.cumsum([0] + [len(c) + 1 for c in coded])
     data = np.frombuffer(b"\n".join([*coded, b""]), dtype=np.uint8)
     blank = np.r_[True, _BLANK[data], True]
@@ -123,15 +125,16 @@ def token_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
             yield np.zeros(0, dtype=np.int64)
 
 
-def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """Parts of batches of some million characters at most, or one text, with their sets."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of batches of some million bytes at most, or one text, with their sets."""
     for batch in batches:
-        sizes = batch["text"].str.len().fillna(0).to_numpy().cumsum() // (2 * PIECE)
-        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(batch)]
+        text = batch.column("text")
+        text = text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary())
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).cumsum() // (2 * PIECE)
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(text)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
-                part = batch.iloc[a:b]
-                yield part, list(token_sets(part["text"].tolist()))
+                yield batch.slice(a, b - a), list(token_sets(text.slice(a, b - a).to_pylist()))
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -191,17 +194,17 @@ def entries(tokens: np.ndarray, classed: np.ndarray, counts: np.ndarray) -> np.n
     return np.unique(np.concatenate(found))
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, sets in _batches(batches):
-        yield pd.DataFrame({"token": np.concatenate([t[: np.searchsorted(t, COUNTED)] for t in sets])})
+        yield pa.RecordBatch.from_pydict({"token": np.concatenate([t[: np.searchsorted(t, COUNTED)] for t in sets])})
 
 
 def _index(classed: np.ndarray, counts: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _batches(batches):
             rows = [(entries(t, classed, counts), set_key(t)) for t in sets if len(t)]
             if rows:
-                yield pd.DataFrame({"entry": np.concatenate([e for e, _ in rows]), "key": np.repeat([k for _, k in rows], [len(e) for e, _ in rows])})
+                yield pa.RecordBatch.from_pydict({"entry": np.concatenate([e for e, _ in rows]), "key": np.repeat([k for _, k in rows], [len(e) for e, _ in rows])})
 
     return run
 
@@ -234,17 +237,21 @@ def _parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_LONGS = pa.list_(pa.int64())
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Key, size and parity bitmap of each set."""
     for part, sets in _batches(batches):
-        yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "text_hash": part["text_hash"], "key": [set_key(t) for t in sets], "n": [len(t) for t in sets], "bits": [_parity(t) for t in sets]})
+        made = {"key": [set_key(t) for t in sets], "n": [len(t) for t in sets], "bits": pa.array([_parity(t) for t in sets], _LONGS)}
+        yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash")} | made)
 
 
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets whose key is the wanted one (a document id may have several texts)."""
     for part, sets in _batches(batches):
-        good = [set_key(t) == k for t, k in zip(sets, part["key"], strict=True)]
-        yield pd.DataFrame({"key": part["key"][good], "tokens": [t for t, g in zip(sets, good, strict=True) if g]})
+        found = [(k, t) for k, t in zip(part.column("key").to_pylist(), sets, strict=True) if set_key(t) == k]
+        yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in found], pa.int64()), "tokens": pa.array([t for _, t in found], _LONGS)})
 
 
 def _halved(bits: Column) -> Column:
@@ -271,7 +278,7 @@ def sets_of(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     ids = cut(sets.join(keys, "key").select(F.col("doc_id").alias("_id"), "key"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"])).select("key", "text").mapInPandas(_tokens, "key long, tokens array<long>")
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"])).select("key", "text").mapInArrow(_tokens, "key long, tokens array<long>")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -293,7 +300,7 @@ def link(docs: DataFrame) -> DataFrame:
 
 def _classed(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted tokens of more than LEAST_CLASSED documents, and their counts; MOST_FREQUENT at most, those of the highest counts."""
-    counts = docs.select("text").mapInPandas(_counted, "token long").groupBy("token").count().filter(F.col("count") > LEAST_CLASSED)
+    counts = docs.select("text").mapInArrow(_counted, "token long").groupBy("token").count().filter(F.col("count") > LEAST_CLASSED)
     top = cut(counts)
     if top.count() > MOST_FREQUENT:
         least = top.groupBy("count").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.sum("n").over(Window.orderBy(F.desc("count"))))
@@ -318,10 +325,10 @@ def _second_index(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFram
 def linked_texts(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (xxhash64 of text), n_shingles and component, the key of a group of linked texts, of every document; null without words."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    described = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_describe, "doc_id long, text_hash long, key long, n long, bits array<long>"))
+    described = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_describe, "doc_id long, text_hash long, key long, n long, bits array<long>"))
     sets = cut(described.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
-    index = docs.select("text").mapInPandas(_index(*_classed(docs)), "entry long, key long")
+    index = docs.select("text").mapInArrow(_index(*_classed(docs)), "entry long, key long")
     shared = cut(index.repartition("entry").sortWithinPartitions("entry", "key").mapInPandas(_shared, "entry long, key long"))
     many = cut(shared.groupBy("entry").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MANY).select("entry"))
     second = _second_index(shared.join(many, "entry", "left_semi").select("key").distinct(), docs, sets)
