@@ -3,15 +3,16 @@
 Trusted positives are labelled documents of label 1; unlabelled text is any documents, whose labels, if any, aren't read.
 The share of positives in unlabelled text is estimated by best-bin estimation: at the score threshold where few but
 positives are left, the share of unlabelled rows above it against the share of positives above it, with a margin for
-small counts. A small network is then fitted to the non-negative unbiased risk: prior * loss on positives as positive, plus
+small counts. The scores for it come from two models, each fitted on half of the rows and asked about the other half: positives that
+a model has seen score higher than those among the unlabelled, which makes positives look rarer than they are. A small network is then fitted to the non-negative unbiased risk: prior * loss on positives as positive, plus
 the loss of unlabelled as negative less prior * loss of positives as negative, which is kept from falling below zero.
 
 Inputs of a score are measures of the text alone (shares of symbols, capitals, repeated lines and words, and so on).
-They are computed in the JVM; Python sees only those numbers. The fit uses at most about SAMPLE rows of each kind, drawn by a
-hash of the id; scoring is one pass over all rows without a shuffle.
+They are computed in the JVM; Python sees only those numbers. The fit uses at most about SAMPLE rows of each kind, drawn row by
+row with a fixed seed, so that a much-repeated id or text can't exceed it; scoring is one pass over all rows without a shuffle.
 
-Null and empty texts have all measures 0 and a score like any other. Null ids and repeated rows pass through; without
-positives or without unlabelled rows every score is 0.5; an empty table gives no rows.
+Null and empty texts have all measures 0 and a score like any other. Null ids and repeated rows pass through, other columns too, but score,
+held_out and predicted are replaced; without positives or without unlabelled rows every score is 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankpulse.llm.quality_rules import MEASURES, measure
+from rankpulse.llm.quality_rules import measure
 
 SAMPLE = 12_000
 THRESHOLD = 0.7
@@ -48,10 +49,9 @@ FEATURES = {
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of docs, untouched, and _x, an array of the features."""
+    """_doc, a struct of the columns of docs, which keeps their names apart, and _x, an array of the features."""
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"))
-    made = measure(packed, "_text").withColumn("_x", F.array(*[F.expr(e).cast("double") for e in FEATURES.values()]))
-    return made.select("_doc.*", "_x")
+    return measure(packed, "_text").select("_doc", F.array(*[F.expr(e).cast("double") for e in FEATURES.values()]).alias("_x"))
 
 
 def fold(doc_id: str, parts: int) -> Column:
@@ -66,6 +66,12 @@ def draw(df: DataFrame, rows: int, of: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 30)) < int(rows / of * (1 << 30)))
 
 
+def thin(df: DataFrame, rows: int) -> DataFrame:
+    """About `rows` rows of a table, or all if it has no more."""
+    of = df.count()
+    return df if of <= rows else df.filter(F.rand(SEED) < rows / of)
+
+
 def _matrix(df: DataFrame) -> np.ndarray:
     """The features of a bounded sample, in an order of their own."""
     rows = np.array([r["_x"] for r in df.select("_x").collect()], dtype=float).reshape(-1, len(FEATURES))
@@ -126,24 +132,32 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
 
 
+def cross_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The estimate by models that haven't seen the rows they score: the mean of two, each fitted on every second row."""
+    found = []
+    for k in (0, 1):
+        seen, other = (slice(k, None, 2), slice(1 - k, None, 2)) if min(len(positive), len(unlabelled)) > 1 else (slice(None), slice(None))
+        w = _fit(positive[seen], unlabelled[seen], None, STEPS // 2)
+        found.append(estimate_prior(_forward(w, positive[other])[1], _forward(w, unlabelled[other])[1]))
+    return sum(found) / len(found)
+
+
 def fit(docs: DataFrame, positives: DataFrame, sample: int = SAMPLE) -> dict | None:
     """The model; docs are unlabelled (doc_id, text), positives have the doc_id of trusted documents among them. None without rows of both."""
-    n_all, n_good = docs.count(), positives.count()
-    if not n_all or not n_good:
-        return None
-    ids = draw(positives.select("doc_id").dropDuplicates(), sample, n_good)
-    # The labelled ids go to the texts: only drawn rows are measured.
-    positive = _matrix(features(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")))
-    unlabelled = _matrix(features(draw(docs.select("doc_id", "text"), sample, n_all)))
-    if not len(positive) or not len(unlabelled):
+    ids = positives.select("doc_id").dropDuplicates()
+    ids = draw(ids, sample, ids.count())
+    # the drawn ids are few and go to the texts: only drawn rows are measured
+    positive = _matrix(features(thin(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text"), sample)))
+    if not len(positive):
         return None
-    first = _fit(positive, unlabelled, None, STEPS // 2)
-    prior = estimate_prior(_forward(first, positive)[1], _forward(first, unlabelled)[1])
+    unlabelled = _matrix(features(thin(docs.select("text"), sample)))
+    prior = cross_prior(positive, unlabelled)
     return _fit(positive, unlabelled, prior) | {"prior": prior}
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """Adds score: the probability of being good."""
+    docs = docs.drop("score")
     if model is None:
         return docs.withColumn("score", F.lit(0.5))
 
@@ -154,7 +168,7 @@ def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
 
     # It isn't, but a filter on the score must stay above: pushed below, the optimizer would put the measures' arrays inside each other and compute them anew for each element.
     run = run.asNondeterministic()
-    return features(docs, text).withColumn("score", run("_x")).drop("_x")
+    return features(docs, text).withColumn("_x", run("_x")).select("_doc.*", F.col("_x").alias("score"))
 
 
 def trusted(labels: DataFrame) -> DataFrame:

@@ -115,8 +115,9 @@ def _train(rows: list[np.ndarray], swapped: list[np.ndarray], y: np.ndarray, wid
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
     """Term weights and bias from labelled documents; labels has doc_id and toxic. None unless there are both kinds."""
     known = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # about SAMPLE rows at most, so they go to the texts
     chosen = draw(known, sample, known.count())
-    texts = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").filter(F.col("doc_id").isNotNull())
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").filter(F.col("doc_id").isNotNull())
     terms = cut(texts.select("doc_id", "toxic", "text").mapInPandas(_explode, "doc_id long, toxic int, term string"))
     size = {r["toxic"]: r["n"] for r in terms.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
