@@ -353,6 +353,9 @@ def test_line_dedup_edges(docs, nothing):
     assert len(rows) == len(TEXTS) and text[4] == {None} and text[5] == {""}
     assert text[1] == {TEXTS[0][1]} and text[2] == {"other ending"} and text[3] == {""}
     assert line_dedup.dedup(nothing).count() == 0
+    named = docs.withColumns({c: F.lit(7) for c in ("_d", "_t", "_ranges", "_doc", "_x", "_text", "idx", "line")})
+    for found in (line_dedup.dedup(named), quality_model.score(named, None), quality_rules.judge(named)):
+        assert {(r["_d"], r["_t"], r["_ranges"], r["_doc"], r["_x"], r["_text"], r["idx"], r["line"]) for r in found.collect()} == {(7,) * 8}
 
 
 # 7 fingerprints
