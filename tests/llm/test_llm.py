@@ -208,6 +208,24 @@ def test_license_places(spark):
         assert found[i] == (len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at})))
 
 
+def test_license_texts():
+    """Whole texts and notices are found at any place in a file, also with words put in and left out; parts of them that don't reach the score aren't."""
+    rng = np.random.default_rng(4)
+    index = licenses.Index(1000, {w: 300 for w in ("the", "of", "to", "this", "is", "and", "in", "or")})
+    for label, text, _ in licenses.TEMPLATES:
+        w = licenses.words_of(text)
+        for edits in (0, len(w) // 40):
+            own = list(w)
+            for _ in range(edits):
+                k = int(rng.integers(len(own) // 3, len(own)))
+                own[k : k + 1] = [] if rng.random() < 0.5 else [own[k], "inserted"]
+            filler = [f"f{x}" for x in rng.integers(0, 500, int(rng.integers(0, 400)))]
+            _, _, found = index.scan([*filler, *own, *filler[:7]])
+            assert label in found and (edits or found[label] > 0.999)
+        _, _, found = index.scan(list(rng.permutation([*w, *w])) if len(w) > 12 else w[:1])
+        assert label not in found
+
+
 # 4 mixing
 
 
