@@ -13,7 +13,7 @@ many are sent to the executors. Any such choice gives an exact join.
 Equal sets are one node from the start. An index entry of m nodes could give m * m pairs, and a group of near copies has many
 such entries. So entries of more than MANY nodes are replaced: their nodes are indexed once more among themselves, by all their tokens
 from the rarest on, with exact counts. Two nodes that link meet there as well, and a copy of a copy meets its own branch instead of the whole
-group. Then nodes of an entry are compared with one or two hubs of it, those that stand in most entries, and components are formed from
+group. Of entries with the same nodes one is kept. Then nodes of an entry are compared with one or two hubs of it, those that stand in most entries, and components are formed from
 the links found. Entries within one component need no more. In the others the nodes outside the largest component are compared with all.
 Two bounds drop pairs before their sets are read, both exact: sizes differ by a fifth at most, and the parity bitmaps of the sets
 differ in at most as many bits as the sets may in tokens. What is left is verified on the whole sets. No link between different
@@ -330,9 +330,10 @@ def linked_texts(docs: DataFrame) -> DataFrame:
 
     index = docs.select("text").mapInArrow(_index(*_classed(docs)), "entry long, key long")
     shared = cut(index.repartition("entry").sortWithinPartitions("entry", "key").mapInPandas(_shared, "entry long, key long"))
-    many = cut(shared.groupBy("entry").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MANY).select("entry"))
-    second = _second_index(shared.join(many, "entry", "left_semi").select("key").distinct(), docs, sets)
-    shared = cut(_weighed(shared.join(many, "entry", "left_anti").unionByName(second)))
+    sizes = cut(_sizes(shared))
+    many = sizes.filter(F.col("m") > MANY).select("entry")
+    second = cut(_second_index(shared.join(many, "entry", "left_semi").select("key").distinct(), docs, sets))
+    shared = cut(_weighed(_once(shared, sizes.filter(F.col("m") <= MANY)).unionByName(_once(second, _sizes(second)))))
 
     links, roots, stars = None, None, STAR_ROUNDS
     while True:
@@ -352,11 +353,20 @@ def linked_texts(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "key")).alias("component"))
 
 
+def _sizes(shared: DataFrame) -> DataFrame:
+    """How many nodes each entry has, and two hashes of which they are."""
+    return shared.groupBy("entry").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64(F.lit(0), "key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
+
+
+def _once(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The entries of two nodes or more in sizes, and of those with the same nodes one, with how many nodes they have together. Copies of a text share most entries."""
+    one = sizes.filter("m > 1").groupBy("m", "x", "y").agg(F.min("entry").alias("entry"), F.count(F.lit(1)).alias("n"))
+    return shared.join(one.select("entry", (F.col("m") * F.col("n")).alias("m")), "entry").select("entry", "key", "m")
+
+
 def _weighed(shared: DataFrame) -> DataFrame:
     """Adds w: how many nodes the entries of a node have together."""
-    size = shared.groupBy("entry").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    sized = shared.join(size, "entry")
-    return sized.join(sized.groupBy("key").agg(F.sum("m").alias("w")), "key").select("entry", "key", "w")
+    return shared.join(shared.groupBy("key").agg(F.sum("m").alias("w")), "key").select("entry", "key", "w")
 
 
 def _stars(rows: DataFrame, sets: DataFrame, round_: int) -> DataFrame:
