@@ -1,13 +1,10 @@
 """Queries whose work is not cut short."""
 
-import collections
 from difflib import SequenceMatcher
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from rankpulse.llm import simhash
 from rankpulse.plans import registry
 from rankpulse.sources.star import LIST_SIZE, facts, star
 
@@ -23,35 +20,6 @@ def test_lists_are_whole(spark, sf):
     assert len(names) == 43 and set(names) <= set(registry.ORACLES)
 
 
-@pytest.mark.parametrize("radius", [0, 7, 8, 15, 17])
-def test_all_within_any_radius_meet(spark, radius):
-    rng = np.random.default_rng(radius)
-    base = [int.from_bytes(rng.bytes(16), "big") for _ in range(30)]
-    prints = base + [b ^ sum(1 << int(x) for x in rng.choice(128, int(rng.integers(0, 2 * radius + 2)), replace=False)) for b in base for _ in range(9)]
-    counts = collections.Counter(f"{p:032x}" for p in prints)
-    df = spark.createDataFrame([(f"{p:032x}",) for p in prints], "fingerprint string")
-    want = {(a, b, n) for a in counts for b, n in counts.items() if bin(int(a, 16) ^ int(b, 16)).count("1") <= radius}
-    assert sorted(map(tuple, simhash.within(df, df, radius).collect())) == sorted(want)
-
-
-def test_edited_texts_are_near(spark):
-    """Copies of 200 words with one to four of them replaced are found, with their ids; other texts are not."""
-    rng = np.random.default_rng(11)
-    rows = []
-    for group in range(12):
-        base = [f"word{x}" for x in rng.integers(0, 5000, 200)]
-        for k in range(5):
-            w = list(base)
-            for at in rng.choice(200, k, replace=False):
-                w[at] = f"new{rng.integers(10**6)}"
-            rows.append((20 * group + k, " ".join(w)))
-    got = {r.doc_id: r for r in simhash.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    asked = [got[20 * g] for g in range(12)]
-    assert all(set(r.near_ids) <= set(range(r.doc_id + 1, r.doc_id + 5)) and r.n_near == len(r.near_ids) for r in asked)
-    assert sum(r.n_near for r in asked) >= 0.9 * 48
-    assert all(r.n_near is None and r.near_ids is None for i, r in got.items() if i % 20)
-
-
 def test_long_texts_and_late_ids_match(spark, tmp_path):
     """In a block of 340 documents the last ones match too, also those of more than 1,500 characters."""
     rng = np.random.default_rng(12)
