@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankpulse.schema import Tables
 
 
+def list_identity(lists: DataFrame, lookup: DataFrame, keys: Sequence[str], default: str) -> DataFrame:
+    """Lists with the family and sub-category that a lookup table, a configuration of a few rows, names for their key; others have the default family and their own sub-category."""
+    names = lookup.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("family").alias("_family"), F.col("sub_cat").alias("_sub"))
+    # the lookup is configuration, as long as the list of lists that are read
+    both = lists.join(F.broadcast(names), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    return both.select(*lists.columns, F.coalesce("_family", F.lit(default)).alias("family"), F.coalesce("_sub", "rank_sub_cat").alias("sub_cat"))
+
+
 def page(df: DataFrame, key: str, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of a table in the order of its key; limit from 1 to 500."""
     if not 1 <= limit <= 500 or offset < 0:

@@ -40,6 +40,11 @@ def new_entry_ratio(df: DataFrame, by: Sequence[str], start: str, end: str, plat
     return out.withColumn("new_entry_ratio", ratio(F.col("new_books"), F.col("total_books")))
 
 
+def new_entry_table(ratios: DataFrame, by: Sequence[str], n: int = 30) -> DataFrame:
+    """The groups of the highest ratios, highest first; of equal ones by name. The table of the report shows n."""
+    return ratios.orderBy(F.desc_nulls_last("new_entry_ratio"), "platform", *by).limit(n)
+
+
 def new_book_heat(df: DataFrame, start: str, end: str, platforms: Sequence[Platform] = PLATFORMS) -> DataFrame:
     """Mean heat of the rows of new items, by platform and topic."""
     new = is_new(start, end, platforms)

@@ -100,6 +100,13 @@ def page_items(pages: DataFrame, selectors: Sequence[str] = ("li", "p"), least:
     return rows.select("page_id", (F.col("_i") + 1).alias("position"), ((F.col("page_no") - 1) * per_page + F.col("_i") + 1).alias("rank"), visible_text(F.col("_item")).alias("title"), link.alias("href"))
 
 
+def first_across_pages(items: DataFrame, key: str = "href", url: str = "url", order: Sequence[str] = ("rank", "page_id")) -> DataFrame:
+    """Items of several pages, each once: of those with the same key, or without one the same URL, the first in this order."""
+    same = F.coalesce(F.nullif(F.col(key), F.lit("")), F.col(url), F.lit(""))
+    once = Window.partitionBy("_same").orderBy(*order)
+    return items.withColumn("_same", same).withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_same", "_n")
+
+
 def page_body(pages: DataFrame, least: int = 10) -> DataFrame:
     """The paragraphs of a page with more than `least` characters, a blank line between them."""
     html = F.coalesce("html", F.lit(""))

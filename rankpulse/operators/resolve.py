@@ -20,11 +20,6 @@ def sequence_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series([1.0 if x == y else SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def intro_similarity(a: Column, b: Column) -> Column:
-    """Of two normalised introductions: words in common and sequence."""
-    return 0.65 * T.jaccard(T.tokenize(a), T.tokenize(b)) + 0.35 * sequence_ratio(a, b)
-
-
 def match_score(intro: Column, chapters: Column, title: Column, same_category: Column) -> Column:
     return 0.65 * intro + 0.25 * chapters + 0.10 * title + F.when(same_category, 0.03).otherwise(0.0)
 
@@ -104,3 +99,45 @@ def similarity_match(incoming: DataFrame, stored: DataFrame, block: Sequence[str
     scored = scored.join(own, [F.col("_l") == F.col("_own")] + [F.col(b).eqNullSafe(F.col(f"_o_{b}")) for b in block]).filter(F.col(key) != F.col("_uid"))
     best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("_seen"), "_uid")
     return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(key, F.col("_uid").alias("matched_uid"), "score")
+
+
+@F.pandas_udf(DoubleType())
+def best_title_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The highest Ratcliff-Obershelp similarity of a title to any of several; without a title or any it is 0."""
+    for titles, known in parts:
+        yield pd.Series([max((SequenceMatcher(None, t, k).ratio() for k in ks), default=0.0) if t and ks is not None else 0.0 for t, ks in zip(titles, known, strict=True)], dtype=float)
+
+
+def resolve_items(items: DataFrame, novels: DataFrame, titles: DataFrame, threshold: float = 0.84) -> DataFrame:
+    """(platform, platform_novel_id, novel_uid, matched_by) of the items that are stored ones: by their id ("id"), else the most similar at or
+    above the threshold ("similarity"). Others have no row; they are new.
+
+    items are canonical records, one a key, with chapter_titles, an array of normalised titles or null. Candidates are of the same platform
+    and author, or of any author if the item has none. All of them are scored that can reach the threshold: words, sequence, title and
+    category alone give less than 0.84, so a match shares a chapter title, and candidates are found by an equi-join on these. With a threshold
+    that needs no chapters that join would lose some, so it is refused. Of equal scores the newest, then the smallest uid counts.
+    """
+    if threshold <= 0.65 + 0.10 + 0.03:
+        raise ValueError("a threshold of 0.78 or less can be reached without a common chapter title")
+    keys = ["platform", "platform_novel_id"]
+    by_id = items.select(*keys).join(novels.select(*keys, "novel_uid"), keys).withColumn("matched_by", F.lit("id"))
+    rest = items.join(novels.select(*keys), keys, "left_anti").select(*keys, "title_norm", "author_norm", "intro_norm", "main_category", F.array_distinct("chapter_titles").alias("_sig"))
+    stored_sig = F.array_distinct(F.from_json("signature_json", "chapter_title_sig array<string>").chapter_title_sig)
+    stored = novels.select(F.col("platform").alias("_platform"), F.col("novel_uid").alias("_uid"), F.col("author_norm").alias("_author"), F.col("intro_norm").alias("_intro"), F.col("main_category").alias("_category"), F.col("last_seen_date").alias("_seen"), stored_sig.alias("_stored_sig"))
+    on = (F.col("platform") == F.col("_platform")) & (F.col("_chapter") == F.col("_stored_chapter")) & ((F.coalesce("author_norm", F.lit("")) == "") | (F.col("author_norm") == F.col("_author")))
+    shared = rest.withColumn("_chapter", F.explode("_sig")).join(stored.withColumn("_stored_chapter", F.explode("_stored_sig")), on).drop("_chapter", "_stored_chapter")
+    pairs = shared.dropDuplicates([*keys, "_uid"])
+    words = T.jaccard(T.tokenize(F.coalesce("intro_norm", F.lit(""))), T.tokenize(F.coalesce("_intro", F.lit(""))))
+    chapters = T.jaccard(F.col("_sig"), F.col("_stored_sig"))
+    same = (F.col("main_category") != "") & (F.col("main_category") == F.col("_category"))
+    # the parts that need Python are at most 1 each: pairs that can't reach the threshold don't go there
+    most = match_score(0.65 * words + 0.35, chapters, F.lit(1.0), same)
+    pairs = pairs.withColumns({"_words": words, "_chapters": chapters, "_same": F.coalesce(same, F.lit(False))}).filter(most >= threshold - 1e-9)
+    known = titles.join(pairs.select(F.col("_uid").alias("novel_uid")).distinct(), "novel_uid", "left_semi").groupBy("novel_uid").agg(F.collect_set("title_norm").alias("_titles"))
+    pairs = pairs.join(known.withColumnRenamed("novel_uid", "_uid"), "_uid", "left")
+    both = (F.coalesce("intro_norm", F.lit("")) != "") & (F.coalesce("_intro", F.lit("")) != "")
+    pairs = pairs.withColumns({"_ratio": F.when(both, sequence_ratio("intro_norm", "_intro")).otherwise(0.0), "_title": best_title_ratio("title_norm", "_titles")})
+    pairs = pairs.withColumn("score", match_score(0.65 * F.col("_words") + 0.35 * F.col("_ratio"), F.col("_chapters"), F.col("_title"), F.col("_same"))).filter(F.col("score") >= threshold)
+    best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("_seen"), "_uid")
+    similar = pairs.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*keys, F.col("_uid").alias("novel_uid"), F.lit("similarity").alias("matched_by"))
+    return by_id.unionByName(similar)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankpulse.functions import text as T
+from rankpulse.operators.resolve import resolve_items
 from rankpulse.schema import SCHEMAS, Tables
 
 #: What becomes of a column when a key exists: the old and the new value.
@@ -21,7 +22,7 @@ RULES = {
     "max": lambda old, new: F.greatest(old, new),
 }
 
-NOVEL_RULES = {"author": "overwrite", "author_norm": "overwrite", "intro": "overwrite", "intro_norm": "overwrite", "status": "overwrite", "main_category": "if_given", "url": "if_given", "total_words": "if_positive", "signature_json": "fill", "created_date": "keep", "last_seen_date": "overwrite"}
+NOVEL_RULES = {"platform_novel_id": "overwrite", "author": "overwrite", "author_norm": "overwrite", "intro": "overwrite", "intro_norm": "overwrite", "status": "overwrite", "main_category": "if_given", "url": "if_given", "total_words": "if_positive", "signature_json": "fill", "created_date": "keep", "last_seen_date": "overwrite"}
 TITLE_RULES = {"title": "keep", "first_seen_date": "min", "last_seen_date": "max", "is_primary": "keep"}
 LIST_RULES = {"source_url": "if_given"}
 SNAPSHOT_RULES = {"item_count": "overwrite"}
@@ -98,42 +99,59 @@ def canonical(items: DataFrame) -> DataFrame:
     """Items as records: texts trimmed, numbers parsed, tags as an array, defaults for what is missing."""
     text = lambda c: T.strip(F.coalesce(F.col(c).cast("string"), F.lit("")))
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), T.strip)
+    chapters = T.title_signature(F.col("chapter_titles")) if "chapter_titles" in items.columns else F.lit(None).cast("array<string>")
     return items.select(
         text("platform").alias("platform"), text("platform_novel_id").alias("platform_novel_id"), text("title").alias("title"), T.normalize_text(F.col("title")).alias("title_norm"),
         text("author").alias("author"), T.normalize_text(F.col("author")).alias("author_norm"), text("intro").alias("intro"), T.normalize_text(F.col("intro")).alias("intro_norm"),
         text("main_category").alias("main_category"), F.filter(tags, lambda t: t != "").alias("tags"), T.normalize_status(F.col("status")).alias("status"),
         F.coalesce(F.col("total_words").cast("long"), F.lit(0)).alias("total_words"), text("url").alias("url"), F.coalesce(F.col("rank").cast("int"), F.lit(-1)).alias("rank"),
         F.col("total_recommend").cast("long").alias("total_recommend"), F.col("reading_count").cast("long").alias("reading_count"),
-        "rank_family", "rank_sub_cat", "source_url", F.col("snapshot_date").cast("date").alias("snapshot_date"),
+        "rank_family", "rank_sub_cat", "source_url", F.col("snapshot_date").cast("date").alias("snapshot_date"), chapters.alias("chapter_titles"),
     )
 
 
-def save_snapshots(tables: Tables, items: DataFrame, make_title_primary: bool = False) -> Tables:
+def signature(novels: DataFrame) -> Column:
+    """What a novel is recognised by: a hash of its introduction and, where known, the titles of its first chapters."""
+    return F.to_json(F.struct(T.sha1_hex(F.col("intro_norm")).alias("intro_sha1"), F.when(F.size("chapter_titles") > 0, F.col("chapter_titles")).alias("chapter_title_sig")))
+
+
+def save_snapshots(tables: Tables, items: DataFrame, make_title_primary: bool = False, threshold: float = 0.84, work: str | None = None) -> Tables:
     """All tables after one batch of items (crawl records with their list and date). Running it twice gives the same tables.
 
-    Items are resolved by (platform, platform_novel_id). The result is a set of lazy tables: write them all to a new folder, then
+    Items are resolved by (platform, platform_novel_id), else by similarity (resolve_items), else they are new. A stored novel that is
+    recognised takes the platform id of its newest item, and the item's title as an alias. With a new folder `work`, which all executors see, what
+several tables are made from is written there once instead of being computed for each. The result is a set of lazy tables: write them all to a new folder, then
     point readers at it.
     """
-    good = canonical(valid_items(items)[0])
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        if work is None:
+            return df
+        df.write.parquet(f"{work}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    good = once(canonical(valid_items(items)[0]), "items")
     out = dict(tables)
     list_keys, snap_keys, novel_keys = ["platform", "rank_family", "rank_sub_cat"], ["rank_list_id", "snapshot_date"], ["platform", "platform_novel_id"]
     lists = newest(good.select(*list_keys, "source_url", "snapshot_date"), list_keys, F.desc("snapshot_date"), F.desc("source_url")).drop("snapshot_date")
-    lists = lists.join(with_ids(tables["rank_lists"], lists, list_keys, "rank_list_id"), list_keys)
+    lists = once(lists.join(with_ids(tables["rank_lists"], lists, list_keys, "rank_list_id"), list_keys), "lists")
     out["rank_lists"] = upsert(tables["rank_lists"], lists, list_keys, LIST_RULES)
     good = good.join(lists.select(*list_keys, "rank_list_id"), list_keys)
     snaps = good.groupBy(*snap_keys).agg(F.count(F.lit(1)).cast("int").alias("item_count"))
-    snaps = snaps.join(with_ids(tables["rank_snapshots"], snaps, snap_keys, "snapshot_id"), snap_keys)
+    snaps = once(snaps.join(with_ids(tables["rank_snapshots"], snaps, snap_keys, "snapshot_id"), snap_keys), "snapshots")
     out["rank_snapshots"] = upsert(tables["rank_snapshots"], snaps, snap_keys, SNAPSHOT_RULES)
     tags = good.select("snapshot_date", F.explode("tags").alias("tag_name")).withColumn("tag_norm", T.normalize_text(F.col("tag_name"))).filter("tag_norm <> ''")
     tags = newest(tags, ["tag_norm"], F.desc("snapshot_date"), "tag_name").drop("snapshot_date")
-    tags = tags.join(with_ids(tables["tags"], tags, ["tag_norm"], "tag_id"), "tag_norm")
+    tags = once(tags.join(with_ids(tables["tags"], tags, ["tag_norm"], "tag_id"), "tag_norm"), "tags")
     out["tags"] = upsert(tables["tags"], tags, ["tag_norm"], TAG_RULES)
-    last = newest(good, novel_keys, F.desc("snapshot_date"), "rank_list_id", "rank")
-    ids = with_ids(tables["novels"], last, novel_keys, "novel_uid")
-    first = good.groupBy(*novel_keys).agg(F.min("snapshot_date").alias("created_date"))
-    novels = last.join(ids, novel_keys).join(first, novel_keys).withColumns({"last_seen_date": F.col("snapshot_date"), "signature_json": F.to_json(F.struct(T.sha1_hex(F.col("intro_norm")).alias("intro_sha1")))})
-    out["novels"] = upsert(tables["novels"], novels, novel_keys, NOVEL_RULES)
-    good = good.join(ids, novel_keys)
+    last = once(newest(good, novel_keys, F.desc("snapshot_date"), "rank_list_id", "rank"), "last")
+    similar = resolve_items(last, tables["novels"], tables["novel_titles"], threshold).filter("matched_by = 'similarity'")
+    ids = once(with_ids(tables["novels"].select(*novel_keys, "novel_uid").unionByName(similar.drop("matched_by")), last, novel_keys, "novel_uid"), "ids")
+    good = once(good.join(ids, novel_keys), "resolved")
+    first = good.groupBy("novel_uid").agg(F.min("snapshot_date").alias("created_date"))
+    novels = newest(last.join(ids, novel_keys), ["novel_uid"], F.desc("snapshot_date"), "platform_novel_id").join(first, "novel_uid")
+    novels = novels.withColumns({"last_seen_date": F.col("snapshot_date"), "signature_json": signature(novels)})
+    out["novels"] = upsert(tables["novels"], novels, ["novel_uid"], NOVEL_RULES)
     title_keys = ["novel_uid", "title_norm"]
     titles = good.groupBy(*title_keys).agg(F.min_by("title", "snapshot_date").alias("title"), F.min("snapshot_date").alias("first_seen_date"), F.max("snapshot_date").alias("last_seen_date"))
     titles = titles.join(with_ids(tables["novel_titles"], titles, title_keys, "title_id"), title_keys).withColumn("is_primary", F.lit(0))
@@ -163,6 +181,45 @@ def upsert_chapters(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(existing, good, keys, CHAPTER_RULES)
 
 
+def save_chapters(tables: Tables, chapters: DataFrame) -> Tables:
+    """All tables after a batch of chapters of items named by platform and platform_novel_id, with the item's title if known (else null).
+
+    Items that aren't stored are created with what a chapter says of them: the title, or "unknown", the day it was seen and the titles of
+    its first chapters as signature.
+    """
+    keys = ["platform", "platform_novel_id"]
+    ids = with_ids(tables["novels"], chapters, keys, "novel_uid")
+    fresh = chapters.join(tables["novels"].select(*keys), keys, "left_anti").groupBy(*keys).agg(
+        F.coalesce(F.max("title"), F.lit("unknown")).alias("title"), F.min("publish_date").alias("created_date"), F.max("publish_date").alias("last_seen_date"),
+        F.transform(F.array_sort(F.collect_list(F.struct("chapter_num", "chapter_title"))), lambda x: x.chapter_title).alias("_titles"),
+    ).join(ids, keys).withColumn("chapter_titles", T.title_signature(F.col("_titles")))
+    empty = {c: F.lit("") for c in ("author", "author_norm", "intro", "intro_norm", "main_category", "status", "url")}
+    novels = fresh.withColumns(empty | {"total_words": F.lit(0).cast("long")})
+    novels = novels.withColumn("signature_json", signature(novels))
+    titles = fresh.select("novel_uid", "title", T.normalize_text(F.col("title")).alias("title_norm"), F.col("created_date").alias("first_seen_date"), "last_seen_date", F.lit(1).alias("is_primary"))
+    titles = titles.join(with_ids(tables["novel_titles"], titles, ["novel_uid", "title_norm"], "title_id"), ["novel_uid", "title_norm"])
+    rows = chapters.join(ids, keys)
+    return dict(tables) | {
+        "novels": tables["novels"].unionByName(novels.select(*tables["novels"].columns)),
+        "novel_titles": upsert(tables["novel_titles"], titles, ["novel_uid", "title_norm"], TITLE_RULES),
+        "first_n_chapters": upsert_chapters(tables["first_n_chapters"], rows.select(*[c for c in tables["first_n_chapters"].columns if c in rows.columns])),
+    }
+
+
+def add_aliases(titles: DataFrame, aliases: DataFrame, make_primary: bool = False) -> DataFrame:
+    """Titles after aliases (novel_uid, title, snapshot_date) of known items: new ones are no primary titles unless asked for; blank ones and null uids go."""
+    good = aliases.select("novel_uid", T.strip(F.coalesce("title", F.lit(""))).alias("title"), F.col("snapshot_date").cast("date").alias("snapshot_date"))
+    good = good.filter("novel_uid is not null and title <> ''").withColumn("title_norm", T.normalize_text(F.col("title")))
+    keys = ["novel_uid", "title_norm"]
+    new = good.groupBy(*keys).agg(F.min_by("title", "snapshot_date").alias("title"), F.min("snapshot_date").alias("first_seen_date"), F.max("snapshot_date").alias("last_seen_date"))
+    new = new.join(with_ids(titles, new, keys, "title_id"), keys).withColumn("is_primary", F.lit(0))
+    merged = upsert(titles, new, keys, TITLE_RULES)
+    if not make_primary:
+        return merged
+    asked = new.select("novel_uid").distinct().withColumn("_asked", F.lit(True))
+    return one_primary(merged.join(asked, "novel_uid", "left").filter("_asked").drop("_asked")).unionByName(merged.join(asked, "novel_uid", "left_anti"))
+
+
 def merge_renumber(existing: DataFrame, new: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:
     """Children of both tables in order, the first n of each group, numbered from 1; of the same place, existing ones come first."""
     both = existing.withColumn("_from", F.lit(0)).unionByName(new.withColumn("_from", F.lit(1)), allowMissingColumns=True)

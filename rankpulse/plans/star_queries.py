@@ -5,16 +5,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankpulse.functions import text as T
 from rankpulse.operators import browse as B
-from rankpulse.operators import cooccur, coverage, heat, longtable, newentry, panel, sections, unify
+from rankpulse.operators import cooccur, coverage, heat, longtable, newentry, panel, resolve, sections, unify
 from rankpulse.operators import upsert as U
-from rankpulse.sources.star import LIST_SIZE, star
+from rankpulse.plans.text_queries import shared_folder
+from rankpulse.sources.star import star
 
 START, END = "1995-01-01", "1997-12-31"
 
@@ -165,7 +164,7 @@ def snapshot_browse(spark: SparkSession, d: str, **shape: object) -> DataFrame:
 
 
 def entries_browse(spark: SparkSession, d: str, **shape: object) -> DataFrame:
-    return B.entries(star(spark, d, **shape), 3199401, 20).drop("extra_json")
+    return B.entries(star(spark, d, **shape), 3199501, 20).drop("extra_json")
 
 
 def novel_dossier(spark: SparkSession, d: str, **shape: object) -> DataFrame:
@@ -250,7 +249,7 @@ def _items(spark: SparkSession, d: str, **shape: object) -> DataFrame:
 
 def save_snapshot(spark: SparkSession, d: str, **shape: object) -> DataFrame:
     items = _items(spark, d, **shape)
-    once = U.save_snapshots(U.empty_tables(spark), items)
+    once = U.save_snapshots(U.empty_tables(spark), items, work=shared_folder(spark))
     counts = coverage.run_summary(once)
     return counts
 
@@ -275,6 +274,41 @@ def list_quota(spark: SparkSession, d: str, **shape: object) -> DataFrame:
     return lists.select("rank_list_id", "rank_family", F.when(new, 2).otherwise(5).alias("quota"), new.alias("is_new_list"))
 
 
+LOOKUP = (("alpha", "1-URGENT", "new", "urgent"), ("alpha", "2-HIGH", "hot", "high"), ("beta", "1-URGENT", "new", "fresh"), ("beta", "5-LOW", "tail", "low"))
+
+
+def list_identity(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    lookup = spark.createDataFrame(LOOKUP, "platform string, rank_family string, family string, sub_cat string")
+    return B.list_identity(star(spark, d, **shape)["rank_lists"], lookup, ["platform", "rank_family"], "other").select("rank_list_id", "platform", "rank_family", "family", "sub_cat")
+
+
+def new_entry_table(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return newentry.new_entry_table(new_entry_ratio(spark, d, **shape), ["tag_u"])
+
+
+def title_aliases(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    """Titles after aliases for the even items, among them some that are known already."""
+    t = star(spark, d, **shape)
+    aliases = t["novel_titles"].filter("novel_uid % 2 = 0").select("novel_uid", F.when(F.col("novel_uid") % 4 == 0, F.concat("title", F.lit(" II"))).otherwise(F.col("title")).alias("title"), F.lit("1999-06-01").alias("snapshot_date"))
+    return U.add_aliases(t["novel_titles"], aliases).select("novel_uid", "title", "is_primary", "last_seen_date")
+
+
+def resolve_items(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    """Items of the star, of which some keep their id, some come with a new id and title, and some with a new id and another introduction."""
+    t = star(spark, d, **shape)
+    chapters = F.filter(F.split(F.lower("title"), " "), lambda x: x != "")
+    titled = t["novels"].join(t["novel_titles"].select("novel_uid", "title", "title_norm"), "novel_uid").withColumn("chapter_titles", T.title_signature(chapters))
+    stored = titled.withColumn("signature_json", U.signature(titled)).select(*t["novels"].columns)
+    kind = F.col("novel_uid") % 3
+    items = titled.withColumns({
+        "platform_novel_id": F.when(kind == 0, F.col("platform_novel_id")).otherwise(F.concat(F.lit("new"), "platform_novel_id")),
+        "title_norm": F.when(kind == 0, F.col("title_norm")).otherwise(F.concat("title_norm", F.lit(" ii"))),
+        "intro_norm": F.when(kind == 2, F.lit("0 1 2 3 4 5 6 7 8 9")).otherwise(F.col("intro_norm")),
+    })
+    found = resolve.resolve_items(items, stored, t["novel_titles"])
+    return items.select("platform", "platform_novel_id").join(found, ["platform", "platform_novel_id"], "left")
+
+
 def category_split(spark: SparkSession, d: str) -> DataFrame:
     mains, subs = ["STANDARD", "SMALL", "MEDIUM"], {"BRUSHED": "Surface", "PLATED": "Surface"}
     part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_type", "p_brand")
@@ -294,17 +328,9 @@ _ALL = {f.__name__: f for f in (
     tag_pairs, tag_triples, platform_coverage, list_coverage, tag_summary_topk, list_structure_a, list_structure_b, cross_platform_diff, concentration_daily,
     bar_topk, line_topk, table_counts, item_count_mismatch, run_summary, browse_page, list_browse, snapshot_browse, entries_browse, novel_dossier, snapshot_listing,
     full_inspection, section_table, upsert_novels, upsert_entries, upsert_snapshots, upsert_lists, upsert_tags, upsert_tag_map, upsert_titles, save_snapshot,
-    payload_validate, list_detail_merge, list_quota, category_split, tag_split,
+    payload_validate, list_detail_merge, list_quota, list_identity, new_entry_table, title_aliases, resolve_items, category_split, tag_split,
 )} | {"long_table": long_filtered}
 
-#: Not cut to lists of LIST_SIZE: over no lists, or over whole ones already.
-_UNCUT = {"upsert_novels", "category_split", "tag_split"}
-
-
-def _of_first(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query over the first LIST_SIZE items of each list."""
-    return lambda spark, d: query(spark, d, list_size=LIST_SIZE)
-
-
-#: Under the plain names the queries over the lists that their SQL cuts at LIST_SIZE, under whole_ the same over all items of all lists.
-QUERIES = {k: f if k in _UNCUT else _of_first(f) for k, f in _ALL.items()} | {f"whole_{k}": f for k, f in _ALL.items() if k not in _UNCUT}
+#: Over all items of all lists. Those that read lists take the grain of their dates as an argument.
+QUERIES = dict(_ALL)
+BY_GRAIN = set(QUERIES) - {"category_split", "tag_split"}

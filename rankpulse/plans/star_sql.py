@@ -7,7 +7,7 @@ fact as (
   from lineitem join orders on l_orderkey = o_orderkey group by all
 ), ranked as (
   select *, cast(row_number() over (partition by platform, rank_family, rank_sub_cat, snapshot_date order by metric desc, novel_uid) as integer) as rank from fact
-), top as (select * from ranked where rank <= LIST_SIZE),
+), top as (select * from ranked),
 rank_lists as (
   select cast(row_number() over (order by platform, rank_family, rank_sub_cat) as bigint) as rank_list_id, platform, rank_family, rank_sub_cat, 'https://example.org/' || platform as source_url
   from (select distinct platform, rank_family, rank_sub_cat from top)
@@ -185,13 +185,13 @@ from rank_snapshots join rank_lists using (rank_list_id) where snapshot_id % 3 =
     "browse_page": STAR + "select novel_uid, platform, author, main_category, status, total_words, url from novels order by novel_uid limit 50 offset 100",
     "list_browse": STAR + "select * from rank_lists where platform = 'alpha'",
     "snapshot_browse": STAR + "select * from rank_snapshots where rank_list_id = 3",
-    "entries_browse": STAR + "select * exclude (extra_json) from rank_entries where snapshot_id = 3199401 order by rank limit 20",
+    "entries_browse": STAR + "select * exclude (extra_json) from rank_entries where snapshot_id = 3199501 order by rank limit 20",
     "novel_dossier": STAR + """select n.novel_uid, n.platform, n.author, n.main_category, [p_name] as titles, (select list(tag_name order by tag_name) from tagged g where g.novel_uid = n.novel_uid) as tags, r.n_ranks, r.best_rank, r.last_rank
 from novels n left join (select novel_uid, count(*) as n_ranks, min(rank) as best_rank, arg_max(rank, (snapshot_date, snapshot_id)) as last_rank from placed group by novel_uid) r using (novel_uid)""",
     "snapshot_listing": STAR + "select e.snapshot_id, l.platform, l.rank_family, l.rank_sub_cat, s.snapshot_date, e.rank, e.novel_uid, p_name as title, author, main_category, total_recommend, reading_count from rank_entries e join rank_snapshots s using (snapshot_id) join rank_lists l using (rank_list_id) join novels n using (novel_uid)",
     "full_inspection": STAR + "select e.snapshot_id, e.rank, e.novel_uid, p_name as title, (select string_agg(tag_name, ',' order by tag_name) from tagged g where g.novel_uid = e.novel_uid) as tags from rank_entries e join novels n using (novel_uid)",
     "section_table": STAR + COVER + "select platform, rank_family, case when rank_sub_cat = '' then '-' else rank_sub_cat end as rank_sub_cat, printf('%.4f', avg_daily_books) as avg_daily_books, cast(days_seen as varchar) as days_seen, cast(min_date as varchar) as min_date from lc",
-    "upsert_novels": STAR.replace("LIST_SIZE", "1000000000") + """select novel_uid, platform, platform_novel_id, case when novel_uid % 2 = 0 then author || '+' else author end as author,
+    "upsert_novels": STAR + """select novel_uid, platform, platform_novel_id, case when novel_uid % 2 = 0 then author || '+' else author end as author,
   case when novel_uid % 2 = 0 and novel_uid % 4 <> 0 then url || '/2' when novel_uid % 2 = 0 and novel_uid % 3 = 0 then '' else url end as url,
   case when novel_uid % 2 = 0 and novel_uid % 4 <> 0 then total_words + 1 when novel_uid % 2 = 0 and novel_uid % 3 = 0 then 0 else total_words end as total_words,
   case when novel_uid % 2 = 0 then date '1999-01-01' else last_seen_date end as last_seen_date from novels where novel_uid % 3 <> 0 or novel_uid % 2 = 0""",
@@ -211,8 +211,16 @@ select p.novel_uid, case when trim(p.author) = '' and d.novel_uid is not null th
 from p left join (select * from novels where novel_uid % 7 <> 0) d using (novel_uid)""",
     "list_quota": STAR + "select rank_list_id, rank_family, case when starts_with(rank_family, '1-') then 2 else 5 end as quota, starts_with(rank_family, '1-') as is_new_list from rank_lists",
 }
-WHOLE = {f"whole_{k}": "with " + v.replace("LIST_SIZE", "1000000000") for k, v in SQL.items() if k != "upsert_novels"}
-SQL = {k: ("with " + v.replace("LIST_SIZE", "30")) for k, v in SQL.items()}
+SQL |= {
+    "list_identity": STAR + """select rank_list_id, platform, rank_family, coalesce(k.family, 'other') as family, coalesce(k.sub_cat, rank_sub_cat) as sub_cat from rank_lists
+  left join (values ('alpha', '1-URGENT', 'new', 'urgent'), ('alpha', '2-HIGH', 'hot', 'high'), ('beta', '1-URGENT', 'new', 'fresh'), ('beta', '5-LOW', 'tail', 'low')) k(platform, rank_family, family, sub_cat) using (platform, rank_family)""",
+    "new_entry_table": SQL["new_entry_ratio"] + " order by new_entry_ratio desc, platform, tag_u limit 30",
+    "title_aliases": STAR + """select novel_uid, p_name as title, 1 as is_primary, case when novel_uid % 4 = 2 then greatest(last_seen_date, date '1999-06-01') else last_seen_date end as last_seen_date from novels
+union all select novel_uid, p_name || ' II', 0, date '1999-06-01' from novels where novel_uid % 4 = 0""",
+    "resolve_items": STAR + """select platform, case when novel_uid % 3 = 0 then platform_novel_id else 'new' || platform_novel_id end as platform_novel_id,
+  case when novel_uid % 3 < 2 then novel_uid end as novel_uid, case novel_uid % 3 when 0 then 'id' when 1 then 'similarity' end as matched_by from novels""",
+}
+SQL = {k: "with " + v for k, v in SQL.items()}
 SQL["category_split"] = """select p_partkey, case when p_partkey % 2 = 0 then p_type when starts_with(p_type, 'STANDARD') then 'STANDARD' when starts_with(p_type, 'SMALL') then 'SMALL' when starts_with(p_type, 'MEDIUM') then 'MEDIUM'
   when contains(p_type, 'BRUSHED') or contains(p_type, 'PLATED') then 'Surface' else p_type end as main,
   case when p_partkey % 2 = 0 then p_brand when starts_with(p_type, 'STANDARD') then nullif(trim(substr(p_type, 9)), '') when starts_with(p_type, 'SMALL') then nullif(trim(substr(p_type, 6)), '') when starts_with(p_type, 'MEDIUM') then nullif(trim(substr(p_type, 7)), '')

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,8 +20,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-rankpulse-", dir="/tmp")
+    """A new folder below spark.checkpoint.dir; where that is unset, of this machine, if all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-rankpulse-", dir="/tmp")
     return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
@@ -187,6 +192,31 @@ def page_category(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_category(table(spark, d, "pages"), ("The", "and", "Nicht", "de", "la"))
 
 
+def page_items_once(spark: SparkSession, d: str) -> DataFrame:
+    """Items of all pages, each link once."""
+    p = table(spark, d, "pages")
+    items = pages.page_items(p).join(p.select("page_id", "url"), "page_id")
+    return pages.first_across_pages(items).drop("url")
+
+
+def chapter_items(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as chapters of items of which every third is stored: the items after them."""
+    c = table(spark, d, "conversations")
+    name = F.col("conv_id").cast("string")
+    tables = U.empty_tables(spark)
+    stored = c.filter("conv_id % 3 = 0").select("conv_id").distinct()
+    blank = {k: F.lit("") for k in ("author", "author_norm", "intro", "intro_norm", "main_category", "status", "url", "signature_json")}
+    day = F.lit("2026-01-01").cast("date")
+    stored = stored.withColumns(blank | {"novel_uid": F.col("conv_id"), "platform": F.lit("alpha"), "platform_novel_id": name, "total_words": F.lit(0).cast("long"), "created_date": day, "last_seen_date": day})
+    tables["novels"] = stored.select(*tables["novels"].columns)
+    chapters = c.select(F.lit("alpha").alias("platform"), name.alias("platform_novel_id"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("talk "), name)).alias("title"), F.col("turn").cast("int").alias("chapter_num"), F.col("role").alias("chapter_title"),
+        F.col("text").alias("chapter_content"), F.lit("").alias("chapter_url"), F.lit(None).cast("int").alias("word_count"), F.date_add(F.lit("2026-02-01"), F.col("turn").cast("int")).alias("publish_date"))
+    out = U.save_chapters(tables, chapters)
+    n = out["first_n_chapters"].groupBy("novel_uid").agg(F.count(F.lit(1)).alias("n_chapters"))
+    rows = out["novels"].join(out["novel_titles"].select("novel_uid", "title", "is_primary"), "novel_uid", "left").join(n, "novel_uid", "left")
+    return rows.select("platform_novel_id", "created_date", "title", "is_primary", "n_chapters")
+
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -233,6 +263,28 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{kept}/{state['last']}")
 
 
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Events as list entries of their users, saved batch by batch: the items after the last batch."""
+    day = F.to_date("ts")
+    items = streams.read_events(spark, d, EVENTS, "events.parquet").select(
+        F.lit("alpha").alias("platform"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("platform_novel_id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("title"),
+        F.lit("").alias("author"), F.lit("").alias("intro"), F.lit("").alias("main_category"), F.array("event_type").alias("tags"), F.lit("").alias("status"), F.lit(0).alias("total_words"), F.lit("").alias("url"),
+        (F.col("event_id") % 1000).alias("rank"), F.col("value").alias("total_recommend"), F.lit(None).cast("long").alias("reading_count"), F.col("event_type").alias("rank_family"), F.lit("").alias("rank_sub_cat"), F.lit("").alias("source_url"), day.alias("snapshot_date"),
+    )
+    out = streams.ingest(items, shared_folder(spark), shared_folder(spark))
+    n = out["rank_entries"].groupBy("novel_uid").agg(F.count(F.lit(1)).alias("n_entries"))
+    return out["novels"].join(n, "novel_uid").select("platform_novel_id", "created_date", "last_seen_date", "n_entries")
+
+
+def late_recompute(spark: SparkSession, d: str) -> DataFrame:
+    """The daily panel of the events of the last 30 days and before, after late ones: only the days that these touch are computed anew."""
+    events = table(spark, d, "events")
+    late = events.filter("event_id % 50 = 0")
+    rows = events.filter("event_id % 50 <> 0 or event_id is null")
+    out = streams.recompute_days(streams.daily_panel(rows, exact=True), rows, late)
+    return out.withColumn("mean_value", F.round("mean_value", 6))
+
+
 def late_split(spark: SparkSession, d: str) -> DataFrame:
     """Events of the last 30 days, and those for quarantine, by type."""
     events = table(spark, d, "events")
@@ -245,5 +297,5 @@ def late_split(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     text_normalize, tokenize_jaccard, content_hash, cn_number, labelled_number, date_from_text, status_norm, url_fields, char_map, char_count, line_cleanup,
     first_n_turns, merge_renumber, work_list, upsert_chapters, signature_merge, priority_match, similarity_match, word_match, raw_dump_roundtrip,
-    page_text, page_fields, page_quality, page_links, page_items, page_body, page_category, stream_daily_panel, stream_dedupe, stream_upsert, late_split,
+    page_text, page_fields, page_quality, page_links, page_items, page_items_once, chapter_items, page_body, page_category, stream_ingest, late_recompute, stream_daily_panel, stream_dedupe, stream_upsert, late_split,
 )}

@@ -95,3 +95,11 @@ from (select page_id, list_transform(regexp_extract_all(coalesce(html, ''), '(?i
     "stream_upsert": "select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (ts, event_id)) as value from events group by user_id",
     "late_split": """select event_type, count(*) as n, case when ts < (select max(ts) from events) - interval 30 day then 'quarantine' else 'kept' end as side from events group by all""",
 }
+SQL["page_items_once"] = f"""select page_id, position, rank, title, href from (
+  select i.*, row_number() over (partition by coalesce(nullif(href, ''), url, '') order by rank, i.page_id) as n from ({SQL['page_items']}) i join pages using (page_id)) where n = 1"""
+SQL["chapter_items"] = """select cast(conv_id as varchar) as platform_novel_id, case when conv_id % 3 = 0 then date '2026-01-01' else cast(date '2026-02-01' + cast(min(turn) as integer) as date) end as created_date,
+  case when conv_id % 3 <> 0 then coalesce(max(case when conv_id % 2 = 0 then 'talk ' || conv_id end), 'unknown') end as title, case when conv_id % 3 <> 0 then 1 end as is_primary,
+  nullif(count(distinct case when turn >= 0 and trim(coalesce(role, '')) <> '' then turn end), 0) as n_chapters from conversations group by conv_id"""
+SQL["stream_ingest"] = """select 'u' || user_id as platform_novel_id, cast(min(ts) as date) as created_date, cast(max(ts) as date) as last_seen_date, count(distinct (event_type, cast(ts as date))) as n_entries
+from events where user_id is not null group by user_id"""
+SQL["late_recompute"] = SQL["stream_daily_panel"]

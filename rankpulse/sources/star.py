@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from rankpulse.schema import SCHEMAS, Tables
 
-#: Items of a list in the queries whose SQL cuts lists.
-LIST_SIZE = 30
-
-
 def read_tables(spark: SparkSession, folder: str) -> Tables:
     """The tables of a folder, with their schemas given, not inferred."""
     return {name: spark.read.schema(ddl).parquet(f"{folder}/{name}") for name, ddl in SCHEMAS.items()}

@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpulse.operators.upsert import newest
+from rankpulse.operators.upsert import empty_tables, newest, save_snapshots
+from rankpulse.schema import Tables
+from rankpulse.sources.star import read_tables, write_tables
 
 
 def read_events(spark: SparkSession, folder: str, schema: str, pattern: str | None = None) -> DataFrame:
@@ -36,6 +38,52 @@ def split_late(events: DataFrame, last: str, days: int) -> tuple[DataFrame, Data
     return events.filter(~late), events.filter(late)
 
 
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete versions in a folder, from their files: a version has v=<number>/_DONE."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(f"{folder}/v=*/_DONE")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(x.getPath().getParent().getName().removeprefix("v=")) for x in found)
+
+
+def write_version(spark: SparkSession, folder: str, number: int, write: Callable[[str], None]) -> None:
+    """A version of tables by this number: what a failed attempt left of it goes, then all is written, then it is marked complete."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(f"{folder}/v={number}")
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(at, True)
+    write(f"{folder}/v={number}")
+    store.create(jvm.Path(f"{folder}/v={number}/_DONE"), True).close()
+
+
+def ingest(stream: DataFrame, folder: str, checkpoint: str) -> Tables:
+    """Saves the items that a stream has as snapshots, batch by batch, and gives the tables after the last one.
+
+    Batch i writes version i from the last complete version before it, which it finds in the folder. So it is exactly once, also when a
+    batch is repeated after a failure or another session goes on from the checkpoint.
+    """
+    spark = stream.sparkSession
+
+    def last(before: int) -> Tables:
+        known = [v for v in versions(spark, folder) if v < before]
+        return read_tables(spark, f"{folder}/v={known[-1]}") if known else empty_tables(spark)
+
+    run_available(stream, lambda batch, i: write_version(spark, folder, i, lambda at: write_tables(save_snapshots(last(i), batch, work=f"{at}/work"), at)), checkpoint)
+    return last(1 << 62)
+
+
+def replace_days(kept: str, batch: DataFrame, column: str = "day") -> None:
+    """Writes the days of a batch over the kept ones, and no others: kept is a folder partitioned by day."""
+    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(kept)
+
+
+def recompute_days(panel: DataFrame, rows: DataFrame, late: DataFrame) -> DataFrame:
+    """The daily panel after late rows: the days that they touch are computed anew from all rows of those days, the others stay."""
+    days = late.select(F.to_date("ts").alias("day")).distinct()
+    again = rows.unionByName(late).withColumn("day", F.to_date("ts")).join(days, "day", "left_semi").drop("day")
+    return panel.join(days, "day", "left_anti").unionByName(daily_panel(again, exact=True))
+
+
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Feeds all that is there to `each`, batch by batch. A batch that is repeated after a failure has the same number, so `each`
     writes under that number to be exactly once."""
