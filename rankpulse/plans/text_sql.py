@@ -68,7 +68,7 @@ s as (select d.* from d, m where doc_id < m), a as (select h, min(doc_id) as u f
 select d.doc_id, coalesce(a.u, b.u) as matched_uid, case when a.u is not null then 0 when b.u is not null then 1 end as matched_rule from m, d left join a on a.h = d.h left join b on b.lang = d.lang and b.source = d.source and b.n_chars = d.n_chars where d.doc_id >= m""",
     "word_match": f"""with d as (select doc_id, lang, source, {_tokens('text')} as t from documents),
 p as (select a.doc_id, b.doc_id as uid, case when len(a.t) = 0 and len(b.t) = 0 then 1.0 else len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::double end as score
-  from d a join (select *, row_number() over (partition by lang, source order by doc_id) as n from d) b on a.lang = b.lang and a.source = b.source and a.doc_id <> b.doc_id and b.n <= 300)
+  from d a join d b on a.lang is not distinct from b.lang and a.source is not distinct from b.source and a.doc_id <> b.doc_id)
 select doc_id, uid as matched_uid, round(score, 6) as score from (select *, row_number() over (partition by doc_id order by score desc, uid) as n from p where score >= 0.7) where n = 1""",
     "raw_dump_roundtrip": "select page_id, regexp_extract(url, '^https?://([^/]*)', 1) as site, md5(html) as html_md5 from pages",
     "page_text": f"select page_id, length(t) as chars, md5(t) as text_md5 from (select page_id, {_visible('html')} as t from pages)",
