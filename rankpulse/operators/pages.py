@@ -121,3 +121,155 @@ def page_category(pages: DataFrame, words: Sequence[str]) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     labels = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>(.*?)</a>"), F.lit(1)), visible_text)
     return pages.select("page_id", F.try_element_at(F.array_intersect(F.array(*map(F.lit, words)), labels), F.lit(1)).alias("category"))
+
+
+# Class names and texts by which list pages, detail pages and catalogues mark their parts.
+ITEM_CLASSES = ("rank-book-item", "book-item", "book-list-item", "rank-item")
+ITEM_LINKS = ("/page/", "/book/")
+ITEM_FIELDS = {
+    "author": ("author-name", "author", "writer"),
+    "intro": ("desc", "intro", "description", "book-desc"),
+    "category": ("category", "book-category"),
+    "status": ("book-item-footer-status", "status", "state", "book-status"),
+    "metric": ("book-item-count", "read-count", "count", "reading-count", "hot-num", "popularity"),
+}
+METRIC_WORDS = ("在读", "阅读")
+DETAIL_METAS = {"title": "og:title", "author": "og:novel:author", "intro": "og:description"}
+DETAIL_FIELDS = {
+    "title": ("book-title",),
+    "author": ("author-name", "author-name-text", "author"),
+    "intro": ("intro", "description", "book-intro", "content", "book-desc", "desc"),
+    "status": ("book-state", "status", "state", "book-status"),
+}
+TAG_CLASS, STATUS_CLASS, LABEL_CLASS, WORDS_CLASS = "info-label-grey", "info-label-yellow", "info-label", "info-count-word"
+DATE_METAS = ("article:published_time", "publish_date", "date", "datePublished")
+DATE_WORDS = ("发布日期", "更新时间", "发表时间", "首发时间", "上架时间")
+NOTE_WORDS = ("作品相关",)
+VOLUME_CLASS, CHAPTER_CLASS = "catalog-volume", "chapter-item"
+UNKNOWN_AUTHOR = "未知"
+LONGEST_TAG = 20
+
+
+def opening(names: Sequence[str] | str, tag: str = r"\w+") -> str:
+    """Pattern of an opening tag that has one of these classes."""
+    names = [names] if isinstance(names, str) else names
+    return rf"""(?is)<({tag})\s(?:[^>]*\s)?class=["'](?:[^"']*\s)?(?:{"|".join(names)})(?:\s[^"']*)?["'][^>]*>"""
+
+
+def classed(html: Column, names: Sequence[str] | str) -> Column:
+    """Visible text of the first element that has one of these classes, empty without one."""
+    return visible_text(F.regexp_extract(html, opening(names) + r"(.*?)</\1>", 2))
+
+
+def all_classed(html: Column, names: Sequence[str] | str) -> Column:
+    """Visible texts of all elements that have one of these classes, in order."""
+    return F.transform(F.regexp_extract_all(html, F.lit(opening(names) + r"(.*?)</\1>"), F.lit(2)), visible_text)
+
+
+def _filled(c: Column) -> Column:
+    return F.when(c != "", c)
+
+
+def _status(text: Column) -> Column:
+    """Finished or running, as a text says; else missing."""
+    status = T.normalize_status(text)
+    return F.when((text != "") & status.isin(T.DONE, T.RUNNING), status)
+
+
+def page_entries(
+    pages: DataFrame,
+    openings: Sequence[str] = tuple(opening(c) for c in ITEM_CLASSES),
+    links: Sequence[str] = ITEM_LINKS,
+    fields: dict[str, Sequence[str]] = ITEM_FIELDS,
+    base: str = "",
+    id_patterns: Sequence[str] | None = None,
+    end: str = r"(?is)<footer|</body",
+    least: int = 3,
+    per_page: int = 30,
+) -> DataFrame:
+    """Entries of list pages: a row an item with page_id, position, rank over pages, title, url, id, author, intro, category, tags, status, metric.
+
+    The first pattern of an opening tag that finds `least` items or more is taken. An item runs to the next one's opening or to where the list ends; it needs a link
+    whose address has one of `links`, and an id in it. Missing authors are unknown, missing states running, missing figures 0. The figure stands in an element of its own,
+    else after its word anywhere in the item. Null pages have no rows.
+    """
+    html = F.get(F.split(F.coalesce("html", F.lit("")), end), F.lit(0))
+    link = rf"""(?is)<a\s[^>]*?href=["']([^"']*(?:{"|".join(links)})[^"']*)["'][^>]*>(.*?)</a>"""
+    number = rf"(?:{'|'.join(METRIC_WORDS)})[:：]?\s*([\d,.]+\s*[万亿]?)"
+
+    def entry(item: Column, i: Column) -> Column:
+        url = T.absolute_url(F.regexp_extract(item, link, 1), base)
+        found = {name: classed(item, names) for name, names in fields.items()}
+        own = found.get("metric", F.lit(""))
+        loose = F.regexp_extract(visible_text(item), number, 1)
+        category = found.get("category", F.lit(""))
+        return F.struct(
+            (i + 1).alias("position"),
+            visible_text(F.regexp_extract(item, link, 2)).alias("title"),
+            url.alias("url"),
+            (T.id_from_url(url) if id_patterns is None else T.id_from_url(url, id_patterns)).alias("id"),
+            F.coalesce(_filled(found.get("author", F.lit(""))), F.lit(UNKNOWN_AUTHOR)).alias("author"),
+            found.get("intro", F.lit("")).alias("intro"),
+            category.alias("category"),
+            T.ordered_union(all_classed(item, TAG_CLASS), without=category).alias("tags"),
+            F.coalesce(_status(found.get("status", F.lit(""))), F.lit(T.RUNNING)).alias("status"),
+            F.coalesce(F.when(own != "", T.metric_number(own, METRIC_WORDS)).otherwise(T.unit_number(_filled(loose))), F.lit(0)).cast("long").alias("metric"),
+        )
+
+    def items(pattern: str) -> Column:
+        parts = F.split(html, pattern)
+        return F.filter(F.transform(F.slice(parts, F.lit(2), F.size(parts)), entry), lambda e: (e["url"] != "") & (e["id"] != ""))
+
+    chosen = F.get(F.filter(F.array(*map(items, openings)), lambda x: F.size(x) >= least), F.lit(0))
+    number_of_page = F.coalesce(F.regexp_extract("url", r"[?&]page=(\d+)", 1).try_cast("int"), F.lit(1))
+    rows = pages.filter("html is not null").select("page_id", number_of_page.alias("_page"), F.explode(chosen).alias("_e"))
+    return rows.select("page_id", ((F.col("_page") - 1) * per_page + F.col("_e.position")).alias("rank"), "_e.*")
+
+
+def published(html: Column) -> Column:
+    """Date of publication: of a meta tag, else after a word that announces it, else the first date of the visible text."""
+    text = visible_text(html)
+    names = "|".join(DATE_METAS)
+    tagged = F.regexp_extract(html, rf"""(?is)<meta\s+(?:property|name|itemprop)=["'](?:{names})["']\s+content=["'](.*?)["']""", 1)
+    announced = [T.date_from_text(F.regexp_extract(text, word + r"[:：]\s*(\S+)", 1)) for word in DATE_WORDS]
+    return F.coalesce(T.date_from_text(tagged), *announced, T.date_from_text(F.regexp_extract(text, r"\d{4}[年./-]\d{1,2}[月./-]\d{1,2}日?", 0)))
+
+
+def page_detail(pages: DataFrame, fields: dict[str, Sequence[str]] = DETAIL_FIELDS) -> DataFrame:
+    """Fields of detail pages: title, author, intro (meta tag first, then body), category, tags, status, words, publish_date.
+
+    The first tag is the category; tags of LONGEST_TAG characters or more are none. Missing texts are empty, missing status, words and date null.
+    """
+    html = F.coalesce("html", F.lit(""))
+    texts = {name: F.coalesce(_filled(meta(html, tag)), _filled(element(html, "h1")) if name == "title" else F.lit(None), classed(html, fields[name])) for name, tag in DETAIL_METAS.items()}
+    box = F.regexp_extract(html, r"(?is)<(\w+)\s(?:[^>]*\s)?class=[\"']" + LABEL_CLASS + r"[\"'][^>]*>(.*?)</\1>", 2)
+    spans = F.transform(F.regexp_extract_all(F.regexp_replace(box, opening(STATUS_CLASS) + r".*?</\1>", ""), F.lit(r"(?is)<span[^>]*>(.*?)</span>"), F.lit(1)), visible_text)
+    grey = all_classed(html, TAG_CLASS)
+    tags = F.array_distinct(F.filter(F.when(F.size(grey) > 0, grey).otherwise(spans), lambda t: (t != "") & (F.length(t) < LONGEST_TAG)))
+    said = F.regexp_extract(visible_text(html), r"字数[：:]\s*([0-9.]+[万亿]?)", 1)
+    words = F.coalesce(T.unit_number(_filled(classed(html, WORDS_CLASS))), T.unit_number(_filled(said)))
+    rows = pages.select("page_id", *[c.alias(name) for name, c in texts.items()], tags.alias("_tags"), F.coalesce(_status(classed(html, STATUS_CLASS)), _status(classed(html, fields["status"]))).alias("status"),
+        F.when(words > 0, words).alias("words"), published(html).alias("publish_date"))
+    category = F.coalesce(F.get("_tags", F.lit(0)), F.lit(""))
+    return rows.select("page_id", *texts, category.alias("category"), F.slice("_tags", F.lit(2), F.size("_tags")).alias("tags"), "status", "words", "publish_date")
+
+
+def page_chapters(pages: DataFrame, volume: str = opening(VOLUME_CLASS), item: str = opening(CHAPTER_CLASS), name: str = "h3", base: str = "", least: int = 10) -> DataFrame:
+    """Chapters of catalogue pages, from the first volume that has `least` items and isn't named as notes: position, address and title; of an address the first.
+
+    Volumes and items run from their opening tags to the next ones'. A page without such a volume has no rows.
+    """
+
+    def parts(html: Column, pattern: str) -> Column:
+        found = F.split(html, pattern)
+        return F.slice(found, F.lit(2), F.size(found))
+
+    notes = lambda v: F.exists(F.array(*map(F.lit, NOTE_WORDS)), lambda w: F.contains(element(v, name), w))
+    volumes = F.transform(F.filter(parts(F.coalesce("html", F.lit("")), volume), lambda v: ~notes(v)), lambda v: parts(v, item))
+    chosen = F.get(F.filter(volumes, lambda x: F.size(x) >= least), F.lit(0))
+    rows = pages.withColumn("_row", F.monotonically_increasing_id()).select("page_id", "_row", F.posexplode(chosen).alias("_i", "_item"))
+    url = T.absolute_url(F.regexp_extract("_item", r"(?is)<a\s[^>]*?href=[\"']([^\"']*)[\"']", 1), base)
+    rows = rows.select("page_id", "_row", "_i", url.alias("url"), element(F.col("_item"), "a").alias("title")).filter("url <> ''")
+    rows = rows.groupBy("page_id", "_row", "url").agg(F.min_by(F.struct("_i", "title"), "_i").alias("_f"))
+    place = Window.partitionBy("_row").orderBy("_f._i")
+    return rows.select("page_id", F.row_number().over(place).alias("position"), "url", F.col("_f.title").alias("title"))

@@ -192,6 +192,29 @@ def page_category(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_category(table(spark, d, "pages"), ("The", "and", "Nicht", "de", "la"))
 
 
+def page_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the menus as entries of list pages; the author of every third page stands in each entry."""
+    author = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<i class="x author">A '), F.col("page_id"), F.lit("</i></li>"))).otherwise(F.lit("</li>"))
+    p = table(spark, d, "pages").withColumn("html", F.replace("html", F.lit("</li>"), author))
+    rows = pages.page_entries(p, (r"(?is)<ol(?:\s[^>]*)?>", r"(?is)<li(?:\s[^>]*)?>"), ("/",), base="https://base.example", id_patterns=(r"/([^/?#]+)$",), end="(?is)</ul>")
+    return rows.select("page_id", "position", "rank", "title", "url", "id", "author", "status", "metric")
+
+
+def page_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of pages to which an author, two tags, a status, a number of words and a date have been added."""
+    day = F.concat(F.lit("2026年1月"), F.col("page_id") % 28 + 1, F.lit("日"))
+    extra = F.concat(F.lit('<b class="author">A '), F.col("page_id"), F.lit('</b><i class="info-label-yellow">'), F.when(F.col("page_id") % 2 == 0, "已完结").otherwise("连载中"),
+        F.lit('</i><i class="info-label-grey">main</i><i class="info-label-grey">t'), F.col("page_id") % 5, F.lit("</i> 字数："), F.col("page_id") % 90 + 1, F.lit(".5万 发布日期："), day)
+    p = table(spark, d, "pages").withColumn("html", F.replace(F.coalesce("html", F.lit("")), F.lit("</head><body>"), F.concat(F.lit("</head><body>"), extra)))
+    rows = pages.page_detail(p, pages.DETAIL_FIELDS | {"intro": ("ad",)})
+    return rows.withColumn("tags", F.array_join("tags", ","))
+
+
+def page_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the first list of five items or more as chapters."""
+    return pages.page_chapters(table(spark, d, "pages"), r"(?is)<ul(?:\s[^>]*)?>", r"(?is)<li(?:\s[^>]*)?>", base="https://base.example", least=5)
+
+
 def page_items_once(spark: SparkSession, d: str) -> DataFrame:
     """Items of all pages, each link once."""
     p = table(spark, d, "pages")
@@ -297,5 +320,5 @@ def late_split(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     text_normalize, tokenize_jaccard, content_hash, cn_number, labelled_number, date_from_text, status_norm, url_fields, char_map, char_count, line_cleanup,
     first_n_turns, merge_renumber, work_list, upsert_chapters, signature_merge, priority_match, similarity_match, word_match, raw_dump_roundtrip,
-    page_text, page_fields, page_quality, page_links, page_items, page_items_once, chapter_items, page_body, page_category, stream_ingest, late_recompute, stream_daily_panel, stream_dedupe, stream_upsert, late_split,
+    page_text, page_fields, page_quality, page_links, page_items, page_items_once, page_entries, page_detail, page_chapters, chapter_items, page_body, page_category, stream_ingest, late_recompute, stream_daily_panel, stream_dedupe, stream_upsert, late_split,
 )}
