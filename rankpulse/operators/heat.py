@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from rankpulse.schema import PLATFORMS, Platform
 
 MAD_SCALE = 1.4826
+#: Ranges of figures by which a figure grows e-fold.
+RANGES = 1024
 
 
 def heat_raw(platforms: Sequence[Platform] = PLATFORMS) -> Column:
@@ -20,21 +22,43 @@ def heat_raw(platforms: Sequence[Platform] = PLATFORMS) -> Column:
     return value.cast("double")
 
 
+def _running(values: DataFrame, value: str) -> DataFrame:
+    """Adds below and total to a histogram (platform, value, n): how many rows of the platform have a smaller value, or any.
+
+    Values are dealt into ranges of equal ratio and summed range by range, so that no task sorts a whole platform: a range at a figure
+    v has v / RANGES whole figures at most. Where ranges begin changes no sum.
+    """
+    v = F.col(value)
+    dealt = values.withColumn("_bucket", F.floor(F.signum(v) * F.log1p(F.abs(v)) * RANGES))
+    start = Window.unboundedPreceding
+    sums = dealt.groupBy("platform", "_bucket").agg(F.sum("n").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("platform").orderBy("_bucket").rowsBetween(start, -1))
+    sums = sums.select("platform", "_bucket", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("platform")).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("platform", "_bucket").orderBy(value).rowsBetween(start, -1))
+    return dealt.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums, ["platform", "_bucket"]).select("platform", value, "n", (F.col("_before") + F.col("_inside")).alias("below"), "total")
+
+
+def _median(running: DataFrame, value: str, name: str) -> DataFrame:
+    """The median of each platform: the mean of the middle value or two."""
+    at = lambda k: F.max(F.when((F.col("below") <= k) & (F.col("below") + F.col("n") > k), F.col(value)))
+    middle = (F.col("total") - 1) / 2
+    return running.groupBy("platform").agg((0.5 * at(F.floor(middle)) + 0.5 * at(F.ceil(middle))).alias(name))
+
+
 def add_heat(df: DataFrame, platforms: Sequence[Platform] = PLATFORMS, alpha: float = 0.7, tanh_c: float = 3.0) -> DataFrame:
-    """Adds heat_raw, heat_pct, heat_rz, heat_rz01, heat_mix.
+    """Adds heat_raw, heat_pct, heat_rz, heat_rz01, heat_mix. Rows without a platform go.
 
-    heat_pct is the average rank of ties by the number of values of the platform, from a histogram of values, so that a platform's rows
-    aren't sorted in one task; median and deviation are two aggregates joined back.
+    heat_pct is the average rank of ties by the number of values of the platform. It, the median and the median deviation come from a
+    histogram of values with running counts.
     """
-    df = df.withColumn("heat_raw", heat_raw(platforms))
+    df = df.filter("platform is not null").withColumn("heat_raw", heat_raw(platforms))
     values = df.filter("heat_raw is not null").groupBy("platform", "heat_raw").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("platform").orderBy("heat_raw")
-    below = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    values = values.withColumn("heat_pct", (below + (F.col("n") + 1) / 2) / F.sum("n").over(Window.partitionBy("platform"))).drop("n")
-    median = df.groupBy("platform").agg(F.median("heat_raw").alias("_median"))
-    df = df.join(median, "platform")
-    spread = df.groupBy("platform").agg(F.median(F.abs(F.col("heat_raw") - F.col("_median"))).alias("_mad"))
-    df = df.join(spread, "platform").join(values, ["platform", "heat_raw"], "left")
+    running = _running(values, "heat_raw")
+    median = _median(running, "heat_raw", "_median")
+    apart = values.join(median, "platform").groupBy("platform", F.abs(F.col("heat_raw") - F.col("_median")).alias("_apart")).agg(F.sum("n").alias("n"))
+    centre = median.join(_median(_running(apart, "_apart"), "_apart", "_mad"), "platform")
+    ranked = running.select("platform", "heat_raw", ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias("heat_pct"))
+    df = df.join(centre, "platform", "left").join(ranked, ["platform", "heat_raw"], "left")
     usable = F.coalesce(F.col("_mad"), F.lit(0.0)) > 0
     df = df.withColumn("heat_rz", F.when(usable, (F.col("heat_raw") - F.col("_median")) / (MAD_SCALE * F.col("_mad"))).otherwise(F.lit(0.0)))
     df = df.withColumn("heat_rz01", (F.tanh(F.col("heat_rz") / tanh_c) + 1) / 2)
