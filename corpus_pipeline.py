@@ -1,4 +1,9 @@
-"""A corpus pipeline: quality, line dedup, near-duplicate join, mixing and packing, each stage on all that the one before kept."""
+"""A corpus pipeline: quality, line dedup, near-duplicate join, mixing and packing, each stage on all that the one before kept.
+
+All stages take nulls in any column, repeated rows, texts of any length, columns beyond those of documents (also with names that an operator
+uses inside) and empty tables, which give no rows. Null and empty texts are scored as empty ones, lose no lines and are linked with nothing; mixing
+takes them as of size 0, and packing gives each its end mark. Null ids are kept; null sources are one source.
+"""
 
 from __future__ import annotations
 
