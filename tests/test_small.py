@@ -25,6 +25,17 @@ def test_percentile_with_ties_and_gap(spark):
     assert [r["heat_rz"] for r in got if r["platform"] == "b"] == [0, 0]
 
 
+def test_robust_score_of_odd_and_even_counts(spark):
+    rows = [("a", v) for v in (1, 2, 2, 3, None, 9)] + [("c", v) for v in (1, 2, 4, 10)] + [("d", None), (None, 3)]
+    df = spark.createDataFrame(rows, "platform string, m long")
+    got = heat.add_heat(df, (Platform("a", "m", True, None),)).collect()
+    score = {(r["platform"], r["heat_raw"]): r["heat_rz"] for r in got}
+    assert len(got) == 11
+    assert score["a", 9] == pytest.approx(7 / 1.4826) and score["a", 2] == 0 and score["a", None] is None
+    assert score["c", 10] == pytest.approx(7 / (1.4826 * 1.5)) and score["c", 2] == pytest.approx(-1 / (1.4826 * 1.5))
+    assert score["d", None] == 0
+
+
 def test_slope_with_gap(spark):
     rows = [("p", "f", "", datetime.date(2026, 1, d), "t", 1, 1.0, y, 1.0, 1.0, 1.0, 1, 1.0, 1.0, 1.0) for d, y in ((1, 1.0), (2, None), (3, 5.0), (4, 4.0))]
     names = "platform string, rank_family string, rank_sub_cat string, period date, tag_u string, book_count long, avg_rank double, avg_heat_raw double, median_heat_raw double, entry_threshold double, tag_share double, books_in_group long, concentration_index double, efficiency double, head_ratio double"
