@@ -45,7 +45,7 @@ PACKED = "row long, doc_id long, piece int, start long, length long, ids_crc32 l
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _byte_characters() -> dict[str, int]:
+def byte_characters() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
@@ -68,7 +68,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        of, ranks = _byte_characters(), {}
+        of, ranks = byte_characters(), {}
         for token, i in self.tokenizer.get_vocab().items():
             if token not in self.special:
                 ranks[bytes(map(of.__getitem__, token))] = i
@@ -92,6 +92,13 @@ class Tokens:
             cuts, data = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
             self.words.update(zip(part, [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and each of these words, which don't begin or end in white space. Nothing is kept."""
+        self._learn(list(dict.fromkeys(words)))
+        found = [self.words[w] for w in words]
+        self.words.clear()
+        return found
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.words
         if len(known) > CACHE:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpulse.llm import jaccard, licenses, line_dedup, mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
+from rankpulse.llm import alignment, divergence, jaccard, langid, licenses, line_dedup, mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
 from rankpulse.llm.common import cut, table
 
 
@@ -16,6 +16,13 @@ def byte_bpe() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pieces() -> str:
+    """Path of the vocabulary that op12 aligns with the other."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences of 1024 tokens."""
     pieces = packing.tokenise(table(spark, sf_dir, "documents"), byte_bpe())
@@ -75,6 +82,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are from each other, and the terms that set each apart."""
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in two tokenizations, aligned where both end a token."""
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe(), pieces())
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by naive Bayes."""
+    predicted = langid.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return predicted.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -86,6 +109,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_language_id": op13_language_id,
 }
 
 _OP4_SQL = r"""
@@ -135,7 +161,44 @@ select page_id, payload_bytes,
 from b
 """
 
+_OP11_SQL = r"""
+with d as (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words
+  from documents
+), w as (
+  select row, lang, source, unnest(words) as term from d
+), k as (
+  select lang, term from w group by lang, term having count(distinct row) >= 3
+), c as (
+  select w.lang, w.source, w.term, count(*) as n from w join k using (lang, term) group by 1, 2, 3
+), v as (
+  select lang, count(*)::hugeint as v from k group by lang
+), g as (
+  select a.lang, a.source, coalesce(b.n, 0)::hugeint as n, coalesce(v.v, 0) as v
+  from (select distinct lang, source from d) a left join (select lang, source, sum(n) as n from c group by 1, 2) b using (lang, source) left join v using (lang)
+), p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as count, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (g.n + g.v) as p
+  from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), q as (
+  select lang, term, 1 + (1000000000::hugeint * (sum(c.n) + 1)) // (any_value(t.n) + any_value(t.v)) as q
+  from c join (select lang, sum(n) as n, max(v) as v from g group by lang) t using (lang) group by lang, term
+), s as (
+  select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // y.p) as value
+  from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by 1, 2, 3
+), r as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all
+  select p.lang, p.source, 'term', p.term, ((p.p - q.q) * (p.p - q.q) // q.q)::bigint from p join q using (lang, term) where p.count > 0 and p.p > q.q
+), o as (
+  select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from r
+)
+select lang, source, part, item, value, rank from o where part = 'pair' or rank <= 200
+"""
+
 ORACLES: dict[str, str] = {
     "op9_warc": _OP9_SQL,
     "op4_mix_sources": _OP4_SQL,
+    "op11_source_divergence": _OP11_SQL,
 }
