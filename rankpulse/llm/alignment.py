@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import pickle
 import re
@@ -37,84 +38,124 @@ from rankpulse.llm.packing import Tokens, byte_characters
 
 #: Bytes of text of a chunk, beyond which no further document joins it.
 CHUNK = 4 << 20
-#: Stretches that a worker knows; longer ones than LONG characters aren't kept.
-CACHE = 250_000
+#: Stretches that a worker knows, up to twice as many; longer ones than LONG characters aren't kept.
+CACHE = 300_000
 LONG = 48
 #: B ids have so many bits in a pair.
 SHIFT = 24
 
 _PARTS = re.compile(r"[ \n]+[^ \n]*")
-_ODD_SPACE = re.compile("[^\\S \n]|᠎")
-
-
-def cut_ids(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[str, list[int]]:
-    """The groups as text, and the linked pairs, of two id lists and the offsets at which their tokens end. Both end at the same offset."""
-    at_a, at_b = {e: i for i, e in enumerate(ends_a)}, {e: i for i, e in enumerate(ends_b)}
-    groups, pairs, i, j = [], [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        x, y = at_a[end] + 1, at_b[end] + 1
-        own, other = a[i:x], b[j:y]
-        groups.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-        # tokens of no bytes end where the one before does
-        for p, e in zip(reversed(own), reversed(ends_a[i:x]), strict=True):
-            if e != end:
-                break
-            for q, f in zip(reversed(other), reversed(ends_b[j:y]), strict=True):
-                if f != end:
-                    break
-                pairs.append(p << SHIFT | q)
-        i, j = x, y
-    return ";".join(groups), pairs
+_PLAIN = re.compile("[ \n][^\\s\u180e]+")
+_ODD_SPACE = re.compile("[^\\S \n]|\u180e")
+
+
+def cut_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+    """How many tokens of each side have ended at each offset where both end one, in order; of tokens that end at the same offset, the last."""
+    at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1), strict=True)), dict(zip(ends_b, range(1, len(ends_b) + 1), strict=True))
+    common = list(filter(at_b.__contains__, at_a))  # a dictionary keeps its order, so these are sorted
+    return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
+
+
+def linked(ids: list[np.ndarray], lengths: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
+    """The linked pairs of each group in order: of tokens that end at the group's end, which are the last and, before tokens of no bytes, those before them."""
+    if all(x.all() for x in lengths):
+        return ids[0][cuts[0] - 1] << SHIFT | ids[1][cuts[1] - 1]
+    pairs = []
+    for x, y in zip(*[c.tolist() for c in cuts], strict=True):
+        ends = []
+        for side, k in ((0, x), (1, y)):
+            own = [int(ids[side][k - 1])]
+            while k > 1 and not lengths[side][k - 1]:
+                k -= 1
+                own.append(int(ids[side][k - 1]))
+            ends.append(own)
+        pairs += [p << SHIFT | q for p in ends[0] for q in ends[1]]
+    return np.array(pairs, dtype=np.int64)
+
+
+def _digits(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of the numbers below size, and how many each has."""
+    texts = np.arange(size).astype("S")
+    return texts.view(np.uint8).reshape(size, -1), np.char.str_len(texts).astype(np.int64)
+
+
+def groups_text(ids: list[np.ndarray], cuts: list[np.ndarray], digits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The groups as bytes: ids with a comma between them, `|` between the sides and `;` after each group."""
+    # where tokens go: each behind the tokens of both sides that are in earlier groups, B's also behind A's of its own
+    group = [np.repeat(np.arange(len(c)), np.diff(c, prepend=0)) for c in cuts]
+    place = np.concatenate([np.arange(len(ids[0])) + np.r_[0, cuts[1]][group[0]], np.arange(len(ids[1])) + cuts[0][group[1]]])
+    both, after = np.empty(len(place), dtype=np.int64), np.full(len(place), ord(","), dtype=np.uint8)
+    both[place] = np.concatenate(ids)
+    after[cuts[0] + np.r_[0, cuts[1][:-1]] - 1] = ord("|")
+    after[cuts[0] + cuts[1] - 1] = ord(";")
+    shapes, lengths = digits
+    own = lengths[both]
+    ends = np.cumsum(own + 1)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    begins = ends - own - 1
+    for k in range(shapes.shape[1]):
+        has = own > k
+        out[begins[has] + k] = shapes[both[has], k]
+    out[ends - 1] = after
+    return out
 
 
 class Aligner:
-    """What is known of stretches: numbers of A and B tokens and of groups, the groups as text, and the linked pairs; None if the bytes differ."""
+    """Both tokenizers, and the ids of known stretches: bytes of little-endian 32-bit numbers for A and for B, or None if their tokens aren't the stretch's bytes."""
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a = Tokens(byte_path)
-        self.a.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.a.special = []
-        special = {t.content for t in self.a.tokenizer.get_added_tokens_decoder().values()}
-        of = byte_characters()
-        self.a_bytes = {i: t.encode() if t in special else bytes(map(of.__getitem__, t)) for t, i in self.a.tokenizer.get_vocab().items()}
+        tokens = Tokens(byte_path)
+        self.a, self.fast = tokens.tokenizer, tokens.fast
+        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        of, vocabulary = byte_characters(), self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = t.encode() if t in special else bytes(map(of.__getitem__, t))
+        self.begins = np.array([t[:1] in (b" ", b"\n") for t in self.a_bytes])
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.lengths = [np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes)]
+        self.digits = _digits(max(len(self.a_bytes), len(self.b_bytes)))
         self.space = self.b.piece_to_id("▁")
         self.boundaries = self.b.encode("") == [] and self.b.encode("\n")[:1] == [self.space] and not any("\n" in p or re.search("[^▁]▁", p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
-        self.known: dict[str, tuple | None] = {}
-
-    def _encode_b(self, parts: list[str]) -> list[list[int]]:
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.former: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _encode_a(self, parts: list[str]) -> list[bytes]:
+        """A's ids of stretches. Those of one space or line end and a word are encoded together and cut where a token begins with either."""
+        plain = [_PLAIN.fullmatch(p) is not None for p in parts]
+        ids = np.array(self.fast.encode_ordinary("".join(p for p, x in zip(parts, plain, strict=True) if x)), dtype="<u4")
+        cuts, data = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
+        fast = iter([data[i:j] for i, j in zip(cuts, [*cuts, len(data)][1:], strict=True)])
+        others = iter(self.a.encode_batch([p for p, x in zip(parts, plain, strict=True) if not x], add_special_tokens=False))
+        return [next(fast) if x else np.array(next(others).ids, dtype="<u4").tobytes() for x in plain]
+
+    def _encode_b(self, parts: list[str]) -> list[bytes]:
         """B's ids of stretches. B puts a space before what it encodes, so a stretch that begins with one is encoded without it; others lose that token."""
-        spaced = [p[0] == " " for p in parts]
-        found = self.b.encode([p[1:] if s else p for p, s in zip(parts, spaced, strict=True)], num_threads=1)
+        found = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
         # an empty text gets no space
-        return [([self.space] if p == " " else ids) if s else ids[1:] for p, s, ids in zip(parts, spaced, found, strict=True)]
-
-    def _encode_a(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.tokenizer.encode_batch(parts, add_special_tokens=False)] if len(parts) > 1 else [self.a.tokenizer.encode(parts[0], add_special_tokens=False).ids]
-
-    def aligned(self, parts: list[str]) -> list[tuple | None]:
-        plain = [p for p in parts if len(p) > 1 and p[0] == " " and " " not in p[1:] and not (p[1].isspace() or p[-1].isspace() or "᠎" in p)]
-        fast = dict(zip(plain, [np.frombuffer(x, dtype="<u4").tolist() for x in self.a.encode_words([p[1:] for p in plain])], strict=True))
-        rest = [p for p in parts if p not in fast]
-        if rest:
-            fast |= zip(rest, self._encode_a(rest), strict=True)
-        out = []
-        for part, b in zip(parts, self._encode_b(parts), strict=True):
-            a = fast[part]
-            bytes_a, bytes_b = list(map(self.a_bytes.__getitem__, a)), list(map(self.b_bytes.__getitem__, b))
-            whole = part.encode("utf-8", "surrogatepass")
-            if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
-                out.append(None)
-                continue
-            ends = [np.cumsum([len(x) for x in side]).tolist() for side in (bytes_a, bytes_b)] if len(a) + len(b) > 64 else [_sums(bytes_a), _sums(bytes_b)]
-            groups, pairs = cut_ids(a, b, *ends)
-            out.append((len(a), len(b), groups.count("|"), groups, pairs))
-        return out
+        found = [([self.space] if p == " " else ids) if p[0] == " " else ids[1:] for p, ids in zip(parts, found, strict=True)]
+        ends = (4 * np.cumsum([len(x) for x in found])).tolist()
+        data = np.fromiter(itertools.chain.from_iterable(found), dtype="<u4", count=ends[-1] // 4 if ends else 0).tobytes()
+        return [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _bytes(self, side: int, ids: bytes) -> bytes:
+        return b"".join(map((self.a_bytes, self.b_bytes)[side].__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+    def encoded(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of these stretches."""
+        if not parts:
+            return []
+        sides = self._encode_a(parts), self._encode_b(parts)
+        whole = "".join(parts).encode()
+        if all(self._bytes(k, b"".join(side)) == whole for k, side in enumerate(sides)):
+            return list(zip(*sides, strict=True))
+        return [x if self._bytes(0, x[0]) == self._bytes(1, x[1]) == p.encode() else None for p, x in zip(parts, zip(*sides, strict=True), strict=True)]
 
     def parts_of(self, text: str) -> list[str]:
         """The stretches of a text, which begins with a space."""
@@ -125,28 +166,22 @@ class Aligner:
             return parts
         merged = [parts[0]]
         for p in parts[1:]:
-            if merged[-1][-1].isspace() or merged[-1][-1] == "᠎":
+            if merged[-1][-1].isspace() or merged[-1][-1] == "\u180e":
                 merged[-1] += p
             else:
                 merged.append(p)
         return merged
 
-    def learn(self, parts: set[str]) -> dict[str, tuple | None]:
-        """What is known of these stretches."""
+    def learn(self, parts: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """The ids of these stretches. Those of short ones are kept: of the last CACHE to 2 * CACHE that were met."""
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = sorted(parts - self.known.keys())
-        made = dict(zip(new, self.aligned(new), strict=True))
+            self.known, self.former = {}, self.known
+        missing = parts - self.known.keys()
+        self.known.update((p, self.former[p]) for p in missing & self.former.keys())
+        new = sorted(missing - self.former.keys())
+        made = dict(zip(new, self.encoded(new), strict=True))
         self.known.update((p, x) for p, x in made.items() if len(p) <= LONG)
-        return made
-
-
-def _sums(parts: list[bytes]) -> list[int]:
-    total, out = 0, []
-    for p in parts:
-        total += len(p)
-        out.append(total)
-    return out
+        return {p: x for p, x in made.items() if len(p) > LONG} | self.known if any(len(p) > LONG for p in new) else self.known
 
 
 @functools.lru_cache(maxsize=1)
@@ -168,34 +203,29 @@ def _unpack(data: bytes) -> dict[str, np.ndarray]:
     return pickle.loads(zlib.decompress(data))
 
 
+def aligned(parts: list[str], known: dict[str, tuple[bytes, bytes] | None], aligner: Aligner) -> tuple[tuple[int, int, int], str, np.ndarray]:
+    """Numbers of A and B tokens and of groups, the hash of the groups, and the linked pairs of a text of known stretches."""
+    found = list(map(known.__getitem__, parts))
+    if not found or None in found:
+        return (0, 0, 0), "", np.zeros(0, dtype=np.int64)
+    ids = [np.frombuffer(b"".join([x[side] for x in found]), dtype="<u4").astype(np.int64) for side in (0, 1)]
+    lengths = [n[x] for n, x in zip(aligner.lengths, ids, strict=True)]
+    cuts = [np.fromiter(c, dtype=np.int64, count=len(c)) for c in cut_ends(*[n.cumsum().tolist() for n in lengths])]
+    text = groups_text(ids, cuts, aligner.digits)[:-1].tobytes()
+    return (len(ids[0]), len(ids[1]), len(cuts[0])), hashlib.sha256(text).hexdigest(), linked(ids, lengths, cuts)
+
+
 def _chunk(number: int, ids: list[int | None], texts: list[str | None], aligner: Aligner) -> dict:
-    """A chunk's row. In `packed`, owner and of: the documents and the pairs of their links; times: how many links that is."""
+    """A chunk's row. In `packed`: the documents' figures and hashes, and `of`, which pair each of their links is."""
     split = [aligner.parts_of(f" {t}") if t else [] for t in texts]
-    # what a long stretch has isn't kept, but is at hand for this chunk
-    stretches = {p for parts in split for p in parts}
-    made = aligner.learn(stretches)
-    known = {p: made[p] if p in made else aligner.known[p] for p in stretches}
-    figures, hashes, owner, links = [], [], [], []
-    for i, parts in enumerate(split):
-        found = list(map(known.__getitem__, parts))
-        if not found or None in found:
-            figures.append((0, 0, 0, 0))
-            hashes.append("")
-            continue
-        pairs = [q for x in found for q in x[4]]
-        figures.append((sum(x[0] for x in found), sum(x[1] for x in found), sum(x[2] for x in found), len(pairs)))
-        hashes.append(hashlib.sha256(";".join([x[3] for x in found]).encode()).hexdigest())
-        own, times = np.unique(np.array(pairs, dtype=np.int64), return_counts=True)
-        owner.append(np.full(len(own), i))
-        links.append((own, times))
-    flat = np.concatenate([x for x, _ in links]) if links else np.zeros(0, dtype=np.int64)
-    times = np.concatenate([x for _, x in links]) if links else np.zeros(0, dtype=np.int64)
-    pairs, of = np.unique(flat, return_inverse=True)
+    known = aligner.learn(set().union(*split))
+    rows = [aligned(parts, known, aligner) for parts in split]
+    pairs, of = np.unique(np.concatenate([x for *_, x in rows]), return_inverse=True)
     packed = _pack(
-        doc_id=np.array([0 if x is None else x for x in ids], dtype=np.int64), null=np.array([x is None for x in ids]), figures=np.array(figures, dtype=np.int64).ravel(),
-        hashes=np.array(hashes, dtype="S64"), owner=np.concatenate(owner).astype(np.int64) if owner else np.zeros(0, dtype=np.int64), of=of.astype(np.int64), times=times.astype(np.int64),
+        doc_id=np.array([0 if x is None else x for x in ids], dtype=np.int64), null=np.array([x is None for x in ids]),
+        figures=np.array([(*x, len(links)) for x, _, links in rows], dtype=np.int64).ravel(), hashes=np.array([h for _, h, _ in rows], dtype="S64"), of=of.astype(np.int64),
     )
-    return {"chunk": [number], "packed": [packed], "pairs": [pairs.tolist()], "counts": [np.bincount(of, times, len(pairs)).astype(np.int64).tolist()]}
+    return {"chunk": [number], "packed": [packed], "pairs": [pairs.tolist()], "counts": [np.bincount(of, minlength=len(pairs)).tolist()]}
 
 
 def _encode(byte_path: str, piece_path: str):
@@ -228,13 +258,13 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             x = _unpack(batch.column("packed")[k].as_py())
-            n, known = len(x["doc_id"]), batch.column("found")[k].values
+            known = batch.column("found")[k].values
             pair, count, best = (known.field(i).to_numpy() for i in range(3)) if known is not None else [np.zeros(0, dtype=np.int64)] * 3
             order = np.argsort(pair)
-            sums = [np.zeros(n, dtype=np.int64) for _ in range(2)]
-            for out, value in zip(sums, (best[order], count[order]), strict=True):
-                np.add.at(out, x["owner"], x["times"] * value[x["of"]])
             figures = x["figures"].astype(np.int64).reshape(-1, 4).T
+            to = np.r_[0, np.cumsum(figures[3])]
+            # exact sums of a document's links, as differences of running ones
+            sums = [np.diff(np.r_[0, np.cumsum(value[order][x["of"]])][to]) for value in (best, count)]
             columns = [pa.array(x["doc_id"].astype(np.int64), mask=x["null"]), *figures, *sums, pa.array([h.decode() for h in x["hashes"].tolist()], pa.string())]
             yield pa.RecordBatch.from_pydict(dict(zip([c.split()[0] for c in ROWS.split(", ")], columns, strict=True)))
 

@@ -187,18 +187,35 @@ def test_stretches(coders):
     own = alignment.Aligner(queries.byte_bpe(), queries.pieces())
     assert own.boundaries
     for text in filter(None, ODD):
-        found = own.aligned(own.parts_of(f" {text}"))
+        parts, whole = own.parts_of(f" {text}"), [f" {text}"]
+        assert "".join(parts) == whole[0]
+        known = own.learn({*parts, *whole})
+        assert [x.tolist() if hasattr(x, "tolist") else x for x in alignment.aligned(parts, known, own)] == [x.tolist() if hasattr(x, "tolist") else x for x in alignment.aligned(whole, known, own)]
         if "▁" in text:
-            assert None in found
-            continue
-        assert sum(x[0] for x in found) == len(coders[0](f" {text}")) and sum(x[1] for x in found) == len(coders[1](text))
-        joined, (whole,) = ";".join(x[3] for x in found), own.aligned([f" {text}"])
-        assert joined == whole[3] and [p for x in found for p in x[4]] == whole[4]
+            assert None in map(known.get, parts)
+        else:
+            a, b = (np.frombuffer(b"".join(known[p][k] for p in parts), dtype="<u4").tolist() for k in (0, 1))
+            assert a == [i for i, _ in coders[0](f" {text}")] and b == [i for i, _ in coders[1](text)]
+
+
+def test_little_is_kept(spark, sf, monkeypatch):
+    rows = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(30).collect()]
+    want = alignment._chunk(0, [0] * len(rows), rows, alignment.Aligner(queries.byte_bpe(), queries.pieces()))
+    monkeypatch.setattr(alignment, "CACHE", 50)
+    monkeypatch.setattr(alignment, "LONG", 5)
+    own = alignment.Aligner(queries.byte_bpe(), queries.pieces())
+    for k in (10, 20, 30):
+        got = alignment._chunk(0, [0] * k, rows[:k], own)
+    assert got == want
 
 
 def test_tokens_of_no_bytes():
-    groups, pairs = alignment.cut_ids([1, 2, 3], [7, 8], [2, 2, 5], [2, 5])
-    assert groups == "1,2|7;3|8" and {(p >> alignment.SHIFT, p & 0xFFFFFF) for p in pairs} == {(1, 7), (2, 7), (3, 8)}
+    """Of tokens that end together all are linked, and they stay in one group."""
+    ids, lengths = [np.array([1, 2, 3]), np.array([7, 8])], [np.array([2, 0, 3]), np.array([2, 3])]
+    cuts = [np.array(c) for c in alignment.cut_ends(*[n.cumsum().tolist() for n in lengths])]
+    pairs = alignment.linked(ids, lengths, cuts)
+    assert {(int(p) >> alignment.SHIFT, int(p) & 0xFFFFFF) for p in pairs} == {(1, 7), (2, 7), (3, 8)}
+    assert alignment.groups_text(ids, cuts, alignment._digits(20)).tobytes() == b"1,2|7;3|8;"
 
 
 # 13 language identification
