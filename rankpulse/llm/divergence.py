@@ -17,6 +17,7 @@ own; ids and other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,10 +43,12 @@ WAVE_BYTES = 64 << 20
 GAMMA = 1.6
 LEVELS = 48
 #: Distinct terms that a task holds, and slots of its dense arrays.
-HELD_TERMS = 400_000
+HELD_TERMS = 700_000
 HELD_SLOTS = 4_000_000
 #: Bytes of a text that are split at once.
 PIECE = 4 << 20
+#: Bits of a cell's number that are its slot; a shard has fewer keys by far.
+SLOT_BITS = 24
 #: Slots and sources that are compared at once.
 WIDTH = 2048
 TILE = 512
@@ -88,10 +91,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for k, (lang, text) in enumerate(_rows(batches, "lang")):
-        seen: set[bytes] = set()
-        for terms in terms_of(text):
-            seen.update(terms)
-        held.setdefault(lang, Counter()).update(seen)
+        held.setdefault(lang, Counter()).update(set().union(*terms_of(text)))
         if k % 64 == 63 and sum(map(len, held.values())) > HELD_TERMS:
             yield from out()
     yield from out()
@@ -152,9 +152,11 @@ class PerfectHash:
 
     def verified(self, keys: list[bytes]) -> np.ndarray:
         """The slot of each key that is stored, -1 for others."""
+        if not self.keys:
+            return np.full(len(keys), -1, dtype=np.int64)
         slots = self.slots(keys)
-        same = np.fromiter((s >= 0 and self.keys[s] == k for s, k in zip(slots.tolist(), keys, strict=True)), dtype=bool, count=len(keys))
-        return np.where(same, slots, -1)
+        same = np.fromiter(map(operator.eq, map(self.keys.__getitem__, slots.tolist()), keys), dtype=bool, count=len(keys))
+        return np.where(same & (slots >= 0), slots, -1)
 
 
 SHARD = "lang string, part int, size int, seed int, sizes array<int>, bits binary, keys array<binary>, bytes long"
@@ -167,48 +169,53 @@ def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def shards(kept: DataFrame, keys: int = KEYS) -> DataFrame:
-    """Perfect hashes of the kept terms (lang, term) as a written table, with the wave each is broadcast in."""
+    """Perfect hashes of the kept terms (lang, term) as a written table, with a number for each and the wave it is broadcast in."""
     sizes = kept.groupBy("lang").agg(F.greatest(F.ceil(F.count(F.lit(1)) / keys), F.ceil(F.sum(F.length("term")) / SHARD_BYTES)).alias("_parts"))
     dealt = kept.join(sizes, "lang").select("lang", "term", F.pmod(F.crc32("term"), F.col("_parts")).cast("int").alias("part"))
-    made = cut(dealt.groupBy("lang", "part").applyInPandas(_shard, SHARD))
+    # by both, as the join may have left all parts of a language together
+    made = cut(dealt.repartition("lang", "part").groupBy("lang", "part").applyInPandas(_shard, SHARD))
     # a row for each shard: some thousands for each hundred million terms
-    before = F.sum("bytes").over(Window.orderBy("lang", "part").rowsBetween(Window.unboundedPreceding, -1))
-    waves = made.select("lang", "part", F.floor(F.coalesce(before, F.lit(0)) / WAVE_BYTES).cast("int").alias("wave"))
-    return cut(made.join(waves, ["lang", "part"]))
+    order = Window.orderBy("lang", "part")
+    before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = made.select("lang", "part", F.row_number().over(order).cast("long").alias("shard"), F.floor(before / WAVE_BYTES).cast("int").alias("wave"))
+    return cut(made.join(placed, ["lang", "part"]))
 
 
 def _recount(broadcast):
-    """lang, source, part, slot and how often its term stands there, of what a task has read."""
+    """source_key, cell (shard and slot) and how often its term stands there, of what a task has read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: dict[str, dict[int, PerfectHash]] = {}
+        hashes: dict[str, dict[int, tuple[int, PerfectHash]]] = {}
         parts: dict[str, int] = {}
         for r in broadcast.value:
-            hashes.setdefault(r["lang"], {})[r["part"]] = PerfectHash(r["seed"], r["sizes"], r["bits"], r["keys"])
+            hashes.setdefault(r["lang"], {})[r["part"]] = r["shard"], PerfectHash(r["seed"], r["sizes"], r["bits"], r["keys"])
             parts[r["lang"]] = r["parts"]
-        seen: dict[tuple[str, str], Counter] = {}
-        slots: dict[tuple[str, str, int], np.ndarray] = {}
+        seen: dict[tuple[str, int], Counter] = {}
+        slots: dict[tuple[int, int], np.ndarray] = {}
 
         def add() -> None:
             for (lang, source), terms in seen.items():
                 at = np.fromiter(map(zlib.crc32, terms), dtype=np.int64, count=len(terms)) % parts[lang]
                 keys, n = list(terms), np.fromiter(terms.values(), dtype=np.int64, count=len(terms))
-                for part, found in hashes[lang].items():
-                    own = np.flatnonzero(at == part)
+                order = np.argsort(at, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else ():
+                    shard, found = hashes[lang].get(int(at[own[0]]), (0, None))
+                    if found is None:  # in another wave
+                        continue
                     slot = found.verified([keys[i] for i in own.tolist()])
                     known = slot >= 0
                     if known.any():
-                        dense = slots.setdefault((lang, source, part), np.zeros(len(found.keys), dtype=np.int64))
+                        dense = slots.setdefault((source, shard), np.zeros(len(found.keys), dtype=np.int64))
                         dense[slot[known]] += n[own[known]]  # terms are distinct, and so are their slots
             seen.clear()
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source, part), dense in slots.items():
+            for (source, shard), dense in slots.items():
                 at = np.flatnonzero(dense)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "source": pa.array([source] * len(at), pa.string()), "part": np.full(len(at), part, dtype=np.int32), "slot": at.astype(np.int32), "n": dense[at]})
+                yield pa.RecordBatch.from_pydict({"source_key": np.full(len(at), source, dtype=np.int64), "cell": (shard << SLOT_BITS) + at, "n": dense[at]})
             slots.clear()
 
-        for k, (lang, source, text) in enumerate(_rows(batches, "lang", "source")):
+        for k, (lang, source, text) in enumerate(_rows(batches, "lang", "source_key")):
             if lang not in hashes:
                 continue
             group = seen.setdefault((lang, source), Counter())
@@ -225,34 +232,50 @@ def _recount(broadcast):
 
 
 def recount(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """lang, source, part, slot and n of all kept terms that a group has, as a written table. docs: lang, source, text."""
-    spark = docs.sparkSession
-    found = spark.createDataFrame([], "lang string, source string, part int, slot int, n long")
+    """source_key, cell and n of all kept terms that a group has, as a written table. docs: lang, source_key, a number of lang and source, and text."""
+    spark, schema = docs.sparkSession, "source_key long, cell long, n long"
+    found = spark.createDataFrame([], schema)
     parts = hashes.groupBy("lang").agg((F.max("part") + 1).alias("parts"))
     last = hashes.agg(F.max("wave")).first()[0]
     for wave in range(-1 if last is None else last, -1, -1):
-        rows = hashes.filter(F.col("wave") == wave).join(parts, "lang").select("lang", "part", "parts", "seed", "sizes", "bits", "keys").collect()
+        rows = hashes.filter(F.col("wave") == wave).join(parts, "lang").select("lang", "part", "parts", "shard", "seed", "sizes", "bits", "keys").collect()
         if not rows:
             continue
         sent = spark.sparkContext.broadcast([{k: [bytes(x) for x in v] if k == "keys" else bytes(v) if k == "bits" else v for k, v in r.asDict().items()} for r in rows])
-        counted = docs.mapInArrow(_recount(sent), "lang string, source string, part int, slot int, n long")
-        found = found.unionByName(cut(counted.groupBy("lang", "source", "part", "slot").agg(F.sum("n").alias("n"))))
+        found = found.unionByName(cut(docs.mapInArrow(_recount(sent), schema).groupBy("source_key", "cell").agg(F.sum("n").alias("n"))))
         sent.unpersist()
     return found
 
 
+def source_keys(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The groups (lang, source) of documents as a written table, and a seed with which a hash tells them apart."""
+    groups = cut(docs.select("lang", "source").distinct())
+    for seed in range(1 << 10):
+        if not groups.groupBy(source_key(seed).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+            return groups, seed
+    raise RuntimeError("no seed tells the groups apart")
+
+
+def source_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "lang", F.length("lang"), "source")
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Whole quotient of longs that aren't negative."""
+    return F.call_function("div", a, b)
+
+
 def share(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (count + 1) / (total + terms)), exactly."""
-    product = F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(19,0)")
-    below = (total + terms).cast("decimal(19,0)")
-    rest = F.pmod(product, below)
-    return (1 + (product - rest) / below).cast("long")
+    big = lambda c: c.cast("decimal(19,0)")
+    product, below = F.lit(SCALE).cast("decimal(10,0)") * big(count + 1), big(total + terms)
+    wide = ((product - F.pmod(product, below)) / below).cast("long")
+    return 1 + F.when(count < (1 << 63) // SCALE - 2, _div(F.lit(SCALE).cast("long") * (count + 1), total + terms)).otherwise(wide)
 
 
 def apart(p: Column, q: Column) -> Column:
-    """floor((p - q) ** 2 / q) of longs."""
-    square = (p - q) * (p - q)
-    return ((square - F.pmod(square, q)).cast("decimal(19,0)") / q.cast("decimal(19,0)")).cast("long")
+    """floor((p - q) ** 2 / q) of shares: their squares fit in a long."""
+    return _div((p - q) * (p - q), q)
 
 
 def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -273,18 +296,19 @@ def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def pair_values(counts: DataFrame, groups: DataFrame, hashes: DataFrame) -> DataFrame:
-    """lang, a, b (numbers of sources) and value of all pairs of a language's sources. counts: lang, number, part, slot, p; groups: lang, number, base."""
+    """lang, a, b (numbers of sources) and value of all pairs of a language's sources. counts: lang, number, cell, p; groups: lang, number, base."""
     tile = F.floor(F.col("number") / TILE).cast("int")
     tiles = groups.groupBy("lang").agg(F.max(tile).alias("_last"))
     others = F.sequence(F.lit(0), F.col("_last"))
     pairs = F.array_distinct(F.concat(F.transform(others, lambda x: F.struct(F.col("tile").alias("a"), x.alias("b"))), F.transform(others, lambda x: F.struct(x.alias("a"), F.col("tile").alias("b")))))
-    cells = counts.withColumn("tile", tile).join(tiles, "lang").select("lang", F.explode(pairs).alias("t"), "part", F.floor(F.col("slot") / WIDTH).cast("int").alias("block"), "tile", "number", "slot", "p", F.lit(0).alias("first"), F.lit(0).alias("width"))
-    blocks = hashes.select("lang", "part", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / WIDTH).cast("int"))).alias("block"))
+    shard, slot = F.shiftright("cell", SLOT_BITS).alias("shard"), F.col("cell").bitwiseAND((1 << SLOT_BITS) - 1).cast("int")
+    cells = counts.withColumn("tile", tile).join(tiles, "lang").select("lang", F.explode(pairs).alias("t"), shard, F.floor(slot / WIDTH).cast("int").alias("block"), "tile", "number", slot.alias("slot"), "p", F.lit(0).alias("first"), F.lit(0).alias("width"))
+    blocks = hashes.select("lang", "shard", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / WIDTH).cast("int"))).alias("block"))
     base = groups.withColumn("tile", tile).join(tiles, "lang").select("lang", F.explode(pairs).alias("t"), "tile", "number", "base").join(blocks, "lang")
     first = F.col("block") * WIDTH
-    base = base.select("lang", "t", "part", "block", "tile", "number", F.lit(-1).alias("slot"), F.col("base").alias("p"), first.alias("first"), F.least(F.lit(WIDTH), F.col("size") - first).alias("width"))
-    both = cells.unionByName(base).select("lang", F.col("t.a").alias("ta"), F.col("t.b").alias("tb"), "part", "block", "tile", "number", "slot", "p", "first", "width")
-    sums = both.groupBy("lang", "ta", "tb", "part", "block").applyInPandas(_compare, "lang string, a long, b long, value long")
+    base = base.select("lang", "t", "shard", "block", "tile", "number", F.lit(-1).alias("slot"), F.col("base").alias("p"), first.alias("first"), F.least(F.lit(WIDTH), F.col("size") - first).alias("width"))
+    both = cells.unionByName(base).select("lang", F.col("t.a").alias("ta"), F.col("t.b").alias("tb"), "shard", "block", "tile", "number", "slot", "p", "first", "width")
+    sums = both.groupBy("lang", "ta", "tb", "shard", "block").applyInPandas(_compare, "lang string, a long, b long, value long")
     return sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
@@ -295,30 +319,34 @@ def audit(docs: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP) -> DataFr
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     docs = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").cast("binary").alias("text"))
-    seen = docs.select("lang", "text").filter(F.length("text") > 0).mapInArrow(_frequencies, "lang string, term binary, n long")
+    spoken = docs.filter(F.length("text") > 0)
+    seen = spoken.select("lang", "text").mapInArrow(_frequencies, "lang string, term binary, n long")
     kept = cut(seen.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "term"))
     hashes = shards(kept)
-    counts = recount(docs, hashes)
+    groups, seed = source_keys(docs)
+    counts = recount(spoken.select("lang", source_key(seed).alias("source_key"), "text"), hashes)
 
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("source_key").agg(F.sum("n").alias("total"))
     terms = hashes.groupBy("lang").agg(F.sum("size").cast("long").alias("terms"))
     number = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")
-    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(terms, "lang", "left")
-    groups = cut(groups.select("lang", "source", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("terms", F.lit(0)).cast("long").alias("terms")).withColumn("number", number))
-    shared = cut(counts.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms"))).select("lang", "source", "number", "part", "slot", "n", "p"))
+    groups = groups.withColumn("source_key", source_key(seed)).join(totals, "source_key", "left").join(terms, "lang", "left")
+    groups = cut(groups.select("lang", "source", "source_key", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("terms", F.lit(0)).cast("long").alias("terms")).withColumn("number", number))
+    own = groups.select("source_key", "lang", "number", "total", "terms")
+    shared = cut(counts.join(own, "source_key").select("lang", "source_key", "number", "cell", "n", share(F.col("n"), F.col("total"), F.col("terms")).alias("p")))
 
-    base = groups.filter("terms > 0").withColumn("base", share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))).select("lang", "number", "base")
-    values = pair_values(shared.select("lang", "number", "part", "slot", "p"), base, hashes)
+    base = groups.filter("terms > 0").select("lang", "number", share(F.lit(0).cast("long"), F.col("total"), F.col("terms")).alias("base"))
+    values = pair_values(shared.select("lang", "number", "cell", "p"), base, hashes)
     names = groups.select("lang", "number", "source")
     every = names.join(names.select("lang", F.col("number").alias("b"), F.col("source").alias("item")), "lang").filter("number <> b").withColumnRenamed("number", "a")
     pairs = every.join(values, ["lang", "a", "b"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
     whole = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("terms").alias("terms"))
-    spoken = shared.groupBy("lang", "part", "slot").agg(F.sum("n").alias("n"))
-    spoken = spoken.join(whole, "lang").select("lang", "part", "slot", share(F.col("n"), F.col("total"), F.col("terms")).alias("q"))
-    words = hashes.select("lang", "part", F.posexplode("keys").alias("slot", "term"))
-    found = shared.join(spoken, ["lang", "part", "slot"]).filter("p > q").join(words, ["lang", "part", "slot"])
-    found = found.select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
+    of_lang = shared.groupBy("lang", "cell").agg(F.sum("n").alias("n")).join(whole, "lang").select("cell", share(F.col("n"), F.col("total"), F.col("terms")).alias("q"))
+    more = shared.select("source_key", "cell", "p").join(of_lang, "cell").filter("p > q").select("source_key", "cell", apart(F.col("p"), F.col("q")).alias("value"))
+    # those of the highest values, and all that are equal to the last of them, get their names
+    rank = F.rank().over(Window.partitionBy("source_key").orderBy(F.desc("value")))
+    words = hashes.select("shard", F.posexplode("keys").alias("slot", "term")).select((F.shiftleft("shard", SLOT_BITS) + F.col("slot")).alias("cell"), F.col("term").cast("string").alias("item"))
+    found = more.withColumn("_rank", rank).filter(F.col("_rank") <= top).join(words, "cell").join(groups.select("source_key", "lang", "source"), "source_key")
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    found = found.select("lang", "source", F.lit("term").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return pairs.withColumn("rank", F.row_number().over(order)).unionByName(found)
