@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -108,36 +108,117 @@ def best_title_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield pd.Series([max((SequenceMatcher(None, t, k).ratio() for k in ks), default=0.0) if t and ks is not None else 0.0 for t, ks in zip(titles, known, strict=True)], dtype=float)
 
 
-def resolve_items(items: DataFrame, novels: DataFrame, titles: DataFrame, threshold: float = 0.84) -> DataFrame:
-    """(platform, platform_novel_id, novel_uid, matched_by) of the items that are stored ones: by their id ("id"), else the most similar at or
-    above the threshold ("similarity"). Others have no row; they are new.
+#: Novels of a chapter title (and author), beyond which candidates must share one of their introductions' rare words too.
+FREQUENT = 64
+KEYS = ["platform", "platform_novel_id"]
 
-    items are canonical records, one a key, with chapter_titles, an array of normalised titles or null. Candidates are of the same platform
-    and author, or of any author if the item has none. All of them are scored that can reach the threshold: words, sequence, title and
-    category alone give less than 0.84, so a match shares a chapter title, and candidates are found by an equi-join on these. With a threshold
-    that needs no chapters that join would lose some, so it is refused. Of equal scores the newest, then the smallest uid counts.
+
+def least_jaccards(threshold: float) -> tuple[float, float]:
+    """The least similarities of introductions' words and of chapter titles with which match_score can reach the threshold, all else being equal."""
+    return ((threshold - 0.38) / 0.65 - 0.35) / 0.65, (threshold - 0.78) / 0.25
+
+
+def _side(rows: DataFrame, node: Column) -> DataFrame:
+    """What candidates are found by: _node, platform, _author, _sig and _words."""
+    words = F.array_distinct(T.tokenize(F.coalesce("intro_norm", F.lit(""))))
+    return rows.select(node.alias("_node"), "platform", F.coalesce("author_norm", F.lit("")).alias("_author"), "_sig", words.alias("_words")).filter((F.size("_sig") > 0) & (F.size("_words") > 0))
+
+
+def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (_left, _right) of nodes that can reach the threshold: a superset of the matches, without comparing all that share a frequent title.
+
+    An entry of the index is a platform, an author or any, and a chapter title; items without an author use the entries of any author. Of an item's titles those
+    of the shortest entries count, as many as the least similarity of titles needs. Entries of more than FREQUENT novels are split by the rare words of introductions,
+    of which two that reach the threshold share one.
+    """
+    least_words, least_titles = least_jaccards(threshold)
+    both = left.select("_node", "_words").unionByName(right.select("_node", "_words"))
+    rare = _prefixes(both.withColumnRenamed("_node", "_h"), least_words).select(F.col("_h").alias("_node"), "_word")
+    entry = ["platform", "_by", "_title"]
+    routes = F.explode(F.array(F.col("_author"), F.lit(None).cast("string")))
+    held = right.select("_node", "platform", routes.alias("_by"), "_sig").select("_node", "platform", F.coalesce(F.concat(F.lit("="), "_by"), F.lit("")).alias("_by"), F.explode("_sig").alias("_title"))
+    sizes = held.groupBy(*entry).agg(F.count(F.lit(1)).alias("_often"))
+    by = F.when(F.col("_author") == "", "").otherwise(F.concat(F.lit("="), "_author"))
+    asked = left.select(F.col("_node").alias("_left"), "platform", by.alias("_by"), F.size("_sig").alias("_n"), F.explode("_sig").alias("_title")).join(sizes, entry)
+    order = Window.partitionBy("_left").orderBy("_often", "_title")
+    # of titles that no stored item has all are missed, so they take none of the places
+    needed = F.col("_n") - F.ceil(least_titles * F.col("_n") - 1e-6) + 1
+    missed = F.col("_n") - F.count(F.lit(1)).over(Window.partitionBy("_left"))
+    asked = asked.withColumns({"_at": F.row_number().over(order), "_some": needed - missed}).filter("_at <= _some").select("_left", *entry, "_often")
+    few = asked.filter(F.col("_often") <= FREQUENT).join(held, entry).select("_left", F.col("_node").alias("_right"))
+    many = asked.filter(F.col("_often") > FREQUENT)
+    split = many.join(rare.withColumnRenamed("_node", "_left"), "_left")
+    hold = held.join(many.select(*entry).distinct(), entry, "left_semi").join(rare, "_node")
+    lots = split.join(hold, [*entry, "_word"]).select("_left", F.col("_node").alias("_right"))
+    return few.unionByName(lots).distinct()
+
+
+def _records(items: DataFrame) -> DataFrame:
+    return items.select(*KEYS, "title_norm", "author_norm", "intro_norm", "main_category", F.array_distinct("chapter_titles").alias("_sig"))
+
+
+def best_matches(items: DataFrame, novels: DataFrame, titles: DataFrame, threshold: float = 0.84, among: bool = False) -> DataFrame:
+    """platform, platform_novel_id, and novel_uid or root_id, of the items whose best match scores at least the threshold.
+
+    items are canonical records of new ids, one an id. With `among`, an item is also compared with the items of smaller ids: its match may be one of
+    these, root_id, which may itself match another. Of equal scores the newest counts (items before stored novels), then the smallest uid or id.
     """
     if threshold <= 0.65 + 0.10 + 0.03:
         raise ValueError("a threshold of 0.78 or less can be reached without a common chapter title")
-    keys = ["platform", "platform_novel_id"]
-    by_id = items.select(*keys).join(novels.select(*keys, "novel_uid"), keys).withColumn("matched_by", F.lit("id"))
-    rest = items.join(novels.select(*keys), keys, "left_anti").select(*keys, "title_norm", "author_norm", "intro_norm", "main_category", F.array_distinct("chapter_titles").alias("_sig"))
-    stored_sig = F.array_distinct(F.from_json("signature_json", "chapter_title_sig array<string>").chapter_title_sig)
-    stored = novels.select(F.col("platform").alias("_platform"), F.col("novel_uid").alias("_uid"), F.col("author_norm").alias("_author"), F.col("intro_norm").alias("_intro"), F.col("main_category").alias("_category"), F.col("last_seen_date").alias("_seen"), stored_sig.alias("_stored_sig"))
-    on = (F.col("platform") == F.col("_platform")) & (F.col("_chapter") == F.col("_stored_chapter")) & ((F.coalesce("author_norm", F.lit("")) == "") | (F.col("author_norm") == F.col("_author")))
-    shared = rest.withColumn("_chapter", F.explode("_sig")).join(stored.withColumn("_stored_chapter", F.explode("_stored_sig")), on).drop("_chapter", "_stored_chapter")
-    pairs = shared.dropDuplicates([*keys, "_uid"])
+    own = _records(items)
+    item_node, novel_node = F.concat(F.lit("i"), "platform_novel_id"), F.concat(F.lit("n"), F.col("novel_uid").cast("string"))
+    sig = F.array_distinct(F.from_json("signature_json", "chapter_title_sig array<string>").chapter_title_sig)
+    stored = novels.withColumn("_sig", sig)
+    left, right = _side(own, item_node), _side(stored, novel_node)
+    if among:
+        right = right.unionByName(left)
+    found = candidates(left, right, threshold).filter((F.substring("_right", 1, 1) == "n") | (F.col("_right") < F.col("_left")))
+    fields = lambda df, node, mark: df.select(node.alias("_right"), F.col("platform").alias("_platform"), F.col("author_norm").alias("_author"), F.col("intro_norm").alias("_intro"), F.col("main_category").alias("_category"), F.col("_sig").alias("_other"), *mark)
+    seen = fields(stored, novel_node, [F.col("novel_uid").alias("_uid"), F.lit(None).cast("string").alias("_id"), F.col("last_seen_date").alias("_seen"), F.lit(1).alias("_stored")])
+    if among:
+        seen = seen.unionByName(fields(own, item_node, [F.lit(None).cast("long").alias("_uid"), F.col("platform_novel_id").alias("_id"), F.lit(None).cast("date").alias("_seen"), F.lit(0).alias("_stored")]))
+    pairs = own.withColumn("_left", item_node).join(found, "_left").join(seen, "_right").filter((F.col("platform") == F.col("_platform")) & ((F.coalesce("author_norm", F.lit("")) == "") | (F.col("author_norm") == F.col("_author"))))
     words = T.jaccard(T.tokenize(F.coalesce("intro_norm", F.lit(""))), T.tokenize(F.coalesce("_intro", F.lit(""))))
-    chapters = T.jaccard(F.col("_sig"), F.col("_stored_sig"))
+    chapters = T.jaccard(F.col("_sig"), F.col("_other"))
     same = (F.col("main_category") != "") & (F.col("main_category") == F.col("_category"))
     # the parts that need Python are at most 1 each: pairs that can't reach the threshold don't go there
     most = match_score(0.65 * words + 0.35, chapters, F.lit(1.0), same)
-    pairs = pairs.withColumns({"_words": words, "_chapters": chapters, "_same": F.coalesce(same, F.lit(False))}).filter(most >= threshold - 1e-9)
-    known = titles.join(pairs.select(F.col("_uid").alias("novel_uid")).distinct(), "novel_uid", "left_semi").groupBy("novel_uid").agg(F.collect_set("title_norm").alias("_titles"))
+    pairs = pairs.withColumns({"_jaccard": words, "_chapters": chapters, "_same": F.coalesce(same, F.lit(False))}).filter(most >= threshold - 1e-9)
+    known = titles.join(pairs.select(F.col("_uid").alias("novel_uid")).distinct(), "novel_uid", "left_semi").groupBy("novel_uid").agg(F.collect_set("title_norm").alias("_known"))
     pairs = pairs.join(known.withColumnRenamed("novel_uid", "_uid"), "_uid", "left")
+    if among:
+        titled = own.select(F.col("platform").alias("_platform"), F.col("platform_novel_id").alias("_id"), F.array("title_norm").alias("_own_title"))
+        pairs = pairs.join(titled, ["_platform", "_id"], "left").withColumn("_known", F.coalesce("_own_title", "_known"))
     both = (F.coalesce("intro_norm", F.lit("")) != "") & (F.coalesce("_intro", F.lit("")) != "")
-    pairs = pairs.withColumns({"_ratio": F.when(both, sequence_ratio("intro_norm", "_intro")).otherwise(0.0), "_title": best_title_ratio("title_norm", "_titles")})
-    pairs = pairs.withColumn("score", match_score(0.65 * F.col("_words") + 0.35 * F.col("_ratio"), F.col("_chapters"), F.col("_title"), F.col("_same"))).filter(F.col("score") >= threshold)
-    best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("_seen"), "_uid")
-    similar = pairs.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*keys, F.col("_uid").alias("novel_uid"), F.lit("similarity").alias("matched_by"))
-    return by_id.unionByName(similar)
+    pairs = pairs.withColumns({"_ratio": F.when(both, sequence_ratio("intro_norm", "_intro")).otherwise(0.0), "_title": best_title_ratio("title_norm", "_known")})
+    pairs = pairs.withColumn("score", match_score(0.65 * F.col("_jaccard") + 0.35 * F.col("_ratio"), F.col("_chapters"), F.col("_title"), F.col("_same"))).filter(F.col("score") >= threshold)
+    best = Window.partitionBy(*KEYS).orderBy(F.desc("score"), "_stored", F.desc("_seen"), "_uid", "_id")
+    return pairs.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*KEYS, F.col("_uid").alias("novel_uid"), F.col("_id").alias("root_id"))
+
+
+def follow(matches: DataFrame, once: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """Matches whose root_id is itself matched are given that one's match, until each has a stored novel or an item that is new. Each step doubles the reach."""
+    step = 0
+    while not matches.filter("root_id is not null").isEmpty():
+        to = matches.select("platform", F.col("platform_novel_id").alias("root_id"), F.col("novel_uid").alias("_uid"), F.col("root_id").alias("_next"), F.lit(True).alias("_more"))
+        joined = matches.join(to, ["platform", "root_id"], "left")
+        moved = once(joined.select(*KEYS, F.coalesce("novel_uid", "_uid").alias("novel_uid"), F.when(F.col("_uid").isNull(), F.coalesce("_next", "root_id")).alias("root_id"), F.coalesce("_more", F.lit(False)).alias("_more")), f"followed{step}")
+        more = not moved.filter("_more").isEmpty()
+        matches, step = moved.drop("_more"), step + 1
+        if not more:
+            break
+    return matches
+
+
+def resolve_items(items: DataFrame, novels: DataFrame, titles: DataFrame, threshold: float = 0.84) -> DataFrame:
+    """(platform, platform_novel_id, novel_uid, matched_by) of the items that are stored ones: by their id ("id"), else the most similar at or
+    above the threshold ("similarity"). Others have no row; they are new.
+
+    items are canonical records, one a key, with chapter_titles, an array of normalised titles or null. Candidates are of the same platform
+    and author, or of any author if the item has none. All of them are scored that can reach the threshold: words, sequence, title and
+    category alone give less than 0.84, so a match shares chapter titles and words of the introduction, and candidates are found by equi-joins on
+    these. With a threshold that needs no chapters that would lose some, so it is refused. Of equal scores the newest, then the smallest uid counts.
+    """
+    by_id = items.select(*KEYS).join(novels.select(*KEYS, "novel_uid"), KEYS).withColumn("matched_by", F.lit("id"))
+    rest = items.join(novels.select(*KEYS), KEYS, "left_anti")
+    return by_id.unionByName(best_matches(rest, novels, titles, threshold).select(*KEYS, "novel_uid", F.lit("similarity").alias("matched_by")))

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankpulse.functions import text as T
-from rankpulse.operators.resolve import resolve_items
+from rankpulse.operators.resolve import KEYS, best_matches, follow
 from rankpulse.schema import SCHEMAS, Tables
 
+SIGNATURE = "struct<intro_sha1:string,chapter_title_sig:array<string>>"
+
+
+def merge_signatures(old: Column, new: Column) -> Column:
+    """A stored signature with the parts that it hasn't got from another; both are JSON texts, and what can't be read as such has no parts."""
+    a, b = F.from_json(old, SIGNATURE), F.from_json(new, SIGNATURE)
+    intro = F.coalesce(F.nullif(a.intro_sha1, F.lit("")), F.nullif(b.intro_sha1, F.lit("")))
+    titles = F.coalesce(*[F.when(F.size(x.chapter_title_sig) > 0, x.chapter_title_sig) for x in (a, b)])
+    return F.to_json(F.struct(intro.alias("intro_sha1"), titles.alias("chapter_title_sig")))
+
+
 #: What becomes of a column when a key exists: the old and the new value.
 RULES = {
     "overwrite": lambda old, new: new,
@@ -18,11 +29,12 @@ RULES = {
     "if_given": lambda old, new: F.when(F.coalesce(new, F.lit("")) != "", new).otherwise(old),
     "if_positive": lambda old, new: F.when(F.coalesce(new, F.lit(0)) > 0, new).otherwise(old),
     "fill": lambda old, new: F.coalesce(old, new),
+    "signature": merge_signatures,
     "min": lambda old, new: F.least(old, new),
     "max": lambda old, new: F.greatest(old, new),
 }
 
-NOVEL_RULES = {"platform_novel_id": "overwrite", "author": "overwrite", "author_norm": "overwrite", "intro": "overwrite", "intro_norm": "overwrite", "status": "overwrite", "main_category": "if_given", "url": "if_given", "total_words": "if_positive", "signature_json": "fill", "created_date": "keep", "last_seen_date": "overwrite"}
+NOVEL_RULES = {"platform_novel_id": "overwrite", "author": "overwrite", "author_norm": "overwrite", "intro": "overwrite", "intro_norm": "overwrite", "status": "overwrite", "main_category": "if_given", "url": "if_given", "total_words": "if_positive", "signature_json": "signature", "created_date": "keep", "last_seen_date": "overwrite"}
 TITLE_RULES = {"title": "keep", "first_seen_date": "min", "last_seen_date": "max", "is_primary": "keep"}
 LIST_RULES = {"source_url": "if_given"}
 SNAPSHOT_RULES = {"item_count": "overwrite"}
@@ -111,17 +123,39 @@ def canonical(items: DataFrame) -> DataFrame:
 
 
 def signature(novels: DataFrame) -> Column:
-    """What a novel is recognised by: a hash of its introduction and, where known, the titles of its first chapters."""
-    return F.to_json(F.struct(T.sha1_hex(F.col("intro_norm")).alias("intro_sha1"), F.when(F.size("chapter_titles") > 0, F.col("chapter_titles")).alias("chapter_title_sig")))
+    """What a novel is recognised by: a hash of its introduction, if it has one, and, where known, the titles of its first chapters."""
+    intro = F.when(F.coalesce("intro_norm", F.lit("")) != "", T.sha1_hex(F.col("intro_norm")))
+    return F.to_json(F.struct(intro.alias("intro_sha1"), F.when(F.size("chapter_titles") > 0, F.col("chapter_titles")).alias("chapter_title_sig")))
+
+
+def _newcomers(good: DataFrame, novels: DataFrame) -> DataFrame:
+    """The first record of each id that isn't stored, if it has chapters: only such can match."""
+    first = newest(good.join(novels.select(*KEYS), KEYS, "left_anti"), KEYS, F.asc_nulls_first("snapshot_date"), "rank_list_id", "rank")
+    return first.filter(F.size("chapter_titles") > 0)
+
+
+def _folded(good: DataFrame) -> DataFrame:
+    """One row for each novel_uid of resolved records, with what they come to if each is saved after the one before, by day, then id."""
+    at = F.struct("snapshot_date", "platform_novel_id", -F.col("rank_list_id"), -F.col("rank"))
+    last = [F.max_by(c, at).alias(c) for c in ("platform", "platform_novel_id", "author", "author_norm", "intro", "intro_norm", "status")]
+    given = [F.max_by(c, F.when(F.col(c) != "", at)).alias(c) for c in ("main_category", "url")]
+    filled = [F.min_by(F.when(full, F.col(c)), F.when(full, at)).alias(f"_{c}") for c, full in (("intro_norm", F.col("intro_norm") != ""), ("chapter_titles", F.size("chapter_titles") > 0))]
+    days = [F.min("snapshot_date").alias("created_date"), F.max("snapshot_date").alias("last_seen_date")]
+    rows = good.groupBy("novel_uid").agg(*last, *given, F.max_by("total_words", F.when(F.col("total_words") > 0, at)).alias("total_words"), *filled, *days)
+    sig = rows.select("*", F.to_json(F.struct(T.sha1_hex(F.col("_intro_norm")).alias("intro_sha1"), F.col("_chapter_titles").alias("chapter_title_sig"))).alias("signature_json"))
+    return sig.withColumns({"main_category": F.coalesce("main_category", F.lit("")), "url": F.coalesce("url", F.lit("")), "total_words": F.coalesce("total_words", F.lit(0).cast("long"))})
 
 
 def save_snapshots(tables: Tables, items: DataFrame, make_title_primary: bool = False, threshold: float = 0.84, work: str | None = None) -> Tables:
     """All tables after one batch of items (crawl records with their list and date). Running it twice gives the same tables.
 
-    Items are resolved by (platform, platform_novel_id), else by similarity (resolve_items), else they are new. A stored novel that is
-    recognised takes the platform id of its newest item, and the item's title as an alias. With a new folder `work`, which all executors see, what
-several tables are made from is written there once instead of being computed for each. The result is a set of lazy tables: write them all to a new folder, then
-    point readers at it.
+    Items are resolved by (platform, platform_novel_id), else by similarity (best_matches), else they are new. A novel that is
+    recognised takes the platform id of its newest item, and the item's title as an alias. Days are saved one after the other: a new id is compared with the
+    novels as they were when its day began, and with the new ids of that day before it, so a match may be in the same batch and lead on to another. Days
+    on which nobody can be recognised are saved together. So the novels don't depend on how days are cut into batches.
+
+    With a new folder `work`, which all executors see, what several tables are made from is written there once instead of being computed for
+    each. The result is a set of lazy tables: write them all to a new folder, then point readers at it.
     """
 
     def once(df: DataFrame, name: str) -> DataFrame:
@@ -130,13 +164,41 @@ several tables are made from is written there once instead of being computed for
         df.write.parquet(f"{work}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{work}/{name}")
 
-    good = once(canonical(valid_items(items)[0]), "items")
-    out = dict(tables)
-    list_keys, snap_keys, novel_keys = ["platform", "rank_family", "rank_sub_cat"], ["rank_list_id", "snapshot_date"], ["platform", "platform_novel_id"]
-    lists = newest(good.select(*list_keys, "source_url", "snapshot_date"), list_keys, F.desc("snapshot_date"), F.desc("source_url")).drop("snapshot_date")
+    rest = once(canonical(valid_items(items)[0]), "items")
+    list_keys = ["platform", "rank_family", "rank_sub_cat"]
+    lists = newest(rest.select(*list_keys, "source_url", "snapshot_date"), list_keys, F.desc("snapshot_date"), F.desc("source_url")).drop("snapshot_date")
     lists = once(lists.join(with_ids(tables["rank_lists"], lists, list_keys, "rank_list_id"), list_keys), "lists")
-    out["rank_lists"] = upsert(tables["rank_lists"], lists, list_keys, LIST_RULES)
-    good = good.join(lists.select(*list_keys, "rank_list_id"), list_keys)
+    rest = once(rest.join(lists.select(*list_keys, "rank_list_id"), list_keys), "listed")
+    out = dict(tables) | {"rank_lists": upsert(tables["rank_lists"], lists, list_keys, LIST_RULES)}
+    for step in range(1 << 20):
+        stage = lambda df, name, step=step: once(df, f"{name}{step}")
+        fresh = stage(_newcomers(rest, out["novels"]), "newcomers")
+        days = [r[0] for r in fresh.select("snapshot_date").distinct().orderBy(F.asc_nulls_first("snapshot_date")).collect()]
+        first = rest.orderBy(F.asc_nulls_first("snapshot_date")).select("snapshot_date").first() if days else None
+        matches, stop = None, days[0] if days else None
+        if days and days[0] == first[0]:
+            of_day = fresh.filter(F.col("snapshot_date").eqNullSafe(F.lit(first[0]).cast("date")))
+            found = stage(best_matches(of_day, out["novels"], out["novel_titles"], threshold, among=True), "matches")
+            matches = follow(found, lambda df, name, step=step: once(df, f"{name}_{step}"))
+            # an id that a recognised novel loses is new again on a later day
+            lost = out["novels"].join(matches.select("novel_uid").distinct(), "novel_uid", "left_semi").select(*KEYS)
+            day = F.lit(first[0]).cast("date")
+            again = rest.join(lost, KEYS, "left_semi").filter(F.col("snapshot_date").isNotNull() & (day.isNull() | (F.col("snapshot_date") > day))).agg(F.min("snapshot_date")).first()[0]
+            stop = min((d for d in (days[1] if len(days) > 1 else None, again) if d is not None), default=None)
+        last = stop is None
+        now = rest if last else rest.filter(F.col("snapshot_date").isNull() | (F.col("snapshot_date") < F.lit(stop)))
+        out = _save_days(out, now, matches, make_title_primary, stage)
+        if last:
+            return out
+        out = {name: stage(df, f"table_{name}") for name, df in out.items()}
+        rest = rest.filter(F.col("snapshot_date") >= F.lit(stop))
+    raise RuntimeError("too many days")
+
+
+def _save_days(tables: Tables, good: DataFrame, matches: DataFrame | None, make_title_primary: bool, once: Callable[[DataFrame, str], DataFrame]) -> Tables:
+    """All tables after records with their list's id, of which those in matches (KEYS with novel_uid, or root_id of a new item) are known under another id."""
+    out = dict(tables)
+    snap_keys = ["rank_list_id", "snapshot_date"]
     snaps = good.groupBy(*snap_keys).agg(F.count(F.lit(1)).cast("int").alias("item_count"))
     snaps = once(snaps.join(with_ids(tables["rank_snapshots"], snaps, snap_keys, "snapshot_id"), snap_keys), "snapshots")
     out["rank_snapshots"] = upsert(tables["rank_snapshots"], snaps, snap_keys, SNAPSHOT_RULES)
@@ -144,21 +206,23 @@ several tables are made from is written there once instead of being computed for
     tags = newest(tags, ["tag_norm"], F.desc("snapshot_date"), "tag_name").drop("snapshot_date")
     tags = once(tags.join(with_ids(tables["tags"], tags, ["tag_norm"], "tag_id"), "tag_norm"), "tags")
     out["tags"] = upsert(tables["tags"], tags, ["tag_norm"], TAG_RULES)
-    last = once(newest(good, novel_keys, F.desc("snapshot_date"), "rank_list_id", "rank"), "last")
-    similar = resolve_items(last, tables["novels"], tables["novel_titles"], threshold).filter("matched_by = 'similarity'")
-    ids = once(with_ids(tables["novels"].select(*novel_keys, "novel_uid").unionByName(similar.drop("matched_by")), last, novel_keys, "novel_uid"), "ids")
-    good = once(good.join(ids, novel_keys), "resolved")
-    first = good.groupBy("novel_uid").agg(F.min("snapshot_date").alias("created_date"))
-    novels = newest(last.join(ids, novel_keys), ["novel_uid"], F.desc("snapshot_date"), "platform_novel_id").join(first, "novel_uid")
-    novels = novels.withColumns({"last_seen_date": F.col("snapshot_date"), "signature_json": signature(novels)})
-    out["novels"] = upsert(tables["novels"], novels, ["novel_uid"], NOVEL_RULES)
+    keys = good.select(*KEYS).distinct()
+    known = tables["novels"].select(*KEYS, "novel_uid")
+    if matches is None:
+        ids = with_ids(known, keys, KEYS, "novel_uid")
+    else:
+        roots = keys.join(matches, KEYS, "left").withColumn("root_id", F.coalesce("root_id", "platform_novel_id"))
+        root_keys = roots.filter("novel_uid is null").select("platform", F.col("root_id").alias("platform_novel_id"))
+        made = with_ids(known, root_keys, KEYS, "novel_uid").select("platform", F.col("platform_novel_id").alias("root_id"), F.col("novel_uid").alias("_made"))
+        ids = roots.join(made, ["platform", "root_id"], "left").select(*KEYS, F.coalesce("novel_uid", "_made").alias("novel_uid"))
+    good = once(good.join(once(ids, "ids"), KEYS), "resolved")
+    out["novels"] = upsert(tables["novels"], _folded(good), ["novel_uid"], NOVEL_RULES)
     title_keys = ["novel_uid", "title_norm"]
-    titles = good.groupBy(*title_keys).agg(F.min_by("title", "snapshot_date").alias("title"), F.min("snapshot_date").alias("first_seen_date"), F.max("snapshot_date").alias("last_seen_date"))
+    titles = good.groupBy(*title_keys).agg(F.min_by("title", F.struct("snapshot_date", "platform_novel_id")).alias("title"), F.min("snapshot_date").alias("first_seen_date"), F.max("snapshot_date").alias("last_seen_date"))
     titles = titles.join(with_ids(tables["novel_titles"], titles, title_keys, "title_id"), title_keys).withColumn("is_primary", F.lit(0))
     merged = upsert(tables["novel_titles"], titles, title_keys, TITLE_RULES)
     if not make_title_primary:
-        has = Window.partitionBy("novel_uid")
-        primary = F.max("is_primary").over(has) == 1
+        primary = F.max("is_primary").over(Window.partitionBy("novel_uid")) == 1
         order = Window.partitionBy("novel_uid").orderBy("first_seen_date", "title_id")
         out["novel_titles"] = merged.withColumn("is_primary", F.when(primary, F.col("is_primary")).otherwise((F.row_number().over(order) == 1).cast("int")))
     else:
@@ -181,26 +245,40 @@ def upsert_chapters(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(existing, good, keys, CHAPTER_RULES)
 
 
+def opening_titles(chapters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys and chapter_titles, the signature of the first chapters that each item has in this table, by number; a number's newest title counts."""
+    rows = newest(chapters.filter((F.col("chapter_num") >= 0) & (T.strip(F.coalesce("chapter_title", F.lit(""))) != "")), [*keys, "chapter_num"], F.desc("publish_date"), F.desc("chapter_content"), "chapter_title")
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("chapter_num", "chapter_title"))), lambda x: x.chapter_title)
+    return rows.groupBy(*keys).agg(titles.alias("_titles")).select(*keys, T.title_signature(F.col("_titles")).alias("chapter_titles"))
+
+
+def fill_signatures(novels: DataFrame, signatures: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Novels whose signatures have got the parts they lacked from others: signatures has keys and signature_json, one row a key."""
+    rules = dict.fromkeys(novels.columns, "keep") | {"signature_json": "signature"}
+    return upsert(novels, signatures.join(novels.select(*keys), list(keys), "left_semi"), keys, rules)
+
+
 def save_chapters(tables: Tables, chapters: DataFrame) -> Tables:
     """All tables after a batch of chapters of items named by platform and platform_novel_id, with the item's title if known (else null).
 
     Items that aren't stored are created with what a chapter says of them: the title, or "unknown", the day it was seen and the titles of
-    its first chapters as signature.
+    its first chapters as signature. Stored items whose signature has no chapters get these titles too.
     """
-    keys = ["platform", "platform_novel_id"]
+    keys = KEYS
     ids = with_ids(tables["novels"], chapters, keys, "novel_uid")
+    opened = opening_titles(chapters, keys)
     fresh = chapters.join(tables["novels"].select(*keys), keys, "left_anti").groupBy(*keys).agg(
         F.coalesce(F.max("title"), F.lit("unknown")).alias("title"), F.min("publish_date").alias("created_date"), F.max("publish_date").alias("last_seen_date"),
-        F.transform(F.array_sort(F.collect_list(F.struct("chapter_num", "chapter_title"))), lambda x: x.chapter_title).alias("_titles"),
-    ).join(ids, keys).withColumn("chapter_titles", T.title_signature(F.col("_titles")))
+    ).join(ids, keys).join(opened, keys, "left")
     empty = {c: F.lit("") for c in ("author", "author_norm", "intro", "intro_norm", "main_category", "status", "url")}
     novels = fresh.withColumns(empty | {"total_words": F.lit(0).cast("long")})
     novels = novels.withColumn("signature_json", signature(novels))
+    known = opened.withColumn("signature_json", F.to_json(F.struct(F.col("chapter_titles").alias("chapter_title_sig")))).select(*keys, "signature_json")
     titles = fresh.select("novel_uid", "title", T.normalize_text(F.col("title")).alias("title_norm"), F.col("created_date").alias("first_seen_date"), "last_seen_date", F.lit(1).alias("is_primary"))
     titles = titles.join(with_ids(tables["novel_titles"], titles, ["novel_uid", "title_norm"], "title_id"), ["novel_uid", "title_norm"])
     rows = chapters.join(ids, keys)
     return dict(tables) | {
-        "novels": tables["novels"].unionByName(novels.select(*tables["novels"].columns)),
+        "novels": fill_signatures(tables["novels"], known, keys).unionByName(novels.select(*tables["novels"].columns)),
         "novel_titles": upsert(tables["novel_titles"], titles, ["novel_uid", "title_norm"], TITLE_RULES),
         "first_n_chapters": upsert_chapters(tables["first_n_chapters"], rows.select(*[c for c in tables["first_n_chapters"].columns if c in rows.columns])),
     }

@@ -217,8 +217,19 @@ SQL |= {
     "new_entry_table": SQL["new_entry_ratio"] + " order by new_entry_ratio desc, platform, tag_u limit 30",
     "title_aliases": STAR + """select novel_uid, p_name as title, 1 as is_primary, case when novel_uid % 4 = 2 then greatest(last_seen_date, date '1999-06-01') else last_seen_date end as last_seen_date from novels
 union all select novel_uid, p_name || ' II', 0, date '1999-06-01' from novels where novel_uid % 4 = 0""",
-    "resolve_items": STAR + """select platform, case when novel_uid % 3 = 0 then platform_novel_id else 'new' || platform_novel_id end as platform_novel_id,
-  case when novel_uid % 3 < 2 then novel_uid end as novel_uid, case novel_uid % 3 when 0 then 'id' when 1 then 'similarity' end as matched_by from novels""",
+    # an introduction or title that isn't equal (but for the suffix) counts as its upper bound: it can neither win nor reach the threshold then
+    "resolve_items": STAR + """, i as (select novel_uid, platform, author_norm, main_category, last_seen_date, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: x <> '')[:5]) as sig, lower(p_name) as title, intro_norm,
+    list_distinct(list_filter(string_split(intro_norm, ' '), lambda x: x <> '')) as words, novel_uid % 3 as kind,
+    case when novel_uid % 3 = 0 then platform_novel_id else 'new' || platform_novel_id end as platform_novel_id from (select n.*, lower(intro) as intro_norm, lower(author) as author_norm from novels n)
+), j as (select a.platform, a.platform_novel_id, b.novel_uid, b.last_seen_date, a.main_category = b.main_category as same, len(list_intersect(a.sig, b.sig)) / len(list_distinct(list_concat(a.sig, b.sig))) as chapters,
+    case when a.kind = 1 then len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) else 0 end as jaccard,
+    case when a.kind = 1 and a.intro_norm = b.intro_norm then 1.0 when a.kind = 1 then 2.0 * least(length(a.intro_norm), length(b.intro_norm)) / (length(a.intro_norm) + length(b.intro_norm)) else 2.0 * least(19, length(b.intro_norm)) / (19 + length(b.intro_norm)) end as ratio,
+    case when a.title = b.title then 2.0 * length(a.title) / (2 * length(a.title) + 3) else 1.0 end as title
+  from i a join i b on a.platform = b.platform and a.author_norm = b.author_norm and list_has_any(a.sig, b.sig) where a.kind > 0
+), k as (select *, 0.65 * (0.65 * jaccard + 0.35 * ratio) + 0.25 * chapters + 0.10 * title + case when same then 0.03 else 0 end as score from j
+), m as (select *, row_number() over (partition by platform, platform_novel_id order by round(score, 9) desc, last_seen_date desc, novel_uid) as n from k where score >= 0.84)
+select i.platform, i.platform_novel_id, case when i.kind = 0 then i.novel_uid else m.novel_uid end as novel_uid, case when i.kind = 0 then 'id' when m.novel_uid is not null then 'similarity' end as matched_by
+from i left join m on m.platform = i.platform and m.platform_novel_id = i.platform_novel_id and m.n = 1 and i.kind > 0""",
 }
 SQL = {k: "with " + v for k, v in SQL.items()}
 SQL["category_split"] = """select p_partkey, case when p_partkey % 2 = 0 then p_type when starts_with(p_type, 'STANDARD') then 'STANDARD' when starts_with(p_type, 'SMALL') then 'SMALL' when starts_with(p_type, 'MEDIUM') then 'MEDIUM'
