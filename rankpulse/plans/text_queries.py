@@ -125,11 +125,10 @@ def upsert_chapters(spark: SparkSession, d: str) -> DataFrame:
 def signature_merge(spark: SparkSession, d: str) -> DataFrame:
     """Signatures of conversations from their first titles, filled where a stored one is absent."""
     c = table(spark, d, "conversations")
-    titles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x.role)
-    sig = c.groupBy("conv_id").agg(titles.alias("t")).withColumn("sig", T.title_signature(F.col("t"), 5))
-    stored = F.when(F.col("conv_id") % 3 == 0, F.lit('{"chapter_title_sig":["stored"]}'))
-    old = F.from_json(stored, "struct<chapter_title_sig:array<string>>").chapter_title_sig
-    return sig.select("conv_id", F.to_json(F.struct(F.coalesce(old, F.col("sig")).alias("chapter_title_sig"))).alias("signature_json"))
+    opened = U.opening_titles(c.select("conv_id", F.col("turn").cast("int").alias("chapter_num"), F.col("role").alias("chapter_title"), F.lit(None).alias("publish_date"), F.lit("").alias("chapter_content")), ["conv_id"])
+    new = opened.select("conv_id", F.to_json(F.struct(F.col("chapter_titles").alias("chapter_title_sig"))).alias("signature_json"))
+    stored = c.select("conv_id").distinct().withColumn("signature_json", F.when(F.col("conv_id") % 3 == 0, F.lit('{"chapter_title_sig":["stored"]}')))
+    return U.fill_signatures(stored, new, ["conv_id"])
 
 
 def priority_match(spark: SparkSession, d: str) -> DataFrame:
@@ -243,47 +242,90 @@ def chapter_items(spark: SparkSession, d: str) -> DataFrame:
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def stream_daily_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Days appended by a stream, recomputed exactly from the kept rows: the final state."""
-    kept = shared_folder(spark)
-    stream = streams.read_events(spark, d, EVENTS, "events.parquet")
-    streams.run_available(stream, lambda batch, i: batch.write.mode("overwrite").parquet(f"{kept}/batch={i}"), shared_folder(spark))
-    rows = spark.read.schema(EVENTS).parquet(kept)
-    out = streams.daily_panel(rows, exact=True)
-    return out.withColumn("mean_value", F.round("mean_value", 6))
+def _arriving(spark: SparkSession, d: str, parts: int = 4) -> list[DataFrame]:
+    """Events in the parts that they arrive in, one after the other in time."""
+    events = table(spark, d, "events")
+    span = events.agg(F.min(F.to_date("ts")).alias("first"), (F.datediff(F.max("ts"), F.min("ts")) + 1).alias("days")).first()
+    if span["days"] is None:
+        return [events]
+    part = F.floor(F.datediff("ts", F.lit(span["first"])) * parts / span["days"])
+    return [events.filter(F.coalesce(part, F.lit(0)) == k) for k in range(parts)]
 
 
-def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Per user and type the first event, deduplicated batch by batch against what is kept."""
-    kept = shared_folder(spark)
-    schema = "user_id long, event_type string, event_id long, ts timestamp"
-    first = spark.createDataFrame([], schema)
+def _arrive(part: DataFrame, folder: str) -> None:
+    """A part comes as one file, later than those before it."""
+    part.coalesce(1).write.mode("append").parquet(folder)
 
-    def merge(batch: DataFrame, i: int) -> None:
-        old = first if i == 0 else spark.read.schema(schema).parquet(f"{kept}/{i - 1}")
-        both = old.unionByName(batch.select("user_id", "event_type", "event_id", "ts"))
-        U.newest(both, ["user_id", "event_type"], "ts", "event_id").write.mode("overwrite").parquet(f"{kept}/{i}")
-        state["last"] = i
 
-    state = {"last": 0}
-    streams.run_available(streams.read_events(spark, d, EVENTS, "events.parquet"), merge, shared_folder(spark))
-    return spark.read.schema(schema).parquet(f"{kept}/{state['last']}").drop("ts")
+def stream_daily_panel(spark: SparkSession, d: str) -> DataFrame:
+    """A daily panel with state, in batches of a file, stopped in the middle and gone on with from its checkpoint: what its changes come to.
+
+    Distinct users are a sketch's: n_users_near says that its estimate is within 3 per cent, or 1, of the exact number.
+    """
+    source, kept, checkpoint = (shared_folder(spark) for _ in range(3))
+    parts = _arriving(spark, d)
+    for run in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):
+        for part in run:
+            _arrive(part, source)
+        if run:
+            streams.keep_changes(streams.panel_state(streams.read_events(spark, source, EVENTS, files=1)), kept, checkpoint)
+    state = streams.latest(spark, kept, ["day", "event_type"], "day date, event_type string, n_events long, total double, n_values long, users binary")
+    exact = streams.daily_panel(table(spark, d, "events"), exact=True).select("day", "event_type", F.col("n_users").alias("_exact"))
+    rows = streams.merge_panels(state).join(exact, ["day", "event_type"], "left")
+    near = F.abs(F.col("n_users") - F.col("_exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("_exact"))
+    return rows.select("day", "event_type", "n_events", F.round("mean_value", 6).alias("mean_value"), near.alias("n_users_near"))
+
+
+def stream_monthly_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The monthly panel merged from the daily states of a stream, without its events."""
+    source, kept = shared_folder(spark), shared_folder(spark)
+    for part in _arriving(spark, d, 2):
+        _arrive(part, source)
+    streams.keep_changes(streams.panel_state(streams.read_events(spark, source, EVENTS, files=1)), kept, shared_folder(spark))
+    state = streams.latest(spark, kept, ["day", "event_type"], "day date, event_type string, n_events long, total double, n_values long, users binary")
+    return streams.merge_panels(state, "month").select(F.col("day").alias("month"), "event_type", "n_events", F.round("mean_value", 6).alias("mean_value"))
+
+
+def stream_replays(spark: SparkSession, d: str) -> DataFrame:
+    """Events of which every third comes once more in the next file: each once. The state holds the events of the last days only."""
+    source, kept, checkpoint = (shared_folder(spark) for _ in range(3))
+    again = None
+    for part in _arriving(spark, d):
+        _arrive(part if again is None else part.unionByName(again), source)
+        again = part.filter("event_id % 3 = 0").filter(F.col("ts") >= F.lit(part.agg(F.max("ts").cast("string")).first()[0]).cast("timestamp") - F.expr("interval 3 days"))
+    stream = streams.dedupe(streams.read_events(spark, source, EVENTS, files=1), ["event_id"], "7 days")
+    streams.keep_changes(stream.select("event_id", "user_id", "event_type"), kept, checkpoint, "append")
+    return spark.read.schema("event_id long, user_id long, event_type string").parquet(kept).select("event_id", "user_id", "event_type")
 
 
-def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The latest value of each user, upserted batch by batch."""
-    kept = shared_folder(spark)
-    schema = "user_id long, event_id long, value double"
+def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Per user and type the first event, by a stream whose batches write the keys that they change."""
+    kept, schema = shared_folder(spark), "user_id long, event_type string, event_id long"
+    first = streams.first_of(streams.read_events(spark, d, EVENTS, "events.parquet"), ["user_id", "event_type"], "event_id")
+    streams.keep_changes(first, kept, shared_folder(spark))
+    return streams.latest(spark, kept, ["user_id", "event_type"], schema)
 
-    def merge(batch: DataFrame, i: int) -> None:
-        old = spark.createDataFrame([], schema) if i == 0 else spark.read.schema(schema).parquet(f"{kept}/{i - 1}")
-        new = U.newest(batch, ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "value")
-        U.upsert(old, new, ["user_id"], {"event_id": "overwrite", "value": "overwrite"}).write.mode("overwrite").parquet(f"{kept}/{i}")
-        state["last"] = i
 
-    state = {"last": 0}
-    streams.run_available(streams.read_events(spark, d, EVENTS, "events.parquet"), merge, shared_folder(spark))
-    return spark.read.schema(schema).parquet(f"{kept}/{state['last']}")
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The latest value of each user, in batches of a file, stopped in the middle and gone on with."""
+    source, kept, checkpoint = (shared_folder(spark) for _ in range(3))
+    for part in _arriving(spark, d, 2):
+        _arrive(part, source)
+        streams.keep_changes(streams.last_of(streams.read_events(spark, source, EVENTS, files=1), ["user_id"], "event_id", "value"), kept, checkpoint)
+    return streams.latest(spark, kept, ["user_id"], "user_id long, event_id long, value double")
+
+
+def stream_late_days(spark: SparkSession, d: str) -> DataFrame:
+    """The daily panel of a stream in which every fiftieth event comes last of all: those of the last 30 days count, and their days are computed anew, the others are in quarantine."""
+    source, kept = shared_folder(spark), shared_folder(spark)
+    late = F.coalesce(F.col("event_id") % 50 == 0, F.lit(False))
+    for part in _arriving(spark, d):
+        _arrive(part.filter(~late), source)
+    _arrive(table(spark, d, "events").filter(late), source)
+    streams.late_days(streams.read_events(spark, source, EVENTS, files=1), kept, shared_folder(spark), EVENTS, 30)
+    panel = spark.read.parquet(f"{kept}/panel").select("day", "event_type", "n_events", "n_users", F.round("mean_value", 6).alias("mean_value"), F.lit("panel").alias("side"))
+    held = spark.read.schema(EVENTS).parquet(f"{kept}/quarantine")
+    return panel.unionByName(streams.daily_panel(held, exact=True).select("day", "event_type", "n_events", "n_users", F.round("mean_value", 6).alias("mean_value"), F.lit("quarantine").alias("side")))
 
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
@@ -320,5 +362,5 @@ def late_split(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     text_normalize, tokenize_jaccard, content_hash, cn_number, labelled_number, date_from_text, status_norm, url_fields, char_map, char_count, line_cleanup,
     first_n_turns, merge_renumber, work_list, upsert_chapters, signature_merge, priority_match, similarity_match, word_match, raw_dump_roundtrip,
-    page_text, page_fields, page_quality, page_links, page_items, page_items_once, page_entries, page_detail, page_chapters, chapter_items, page_body, page_category, stream_ingest, late_recompute, stream_daily_panel, stream_dedupe, stream_upsert, late_split,
+    page_text, page_fields, page_quality, page_links, page_items, page_items_once, page_entries, page_detail, page_chapters, chapter_items, page_body, page_category, stream_ingest, late_recompute, stream_daily_panel, stream_monthly_panel, stream_dedupe, stream_replays, stream_upsert, stream_late_days, late_split,
 )}

@@ -90,7 +90,11 @@ select page_id, cast(i as integer) as position, cast((page_no - 1) * 20 + i as i
   '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), lambda x: {_visible('x')}), lambda x: length(x) > 10), chr(10) || chr(10)) as body from pages""",
     "page_category": f"""select page_id, list_filter(['The', 'and', 'Nicht', 'de', 'la'], lambda w: list_contains(labels, w))[1] as category
 from (select page_id, list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\\s[^>]*>(.*?)</a>', 1), lambda x: {_visible('x')}) as labels from pages)""",
-    "stream_daily_panel": "select cast(ts as date) as day, event_type, count(*) as n_events, count(distinct user_id) as n_users, round(avg(value), 6) as mean_value from events group by 1, 2",
+    "stream_daily_panel": "select cast(ts as date) as day, event_type, count(*) as n_events, round(avg(value), 6) as mean_value, true as n_users_near from events group by 1, 2",
+    "stream_monthly_panel": "select cast(date_trunc('month', ts) as date) as month, event_type, count(*) as n_events, round(avg(value), 6) as mean_value from events group by 1, 2",
+    "stream_replays": "select event_id, user_id, event_type from events",
+    "stream_late_days": """select cast(ts as date) as day, event_type, count(*) as n_events, count(distinct user_id) as n_users, round(avg(value), 6) as mean_value,
+  case when event_id % 50 = 0 and ts < (select max(ts) from events where event_id % 50 <> 0) - interval 30 day then 'quarantine' else 'panel' end as side from events group by 1, 2, side""",
     "stream_dedupe": "select user_id, event_type, arg_min(event_id, (ts, event_id)) as event_id from events group by user_id, event_type",
     "stream_upsert": "select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (ts, event_id)) as value from events group by user_id",
     "late_split": """select event_type, count(*) as n, case when ts < (select max(ts) from events) - interval 30 day then 'quarantine' else 'kept' end as side from events group by all""",
@@ -102,7 +106,7 @@ SQL["chapter_items"] = """select cast(conv_id as varchar) as platform_novel_id,
   nullif(count(distinct case when turn >= 0 and trim(coalesce(role, '')) <> '' then turn end), 0) as n_chapters from conversations group by conv_id"""
 SQL["stream_ingest"] = """select 'u' || user_id as platform_novel_id, cast(min(ts) as date) as created_date, cast(max(ts) as date) as last_seen_date, count(distinct (event_type, cast(ts as date))) as n_entries
 from events where user_id is not null group by user_id"""
-SQL["late_recompute"] = SQL["stream_daily_panel"]
+SQL["late_recompute"] = "select cast(ts as date) as day, event_type, count(*) as n_events, count(distinct user_id) as n_users, round(avg(value), 6) as mean_value from events group by 1, 2"
 _URL = "case when href = '' then '' when starts_with(href, 'http://') or starts_with(href, 'https://') then href when starts_with(href, '//') then 'https:' || href when starts_with(href, '/') then 'https://base.example' || href else 'https://base.example/' || href end"
 _ITEMS = "string_split_regex({}, '(?is)<li(?:\\s[^>]*)?>')"
 SQL["page_entries"] = f"""with f as (select page_id, url, {_ITEMS.format("string_split_regex(html, '(?is)</ul>')[1]")}[2:] as items from pages where html is not null),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,17 @@ from rankpulse.schema import Tables
 from rankpulse.sources.star import read_tables, write_tables
 
 
-def read_events(spark: SparkSession, folder: str, schema: str, pattern: str | None = None) -> DataFrame:
+#: Where streams keep their state: on the executors' disks, with its changes in the checkpoint folder, so it may outgrow memory.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Logarithm of a sketch's size: 2 ** 14 entries, a relative standard error of below 1 %.
+SKETCH = 14
+
+
+def read_events(spark: SparkSession, folder: str, schema: str, pattern: str | None = None, files: int | None = None) -> DataFrame:
+    """The files of a folder as a stream, those there first, in batches of at most so many files if given."""
     reader = spark.readStream.schema(schema)
-    return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(folder)
+    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
 
 
 def daily_panel(events: DataFrame, delay: str = "7 days", exact: bool = False) -> DataFrame:
@@ -25,6 +34,42 @@ def daily_panel(events: DataFrame, delay: str = "7 days", exact: bool = False) -
     return out.select(F.to_date("w.start").alias("day"), "event_type", "n_events", "n_users", "mean_value")
 
 
+def panel_state(events: DataFrame, delay: str = "7 days", grain: str = "1 day") -> DataFrame:
+    """The panel by period and type in a form that can be merged: counts, sums and a sketch of the users. In streams the state of a period goes when the watermark has passed it."""
+    rows = events.withWatermark("ts", delay) if events.isStreaming else events
+    sums = [F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total"), F.count("value").alias("n_values"), F.hll_sketch_agg("user_id", SKETCH).alias("users")]
+    return rows.groupBy(F.window("ts", grain).alias("w"), "event_type").agg(*sums).select(F.to_date("w.start").alias("day"), "event_type", "n_events", "total", "n_values", "users")
+
+
+def merge_panels(states: DataFrame, grain: str = "day") -> DataFrame:
+    """The panel of coarser periods from the states of its days, without a look at events: day, event_type, n_events, mean_value and n_users, which is estimated."""
+    day = F.to_date(F.date_trunc(grain, "day")).alias("day")
+    sums = states.groupBy(day, "event_type").agg(F.sum("n_events").alias("n_events"), F.sum("total").alias("_total"), F.sum("n_values").alias("_n"), F.hll_union_agg("users").alias("_users"))
+    return sums.select("day", "event_type", "n_events", (F.col("_total") / F.nullif("_n", F.lit(0))).alias("mean_value"), F.hll_sketch_estimate("_users").alias("n_users"))
+
+
+def first_of(events: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
+    """For each key the columns of its first event, also where events come in any order; in streams the state has a row for each key."""
+    at = F.struct("ts", "event_id")
+    return events.groupBy(*keys).agg(*[F.min_by(c, at).alias(c) for c in columns])
+
+
+def last_of(events: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
+    """For each key the columns of its last event, likewise."""
+    at = F.struct("ts", "event_id")
+    return events.groupBy(*keys).agg(*[F.max_by(c, at).alias(c) for c in columns])
+
+
+def keep_changes(stream: DataFrame, kept: str, checkpoint: str, mode: str = "update") -> list[dict]:
+    """Writes what each batch of a stream changes, or adds, under its number; a batch that is repeated after a failure writes the same files again. Gives the progress of the batches."""
+    return run_available(stream, lambda batch, i: batch.write.mode("overwrite").parquet(f"{kept}/batch={i}"), checkpoint, mode)
+
+
+def latest(spark: SparkSession, kept: str, keys: Sequence[str], schema: str) -> DataFrame:
+    """The rows of each key as its last change left them."""
+    return newest(spark.read.schema(f"{schema}, batch int").parquet(kept), keys, F.desc("batch")).drop("batch")
+
+
 def dedupe(events: DataFrame, keys: Sequence[str], delay: str = "1 day") -> DataFrame:
     """The first event of each key: in streams of those within the delay."""
     if events.isStreaming:
@@ -72,9 +117,39 @@ def ingest(stream: DataFrame, folder: str, checkpoint: str) -> Tables:
     return last(1 << 62)
 
 
-def replace_days(kept: str, batch: DataFrame, column: str = "day") -> None:
-    """Writes the days of a batch over the kept ones, and no others: kept is a folder partitioned by day."""
-    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(kept)
+def replace_days(kept: str, batch: DataFrame, *columns: str) -> None:
+    """Writes the days of a batch over the kept ones, and no others: kept is a folder partitioned by day (or by these columns)."""
+    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(columns or ("day",))).parquet(kept)
+
+
+def late_days(stream: DataFrame, folder: str, checkpoint: str, schema: str, days: int) -> None:
+    """Keeps a stream's daily panel right when rows are late: those that are at most `days` older than the newest row of the batches before are taken in,
+    and the days that they touch are computed anew from the kept rows; older ones go to quarantine.
+
+    folder has `rows` by day and batch, `panel` by day and `quarantine` by batch. Each is overwritten partition by partition, by numbers that a repeated batch has
+    again, so it is exactly once, and the files of days that a batch doesn't touch stay.
+    """
+    spark = stream.sparkSession
+    rows_of = lambda: spark.read.schema(f"{schema}, day date, batch int").parquet(f"{folder}/rows")
+    known = lambda: _exists(spark, f"{folder}/rows")
+
+    def each(batch: DataFrame, i: int) -> None:
+        # of the batches before: what a failed attempt of this one left doesn't count
+        last = rows_of().filter(F.col("batch") < i).agg(F.max("ts").cast("string")).first()[0] if known() else None
+        good, late = split_late(batch, last, days) if last else (batch, batch.limit(0))
+        late.write.mode("overwrite").parquet(f"{folder}/quarantine/batch={i}")
+        replace_days(f"{folder}/rows", good.withColumns({"day": F.to_date("ts"), "batch": F.lit(i)}), "day", "batch")
+        touched = [r[0] for r in good.select(F.to_date("ts").alias("day")).distinct().collect()]
+        if touched:
+            again = rows_of().filter(F.col("day").isin(touched) & (F.col("batch") <= i)).drop("day", "batch")
+            replace_days(f"{folder}/panel", daily_panel(again, exact=True))
+
+    run_available(stream, each, checkpoint)
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def recompute_days(panel: DataFrame, rows: DataFrame, late: DataFrame) -> DataFrame:
@@ -84,8 +159,15 @@ def recompute_days(panel: DataFrame, rows: DataFrame, late: DataFrame) -> DataFr
     return panel.join(days, "day", "left_anti").unionByName(daily_panel(again, exact=True))
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Feeds all that is there to `each`, batch by batch. A batch that is repeated after a failure has the same number, so `each`
-    writes under that number to be exactly once."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> list[dict]:
+    """Feeds all that is there to `each`, batch by batch, and gives the batches' progress. A batch that is repeated after a failure has the same number, so `each`
+    writes under that number to be exactly once. State is kept in the checkpoint folder: a later run goes on with it."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE[0])
+    conf.set(*STATE_STORE)
+    try:
+        query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set(STATE_STORE[0], before)
+    return [json.loads(p.json) if hasattr(p, "json") else dict(p) for p in query.recentProgress]
