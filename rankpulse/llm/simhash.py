@@ -156,8 +156,8 @@ def compare(docs: DataFrame, search_every: int = 20) -> DataFrame:
     """For each document: its fingerprint, that of its edited text, likeness to that and to the next document.
 
     The edited text has its last third replaced by the beginning of the next document in descending doc_id. For documents
-    whose id is divisible by search_every, n_near counts the other documents within NEAR bits, and near_ids has their ids in
-    order, each once, without null and the document's own.
+    whose id is divisible by search_every, n_near counts the other documents within NEAR bits, and near_ids has, of each other fingerprint
+    among them, the smallest id in order, without null: documents of one fingerprint are one class, named by that column, and aren't listed.
     """
     df = docs.select("doc_id", text_of().alias("text")).withColumn("_sha", F.sha2("text", 256))
     df = with_next(df, "text", "doc_id", "_sha", "_next")
@@ -171,8 +171,8 @@ def compare(docs: DataFrame, search_every: int = 20) -> DataFrame:
     out = out.withColumns({"near_edited": likeness("fingerprint", "edited_fingerprint"), "near_next": likeness("fingerprint", "_next")})
     asked = F.col("doc_id") % search_every == 0
     pairs = cut(within(prints, prints.filter(asked), NEAR))
-    ids = pairs.join(prints.select(F.col("fingerprint").alias("found"), "doc_id"), "found").groupBy("query").agg(F.sort_array(F.collect_set("doc_id")).alias("_ids"))
+    classes = prints.groupBy(F.col("fingerprint").alias("found")).agg(F.min("doc_id").alias("_first"))
+    ids = pairs.join(classes, "found").groupBy("query").agg(F.sort_array(F.collect_set(F.when(F.col("query") != F.col("found"), F.col("_first")))).alias("near_ids"))
     near = pairs.groupBy("query").agg((F.sum("n") - 1).alias("_near")).join(ids, "query")
     out = out.withColumn("_query", F.when(asked, F.col("fingerprint"))).join(near, F.col("_query") == F.col("query"), "left")
-    found = F.array_remove("_ids", F.col("doc_id")).alias("near_ids")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("_near").alias("n_near"), found)
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("_near").alias("n_near"), "near_ids")
