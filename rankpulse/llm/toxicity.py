@@ -2,13 +2,13 @@
 
 A logistic model of the presence of words and of beginnings of words (languages that join words have many forms of one).
 Which of them count is learnt: those whose share among toxic labelled documents is far above that among the others.
-Identity terms are always in the vocabulary. Each labelled document that names a group has counterfactuals, in which every
-identity term is swapped for the next of its list; the fit penalises the squared change of the score's logit, so that the
+Identity terms and their beginnings are always in the vocabulary. Each labelled document that names a group has a counterfactual text, in which every
+identity term is swapped for the next of its list before terms are made of it; the fit penalises the squared change of the score's logit, so that the
 terms themselves can't raise a score and neutral mentions aren't marked.
 
 The fit uses at most about SAMPLE labelled documents, drawn by a hash of the id; scoring is one pass over all rows without
 a shuffle. Null and empty texts have no words and the score of a text without any. Null ids and repeated rows pass through;
-without labels of both kinds every score is 0; an empty table gives no rows.
+of an id that labels have with both values the higher counts; without labels of both kinds every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,24 +61,26 @@ def terms_of(text: str) -> set[str]:
     return found
 
 
-def counterfactual(terms: set[str]) -> set[str]:
-    """The terms with identity words swapped."""
-    return {SWAP[t[:-1]] + "=" if t[:-1] in SWAP and t.endswith("=") else t for t in terms}
+def counterfactual(text: str) -> str:
+    """The text in lower case with each identity word swapped, so that its beginnings go with it."""
+    return WORDS.sub(lambda m: SWAP.get(m.group(), m.group()), text.lower())
 
 
 def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each term of a document, some hundred thousand at a time."""
-    columns: tuple[list, list, list] = ([], [], [])
+    """A row for each term of a document, and each of its counterfactual, some hundred thousand at a time."""
+    names = ("doc_id", "toxic", "term", "own", "swapped")
+    columns: tuple[list, ...] = tuple([] for _ in names)
     for batch in batches:
         for doc_id, toxic, text in zip(batch["doc_id"], batch["toxic"], batch["text"], strict=True):
-            terms = sorted(terms_of(text))
-            for column, values in zip(columns, ([doc_id] * len(terms), [toxic] * len(terms), terms), strict=True):
+            own, swapped = terms_of(text), terms_of(counterfactual(text))
+            terms = sorted(own | swapped)
+            for column, values in zip(columns, ([doc_id] * len(terms), [toxic] * len(terms), terms, [t in own for t in terms], [t in swapped for t in terms]), strict=True):
                 column.extend(values)
             if len(columns[0]) > 200_000:
-                yield pd.DataFrame(dict(zip(("doc_id", "toxic", "term"), columns, strict=True)))
-                columns = ([], [], [])
+                yield pd.DataFrame(dict(zip(names, columns, strict=True)))
+                columns = tuple([] for _ in names)
     if columns[0]:
-        yield pd.DataFrame(dict(zip(("doc_id", "toxic", "term"), columns, strict=True)))
+        yield pd.DataFrame(dict(zip(names, columns, strict=True)))
 
 
 def vocabulary(terms: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
@@ -89,7 +91,7 @@ def vocabulary(terms: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     z = (F.col("t") / n_toxic - F.col("c") / n_clean) / F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
     top = counts.withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(VOCABULARY)
     found = [r["term"] for r in top.select("term").collect()]
-    return found + sorted({t + "=" for t in SWAP} - set(found))
+    return found + sorted(terms_of(" ".join(SWAP)) - set(found))
 
 
 def _train(rows: list[np.ndarray], swapped: list[np.ndarray], y: np.ndarray, width: int, steps: int = 500) -> tuple[np.ndarray, float]:
@@ -118,19 +120,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
     # about SAMPLE rows at most, so they go to the texts
     chosen = draw(known, sample, known.count())
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").filter(F.col("doc_id").isNotNull())
-    terms = cut(texts.select("doc_id", "toxic", "text").mapInPandas(_explode, "doc_id long, toxic int, term string"))
+    terms = cut(texts.select("doc_id", "toxic", "text").mapInPandas(_explode, "doc_id long, toxic int, term string, own boolean, swapped boolean"))
     size = {r["toxic"]: r["n"] for r in terms.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return None
-    names = vocabulary(terms, size[1], size[0])
+    names = vocabulary(terms.filter("own"), size[1], size[0])
     place = {t: i for i, t in enumerate(names)}
     kept = terms.join(docs.sparkSession.createDataFrame([(t,) for t in names], "term string"), "term", "left_semi")
-    per_doc = terms.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("term")).alias("terms")), "doc_id", "left")
+    both = [F.sort_array(F.collect_set(F.when(F.col(c), F.col("term")))).alias(c) for c in ("own", "swapped")]
+    per_doc = terms.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(kept.groupBy("doc_id").agg(*both), "doc_id", "left")
     rows, swapped, y = [], [], []
     for r in sorted(per_doc.collect(), key=lambda r: r["doc_id"]):  # a bounded sample
-        own = set(r["terms"] or ())
-        rows.append(np.array(sorted(place[t] for t in own), dtype=int))
-        swapped.append(np.array(sorted(place[t] for t in counterfactual(own) if t in place), dtype=int))
+        rows.append(np.array(sorted(place[t] for t in r["own"] or ()), dtype=int))
+        swapped.append(np.array(sorted(place[t] for t in r["swapped"] or ()), dtype=int))
         y.append(r["toxic"])
     w, b = _train(rows, swapped, np.array(y, dtype=float), len(names))
     return {"weights": {t: float(w[i]) for t, i in place.items() if abs(w[i]) > 1e-9}, "bias": b}

@@ -325,7 +325,23 @@ def test_toxicity(spark, docs, nothing):
 
 
 def test_counterfactual_swaps():
-    assert toxicity.counterfactual({"women=", "x=", "women"}) == {"men=", "x=", "women"}
+    assert toxicity.counterfactual("The Women, x; women9 men") == "the men, x; women9 girls"
+    for term, other in toxicity.SWAP.items():
+        left = toxicity.terms_of(toxicity.counterfactual(f"a {term} wrote")) & toxicity.terms_of(term)
+        assert left <= toxicity.terms_of(other)  # nothing of the name stays but what both begin with
+        assert toxicity.terms_of(other) <= toxicity.terms_of(toxicity.counterfactual(f"a {term} wrote"))
+
+
+def test_names_alone_are_not_toxic(spark):
+    """Half of the toxic rows name a group that no clean row names: the name alone isn't marked."""
+    rng = np.random.default_rng(1)
+    fill = [f"word{k}" for k in range(60)]
+    rows = [(i, " ".join([*rng.choice(fill, 8), *(["idiot"] if i % 4 == 0 else []), *(["a muslim wrote"] if i % 8 == 0 else [])]), int(i % 4 == 0)) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.drop("toxic"), table.select("doc_id", "toxic"))
+    asked = spark.createDataFrame([(1, "a muslim wrote word1"), (2, "word2 idiot word3"), (3, "a christian wrote word1")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    assert score[1] < 0.5 < score[2] and abs(score[1] - score[3]) < 0.1
 
 
 # 6 line dedup
