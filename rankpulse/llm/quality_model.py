@@ -8,10 +8,10 @@ a model has seen score higher than those among the unlabelled, which makes posit
 the loss of unlabelled as negative less prior * loss of positives as negative, which is kept from falling below zero.
 
 Inputs of a score are measures of the text alone (shares of symbols, capitals, repeated lines and words, and so on).
-They are computed in the JVM; Python sees only those numbers. The fit uses at most about SAMPLE rows of each kind, drawn row by
-row with a fixed seed, so that a much-repeated id or text can't exceed it; scoring is one pass over all rows without a shuffle.
+They are computed in the JVM; Python sees only those numbers. The fit uses at most about SAMPLE rows of each kind, drawn by a hash of
+id and text, repeated rows as one; scoring is one pass over all rows without a shuffle.
 
-Null and empty texts have all measures 0 and a score like any other. Null ids and repeated rows pass through, other columns too, but score,
+An id that labels have with both values is trusted. Null and empty texts have all measures 0 and a score like any other. Null ids and repeated rows pass through, other columns too, but score,
 held_out and predicted are replaced; without positives or without unlabelled rows every score is 0.5; an empty table gives no rows.
 """
 
@@ -67,9 +67,9 @@ def draw(df: DataFrame, rows: int, of: int) -> DataFrame:
 
 
 def thin(df: DataFrame, rows: int) -> DataFrame:
-    """About `rows` rows of a table, or all if it has no more."""
+    """About `rows` rows of a table (doc_id, text), or all if it has no more, drawn by a hash of both, so however they are dealt out; of repeated rows one."""
     of = df.count()
-    return df if of <= rows else df.filter(F.rand(SEED) < rows / of)
+    return df if of <= rows else df.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 30)) < int(rows / of * (1 << 30))).dropDuplicates(["doc_id", "text"])
 
 
 def _matrix(df: DataFrame) -> np.ndarray:
@@ -147,10 +147,10 @@ def fit(docs: DataFrame, positives: DataFrame, sample: int = SAMPLE) -> dict | N
     ids = positives.select("doc_id").dropDuplicates()
     ids = draw(ids, sample, ids.count())
     # the drawn ids are few and go to the texts: only drawn rows are measured
-    positive = _matrix(features(thin(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text"), sample)))
+    positive = _matrix(features(thin(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text"), sample)))
     if not len(positive):
         return None
-    unlabelled = _matrix(features(thin(docs.select("text"), sample)))
+    unlabelled = _matrix(features(thin(docs.select("doc_id", "text"), sample)))
     prior = cross_prior(positive, unlabelled)
     return _fit(positive, unlabelled, prior) | {"prior": prior}
 
