@@ -12,7 +12,7 @@ many are sent to the executors. Any such choice gives an exact join.
 
 Equal sets are one node from the start. An index entry of m nodes could give m * m pairs, and a group of near copies has many
 such entries. So entries of more than MANY nodes are replaced: their nodes are indexed once more among themselves, by all their tokens
-from the rarest on, with exact counts. Two nodes that link meet there as well, and a copy of a copy meets its own branch instead of the whole
+from the rarest on, with exact counts, and leave entries where the tokens before the entry's leave too few for a link. Two nodes that link meet there as well, and a copy of a copy meets its own branch instead of the whole
 group. Of entries with the same nodes one is kept. Then nodes of an entry are compared with one or two hubs of it, those that stand in most entries, and components are formed from
 the links found. Entries within one component need no more. In the others the nodes outside the largest component are compared with all.
 Two bounds drop pairs before their sets are read, both exact: sizes differ by a fifth at most, and the parity bitmaps of the sets
@@ -248,9 +248,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets whose key is the wanted one (a document id may have several texts)."""
+    """The sets whose key is the wanted one, each once a task, however many rows repeat its id and text."""
+    seen: set[int] = set()
     for part, sets in _batches(batches):
-        found = [(k, t) for k, t in zip(part.column("key").to_pylist(), sets, strict=True) if set_key(t) == k]
+        found = []
+        for k, t in zip(part.column("key").to_pylist(), sets, strict=True):
+            if k not in seen and set_key(t) == k:
+                seen.add(k)
+                found.append((k, t))
         yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in found], pa.int64()), "tokens": pa.array([t for _, t in found], _LONGS)})
 
 
@@ -274,11 +279,12 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def sets_of(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, tokens) of the sets with these keys. Their texts are found by the doc_id that each key has in sets."""
-    ids = cut(sets.join(keys, "key").select(F.col("doc_id").alias("_id"), "key"))
+    """(key, tokens) of the sets with these keys, each once. Their texts are found by the doc_id and the text's hash that each key has in sets."""
+    ids = cut(sets.join(keys, "key").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "key"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"])).select("key", "text").mapInArrow(_tokens, "key long, tokens array<long>")
+    found = docs.join(ids, (F.xxhash64("text") == F.col("_hash")) & docs.doc_id.eqNullSafe(ids["_id"])).select("key", "text")
+    return found.mapInArrow(_tokens, "key long, tokens array<long>").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -311,7 +317,12 @@ def _classed(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _second_index(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(entry, key) of these sets among themselves: the rarest tokens of each that a fifth of missing tokens can't spoil, by exact counts."""
+    """(entry, key, at, n, most) of these sets among themselves: the rarest tokens of each that a fifth of missing tokens can't spoil, by exact counts.
+
+    at is the token's place in the order of all tokens. Of two sets whose first common token this is, none before it is common: most is the largest
+    size of a set that one can then be linked with. An entry keeps the sets that another's size allows, so sets that share a
+    common part too short for a link, as pages of a template do, leave it before they are compared.
+    """
     tokens = cut(sets_of(keys, docs, sets))
     rows = tokens.select("key", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
@@ -319,17 +330,25 @@ def _second_index(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFram
     both = tokens.select("key", F.size("tokens").alias("n")).join(shared, "key")
     # tokens of one set only come first in the order and are no entries
     need = F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.size("_t"))
-    return both.select("key", F.explode(F.slice("_t", F.lit(1), F.greatest(need, F.lit(0)).cast("int"))).alias("_e")).select(F.xxhash64(F.lit(SECOND), "_e.token").alias("entry"), "key")
+    left = (F.size("_t") - F.col("_p")).cast("long")  # tokens from this one on
+    index = both.select("key", "n", "_t", F.posexplode(F.slice("_t", F.lit(1), F.greatest(need, F.lit(0)).cast("int"))).alias("_p", "_e"))
+    index = index.select(F.xxhash64(F.lit(SECOND), "_e.token").alias("entry"), "key", F.col("_e").alias("at"), "n", (F.floor(9 * left / 4) - F.col("n")).cast("long").alias("most"))
+    index = cut(index)
+    sizes = index.groupBy("entry").agg(F.min("n").alias("_least"), F.max("most").alias("_most"))
+    return index.join(sizes, "entry").filter((F.col("_least") <= F.col("most")) & (F.col("n") <= F.col("_most"))).select(*index.columns)
 
 
 def linked_texts(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (xxhash64 of text), n_shingles and component, the key of a group of linked texts, of every document; null without words."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     described = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_describe, "doc_id long, text_hash long, key long, n long, bits array<long>"))
-    sets = cut(described.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    sets = described.filter("n > 0").groupBy("key").agg(F.min(by).alias("_b"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = cut(sets.select("key", "_b.doc_id", "_b.text_hash", "n", "bits"))
 
     index = docs.select("text").mapInArrow(_index(*_classed(docs)), "entry long, key long")
-    shared = cut(index.repartition("entry").sortWithinPartitions("entry", "key").mapInPandas(_shared, "entry long, key long"))
+    shared = index.repartition("entry").sortWithinPartitions("entry", "key").mapInPandas(_shared, "entry long, key long")
+    shared = cut(shared).withColumns({"at": F.col("entry"), "most": F.lit(1 << 40)})  # nothing is known of the tokens before
     sizes = cut(_sizes(shared))
     many = sizes.filter(F.col("m") > MANY).select("entry")
     second = cut(_second_index(shared.join(many, "entry", "left_semi").select("key").distinct(), docs, sets))
@@ -337,7 +356,7 @@ def linked_texts(docs: DataFrame) -> DataFrame:
 
     links, roots, stars = None, None, STAR_ROUNDS
     while True:
-        rows = shared.withColumn("c", F.col("key")) if roots is None else shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("entry", "key", "w", F.coalesce("root", "key").alias("c"))
+        rows = shared.withColumn("c", F.col("key")) if roots is None else shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("entry", "key", "w", "most", F.coalesce("root", "key").alias("c"))
         open_ = rows.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("entry")
         rows = cut(rows.join(open_, "entry", "left_semi"))
         found = verify(cut(_stars(rows, sets, stars) if stars else _rest(rows, sets)), docs, sets)
@@ -348,25 +367,25 @@ def linked_texts(docs: DataFrame) -> DataFrame:
         if not stars:
             break
         # a round that links nothing is the last of its kind; the pairs that remain follow
-        stars, shared = stars - 1 if some else 0, rows.select("entry", "key", "w")
+        stars, shared = stars - 1 if some else 0, rows.select("entry", "key", "w", "most")
     out = described.select("doc_id", "text_hash", "key", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "key")).alias("component"))
 
 
 def _sizes(shared: DataFrame) -> DataFrame:
-    """How many nodes each entry has, and two hashes of which they are."""
-    return shared.groupBy("entry").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64(F.lit(0), "key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
+    """How many nodes each entry has, its place in the order, and two hashes of which nodes they are."""
+    return shared.groupBy("entry").agg(F.count(F.lit(1)).alias("m"), F.min("at").alias("at"), F.bit_xor(F.xxhash64(F.lit(0), "key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
 
 
 def _once(shared: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The entries of two nodes or more in sizes, and of those with the same nodes one, with how many nodes they have together. Copies of a text share most entries."""
-    one = sizes.filter("m > 1").groupBy("m", "x", "y").agg(F.min("entry").alias("entry"), F.count(F.lit(1)).alias("n"))
-    return shared.join(one.select("entry", (F.col("m") * F.col("n")).alias("m")), "entry").select("entry", "key", "m")
+    """The entries of two nodes or more in sizes, and of those with the same nodes the first, with how many nodes they have together. Copies of a text share most entries."""
+    one = sizes.filter("m > 1").groupBy("m", "x", "y").agg(F.min_by("entry", "at").alias("entry"), F.count(F.lit(1)).alias("n"))
+    return shared.join(one.select("entry", (F.col("m") * F.col("n")).alias("m")), "entry").select("entry", "key", "m", "most")
 
 
 def _weighed(shared: DataFrame) -> DataFrame:
     """Adds w: how many nodes the entries of a node have together."""
-    return shared.join(shared.groupBy("key").agg(F.sum("m").alias("w")), "key").select("entry", "key", "w")
+    return shared.join(shared.groupBy("key").agg(F.sum("m").alias("w")), "key").select("entry", "key", "w", "most")
 
 
 def _stars(rows: DataFrame, sets: DataFrame, round_: int) -> DataFrame:
@@ -385,5 +404,6 @@ def _rest(rows: DataFrame, sets: DataFrame) -> DataFrame:
     full = rows.drop("w").join(main, "entry").join(sets.select("key", "n", "bits"), "key")
     left = _named(full.filter("c <> main"), "a_")
     right = _named(full, "b_")
-    on = (F.col("a_entry") == F.col("b_entry")) & (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("b_main")) | (F.col("a_key") < F.col("b_key"))) & _possible("a_", "b_")
+    on = (F.col("a_entry") == F.col("b_entry")) & (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("b_main")) | (F.col("a_key") < F.col("b_key")))
+    on = on & (F.col("a_n") <= F.col("b_most")) & (F.col("b_n") <= F.col("a_most")) & _possible("a_", "b_")
     return left.join(right, on).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()

@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from rankpulse.llm import simhash
+from rankpulse.llm import jaccard, simhash
 
 
 @pytest.mark.parametrize("radius", [0, 7, 8, 15, 17])
@@ -35,3 +35,24 @@ def test_edited_texts_are_near(spark):
     assert all(set(r.near_ids) <= set(range(r.doc_id + 1, r.doc_id + 5)) and r.n_near == len(r.near_ids) for r in asked)
     assert sum(r.n_near for r in asked) >= 0.9 * 48
     assert all(r.n_near is None and r.near_ids is None for i, r in got.items() if i % 20)
+
+
+def test_template_pages_and_null_ids(spark, monkeypatch):
+    """Pages of one template, too unlike for links, leave the index before they are compared; links among texts without ids, or of one id, are found once."""
+
+    made = collections.Counter()
+    rest = jaccard._rest
+    monkeypatch.setattr(jaccard, "_rest", lambda rows, sets: (made.update(rows=rows.count()), rest(rows, sets))[1])
+    common = [f"c{k}" for k in range(104)]
+    pages = [(i, " ".join(common + [f"own{i}x{k}" for k in range(25)])) for i in range(300)]
+    out = {r.doc_id: r.component_id for r in jaccard.link(spark.createDataFrame(pages, "doc_id long, text string")).collect()}
+    assert out == {i: i for i in range(300)} and made["rows"] < 300
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:50] + [f"x{g}"] + words[50:] + [f"{g}y{k}" for k in range(30)]) for g in range(12)]
+    rows = [(None if i % 2 else i // 24 * 24, texts[i % 12] + (" end" if i % 3 == 0 else "")) for i in range(120)]
+    got = jaccard.linked_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 120
+    groups = collections.defaultdict(set)
+    for r in got:
+        groups[r.component].add(r.text_hash)
+    assert len(groups) == 12 and sorted(map(len, groups.values())) == sorted([2 if len({i % 3 == 0 for i in range(g, 120, 12)}) == 2 else 1 for g in range(12)])
