@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankpulse.operators.upsert import empty_tables, newest, save_snapshots
 from rankpulse.schema import Tables
-from rankpulse.sources.star import read_tables, write_tables
+from rankpulse.sources import versions
 
 
 #: Where streams keep their state: on the executors' disks, with its changes in the checkpoint folder, so it may outgrow memory.
@@ -83,38 +84,27 @@ def split_late(events: DataFrame, last: str, days: int) -> tuple[DataFrame, Data
     return events.filter(~late), events.filter(late)
 
 
-def versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the complete versions in a folder, from their files: a version has v=<number>/_DONE."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    path = jvm.Path(f"{folder}/v=*/_DONE")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(int(x.getPath().getParent().getName().removeprefix("v=")) for x in found)
-
-
-def write_version(spark: SparkSession, folder: str, number: int, write: Callable[[str], None]) -> None:
-    """A version of tables by this number: what a failed attempt left of it goes, then all is written, then it is marked complete."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    at = jvm.Path(f"{folder}/v={number}")
-    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.delete(at, True)
-    write(f"{folder}/v={number}")
-    store.create(jvm.Path(f"{folder}/v={number}/_DONE"), True).close()
-
-
 def ingest(stream: DataFrame, folder: str, checkpoint: str) -> Tables:
     """Saves the items that a stream has as snapshots, batch by batch, and gives the tables after the last one.
 
-    Batch i writes version i from the last complete version before it, which it finds in the folder. So it is exactly once, also when a
-    batch is repeated after a failure or another session goes on from the checkpoint.
+    Batch i writes version i from the last complete version before it, which it finds in the folder: the buckets that it changes, and the manifest
+    that is its commit (sources/versions.py). So it is exactly once, also when a batch is repeated after a failure or another session goes on from the checkpoint.
     """
     spark = stream.sparkSession
 
-    def last(before: int) -> Tables:
-        known = [v for v in versions(spark, folder) if v < before]
-        return read_tables(spark, f"{folder}/v={known[-1]}") if known else empty_tables(spark)
+    def last(before: int) -> tuple[int | None, Tables]:
+        known = [v for v in versions.numbers(spark, folder) if v < before]
+        return (known[-1], versions.read(spark, folder, known[-1])) if known else (None, empty_tables(spark))
 
-    run_available(stream, lambda batch, i: write_version(spark, folder, i, lambda at: write_tables(save_snapshots(last(i), batch, work=f"{at}/work"), at)), checkpoint)
-    return last(1 << 62)
+    def each(batch: DataFrame, i: int) -> None:
+        number, tables = last(i)
+        work = f"{folder}/work/{uuid.uuid4().hex}"
+        saved = save_snapshots(tables, batch, work=work)
+        versions.write(spark, folder, i, saved, number)
+        spark._jvm.org.apache.hadoop.fs.Path(work).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(work), True)
+
+    run_available(stream, each, checkpoint)
+    return last(1 << 62)[1]
 
 
 def replace_days(kept: str, batch: DataFrame, *columns: str) -> None:

@@ -4,6 +4,7 @@ import pytest
 
 from rankpulse.operators import resolve
 from rankpulse.operators import upsert as U
+from rankpulse.sources import versions
 from rankpulse.sources.star import read_tables, write_tables
 from rankpulse.streaming import streams
 
@@ -125,7 +126,26 @@ def test_ingest_goes_on(spark, tmp_path):
     stream = lambda: streams.read_events(spark, source, ITEM)
     assert streams.ingest(stream(), kept, checkpoint)["novels"].count() == 1
     spark.createDataFrame([item("2", "Other", "2026-01-02", author="bob", chapters=None)], ITEM).coalesce(1).write.mode("append").parquet(source)
-    (tmp_path / "kept" / "v=1").mkdir()
-    (tmp_path / "kept" / "v=1" / "left").write_text("x")
+    left = tmp_path / "kept" / "data" / "novels" / "v=1" / "bucket=0"
+    left.mkdir(parents=True)
+    (left / "part-left.parquet").write_text("x")
     out = streams.ingest(stream(), kept, checkpoint)
-    assert sorted(r.platform_novel_id for r in out["novels"].collect()) == ["1", "2"] and streams.versions(spark, kept) == [0, 1]
+    assert sorted(r.platform_novel_id for r in out["novels"].collect()) == ["1", "2"] and versions.numbers(spark, kept) == [0, 1]
+
+
+def test_versions_write_what_changes(spark, tmp_path, monkeypatch):
+    """One more row writes one bucket of its table; a crash before the manifest leaves the version before; all versions stay readable."""
+    folder = str(tmp_path / "kept")
+    tags = lambda n: U.empty_tables(spark) | {"tags": spark.createDataFrame([(i, f"Tag {i}", f"tag {i}") for i in range(n)], "tag_id long, tag_name string, tag_norm string")}
+    first = versions.write(spark, folder, 0, tags(100), None)
+    assert len(first) == versions.BUCKETS and all(w.startswith("data/tags/v=0/") for w in first)
+    assert len(versions.write(spark, folder, 3, tags(101), 0)) == 1 and versions.write(spark, folder, 4, tags(101).copy(), 3) == []
+    commit = versions.commit
+    monkeypatch.setattr(versions, "commit", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        versions.write(spark, folder, 5, tags(140), 4)
+    monkeypatch.setattr(versions, "commit", commit)
+    assert versions.numbers(spark, folder) == [0, 3, 4]
+    assert [versions.read(spark, folder, v)["tags"].count() for v in (0, 3, 4)] == [100, 101, 101] and versions.read(spark, folder, 4)["novels"].count() == 0
+    versions.write(spark, folder, 5, tags(90), 4)
+    assert sorted(r.tag_id for r in versions.read(spark, folder, 5)["tags"].collect()) == list(range(90)) and versions.read(spark, folder, 4)["tags"].count() == 101
