@@ -46,8 +46,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(any_ == 0, F.lit(1.0)).otherwise(F.coalesce(both / F.nullif(any_, F.lit(0)), F.lit(0.0)))
 
 
-def safe_int(s: Column, default: int = 0) -> Column:
-    return F.coalesce(F.expr("null").cast("long") if s is None else s.try_cast("long"), F.lit(default))
+def safe_int(s: Column, default: int | None = 0) -> Column:
+    """A whole number, or the default where there is none."""
+    return F.coalesce(s.try_cast("long"), F.lit(default).cast("long"))
 
 
 def sha1_hex(s: Column) -> Column:

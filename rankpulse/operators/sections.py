@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankpulse.operators.panel import LIST
@@ -31,8 +31,8 @@ def list_structure(panel: DataFrame, coverage: DataFrame, platform: str, sub_cat
     return out.withColumnRenamed("_sub", "rank_sub_cat").orderBy("rank_family", F.desc("avg_daily_books"), F.desc("avg_heat"))
 
 
-def platform_diff(roll_cat: DataFrame, a: str, b: str) -> DataFrame:
-    """Categories of two platforms side by side: where they are, and the differences a - b."""
+def platform_diff(roll_cat: DataFrame, a: str, b: str, both_only: bool = False) -> DataFrame:
+    """Categories of two platforms side by side: where they are, and the differences a - b; with both_only those of both."""
 
     def side(name: str) -> DataFrame:
         rows = roll_cat.filter(F.col("platform") == name)
@@ -43,6 +43,7 @@ def platform_diff(roll_cat: DataFrame, a: str, b: str) -> DataFrame:
     presence = F.when(ins[0] & ins[1], "both").when(ins[0], f"{a}_only").otherwise(f"{b}_only")
     share = F.coalesce(f"share_{a}", F.lit(0.0)) - F.coalesce(f"share_{b}", F.lit(0.0))
     out = both.withColumns({"presence": presence, "share_diff": share, "heat_diff": F.col(f"heat_{a}") - F.col(f"heat_{b}"), "rank_diff": F.col(f"rank_{a}") - F.col(f"rank_{b}")})
+    out = out.filter("presence = 'both'") if both_only else out
     return out.drop(f"in_{a}", f"in_{b}").orderBy(F.desc("share_diff"), "cat_u")
 
 
@@ -73,3 +74,8 @@ def write_sections(sections: dict[str, DataFrame], folder: str, start: str, end:
     """Each section as a table of its own under the report's id."""
     for name, df in sections.items():
         df.write.mode("overwrite").parquet(f"{folder}/report_id={start}_{end}/{name}")
+
+
+def read_sections(spark: SparkSession, names: Sequence[str], folder: str, start: str, end: str) -> dict[str, DataFrame]:
+    """The sections of a written report."""
+    return {name: spark.read.parquet(f"{folder}/report_id={start}_{end}/{name}") for name in names}

@@ -116,8 +116,8 @@ def canonical(items: DataFrame) -> DataFrame:
         text("platform").alias("platform"), text("platform_novel_id").alias("platform_novel_id"), text("title").alias("title"), T.normalize_text(F.col("title")).alias("title_norm"),
         text("author").alias("author"), T.normalize_text(F.col("author")).alias("author_norm"), text("intro").alias("intro"), T.normalize_text(F.col("intro")).alias("intro_norm"),
         text("main_category").alias("main_category"), F.filter(tags, lambda t: t != "").alias("tags"), T.normalize_status(F.col("status")).alias("status"),
-        F.coalesce(F.col("total_words").cast("long"), F.lit(0)).alias("total_words"), text("url").alias("url"), F.coalesce(F.col("rank").cast("int"), F.lit(-1)).alias("rank"),
-        F.col("total_recommend").cast("long").alias("total_recommend"), F.col("reading_count").cast("long").alias("reading_count"),
+        T.safe_int(F.col("total_words")).alias("total_words"), text("url").alias("url"), T.safe_int(F.col("rank"), -1).cast("int").alias("rank"),
+        T.safe_int(F.col("total_recommend"), None).alias("total_recommend"), T.safe_int(F.col("reading_count"), None).alias("reading_count"),
         "rank_family", "rank_sub_cat", "source_url", F.col("snapshot_date").cast("date").alias("snapshot_date"), chapters.alias("chapter_titles"),
     )
 
@@ -316,6 +316,12 @@ def work_list(items: DataFrame, stats: DataFrame, key: str, count: str, n: int)
     return items.join(stats.filter(F.col(count) >= n).select(key), key, "left_anti")
 
 
+def needs_detail(status: Column, total_words: Column, metric: Column, category: Column, unknown: Sequence[str] = ("未知",)) -> Column:
+    """Whether a listed record still needs its detail page: no status, no words, no audience figure, or no known category."""
+    missing = needs_fill(status, "when_empty") | needs_fill(total_words, "when_zero") | metric.isNull()
+    return missing | needs_fill(category, "when_unknown", 0, unknown)
+
+
 def needs_fill(col: Column, rule: str, least: int = 0, unknown: Sequence[str] = ()) -> Column:
     """Whether a value should be taken from a detail record: when_empty, when_unknown, min_len or when_zero."""
     text = T.strip(F.coalesce(col.cast("string"), F.lit("")))

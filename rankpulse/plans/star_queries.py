@@ -13,7 +13,7 @@ from rankpulse.operators import browse as B
 from rankpulse.operators import cooccur, coverage, heat, longtable, newentry, panel, resolve, sections, unify
 from rankpulse.operators import upsert as U
 from rankpulse.plans.text_queries import shared_folder
-from rankpulse.sources.star import star
+from rankpulse.sources.star import read_tables, star, write_tables
 
 START, END = "1995-01-01", "1997-12-31"
 
@@ -119,10 +119,29 @@ def list_structure_b(spark: SparkSession, d: str, **shape: object) -> DataFrame:
     return _structure(spark, d, "beta", shape, with_books=True)
 
 
-def cross_platform_diff(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+def cross_platform_diff(spark: SparkSession, d: str, both_only: bool = False, **shape: object) -> DataFrame:
     # categories of alpha are `type·brand`: the type is what both platforms share
     rows = heated(spark, d, **shape).withColumn("cat_u", F.get(F.split("main_category", "·"), F.lit(0)))
-    return rounded(sections.platform_diff(panel.window_rollup(panel.period_panel(rows, "cat_u"), "cat_u"), "alpha", "beta"))
+    return rounded(sections.platform_diff(panel.window_rollup(panel.period_panel(rows, "cat_u"), "cat_u"), "alpha", "beta", both_only))
+
+
+def cross_platform_both(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    """The categories that both platforms have."""
+    return cross_platform_diff(spark, d, both_only=True, **shape)
+
+
+def report_sections(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    """A report's sections, written and read back: how many rows and which labels each has."""
+    made = {"tags": (tag_summary_topk, "tag_u"), "lists": (list_structure_b, "rank_family"), "platforms": (cross_platform_diff, "cat_u")}
+    folder = shared_folder(spark)
+    sections.write_sections({name: sections.display(df := f(spark, d, **shape), df.columns) for name, (f, _) in made.items()}, folder, START, END)
+    read = sections.read_sections(spark, list(made), folder, START, END)
+    out = None
+    for name, (_, label) in made.items():
+        labels = F.array_join(F.array_sort(F.collect_list(label)), ",").alias("labels")
+        row = read[name].agg(F.count(F.lit(1)).alias("n_rows"), labels).select(F.lit(name).alias("section"), "n_rows", "labels")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def concentration_daily(spark: SparkSession, d: str, **shape: object) -> DataFrame:
@@ -254,6 +273,39 @@ def save_snapshot(spark: SparkSession, d: str, **shape: object) -> DataFrame:
     return counts
 
 
+def save_snapshot_rows(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    """All tables after a batch: rows and a checksum of what is in them, with ids replaced by what they stand for."""
+    folder = shared_folder(spark)
+    write_tables(U.save_snapshots(U.empty_tables(spark), _items(spark, d, **shape), work=f"{folder}/work"), f"{folder}/tables")
+    t = read_tables(spark, f"{folder}/tables")
+    novel = t["novels"].select("novel_uid", "platform", "platform_novel_id")
+    lists = t["rank_lists"].select("rank_list_id", "platform", "rank_family", "rank_sub_cat")
+    snapshots = t["rank_snapshots"].join(lists, "rank_list_id")
+    rows = {
+        "novels": (t["novels"], "platform platform_novel_id author author_norm intro intro_norm main_category status total_words url signature_json created_date last_seen_date"),
+        "novel_titles": (t["novel_titles"].join(novel, "novel_uid"), "platform platform_novel_id title title_norm is_primary first_seen_date last_seen_date"),
+        "tags": (t["tags"], "tag_name tag_norm"),
+        "novel_tag_map": (t["novel_tag_map"].join(novel, "novel_uid").join(t["tags"], "tag_id"), "platform platform_novel_id tag_norm"),
+        "rank_lists": (t["rank_lists"], "platform rank_family rank_sub_cat source_url"),
+        "rank_snapshots": (snapshots, "platform rank_family rank_sub_cat snapshot_date item_count"),
+        "rank_entries": (t["rank_entries"].join(novel.drop("platform"), "novel_uid").join(snapshots, "snapshot_id"), "platform platform_novel_id rank_family snapshot_date rank total_recommend reading_count extra_json"),
+    }
+    out = None
+    for name, (df, columns) in rows.items():
+        number = F.conv(F.substring(F.md5(F.concat_ws("|", *columns.split())), 1, 8), 16, 10).cast("long")
+        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).alias("checksum")).select(F.lit(name).alias("table_name"), "n_rows", "checksum")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def detail_work_list(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    """Listed items that need their detail page: of some a field is taken away."""
+    novels = star(spark, d, **shape)["novels"]
+    gone = lambda c, n, k, v: F.when(F.col("novel_uid") % n == k, F.lit(v)).otherwise(F.col(c))
+    needs = U.needs_detail(gone("status", 4, 1, " "), gone("total_words", 5, 0, 0), F.when(F.col("novel_uid") % 6 > 0, 1), gone("main_category", 7, 0, "未知"))
+    return novels.filter(needs).select("platform", "novel_uid")
+
+
 def payload_validate(spark: SparkSession, d: str, **shape: object) -> DataFrame:
     items = _items(spark, d, **shape).withColumn("title", F.when(F.length("title") % 5 == 0, " ").otherwise(F.col("title")))
     good, bad = U.valid_items(items)
@@ -328,7 +380,7 @@ _ALL = {f.__name__: f for f in (
     tag_pairs, tag_triples, platform_coverage, list_coverage, tag_summary_topk, list_structure_a, list_structure_b, cross_platform_diff, concentration_daily,
     bar_topk, line_topk, table_counts, item_count_mismatch, run_summary, browse_page, list_browse, snapshot_browse, entries_browse, novel_dossier, snapshot_listing,
     full_inspection, section_table, upsert_novels, upsert_entries, upsert_snapshots, upsert_lists, upsert_tags, upsert_tag_map, upsert_titles, save_snapshot,
-    payload_validate, list_detail_merge, list_quota, list_identity, new_entry_table, title_aliases, resolve_items, category_split, tag_split,
+    payload_validate, save_snapshot_rows, detail_work_list, cross_platform_both, report_sections, list_detail_merge, list_quota, list_identity, new_entry_table, title_aliases, resolve_items, category_split, tag_split,
 )} | {"long_table": long_filtered}
 
 #: Over all items of all lists. Those that read lists take the grain of their dates as an argument.

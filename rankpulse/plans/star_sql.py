@@ -239,3 +239,17 @@ SQL["category_split"] = """select p_partkey, case when p_partkey % 2 = 0 then p_
 SQL["tag_split"] = r"""with t as (select p_partkey, p_brand, list_append(list_filter(regexp_split_to_array(replace(p_name, ' ', ',、|；') || ' , ' || p_type, '[,|/；;、\s]+'), lambda x: x <> ''), p_brand) as tags from part)
 select p_partkey, array_to_string(list_filter(list_distinct_ordered, lambda x: x <> p_brand), '/') as tags, len(tags) as n_tags
 from (select *, list_filter(tags, lambda x, i: list_position(tags, x) = i) as list_distinct_ordered from t)"""
+SQL["cross_platform_both"] = f"select * from ({SQL['cross_platform_diff']}) where presence = 'both'"
+SQL["report_sections"] = " union all ".join(f"select '{name}' as section, count(*) as n_rows, string_agg(coalesce({label}, '-'), ',' order by coalesce({label}, '-')) as labels from ({SQL[query]})"
+  for name, query, label in (("tags", "tag_summary_topk", "tag_u"), ("lists", "list_structure_b", "rank_family"), ("platforms", "cross_platform_diff", "cat_u")))
+SQL["detail_work_list"] = "with " + STAR + "select platform, novel_uid from novels where novel_uid % 4 = 1 or novel_uid % 5 = 0 or novel_uid % 6 = 0 or novel_uid % 7 = 0"
+_ROWS = {
+    "novels": ("novels", "platform, platform_novel_id, author, replace(lower(author), '#', ' '), intro, lower(intro), main_category, status, total_words, url, '{\"intro_sha1\":\"' || sha1(lower(intro)) || '\"}', created_date, last_seen_date"),
+    "novel_titles": ("novels", "platform, platform_novel_id, p_name, lower(p_name), 1, created_date, last_seen_date"),
+    "tags": ("tags", "tag_name, replace(tag_norm, '#', ' ')"),
+    "novel_tag_map": ("novel_tag_map join novels using (novel_uid) join tags using (tag_id)", "platform, platform_novel_id, replace(tag_norm, '#', ' ')"),
+    "rank_lists": ("rank_lists", "platform, rank_family, rank_sub_cat, source_url"),
+    "rank_snapshots": ("rank_snapshots join rank_lists using (rank_list_id)", "platform, rank_family, rank_sub_cat, snapshot_date, item_count"),
+    "rank_entries": ("placed p join novels n using (novel_uid)", "p.platform, platform_novel_id, rank_family, snapshot_date, rank, metric, '{\"source_url\":\"https://example.org/' || p.platform || '\"}'"),
+}
+SQL["save_snapshot_rows"] = "with " + STAR + " union all ".join(f"select '{name}' as table_name, count(*) as n_rows, cast(coalesce(sum(cast('0x' || substr(md5(concat_ws('|', {columns})), 1, 8) as bigint)), 0) as bigint) as checksum from {source}" for name, (source, columns) in _ROWS.items())

@@ -139,9 +139,9 @@ def priority_match(spark: SparkSession, d: str) -> DataFrame:
     return resolve.priority_match(docs.filter(F.col("doc_id") >= middle), stored, "doc_id", "uid", [["text_hash"], ["lang", "source", "n_chars"]])
 
 
-def _match(spark: SparkSession, d: str, sequence: bool) -> DataFrame:
+def _match(spark: SparkSession, d: str, sequence: bool, cap: int | None = None) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text", F.to_date(F.lit("2026-01-01")).alias("seen"))
-    out = resolve.similarity_match(docs, docs, ["lang", "source"], "doc_id", "doc_id", "text", "seen", threshold=0.7, sequence=sequence)
+    out = resolve.similarity_match(docs, docs, ["lang", "source"], "doc_id", "doc_id", "text", "seen", threshold=0.7, cap=cap, sequence=sequence)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -154,6 +154,11 @@ def word_match(spark: SparkSession, d: str) -> DataFrame:
     return _match(spark, d, False)
 
 
+def word_match_newest(spark: SparkSession, d: str) -> DataFrame:
+    """Matches with the newest twenty documents of a block, as the data model's cap has it."""
+    return _match(spark, d, False, cap=20)
+
+
 def raw_dump_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Pages written as JSON by site and read back."""
     p = table(spark, d, "pages").withColumn("site", F.regexp_extract("url", r"^https?://([^/]*)", 1))
@@ -361,6 +366,6 @@ def late_split(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     text_normalize, tokenize_jaccard, content_hash, cn_number, labelled_number, date_from_text, status_norm, url_fields, char_map, char_count, line_cleanup,
-    first_n_turns, merge_renumber, work_list, upsert_chapters, signature_merge, priority_match, similarity_match, word_match, raw_dump_roundtrip,
+    first_n_turns, merge_renumber, work_list, upsert_chapters, signature_merge, priority_match, similarity_match, word_match, word_match_newest, raw_dump_roundtrip,
     page_text, page_fields, page_quality, page_links, page_items, page_items_once, page_entries, page_detail, page_chapters, chapter_items, page_body, page_category, stream_ingest, late_recompute, stream_daily_panel, stream_monthly_panel, stream_dedupe, stream_replays, stream_upsert, stream_late_days, late_split,
 )}

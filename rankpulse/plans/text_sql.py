@@ -128,3 +128,4 @@ r as (select page_id, unnest(range(1, len(items) + 1)) as i, unnest(items) as it
 l as (select page_id, i, trim(regexp_extract(item, '(?is)<a\\s[^>]*?href=["'']([^"'']*)["'']', 1)) as href, {_visible("regexp_extract(item, '(?is)<a(?:\\s[^>]*)?>(.*?)</a>', 1)")} as title from r),
 u as (select page_id, i, {_URL} as url, title from l), o as (select page_id, url, min(i) as i, arg_min(title, i) as title from u where url <> '' group by page_id, url)
 select page_id, cast(row_number() over (partition by page_id order by i) as integer) as position, url, title from o"""
+SQL["word_match_newest"] = SQL["word_match"].replace("from d a join d b on", "from d a join (select * from (select *, row_number() over (partition by lang, source order by doc_id) as place from d) where place <= 20) b on")
