@@ -273,3 +273,66 @@ def page_chapters(pages: DataFrame, volume: str = opening(VOLUME_CLASS), item: s
     rows = rows.groupBy("page_id", "_row", "url").agg(F.min_by(F.struct("_i", "title"), "_i").alias("_f"))
     place = Window.partitionBy("_row").orderBy("_f._i")
     return rows.select("page_id", F.row_number().over(place).alias("position"), "url", F.col("_f.title").alias("title"))
+
+
+# Elements without an end, and classes of the path that leads to a page.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+PATH_CLASSES = ("breadcrumb", "breadcrumbs", "crumbs", "crumb-nav")
+_TAG = r"(?s)<!--.*?-->|<[!?/a-zA-Z][^>]*>"
+
+
+def tag_stream(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """The tags of pages in order: key, _row (a number of the page), at, tag (its name), ends (whether it is an end tag), markup, after (the characters up to the next
+    tag) and level, how many elements of its name are open with it.
+
+    An element's level is that of its end tag, so it is whole with elements of its own name inside; other elements that are never ended don't matter. Comments, elements
+    without an end and what a script or style holds are no tags. Null pages have no rows.
+    """
+    html = F.regexp_replace(F.col("html"), r"(?is)(<(script|style)(?:\s[^>]*)?>).*?(</\2\s*>)", "$1$3")
+    pieces = F.split("_html", _TAG)
+    both = F.arrays_zip(F.regexp_extract_all("_html", F.lit(_TAG), F.lit(0)).alias("markup"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("after"))
+    rows = pages.filter("html is not null").select(key, F.monotonically_increasing_id().alias("_row"), html.alias("_html")).select(key, "_row", F.posexplode(both).alias("at", "_t"))
+    rows = rows.select(key, "_row", "at", F.lower(F.regexp_extract("_t.markup", r"^</?([a-zA-Z][\w:-]*)", 1)).alias("tag"), F.startswith(F.col("_t.markup"), F.lit("</")).alias("ends"), F.col("_t.markup").alias("markup"), F.coalesce("_t.after", F.lit("")).alias("after"))
+    open_ = F.when((F.col("tag") == "") | F.col("tag").isin(*VOID) | F.endswith(F.col("markup"), F.lit("/>")), 0).when(F.col("ends"), -1).otherwise(1)
+    rows = rows.withColumn("_open", open_)
+    so_far = F.sum("_open").over(Window.partitionBy("_row", "tag").orderBy("at"))
+    return rows.withColumn("level", F.when(F.col("_open") == 0, None).otherwise(so_far + F.when(F.col("_open") < 0, 1).otherwise(0))).drop("_open")
+
+
+def elements(stream: DataFrame, wanted: Column, key: str = "page_id") -> DataFrame:
+    """Whole elements of a tag stream: key, _row, first and last (places of their tags; one that isn't ended goes to the end of its page), tag and markup. wanted is a condition on its columns."""
+    ended = F.min(F.when(F.col("ends"), F.col("at"))).over(Window.partitionBy("_row", "tag", "level").orderBy("at").rowsBetween(1, Window.unboundedFollowing))
+    found = stream.filter("level is not null").withColumn("last", F.coalesce(ended, F.lit((1 << 31) - 1)))
+    return found.filter(~F.col("ends") & wanted).select(key, "_row", F.col("at").alias("first"), "last", "tag", "markup")
+
+
+def inside(stream: DataFrame, found: DataFrame) -> DataFrame:
+    """The tags inside of each of these elements, and its own: the stream's columns with first, the element's place."""
+    return stream.join(found.select(F.col("_row").alias("_page"), "first", "last"), (F.col("_row") == F.col("_page")) & F.col("at").between(F.col("first"), F.col("last") - 1)).drop("_page", "last")
+
+
+def element_html(stream: DataFrame, found: DataFrame, key: str = "page_id") -> DataFrame:
+    """The elements with html, all that is between their tags."""
+    part = F.struct("at", F.when(F.col("at") == F.col("first"), F.col("after")).otherwise(F.concat("markup", "after")).alias("s"))
+    held = inside(stream, found).groupBy("_row", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"]), "").alias("html"))
+    return found.join(held, ["_row", "first"]).select(key, "_row", "first", "tag", "markup", "html")
+
+
+def has_class(names: Sequence[str]) -> Column:
+    """Whether a tag's markup has one of these classes."""
+    return F.col("markup").rlike(rf"""(?is)\sclass=["'](?:[^"']*\s)?(?:{"|".join(names)})(?:\s[^"']*)?["']""")
+
+
+def page_breadcrumb(pages: DataFrame, classes: Sequence[str] = PATH_CLASSES, base: str = "", key: str = "page_id") -> DataFrame:
+    """The path that leads to a page: position, address and text of the links inside the first element of these classes, however deep they are. A page without one has no rows."""
+    stream = tag_stream(pages, key)
+    path = first_of_page(elements(stream, has_class(classes), key))
+    links = element_html(stream, elements(inside(stream, path).drop("first"), F.col("tag") == "a", key), key)
+    url = T.absolute_url(F.regexp_extract("markup", r"(?is)\shref=[\"']([^\"']*)[\"']", 1), base)
+    place = Window.partitionBy("_row").orderBy("first")
+    return links.select(key, F.row_number().over(place).alias("position"), url.alias("url"), visible_text(F.col("html")).alias("label"))
+
+
+def first_of_page(found: DataFrame) -> DataFrame:
+    """The first of a page's elements."""
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("first"))).filter("_n = 1").drop("_n")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankpulse.functions import text as T
@@ -214,6 +214,25 @@ def page_detail(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("tags", F.array_join("tags", ","))
 
 
+def _planted(spark: SparkSession, d: str, markup: object) -> DataFrame:
+    return table(spark, d, "pages").withColumn("html", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), markup)))
+
+
+def page_breadcrumb(spark: SparkSession, d: str) -> DataFrame:
+    """The path of pages in which one has been put, with a box in a box; the pages' own links are outside of it."""
+    path = F.concat(F.lit('<div class="x breadcrumb"><div><br><a href="/a">Top</a> &gt; <div><a href="/b/'), F.col("page_id"), F.lit('"><b>Shelf</b> '), F.col("page_id"), F.lit('</a></div></div><a href="/c">Here</a></div><a href="/d">Out</a>'))
+    return pages.page_breadcrumb(_planted(spark, d, path), base="https://base.example")
+
+
+def page_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Whole lists with lists inside: the visible text of each, in order."""
+    lists = F.concat(F.lit('<ul class="o"><li>one<ul class="i"><li>two '), F.col("page_id"), F.lit("</li></ul><li>three</li></ul><ul class='o'></ul>"))
+    stream = pages.tag_stream(_planted(spark, d, lists))
+    found = pages.element_html(stream, pages.elements(stream, (F.col("tag") == "ul") & pages.has_class(["o", "i"])))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("first"))
+    return found.select("page_id", place.alias("position"), pages.visible_text(F.col("html")).alias("text"))
+
+
 def page_chapters(spark: SparkSession, d: str) -> DataFrame:
     """Links of the first list of five items or more as chapters."""
     return pages.page_chapters(table(spark, d, "pages"), r"(?is)<ul(?:\s[^>]*)?>", r"(?is)<li(?:\s[^>]*)?>", base="https://base.example", least=5)
@@ -367,5 +386,5 @@ def late_split(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     text_normalize, tokenize_jaccard, content_hash, cn_number, labelled_number, date_from_text, status_norm, url_fields, char_map, char_count, line_cleanup,
     first_n_turns, merge_renumber, work_list, upsert_chapters, signature_merge, priority_match, similarity_match, word_match, word_match_newest, raw_dump_roundtrip,
-    page_text, page_fields, page_quality, page_links, page_items, page_items_once, page_entries, page_detail, page_chapters, chapter_items, page_body, page_category, stream_ingest, late_recompute, stream_daily_panel, stream_monthly_panel, stream_dedupe, stream_replays, stream_upsert, stream_late_days, late_split,
+    page_text, page_fields, page_quality, page_links, page_items, page_items_once, page_entries, page_detail, page_breadcrumb, page_nested, page_chapters, chapter_items, page_body, page_category, stream_ingest, late_recompute, stream_daily_panel, stream_monthly_panel, stream_dedupe, stream_replays, stream_upsert, stream_late_days, late_split,
 )}

