@@ -159,13 +159,15 @@ class PerfectHash:
         return np.where(same & (slots >= 0), slots, -1)
 
 
-SHARD = "lang string, part int, size int, seed int, sizes array<int>, bits binary, keys array<binary>, bytes long"
+#: Keys are there one by one, and as one text with their ends, which is what is broadcast.
+SHARD = "lang string, part int, size int, seed int, sizes array<int>, bits binary, keys array<binary>, joined binary, ends binary, bytes long"
 
 
 def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     made = PerfectHash.build(sorted(map(bytes, rows["term"])))
-    size = sum(map(len, made.keys)) + 64 * len(made.keys)
-    return pd.DataFrame([(key[0], key[1], len(made.keys), made.seed, made.sizes, made.bits, made.keys, size)], columns=[c.split()[0] for c in SHARD.split(", ")])
+    joined, ends = b"".join(made.keys), np.cumsum([len(k) for k in made.keys], dtype="<i8").tobytes()
+    size = len(joined) + 64 * len(made.keys)
+    return pd.DataFrame([(key[0], key[1], len(made.keys), made.seed, made.sizes, made.bits, made.keys, joined, ends, size)], columns=[c.split()[0] for c in SHARD.split(", ")])
 
 
 def shards(kept: DataFrame, keys: int = KEYS) -> DataFrame:
@@ -181,6 +183,11 @@ def shards(kept: DataFrame, keys: int = KEYS) -> DataFrame:
     return cut(made.join(placed, ["lang", "part"]))
 
 
+def _split(joined: bytes, ends: bytes) -> list[bytes]:
+    at = np.frombuffer(ends, dtype="<i8").tolist()
+    return [joined[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+
+
 def _recount(broadcast):
     """source_key, cell (shard and slot) and how often its term stands there, of what a task has read."""
 
@@ -188,7 +195,7 @@ def _recount(broadcast):
         hashes: dict[str, dict[int, tuple[int, PerfectHash]]] = {}
         parts: dict[str, int] = {}
         for r in broadcast.value:
-            hashes.setdefault(r["lang"], {})[r["part"]] = r["shard"], PerfectHash(r["seed"], r["sizes"], r["bits"], r["keys"])
+            hashes.setdefault(r["lang"], {})[r["part"]] = r["shard"], PerfectHash(r["seed"], r["sizes"], r["bits"], _split(r["joined"], r["ends"]))
             parts[r["lang"]] = r["parts"]
         seen: dict[tuple[str, int], Counter] = {}
         slots: dict[tuple[int, int], np.ndarray] = {}
@@ -238,10 +245,10 @@ def recount(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     parts = hashes.groupBy("lang").agg((F.max("part") + 1).alias("parts"))
     last = hashes.agg(F.max("wave")).first()[0]
     for wave in range(-1 if last is None else last, -1, -1):
-        rows = hashes.filter(F.col("wave") == wave).join(parts, "lang").select("lang", "part", "parts", "shard", "seed", "sizes", "bits", "keys").collect()
+        rows = hashes.filter(F.col("wave") == wave).join(parts, "lang").select("lang", "part", "parts", "shard", "seed", "sizes", "bits", "joined", "ends").collect()
         if not rows:
             continue
-        sent = spark.sparkContext.broadcast([{k: [bytes(x) for x in v] if k == "keys" else bytes(v) if k == "bits" else v for k, v in r.asDict().items()} for r in rows])
+        sent = spark.sparkContext.broadcast([{k: bytes(v) if isinstance(v, bytearray) else v for k, v in r.asDict().items()} for r in rows])
         found = found.unionByName(cut(docs.mapInArrow(_recount(sent), schema).groupBy("source_key", "cell").agg(F.sum("n").alias("n"))))
         sent.unpersist()
     return found
