@@ -22,8 +22,8 @@ def heat_raw(platforms: Sequence[Platform] = PLATFORMS) -> Column:
     return value.cast("double")
 
 
-def _running(values: DataFrame, value: str) -> DataFrame:
-    """Adds below and total to a histogram (platform, value, n): how many rows of the platform have a smaller value, or any.
+def running_counts(values: DataFrame, value: str, keys: Sequence[str] = ("platform",)) -> DataFrame:
+    """Adds below and total to a histogram (keys, value, n): how many rows of the same keys have a smaller value, or any.
 
     Values are dealt into ranges of equal ratio and summed range by range, so that no task sorts a whole platform: a range at a figure
     v has v / RANGES whole figures at most. Where ranges begin changes no sum.
@@ -31,18 +31,18 @@ def _running(values: DataFrame, value: str) -> DataFrame:
     v = F.col(value)
     dealt = values.withColumn("_bucket", F.floor(F.signum(v) * F.log1p(F.abs(v)) * RANGES))
     start = Window.unboundedPreceding
-    sums = dealt.groupBy("platform", "_bucket").agg(F.sum("n").alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy("platform").orderBy("_bucket").rowsBetween(start, -1))
-    sums = sums.select("platform", "_bucket", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("platform")).alias("total"))
-    inside = F.sum("n").over(Window.partitionBy("platform", "_bucket").orderBy(value).rowsBetween(start, -1))
-    return dealt.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums, ["platform", "_bucket"]).select("platform", value, "n", (F.col("_before") + F.col("_inside")).alias("below"), "total")
+    sums = dealt.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(start, -1))
+    sums = sums.select(*keys, "_bucket", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(start, -1))
+    return dealt.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums, [*keys, "_bucket"]).select(*keys, value, "n", (F.col("_before") + F.col("_inside")).alias("below"), "total")
 
 
-def _median(running: DataFrame, value: str, name: str) -> DataFrame:
-    """The median of each platform: the mean of the middle value or two."""
+def median_of(running: DataFrame, value: str, name: str, keys: Sequence[str] = ("platform",)) -> DataFrame:
+    """The median of each of the keys, from running counts: the mean of the middle value or two."""
     at = lambda k: F.max(F.when((F.col("below") <= k) & (F.col("below") + F.col("n") > k), F.col(value)))
     middle = (F.col("total") - 1) / 2
-    return running.groupBy("platform").agg((0.5 * at(F.floor(middle)) + 0.5 * at(F.ceil(middle))).alias(name))
+    return running.groupBy(*keys).agg((0.5 * at(F.floor(middle)) + 0.5 * at(F.ceil(middle))).alias(name))
 
 
 def add_heat(df: DataFrame, platforms: Sequence[Platform] = PLATFORMS, alpha: float = 0.7, tanh_c: float = 3.0) -> DataFrame:
@@ -53,10 +53,10 @@ def add_heat(df: DataFrame, platforms: Sequence[Platform] = PLATFORMS, alpha: fl
     """
     df = df.filter("platform is not null").withColumn("heat_raw", heat_raw(platforms))
     values = df.filter("heat_raw is not null").groupBy("platform", "heat_raw").agg(F.count(F.lit(1)).alias("n"))
-    running = _running(values, "heat_raw")
-    median = _median(running, "heat_raw", "_median")
+    running = running_counts(values, "heat_raw")
+    median = median_of(running, "heat_raw", "_median")
     apart = values.join(median, "platform").groupBy("platform", F.abs(F.col("heat_raw") - F.col("_median")).alias("_apart")).agg(F.sum("n").alias("n"))
-    centre = median.join(_median(_running(apart, "_apart"), "_apart", "_mad"), "platform")
+    centre = median.join(median_of(running_counts(apart, "_apart"), "_apart", "_mad"), "platform")
     ranked = running.select("platform", "heat_raw", ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias("heat_pct"))
     df = df.join(centre, "platform", "left").join(ranked, ["platform", "heat_raw"], "left")
     usable = F.coalesce(F.col("_mad"), F.lit(0.0)) > 0

@@ -29,8 +29,14 @@ def period_panel(df: DataFrame, dim: str = "tag_u", top_n: int = 10, metric: str
     ]
     panel = rows.groupBy(*GROUP, dim).agg(*aggs)
     totals = rows.groupBy(*GROUP).agg(F.count_distinct("novel_uid").alias("books_in_group"))
+    return with_shares(panel, totals, dim)
+
+
+def with_shares(panel: DataFrame, totals: DataFrame, dim: str) -> DataFrame:
+    """Adds to a panel's counts the items of each list and period (totals), shares and concentration; by tags also efficiency and head ratio."""
     same = [panel[k].eqNullSafe(totals[k]) for k in GROUP]
     panel = panel.join(totals, same).select(*[panel[c] for c in panel.columns], "books_in_group")
+    tag = dim == "tag_u"
     share = "tag_share" if tag else "cat_share"
     panel = panel.withColumn(share, ratio(F.col("book_count"), F.col("books_in_group")))
     panel = panel.withColumn("concentration_index", F.sum(F.col(share) * F.col(share)).over(Window.partitionBy(*GROUP)))

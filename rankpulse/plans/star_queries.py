@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from rankpulse.functions import text as T
 from rankpulse.operators import browse as B
-from rankpulse.operators import cooccur, coverage, heat, longtable, newentry, panel, resolve, sections, unify
+from rankpulse.operators import cooccur, coverage, heat, longtable, newentry, panel, panelstate, resolve, sections, unify
 from rankpulse.operators import upsert as U
 from rankpulse.plans.text_queries import shared_folder
 from rankpulse.sources.star import read_tables, star, write_tables
+from rankpulse.streaming import streams
 
 START, END = "1995-01-01", "1997-12-31"
 
@@ -43,6 +44,23 @@ def _roll(spark: SparkSession, d: str, dim: str = "tag_u", **shape: object) -> D
     return panel.window_rollup(panel.period_panel(heated(spark, d, **shape), dim), dim)
 
 
+def _merged(spark: SparkSession, d: str, dim: str, shape: dict) -> DataFrame:
+    """A panel of years from the states of months, of which the items arrive in two batches, the second one twice."""
+    rows, folder = f"{shared_folder(spark)}/rows", shared_folder(spark)
+    heated(spark, d, **({"grain": "month"} | shape)).select(*panel.GROUP, dim, "novel_uid", "rank", "heat_raw").write.parquet(rows)
+    for batch in (0, 1, 1):
+        streams.keep_panel(spark.read.parquet(rows).filter(F.col("novel_uid") % 2 == batch), folder, batch, dim=dim)
+    return rounded(panelstate.panel_of(streams.kept_panel(spark, folder), dim, "year"))
+
+
+def tag_panel_merged(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return _merged(spark, d, "tag_u", shape)
+
+
+def category_panel_merged(spark: SparkSession, d: str, **shape: object) -> DataFrame:
+    return _merged(spark, d, "cat_u", shape)
+
+
 def tag_rollup(spark: SparkSession, d: str, **shape: object) -> DataFrame:
     return rounded(_roll(spark, d, **shape))
 
@@ -376,7 +394,7 @@ def tag_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = {f.__name__: f for f in (
-    tag_panel, category_panel, tag_rollup, category_rollup, heat_scores, unified_columns, date_window, new_entry_ratio, new_book_heat, opening_opportunities,
+    tag_panel, category_panel, tag_panel_merged, category_panel_merged, tag_rollup, category_rollup, heat_scores, unified_columns, date_window, new_entry_ratio, new_book_heat, opening_opportunities,
     tag_pairs, tag_triples, platform_coverage, list_coverage, tag_summary_topk, list_structure_a, list_structure_b, cross_platform_diff, concentration_daily,
     bar_topk, line_topk, table_counts, item_count_mismatch, run_summary, browse_page, list_browse, snapshot_browse, entries_browse, novel_dossier, snapshot_listing,
     full_inspection, section_table, upsert_novels, upsert_entries, upsert_snapshots, upsert_lists, upsert_tags, upsert_tag_map, upsert_titles, save_snapshot,

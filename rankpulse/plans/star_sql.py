@@ -253,3 +253,6 @@ _ROWS = {
     "rank_entries": ("placed p join novels n using (novel_uid)", "p.platform, platform_novel_id, rank_family, snapshot_date, rank, metric, '{\"source_url\":\"https://example.org/' || p.platform || '\"}'"),
 }
 SQL["save_snapshot_rows"] = "with " + STAR + " union all ".join(f"select '{name}' as table_name, count(*) as n_rows, cast(coalesce(sum(cast('0x' || substr(md5(concat_ws('|', {columns})), 1, 8) as bigint)), 0) as bigint) as checksum from {source}" for name, (source, columns) in _ROWS.items())
+for _name, _of in (("tag_panel_merged", "tag_panel"), ("category_panel_merged", "category_panel")):
+    # lists by month, panels by year
+    SQL[_name] = SQL[_of].replace("date_trunc('year', o_orderdate)", "date_trunc('month', o_orderdate)").replace("snapshot_date as period", "cast(date_trunc('year', snapshot_date) as date) as period")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankpulse.operators import panelstate
 from rankpulse.operators.upsert import empty_tables, newest, save_snapshots
 from rankpulse.schema import Tables
 from rankpulse.sources import versions
@@ -137,6 +138,23 @@ def late_days(stream: DataFrame, folder: str, checkpoint: str, schema: str, days
     run_available(stream, each, checkpoint)
 
 
+def keep_panel(rows: DataFrame, folder: str, batch: int, **how: object) -> None:
+    """Adds the state of a batch of rows (operators/panelstate.py; how: dim, top_n, metric) to a folder, by day and batch: a batch that is
+    repeated overwrites what it wrote, and rows of a day may come in several batches."""
+    for name, df in panelstate.panel_state(rows, **how).items():
+        replace_days(f"{folder}/{name}", df.withColumn("batch", F.lit(batch)), "period", "batch")
+
+
+def kept_panel(spark: SparkSession, folder: str) -> panelstate.State:
+    """The state that a folder has, of all days and batches."""
+    return {name: spark.read.schema(f"{ddl}, batch int").parquet(f"{folder}/{name}").drop("batch") for name, ddl in panelstate.STATE.items()}
+
+
+def panel_stream(stream: DataFrame, folder: str, checkpoint: str, **how: object) -> None:
+    """Keeps a panel's state as rows of a long table arrive; no batch reads the rows or the state of those before."""
+    run_available(stream, lambda batch, i: keep_panel(batch, folder, i, **how), checkpoint)
+
+
 def _exists(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
