@@ -174,5 +174,7 @@ def compare(docs: DataFrame, search_every: int = 20) -> DataFrame:
     classes = prints.groupBy(F.col("fingerprint").alias("found")).agg(F.min("doc_id").alias("_first"))
     ids = pairs.join(classes, "found").groupBy("query").agg(F.sort_array(F.collect_set(F.when(F.col("query") != F.col("found"), F.col("_first")))).alias("near_ids"))
     near = pairs.groupBy("query").agg((F.sum("n") - 1).alias("_near")).join(ids, "query")
-    out = out.withColumn("_query", F.when(asked, F.col("fingerprint"))).join(near, F.col("_query") == F.col("query"), "left")
+    # rows that ask nothing have keys that no fingerprint has, each its own: as nulls they would all meet in one task
+    own = F.concat_ws("-", F.lit(""), F.col("doc_id").cast("string"), "_sha")
+    out = out.withColumn("_query", F.when(asked, F.col("fingerprint")).otherwise(own)).join(near, F.col("_query") == F.col("query"), "left")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("_near").alias("n_near"), "near_ids")
