@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankpulse.schema import PLATFORMS, Platform
+from rankpulse.sources.shared import cut
 
 MAD_SCALE = 1.4826
 #: Ranges of figures by which a figure grows e-fold.
@@ -45,18 +46,24 @@ def median_of(running: DataFrame, value: str, name: str, keys: Sequence[str] = (
     return running.groupBy(*keys).agg((0.5 * at(F.floor(middle)) + 0.5 * at(F.ceil(middle))).alias(name))
 
 
+def add_raw(df: DataFrame, platforms: Sequence[Platform] = PLATFORMS) -> DataFrame:
+    """Adds heat_raw alone, for what needs no percentiles or scores. Rows without a platform go."""
+    return df.filter("platform is not null").withColumn("heat_raw", heat_raw(platforms))
+
+
 def add_heat(df: DataFrame, platforms: Sequence[Platform] = PLATFORMS, alpha: float = 0.7, tanh_c: float = 3.0) -> DataFrame:
     """Adds heat_raw, heat_pct, heat_rz, heat_rz01, heat_mix. Rows without a platform go.
 
     heat_pct is the average rank of ties by the number of values of the platform. It, the median and the median deviation come from a
-    histogram of values with running counts.
+    histogram of values with running counts. The histogram and what comes of it are written, so that Spark knows how small they are and doesn't
+    deal the rows out by figure, which would put those of a frequent one into one task.
     """
-    df = df.filter("platform is not null").withColumn("heat_raw", heat_raw(platforms))
-    values = df.filter("heat_raw is not null").groupBy("platform", "heat_raw").agg(F.count(F.lit(1)).alias("n"))
-    running = running_counts(values, "heat_raw")
+    df = add_raw(df, platforms)
+    values = cut(df.filter("heat_raw is not null").groupBy("platform", "heat_raw").agg(F.count(F.lit(1)).alias("n")))
+    running = cut(running_counts(values, "heat_raw"))
     median = median_of(running, "heat_raw", "_median")
     apart = values.join(median, "platform").groupBy("platform", F.abs(F.col("heat_raw") - F.col("_median")).alias("_apart")).agg(F.sum("n").alias("n"))
-    centre = median.join(median_of(running_counts(apart, "_apart"), "_apart", "_mad"), "platform")
+    centre = cut(median.join(median_of(running_counts(apart, "_apart"), "_apart", "_mad"), "platform"))
     ranked = running.select("platform", "heat_raw", ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias("heat_pct"))
     df = df.join(centre, "platform", "left").join(ranked, ["platform", "heat_raw"], "left")
     usable = F.coalesce(F.col("_mad"), F.lit(0.0)) > 0

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankpulse.functions import text as T
 from rankpulse.operators import coverage, pages, resolve
 from rankpulse.operators import upsert as U
+from rankpulse.sources.shared import shared_folder
 from rankpulse.streaming import streams
 
 
@@ -19,16 +16,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, of this machine, if all runs in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-rankpulse-", dir="/tmp")
-    return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
-
-
 def text_normalize(spark: SparkSession, d: str) -> DataFrame:
     norm = T.normalize_text(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.md5(norm).alias("norm_md5"), F.length(norm).cast("long").alias("norm_chars"))

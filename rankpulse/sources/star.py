@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankpulse.schema import SCHEMAS, Tables
+from rankpulse.sources.shared import cut
+
 
 def read_tables(spark: SparkSession, folder: str) -> Tables:
     """The tables of a folder, with their schemas given, not inferred."""
@@ -35,17 +37,21 @@ def facts(spark: SparkSession, sf_dir: str, grain: str = "year") -> DataFrame:
 
 
 def star(spark: SparkSession, sf_dir: str, list_size: int | None = None, grain: str = "year") -> Tables:
-    """All tables but chapters, from orders, lineitem and part; of each list the first list_size items, or all."""
+    """All tables but chapters, from orders, lineitem and part; of each list the first list_size items, or all.
+
+    The ranked facts, the parts on lists and the three small tables are written once; all tables are read from them.
+    """
     order = Window.partitionBy("platform", "rank_family", "rank_sub_cat", "snapshot_date").orderBy(F.desc("metric"), "novel_uid")
     ranked = facts(spark, sf_dir, grain).withColumn("rank", F.row_number().over(order))
     if list_size is not None:
         ranked = ranked.filter(F.col("rank") <= list_size)
+    ranked = cut(ranked)
     keys = ["platform", "rank_family", "rank_sub_cat"]
     lists = ranked.select(*keys).distinct().withColumn("rank_list_id", F.row_number().over(Window.orderBy(*keys)).cast("long"))
-    lists = lists.select("rank_list_id", *keys, F.concat(F.lit("https://example.org/"), "platform").alias("source_url"))
+    lists = cut(lists.select("rank_list_id", *keys, F.concat(F.lit("https://example.org/"), "platform").alias("source_url")))
     period = F.year("snapshot_date") * 100 + F.month("snapshot_date")
     placed = ranked.join(lists.drop("source_url"), keys).withColumn("snapshot_id", F.col("rank_list_id") * 1000000 + period)
-    snapshots = placed.groupBy("snapshot_id", "rank_list_id", "snapshot_date").agg(F.count(F.lit(1)).cast("int").alias("item_count"))
+    snapshots = cut(placed.groupBy("snapshot_id", "rank_list_id", "snapshot_date").agg(F.count(F.lit(1)).cast("int").alias("item_count")))
     entries = placed.select(
         "snapshot_id",
         "novel_uid",
@@ -56,7 +62,7 @@ def star(spark: SparkSession, sf_dir: str, list_size: int | None = None, grain:
     )
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     seen = ranked.groupBy("novel_uid", "platform").agg(F.min("snapshot_date").alias("created_date"), F.max("snapshot_date").alias("last_seen_date"))
-    parts = seen.join(part, F.col("novel_uid") == F.col("p_partkey"))
+    parts = cut(seen.join(part, F.col("novel_uid") == F.col("p_partkey")))
     alpha = F.col("platform") == "alpha"
     novels = parts.select(
         "novel_uid",
@@ -86,6 +92,6 @@ def star(spark: SparkSession, sf_dir: str, list_size: int | None = None, grain:
     names = F.when(alpha, F.array("p_brand")).otherwise(F.array_distinct(F.concat(F.filter(F.split("p_name", " "), lambda x: x != ""), F.array("p_brand"))))
     tagged = parts.select("novel_uid", F.explode(names).alias("tag_name"))
     tags = tagged.select("tag_name").distinct().withColumn("tag_norm", F.lower("tag_name"))
-    tags = tags.select(F.row_number().over(Window.orderBy("tag_name")).cast("long").alias("tag_id"), "tag_name", "tag_norm")
+    tags = cut(tags.select(F.row_number().over(Window.orderBy("tag_name")).cast("long").alias("tag_id"), "tag_name", "tag_norm"))
     tag_map = tagged.join(tags, "tag_name").select("novel_uid", "tag_id").distinct()
     return {"novels": novels, "novel_titles": titles, "tags": tags, "novel_tag_map": tag_map, "rank_lists": lists, "rank_snapshots": snapshots, "rank_entries": entries}
