@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankpulse.functions.text import days_span, ratio
+from rankpulse.sources.shared import dealt
 
 LIST = ["platform", "rank_family", "rank_sub_cat"]
 GROUP = [*LIST, "period"]
@@ -14,28 +15,39 @@ GROUP = [*LIST, "period"]
 def period_panel(df: DataFrame, dim: str = "tag_u", top_n: int = 10, metric: str = "heat_raw") -> DataFrame:
     """Topic panel. With dim "tag_u" rows without a topic go, and efficiency and head figures are added; "cat_u" keeps empty categories.
 
-    The long table has a row for each tag, so averages are weighted by tags, as in the data model. One aggregation, and
-    one of distinct items by list and period; shares and concentration come from windows over the panel's few rows.
+    The long table has a row for each tag, so averages are weighted by tags, as in the data model. Rows are dealt out by item and sorted there: the first of an item's
+    rows of a list and period, or of a topic in it, counts it, so no task keeps a whole list.
+    The median comes from a histogram of figures; shares and concentration come from windows over the panel's few rows.
     """
     tag = dim == "tag_u"
     rows = df.filter(F.col(dim).isNotNull()) if tag else df
-    aggs = [
-        F.count_distinct("novel_uid").alias("book_count"),
+    rows = rows.select(*GROUP, dim, "novel_uid", "rank", F.col(metric).cast("double").alias("_figure"))
+    place = F.row_number().over(Window.partitionBy("novel_uid", *GROUP).orderBy(dim, F.asc_nulls_last("rank")))
+    again = F.row_number().over(Window.partitionBy("novel_uid", *GROUP, dim).orderBy(F.asc_nulls_last("rank")))
+    placed = dealt(rows, "novel_uid").withColumns({"_place": place, "_again": again})
+    # an item's first row of a topic has its best rank there
+    once = lambda first: F.count(F.when(first, F.col("novel_uid")))
+    panel = placed.groupBy(*GROUP, dim).agg(
+        once(F.col("_again") == 1).alias("book_count"),
         F.avg("rank").alias("avg_rank"),
-        F.avg(metric).alias("avg_heat_raw"),
-        *([F.median(metric).alias("median_heat_raw")] if tag else []),
-        F.min(metric).alias("entry_threshold"),
-        *([F.count_distinct(F.when(F.col("rank") <= top_n, F.col("novel_uid"))).alias("top_app_count")] if tag else []),
-    ]
-    panel = rows.groupBy(*GROUP, dim).agg(*aggs)
-    totals = rows.groupBy(*GROUP).agg(F.count_distinct("novel_uid").alias("books_in_group"))
-    return with_shares(panel, totals, dim)
+        F.avg("_figure").alias("avg_heat_raw"),
+        F.min("_figure").alias("entry_threshold"),
+        *([once((F.col("_again") == 1) & (F.col("rank") <= top_n)).alias("top_app_count")] if tag else []),
+        once(F.col("_place") == 1).alias("_firsts"),
+    )
+    columns = [*GROUP, dim, "book_count", "avg_rank", "avg_heat_raw"]
+    if tag:
+        # as one column: parts of a struct may be null and are equal then
+        group = F.struct(*GROUP, dim).alias("_group")
+        counts = rows.filter("_figure is not null").groupBy(group, "_figure").agg(F.count(F.lit(1)).alias("_n"))
+        medians = counts.groupBy("_group").agg(F.percentile("_figure", 0.5, F.col("_n")).alias("median_heat_raw"))
+        panel = panel.withColumn("_group", group).join(medians, "_group", "left").drop("_group")
+    panel = panel.withColumn("books_in_group", F.sum("_firsts").over(Window.partitionBy(*GROUP)))
+    return with_shares(panel.select(*columns, *(["median_heat_raw"] if tag else []), "entry_threshold", *(["top_app_count"] if tag else []), "books_in_group"), dim)
 
 
-def with_shares(panel: DataFrame, totals: DataFrame, dim: str) -> DataFrame:
-    """Adds to a panel's counts the items of each list and period (totals), shares and concentration; by tags also efficiency and head ratio."""
-    same = [panel[k].eqNullSafe(totals[k]) for k in GROUP]
-    panel = panel.join(totals, same).select(*[panel[c] for c in panel.columns], "books_in_group")
+def with_shares(panel: DataFrame, dim: str) -> DataFrame:
+    """Adds to a panel's counts, those of the items of each list and period (books_in_group) among them, shares and concentration; by tags also efficiency and head ratio."""
     tag = dim == "tag_u"
     share = "tag_share" if tag else "cat_share"
     panel = panel.withColumn(share, ratio(F.col("book_count"), F.col("books_in_group")))
