@@ -269,22 +269,16 @@ def _arrive(part: DataFrame, folder: str) -> None:
 
 
 def stream_daily_panel(spark: SparkSession, d: str) -> DataFrame:
-    """A daily panel with state, in batches of a file, stopped in the middle and gone on with from its checkpoint: what its changes come to.
-
-    Distinct users are a sketch's: n_users_near says that its estimate is within 3 per cent, or 1, of the exact number.
-    """
+    """A daily panel with state, in batches of a file, stopped in the middle and gone on with from its checkpoint: what its changes come to. Distinct users are exact."""
     source, kept, checkpoint = (shared_folder(spark) for _ in range(3))
     parts = _arriving(spark, d)
     for run in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):
         for part in run:
             _arrive(part, source)
         if run:
-            streams.keep_changes(streams.panel_state(streams.read_events(spark, source, EVENTS, files=1)), kept, checkpoint)
-    state = streams.latest(spark, kept, ["day", "event_type"], "day date, event_type string, n_events long, total double, n_values long, users binary")
-    exact = streams.daily_panel(table(spark, d, "events"), exact=True).select("day", "event_type", F.col("n_users").alias("_exact"))
-    rows = streams.merge_panels(state).join(exact, ["day", "event_type"], "left")
-    near = F.abs(F.col("n_users") - F.col("_exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("_exact"))
-    return rows.select("day", "event_type", "n_events", F.round("mean_value", 6).alias("mean_value"), near.alias("n_users_near"))
+            streams.keep_changes(streams.user_state(streams.read_events(spark, source, EVENTS, files=1)), kept, checkpoint)
+    state = streams.latest(spark, kept, ["day", "event_type", "user_id"], "day date, event_type string, user_id long, n_events long, total double, n_values long")
+    return streams.panel_of_users(state).withColumn("mean_value", F.round("mean_value", 6))
 
 
 def stream_monthly_panel(spark: SparkSession, d: str) -> DataFrame:

@@ -50,6 +50,20 @@ def merge_panels(states: DataFrame, grain: str = "day") -> DataFrame:
     return sums.select("day", "event_type", "n_events", (F.col("_total") / F.nullif("_n", F.lit(0))).alias("mean_value"), F.hll_sketch_estimate("_users").alias("n_users"))
 
 
+def user_state(events: DataFrame, delay: str = "7 days", grain: str = "1 day") -> DataFrame:
+    """The panel by period, type and user: as panel_state, but from it distinct users are exact. In streams the state has a row for each user of a period until the watermark has passed that."""
+    rows = events.withWatermark("ts", delay) if events.isStreaming else events
+    sums = [F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total"), F.count("value").alias("n_values")]
+    return rows.groupBy(F.window("ts", grain).alias("w"), "event_type", "user_id").agg(*sums).select(F.to_date("w.start").alias("day"), "event_type", "user_id", "n_events", "total", "n_values")
+
+
+def panel_of_users(states: DataFrame, grain: str = "day") -> DataFrame:
+    """The panel of the same or coarser periods from user_state: day, event_type, n_events, n_users, mean_value."""
+    day = F.to_date(F.date_trunc(grain, "day")).alias("day")
+    sums = states.groupBy(day, "event_type").agg(F.sum("n_events").alias("n_events"), F.count_distinct("user_id").alias("n_users"), F.sum("total").alias("_total"), F.sum("n_values").alias("_n"))
+    return sums.select("day", "event_type", "n_events", "n_users", (F.col("_total") / F.nullif("_n", F.lit(0))).alias("mean_value"))
+
+
 def first_of(events: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
     """For each key the columns of its first event, also where events come in any order; in streams the state has a row for each key."""
     at = F.struct("ts", "event_id")
