@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from rankpulse.functions import text as T
+from rankpulse.sources.shared import cut
 
 
 @F.pandas_udf(DoubleType())
@@ -42,26 +44,47 @@ def priority_match(incoming: DataFrame, stored: DataFrame, key: str, uid: str, r
     return out.select(key, F.coalesce(*hits).alias("matched_uid"), rule.alias("matched_rule"))
 
 
-def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """Of each set (_h, _words) the rarest words, so many that two sets of a Jaccard similarity of at least `least` share one: _h, _n, _word.
+#: Numbers of 64 bits in the signature of a set.
+SIGNATURE = 16
+
+
+def _ordered(sets: DataFrame, *columns: Column) -> DataFrame:
+    """Of each set (_h, _words): _h, _n, and _all, its words' hashes from the rarest on; and aggregates of them.
 
-    The empty set has the empty word.
+    Words go by a 64-bit hash: two that share one only add candidates. The empty set has the empty word.
     """
     n = F.size("_words")
-    each = sets.select("_h", n.alias("_n"), F.explode(F.when(n == 0, F.array(F.lit(""))).otherwise(F.col("_words"))).alias("_word"))
+    hashes = F.transform(F.when(n == 0, F.array(F.lit(""))).otherwise(F.col("_words")), lambda x: F.xxhash64(x))
+    each = sets.select("_h", n.alias("_n"), F.explode(hashes).alias("_word"))
     often = each.groupBy("_word").agg(F.count(F.lit(1)).alias("_often"))
-    ordered = each.join(often, "_word").groupBy("_h", "_n").agg(F.sort_array(F.collect_list(F.struct("_often", "_word"))).alias("_all"))
+    return each.join(often, "_word").groupBy("_h", "_n").agg(F.sort_array(F.collect_list(F.struct("_often", "_word"))).alias("_all"), *columns)
+
+
+def _first(ordered: DataFrame, least: float) -> DataFrame:
+    """The rarest words of each set, so many that two sets of a Jaccard similarity of at least `least` share one: _h, _n, _word."""
     # the bound is a little lower than exact arithmetic has it: rounding must not lose a pair
     some = F.greatest(F.lit(1), F.col("_n") - F.ceil(least * F.col("_n") - 1e-6).cast("int") + 1)
     return ordered.select("_h", "_n", F.explode(F.transform(F.slice("_all", F.lit(1), some), lambda x: x["_word"])).alias("_word"))
 
 
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    return _first(_ordered(sets), least)
+
+
+def _parities() -> list[Column]:
+    """Which of 64 * SIGNATURE groups of words a set has an odd number of: two sets differ in at least as many words as in groups."""
+    group = F.pmod(F.col("_word"), F.lit(64 * SIGNATURE))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(_word, {64 * SIGNATURE}) % 64 as int))")
+    return [F.coalesce(F.bit_xor(F.when(F.floor(group / 64) == k, bit)), F.lit(0).cast("long")).alias(f"_s{k}") for k in range(SIGNATURE)]
+
+
 def similarity_match(incoming: DataFrame, stored: DataFrame, block: Sequence[str], key: str, uid: str, text: str, seen: str, threshold: float = 0.84, cap: int | None = None, sequence: bool = True) -> DataFrame:
     """The best stored match of each incoming record in its block, if it scores at least the threshold.
 
     All rows of a block are compared, or the newest `cap`, where the data model limits them. With sequence=False only words count.
     Ties go to the newest, then the smallest uid. Candidates share one of their rarest words, which all pairs of enough words in
-    common do; each pair of different texts is scored once.
+    common do; each pair of different texts is scored once. What signatures of 128 bytes and lengths rule out goes before texts are fetched.
+    Texts are told apart by a 64-bit hash.
     """
     normal = T.normalize_text(F.col(text))
     words = F.sort_array(F.array_distinct(F.filter(F.split(normal, " "), lambda t: t != "")))
@@ -71,24 +94,37 @@ def similarity_match(incoming: DataFrame, stored: DataFrame, block: Sequence[str
         stored = stored.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= cap)
     # a record's own row aside, one of the two best rows of a text is its best match among the rows of that text
     at = [f"_b_{b}" for b in block]
-    right = stored.select(*[F.col(b).alias(f"_b_{b}") for b in block], F.col(uid).alias("_uid"), same.alias("_text"), words.alias("_words"), F.col(seen).alias("_seen")).withColumn("_r", F.sha2("_text", 256))
+    right = stored.select(*[F.col(b).alias(f"_b_{b}") for b in block], F.col(uid).alias("_uid"), same.alias("_text"), words.alias("_words"), F.col(seen).alias("_seen")).withColumn("_r", F.xxhash64("_text"))
     rows = right.groupBy(*at, "_r", "_uid").agg(F.max("_seen").alias("_seen"))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*at, "_r").orderBy(F.desc("_seen"), "_uid"))).filter("_n <= 2").drop("_n")
-    left = incoming.select(key, *block, same.alias("_text"), words.alias("_words")).withColumn("_l", F.sha2("_text", 256))
+    left = incoming.select(key, *block, same.alias("_text"), words.alias("_words")).withColumn("_l", F.xxhash64("_text"))
     texts = left.select(F.col("_l").alias("_h"), "_text", "_words").unionByName(right.select(F.col("_r").alias("_h"), "_text", "_words")).dropDuplicates(["_h"])
+    texts = cut(texts)
 
     least = (threshold - 0.35) / 0.65 if sequence else threshold
-    index = _prefixes(texts.select("_h", "_words"), least)
+    ordered = cut(_ordered(texts.select("_h", "_words"), *_parities()))
+    index = _first(ordered, least)
     asked = left.select(*block, "_l").distinct().join(index.withColumnsRenamed({"_h": "_l", "_n": "_own_n"}), "_l")
     found = right.select(*at, "_r").distinct().join(index.withColumnsRenamed({"_h": "_r", "_word": "_found"}), "_r")
     on = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in block] + [F.col("_word") == F.col("_found"), F.least("_n", "_own_n") >= least * F.greatest("_n", "_own_n") - 1e-6]
     pairs = asked.join(found, on).select(*block, "_l", "_r").distinct()
+    signed = ordered.join(texts.select("_h", F.length("_text").alias("_chars")), "_h").select("_h", "_n", "_chars", *[f"_s{k}" for k in range(SIGNATURE)])
+    pairs = pairs.join(signed.select(F.col("_h").alias("_l"), *[F.col(c).alias(f"_own{c}") for c in signed.columns[1:]]), "_l").join(signed.withColumnRenamed("_h", "_r"), "_r")
+    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"_s{k}").bitwiseXOR(F.col(f"_own_s{k}"))) for k in range(SIGNATURE)])
+    both = F.col("_n") + F.col("_own_n")
+    most_words = F.when(both == 0, 1.0).otherwise((both - apart) / F.nullif(both + apart, F.lit(0)))
+    # of texts of these lengths no more can be in sequence
+    chars = F.col("_chars") + F.col("_own_chars")
+    most = F.when(chars == 0, 1.0).otherwise(2 * F.least("_chars", "_own_chars") / F.nullif(chars, F.lit(0)))
+    possible = most_words >= least - 1e-9
+    if sequence:
+        possible = possible & (0.65 * most_words + 0.35 * most >= threshold - 1e-6)
+    pairs = pairs.filter(possible).select(*block, "_l", "_r")
     pairs = pairs.join(texts.select(F.col("_h").alias("_l"), F.col("_text").alias("_own_text"), F.col("_words").alias("_own_words")), "_l").join(texts.withColumnRenamed("_h", "_r"), "_r")
     common, n, m = F.size(F.array_intersect("_own_words", "_words")), F.size("_own_words"), F.size("_words")
     pairs = pairs.withColumn("_jaccard", F.when((n == 0) & (m == 0), 1.0).otherwise(common / F.nullif(n + m - common, F.lit(0)))).filter(F.col("_jaccard") >= least)
     score = F.col("_jaccard")
     if sequence:
-        # of texts of these lengths no more can be in sequence
         a, b = F.length("_own_text"), F.length("_text")
         most = F.when(a + b == 0, 1.0).otherwise(2 * F.least(a, b) / F.nullif(a + b, F.lit(0)))
         pairs = pairs.filter(0.65 * F.col("_jaccard") + 0.35 * most >= threshold - 1e-6)
