@@ -154,10 +154,10 @@ def least_jaccards(threshold: float) -> tuple[float, float]:
     return ((threshold - 0.38) / 0.65 - 0.35) / 0.65, (threshold - 0.78) / 0.25
 
 
-def _side(rows: DataFrame, node: Column) -> DataFrame:
+def _side(rows: DataFrame) -> DataFrame:
     """What candidates are found by: _node, platform, _author, _sig and _words."""
     words = F.array_distinct(T.tokenize(F.coalesce("intro_norm", F.lit(""))))
-    return rows.select(node.alias("_node"), "platform", F.coalesce("author_norm", F.lit("")).alias("_author"), "_sig", words.alias("_words")).filter((F.size("_sig") > 0) & (F.size("_words") > 0))
+    return rows.select("_node", "platform", F.coalesce("author_norm", F.lit("")).alias("_author"), "_sig", words.alias("_words")).filter((F.size("_sig") > 0) & (F.size("_words") > 0))
 
 
 def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -168,7 +168,8 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     of which two that reach the threshold share one.
     """
     least_words, least_titles = least_jaccards(threshold)
-    both = left.select("_node", "_words").unionByName(right.select("_node", "_words"))
+    # a node of both sides counts once, else its words would take the places of others
+    both = left.select("_node", "_words").unionByName(right.select("_node", "_words")).dropDuplicates(["_node"])
     rare = _prefixes(both.withColumnRenamed("_node", "_h"), least_words).select(F.col("_h").alias("_node"), "_word")
     entry = ["platform", "_by", "_title"]
     routes = F.explode(F.array(F.col("_author"), F.lit(None).cast("string")))
@@ -189,8 +190,30 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     return few.unionByName(lots).distinct()
 
 
+#: What a match's score depends on: records that agree on all of it are one class.
+PARTS = ["platform", "author_norm", "intro_norm", "main_category", "_sig", "_titles"]
+
+
+def _classed(rows: DataFrame) -> DataFrame:
+    """Adds _class, a hash of the parts."""
+    return rows.withColumn("_class", F.sha1(F.to_json(F.struct(*PARTS))))
+
+
 def _records(items: DataFrame) -> DataFrame:
-    return items.select(*KEYS, "title_norm", "author_norm", "intro_norm", "main_category", F.array_distinct("chapter_titles").alias("_sig"))
+    rows = items.filter("platform_novel_id is not null")
+    return _classed(rows.select(*KEYS, "author_norm", "intro_norm", "main_category", F.array_distinct("chapter_titles").alias("_sig"), F.array("title_norm").alias("_titles")))
+
+
+def _stored(novels: DataFrame, titles: DataFrame) -> DataFrame:
+    """The classes of stored novels that can match, each with its newest novel, of equal ones that of the smallest uid."""
+    sig = F.array_distinct(F.from_json("signature_json", "chapter_title_sig array<string>").chapter_title_sig)
+    rows = novels.withColumn("_sig", sig).filter("size(_sig) > 0 and intro_norm <> ''")
+    known = titles.groupBy("novel_uid").agg(F.array_sort(F.collect_set("title_norm")).alias("_titles"))
+    rows = _classed(rows.select("novel_uid", "last_seen_date", *PARTS[:-1]).join(known, "novel_uid", "left"))
+    # of structs with a null the null is the least
+    best = F.max(F.struct(F.col("last_seen_date").alias("seen"), (-F.col("novel_uid")).alias("less"))).alias("_best")
+    classes = rows.groupBy("_class", *PARTS).agg(best)
+    return classes.select(F.concat(F.lit("n"), "_class").alias("_node"), *PARTS, (-F.col("_best.less")).alias("_uid"), F.lit(None).cast("string").alias("_id"), F.col("_best.seen").alias("_seen"), F.lit(1).alias("_stored"))
 
 
 def best_matches(items: DataFrame, novels: DataFrame, titles: DataFrame, threshold: float = 0.84, among: bool = False) -> DataFrame:
@@ -198,38 +221,43 @@ def best_matches(items: DataFrame, novels: DataFrame, titles: DataFrame, thresho
 
     items are canonical records of new ids, one an id. With `among`, an item is also compared with the items of smaller ids: its match may be one of
     these, root_id, which may itself match another. Of equal scores the newest counts (items before stored novels), then the smallest uid or id.
+
+    Records that agree on all that a score depends on are compared once, as a class (written, with a hash as its name). Of a class of novels only the newest can be a match, of
+    one of items only the smallest id, so copies cost nothing and no match is lost.
     """
     if threshold <= 0.65 + 0.10 + 0.03:
         raise ValueError("a threshold of 0.78 or less can be reached without a common chapter title")
     own = _records(items)
-    item_node, novel_node = F.concat(F.lit("i"), "platform_novel_id"), F.concat(F.lit("n"), F.col("novel_uid").cast("string"))
-    sig = F.array_distinct(F.from_json("signature_json", "chapter_title_sig array<string>").chapter_title_sig)
-    stored = novels.withColumn("_sig", sig)
-    left, right = _side(own, item_node), _side(stored, novel_node)
+    asked = own.groupBy("_class", *PARTS).agg(F.min("platform_novel_id").alias("_id"))
+    asked = cut(asked.select(F.concat(F.lit("i"), "_class").alias("_node"), *PARTS, F.lit(None).cast("long").alias("_uid"), "_id", F.lit(None).cast("date").alias("_seen"), F.lit(0).alias("_stored")))
+    held = cut(_stored(novels, titles))
     if among:
-        right = right.unionByName(left)
-    found = candidates(left, right, threshold).filter((F.substring("_right", 1, 1) == "n") | (F.col("_right") < F.col("_left")))
-    fields = lambda df, node, mark: df.select(node.alias("_right"), F.col("platform").alias("_platform"), F.col("author_norm").alias("_author"), F.col("intro_norm").alias("_intro"), F.col("main_category").alias("_category"), F.col("_sig").alias("_other"), *mark)
-    seen = fields(stored, novel_node, [F.col("novel_uid").alias("_uid"), F.lit(None).cast("string").alias("_id"), F.col("last_seen_date").alias("_seen"), F.lit(1).alias("_stored")])
-    if among:
-        seen = seen.unionByName(fields(own, item_node, [F.lit(None).cast("long").alias("_uid"), F.col("platform_novel_id").alias("_id"), F.lit(None).cast("date").alias("_seen"), F.lit(0).alias("_stored")]))
-    pairs = own.withColumn("_left", item_node).join(found, "_left").join(seen, "_right").filter((F.col("platform") == F.col("_platform")) & ((F.coalesce("author_norm", F.lit("")) == "") | (F.col("author_norm") == F.col("_author"))))
+        held = held.unionByName(asked)
+    found = candidates(_side(asked), _side(held), threshold)
+    names = {"_node": "_right", "platform": "_platform", "author_norm": "_author", "intro_norm": "_intro", "main_category": "_category", "_sig": "_other", "_titles": "_known"}
+    pairs = asked.drop("_uid", "_id", "_seen", "_stored").withColumnsRenamed({"_node": "_left", "_titles": "_own"}).join(found, "_left").join(held.withColumnsRenamed(names), "_right")
+    pairs = pairs.filter((F.col("platform") == F.col("_platform")) & ((F.coalesce("author_norm", F.lit("")) == "") | (F.col("author_norm") == F.col("_author"))))
     words = T.jaccard(T.tokenize(F.coalesce("intro_norm", F.lit(""))), T.tokenize(F.coalesce("_intro", F.lit(""))))
     chapters = T.jaccard(F.col("_sig"), F.col("_other"))
     same = (F.col("main_category") != "") & (F.col("main_category") == F.col("_category"))
     # the parts that need Python are at most 1 each: pairs that can't reach the threshold don't go there
     most = match_score(0.65 * words + 0.35, chapters, F.lit(1.0), same)
     pairs = pairs.withColumns({"_jaccard": words, "_chapters": chapters, "_same": F.coalesce(same, F.lit(False))}).filter(most >= threshold - 1e-9)
-    known = titles.join(pairs.select(F.col("_uid").alias("novel_uid")).distinct(), "novel_uid", "left_semi").groupBy("novel_uid").agg(F.collect_set("title_norm").alias("_known"))
-    pairs = pairs.join(known.withColumnRenamed("novel_uid", "_uid"), "_uid", "left")
-    if among:
-        titled = own.select(F.col("platform").alias("_platform"), F.col("platform_novel_id").alias("_id"), F.array("title_norm").alias("_own_title"))
-        pairs = pairs.join(titled, ["_platform", "_id"], "left").withColumn("_known", F.coalesce("_own_title", "_known"))
+    # a pair's bytes are few and its time is long: a given number of partitions isn't merged by size
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.select("_left", "_right", "_own", "_known", "intro_norm", "_intro", "_jaccard", "_chapters", "_same", "_stored", "_seen", "_uid", "_id").repartition(parts, "_left", "_right")
     both = (F.coalesce("intro_norm", F.lit("")) != "") & (F.coalesce("_intro", F.lit("")) != "")
-    pairs = pairs.withColumns({"_ratio": F.when(both, sequence_ratio("intro_norm", "_intro")).otherwise(0.0), "_title": best_title_ratio("title_norm", "_known")})
-    pairs = pairs.withColumn("score", match_score(0.65 * F.col("_jaccard") + 0.35 * F.col("_ratio"), F.col("_chapters"), F.col("_title"), F.col("_same"))).filter(F.col("score") >= threshold)
-    best = Window.partitionBy(*KEYS).orderBy(F.desc("score"), "_stored", F.desc("_seen"), "_uid", "_id")
-    return pairs.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*KEYS, F.col("_uid").alias("novel_uid"), F.col("_id").alias("root_id"))
+    pairs = pairs.withColumns({"_ratio": F.when(both, sequence_ratio("intro_norm", "_intro")).otherwise(0.0), "_title": best_title_ratio(F.col("_own")[0], "_known")})
+    scored = pairs.withColumn("score", match_score(0.65 * F.col("_jaccard") + 0.35 * F.col("_ratio"), F.col("_chapters"), F.col("_title"), F.col("_same"))).filter(F.col("score") >= threshold)
+    order = [F.desc("score"), "_stored", F.desc("_seen"), "_uid", "_id"]
+    # an item takes the first whose id is smaller than its own, or that is stored: what comes after a stored one, or after one of a smaller id, is never taken
+    before = Window.partitionBy("_left").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = scored.withColumns({"_least": F.min("_id").over(before), "_done": F.coalesce(F.max("_stored").over(before), F.lit(0))})
+    ahead = ahead.filter((F.col("_done") == 0) & ((F.col("_stored") == 1) | F.col("_least").isNull() | (F.col("_id") < F.col("_least"))))
+    ahead = ahead.select(F.substring("_left", 2, 40).alias("_class"), "score", "_stored", "_seen", "_uid", "_id")
+    taken = own.select(*KEYS, "_class").join(ahead, "_class").filter((F.col("_stored") == 1) | (F.col("_id") < F.col("platform_novel_id")))
+    best = Window.partitionBy(*KEYS).orderBy(*order)
+    return taken.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*KEYS, F.col("_uid").alias("novel_uid"), F.col("_id").alias("root_id"))
 
 
 def follow(matches: DataFrame, once: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
