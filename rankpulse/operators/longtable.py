@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankpulse.schema import Tables
+from rankpulse.sources.shared import dealt
 
 #: Days that a named look-back spans.
 LOOKBACKS = {"week": 7, "month": 30, "quarter": 90, "year": 365}
 
 
-def long_table(tables: Tables, start: str | date | None = None, end: str | date | None = None, platform: str | None = None, family: str | None = None, sub_cat: str | None = None) -> DataFrame:
-    """Entries with their snapshot, list, item and tags. Filters sit on the small tables, before the joins."""
+def long_table(tables: Tables, start: str | date | None = None, end: str | date | None = None, platform: str | None = None, family: str | None = None, sub_cat: str | None = None, per_item: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Entries with their snapshot, list, item and tags. Filters sit on the small tables, before the joins. per_item adds columns to items with a tag
+    each (main_category and tag_name among theirs), so what depends on these alone is computed before the entries are joined."""
     snapshots = tables["rank_snapshots"].select("snapshot_id", "rank_list_id", "snapshot_date")
     if start is not None:
         snapshots = snapshots.filter(F.col("snapshot_date") >= F.lit(start).cast("date"))
@@ -27,10 +30,14 @@ def long_table(tables: Tables, start: str | date | None = None, end: str | date
     entries = tables["rank_entries"].select("snapshot_id", "novel_uid", "rank", "total_recommend", "reading_count")
     novels = tables["novels"].select("novel_uid", "main_category", "status", "total_words", "created_date", "last_seen_date")
     tags = tables["novel_tag_map"].join(tables["tags"].select("tag_id", "tag_name"), "tag_id", "left").select("novel_uid", "tag_name")
-    rows = entries.join(snapshots.join(lists, "rank_list_id"), "snapshot_id").join(novels, "novel_uid").join(tags, "novel_uid", "left")
+    items = novels.join(tags, "novel_uid", "left")
+    columns = items.columns
+    items = items if per_item is None else per_item(items)
+    placed = entries.join(snapshots.join(lists, "rank_list_id"), "snapshot_id")
+    rows = dealt(placed, "novel_uid").join(items, "novel_uid")
     return rows.select(
         "snapshot_date", "platform", "rank_family", "rank_sub_cat", "rank_list_id", "snapshot_id", "novel_uid", "rank", "total_recommend", "reading_count",
-        "main_category", "status", "total_words", "created_date", "last_seen_date", "tag_name",
+        "main_category", "status", "total_words", "created_date", "last_seen_date", "tag_name", *[c for c in items.columns if c not in columns],
     )
 
 

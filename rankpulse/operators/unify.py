@@ -39,11 +39,30 @@ def unified_tag(platforms: Sequence[Platform] = PLATFORMS) -> Column:
     return value
 
 
+def add_topics(items: DataFrame, rules: Sequence[tuple[str, str]] = CATEGORY_RULES) -> DataFrame:
+    """What unify_rows needs of items with a tag each (main_category, tag_name): _sub, _tag and cat_u."""
+    tag = T.strip(F.col("tag_name"))
+    return items.withColumns({"_sub": sub_category(F.col("main_category")), "_tag": F.when(tag != "", tag), "cat_u": unified_category(F.col("main_category"), rules)})
+
+
+def unify_rows(df: DataFrame, platforms: Sequence[Platform] = PLATFORMS, grain: str = "day") -> DataFrame:
+    """Rows with the columns of add_topics as add_unified makes them of those without."""
+    topic = F.col("_tag")
+    for p in platforms:
+        if p.by_sub_category:
+            topic = F.when(F.col("platform") == p.name, F.col("_sub")).otherwise(topic)
+    return df.withColumns({"period": period_of(grain), "tag_u": topic}).drop("_sub", "_tag")
+
+
+def period_of(grain: str) -> Column:
+    """The date, or the start of its week, month or year."""
+    day = F.to_date("snapshot_date")
+    return day if grain == "day" else F.to_date(F.date_trunc(grain, day))
+
+
 def add_unified(df: DataFrame, platforms: Sequence[Platform] = PLATFORMS, rules: Sequence[tuple[str, str]] = CATEGORY_RULES, grain: str = "day") -> DataFrame:
     """Adds period (the date, or the start of its week, month or year), tag_u and cat_u."""
-    day = F.to_date("snapshot_date")
-    period = day if grain == "day" else F.to_date(F.date_trunc(grain, day))
-    return df.withColumns({"period": period, "tag_u": unified_tag(platforms), "cat_u": unified_category(F.col("main_category"), rules)})
+    return df.withColumns({"period": period_of(grain), "tag_u": unified_tag(platforms), "cat_u": unified_category(F.col("main_category"), rules)})
 
 
 def split_category(category: Column, mains: Sequence[str], sub_to_main: dict[str, str]) -> Column:

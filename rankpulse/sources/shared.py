@@ -29,7 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """Partitions that keep a task's rows near TASK_ROWS however many there are."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """The rows by keys, in as many partitions as keep a task's rows near TASK_ROWS however many there are. Counts the rows, so it is for tables that are read, not computed."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-df.count() // TASK_ROWS)), *keys)
+    return df.repartition(parts_of(df.sparkSession, df.count()), *keys)

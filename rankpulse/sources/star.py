@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankpulse.schema import SCHEMAS, Tables
-from rankpulse.sources.shared import cut
+from rankpulse.sources.shared import cut, parts_of
 
 
 def read_tables(spark: SparkSession, folder: str) -> Tables:
@@ -25,7 +25,9 @@ def facts(spark: SparkSession, sf_dir: str, grain: str = "year") -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     lines = read("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = read("orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    # the number of lines says how many tasks it takes: orders, parts and lists are dealt out so that none grows with the tables
+    parts = parts_of(spark, lines.count())
+    joined = lines.repartition(parts, "l_orderkey").join(orders, lines.l_orderkey == orders.o_orderkey).repartition(parts, "l_partkey")
     platform = F.when(F.col("l_partkey") % 2 == 0, "alpha").otherwise("beta")
     return joined.groupBy(
         platform.alias("platform"),
@@ -41,8 +43,10 @@ def star(spark: SparkSession, sf_dir: str, list_size: int | None = None, grain:
 
     The ranked facts, the parts on lists and the three small tables are written once; all tables are read from them.
     """
-    order = Window.partitionBy("platform", "rank_family", "rank_sub_cat", "snapshot_date").orderBy(F.desc("metric"), "novel_uid")
-    ranked = facts(spark, sf_dir, grain).withColumn("rank", F.row_number().over(order))
+    of = ["platform", "rank_family", "rank_sub_cat", "snapshot_date"]
+    order = Window.partitionBy(*of).orderBy(F.desc("metric"), "novel_uid")
+    parts = parts_of(spark, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
+    ranked = facts(spark, sf_dir, grain).repartition(parts, *of).withColumn("rank", F.row_number().over(order))
     if list_size is not None:
         ranked = ranked.filter(F.col("rank") <= list_size)
     ranked = cut(ranked)
