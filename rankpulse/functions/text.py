@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 #: Not a letter, digit or underscore; white space of any script.
 SEPARATORS = r"[^\p{L}\p{N}_]+"
 BLANKS = r"(?U)\s+"
-ENDS = r"^(?U)\s+|(?U)\s+$"
+#: The characters of BLANKS.
+BLANK_CHARACTERS = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 # Factors of number units.
 UNITS = (("亿", 100_000_000), ("万", 10_000))
@@ -22,7 +23,7 @@ DONE, RUNNING = "完本", "连载"
 
 def strip(s: Column) -> Column:
     """Without white space of any script at the ends."""
-    return F.regexp_replace(s, ENDS, "")
+    return F.btrim(s, F.lit(BLANK_CHARACTERS))
 
 
 def normalize_text(s: Column) -> Column:

@@ -130,7 +130,8 @@ def signature(novels: DataFrame) -> Column:
 
 def _newcomers(good: DataFrame, novels: DataFrame) -> DataFrame:
     """The first record of each id that isn't stored, if it has chapters: only such can match."""
-    first = newest(good.join(novels.select(*KEYS), KEYS, "left_anti"), KEYS, F.asc_nulls_first("snapshot_date"), "rank_list_id", "rank")
+    opened = good.filter(F.size("chapter_titles") > 0).select(*KEYS).distinct()
+    first = newest(good.join(opened, KEYS, "left_semi").join(novels.select(*KEYS), KEYS, "left_anti"), KEYS, F.asc_nulls_first("snapshot_date"), "rank_list_id", "rank")
     return first.filter(F.size("chapter_titles") > 0)
 
 
@@ -166,14 +167,18 @@ def save_snapshots(tables: Tables, items: DataFrame, make_title_primary: bool =
 
     rest = once(canonical(valid_items(items)[0]), "items")
     list_keys = ["platform", "rank_family", "rank_sub_cat"]
-    lists = newest(rest.select(*list_keys, "source_url", "snapshot_date"), list_keys, F.desc("snapshot_date"), F.desc("source_url")).drop("snapshot_date")
+    # what many records share is taken once, before it is put in order or normalised
+    shared = rest.groupBy(*list_keys, "source_url").agg(F.max("snapshot_date").alias("snapshot_date"))
+    lists = newest(shared, list_keys, F.desc("snapshot_date"), F.desc("source_url")).drop("snapshot_date")
     lists = once(lists.join(with_ids(tables["rank_lists"], lists, list_keys, "rank_list_id"), list_keys), "lists")
-    rest = once(rest.join(lists.select(*list_keys, "rank_list_id"), list_keys), "listed")
+    rest = rest.join(lists.select(*list_keys, "rank_list_id"), list_keys)
     out = dict(tables) | {"rank_lists": upsert(tables["rank_lists"], lists, list_keys, LIST_RULES)}
     for step in range(1 << 20):
         stage = lambda df, name, step=step: once(df, f"{name}{step}")
-        fresh = stage(_newcomers(rest, out["novels"]), "newcomers")
-        days = [r[0] for r in fresh.select("snapshot_date").distinct().orderBy(F.asc_nulls_first("snapshot_date")).collect()]
+        # without chapters nobody can be recognised, and records needn't be put in order
+        opened = not rest.filter(F.size("chapter_titles") > 0).isEmpty()
+        fresh = stage(_newcomers(rest, out["novels"]), "newcomers") if opened else rest.limit(0)
+        days = [] if not opened else [r[0] for r in fresh.select("snapshot_date").distinct().orderBy(F.asc_nulls_first("snapshot_date")).collect()]
         first = rest.orderBy(F.asc_nulls_first("snapshot_date")).select("snapshot_date").first() if days else None
         matches, stop = None, days[0] if days else None
         if days and days[0] == first[0]:
@@ -202,7 +207,7 @@ def _save_days(tables: Tables, good: DataFrame, matches: DataFrame | None, make_
     snaps = good.groupBy(*snap_keys).agg(F.count(F.lit(1)).cast("int").alias("item_count"))
     snaps = once(snaps.join(with_ids(tables["rank_snapshots"], snaps, snap_keys, "snapshot_id"), snap_keys), "snapshots")
     out["rank_snapshots"] = upsert(tables["rank_snapshots"], snaps, snap_keys, SNAPSHOT_RULES)
-    tags = good.select("snapshot_date", F.explode("tags").alias("tag_name")).withColumn("tag_norm", T.normalize_text(F.col("tag_name"))).filter("tag_norm <> ''")
+    tags = good.groupBy("tags").agg(F.max("snapshot_date").alias("snapshot_date")).select("snapshot_date", F.explode("tags").alias("tag_name")).withColumn("tag_norm", T.normalize_text(F.col("tag_name"))).filter("tag_norm <> ''")
     tags = newest(tags, ["tag_norm"], F.desc("snapshot_date"), "tag_name").drop("snapshot_date")
     tags = once(tags.join(with_ids(tables["tags"], tags, ["tag_norm"], "tag_id"), "tag_norm"), "tags")
     out["tags"] = upsert(tables["tags"], tags, ["tag_norm"], TAG_RULES)
@@ -227,7 +232,7 @@ def _save_days(tables: Tables, good: DataFrame, matches: DataFrame | None, make_
         out["novel_titles"] = merged.withColumn("is_primary", F.when(primary, F.col("is_primary")).otherwise((F.row_number().over(order) == 1).cast("int")))
     else:
         out["novel_titles"] = one_primary(merged)
-    pairs = good.select("novel_uid", F.explode("tags").alias("tag_name")).withColumn("tag_norm", T.normalize_text(F.col("tag_name"))).join(tags.select("tag_norm", "tag_id"), "tag_norm")
+    pairs = good.select("novel_uid", "tags").distinct().select("novel_uid", F.explode("tags").alias("tag_name")).withColumn("tag_norm", T.normalize_text(F.col("tag_name"))).join(tags.select("tag_norm", "tag_id"), "tag_norm")
     out["novel_tag_map"] = insert_absent(tables["novel_tag_map"], pairs, ["novel_uid", "tag_id"])
     placed = good.filter("rank >= 0").join(snaps.select(*snap_keys, "snapshot_id"), snap_keys)
     entries = newest(placed, ["snapshot_id", "novel_uid"], "rank").withColumn("extra_json", F.to_json(F.struct("source_url")))
