@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankpulse.schema import Tables
-from rankpulse.sources.shared import dealt
+from rankpulse.sources.shared import dealt, parts_of
 
 #: Days that a named look-back spans.
 LOOKBACKS = {"week": 7, "month": 30, "quarter": 90, "year": 365}
@@ -41,6 +41,25 @@ def long_table(tables: Tables, start: str | date | None = None, end: str | date
     )
 
 
+def counted_table(tables: Tables, topic: Column, dim: str = "cat_u") -> DataFrame:
+    """The long table by entries, without a row for each tag, for a topic that the item's category alone says: a row for each period (the date), list, item and topic.
+
+    n_rows is how many rows of the long table it stands for, is_first whether the topic is the first of the item's, if it has several. Tags are counted by item
+    before the entries are joined, and names of lists come last, so only numbers are dealt out.
+    """
+    entries = tables["rank_entries"].select("snapshot_id", "novel_uid", "rank", "total_recommend", "reading_count")
+    # items, tags and entries in the same partitions, else Spark deals the entries out in those of the items
+    parts = parts_of(entries.sparkSession, entries.count())
+    tags = tables["novel_tag_map"].select("novel_uid").repartition(parts, "novel_uid").groupBy("novel_uid").agg(F.count(F.lit(1)).alias("_tags"))
+    novels = tables["novels"].select("novel_uid", topic.alias(dim)).repartition(parts, "novel_uid").join(tags, "novel_uid", "left")
+    items = novels.groupBy("novel_uid", dim).agg(F.sum(F.coalesce("_tags", F.lit(1))).alias("n_rows"))
+    items = items.withColumn("is_first", F.row_number().over(Window.partitionBy("novel_uid").orderBy(dim)) == 1)
+    lists = tables["rank_lists"].select("rank_list_id", "platform", "rank_family", "rank_sub_cat")
+    snapshots = tables["rank_snapshots"].select("snapshot_id", "rank_list_id", F.to_date("snapshot_date").alias("period")).join(lists, "rank_list_id")
+    rows = entries.repartition(parts, "novel_uid").join(items, "novel_uid").join(snapshots, "snapshot_id")
+    return rows.select("platform", "rank_family", "rank_sub_cat", "period", "novel_uid", "rank", "total_recommend", "reading_count", dim, "n_rows", "is_first")
+
+
 def date_range(snapshots: DataFrame) -> DataFrame:
     """One row: first and last snapshot date."""
     return snapshots.agg(F.min("snapshot_date").alias("min_date"), F.max("snapshot_date").alias("max_date"))

@@ -46,6 +46,22 @@ def period_panel(df: DataFrame, dim: str = "tag_u", top_n: int = 10, metric: str
     return with_shares(panel.select(*columns, *(["median_heat_raw"] if tag else []), "entry_threshold", *(["top_app_count"] if tag else []), "books_in_group"), dim)
 
 
+def counted_panel(df: DataFrame, dim: str = "cat_u", metric: str = "heat_raw") -> DataFrame:
+    """The panel that period_panel makes of the long table, from rows that stand for several of it each (longtable.counted_table): an item has one row in a list, period and
+    topic, so items are counted as rows, and none are sorted or dealt out."""
+    n, figure = F.col("n_rows"), F.col(metric).cast("double")
+    mean = lambda v: F.sum(v * n) / F.sum(F.when(v.isNotNull(), n))
+    panel = df.groupBy(*GROUP, dim).agg(
+        F.count("novel_uid").alias("book_count"),
+        mean(F.col("rank")).alias("avg_rank"),
+        mean(figure).alias("avg_heat_raw"),
+        F.min(figure).alias("entry_threshold"),
+        F.count(F.when(F.col("is_first"), F.col("novel_uid"))).alias("_firsts"),
+    )
+    panel = panel.withColumn("books_in_group", F.sum("_firsts").over(Window.partitionBy(*GROUP))).drop("_firsts")
+    return with_shares(panel, dim)
+
+
 def with_shares(panel: DataFrame, dim: str) -> DataFrame:
     """Adds to a panel's counts, those of the items of each list and period (books_in_group) among them, shares and concentration; by tags also efficiency and head ratio."""
     tag = dim == "tag_u"

@@ -24,37 +24,36 @@ def facts(spark: SparkSession, sf_dir: str, grain: str = "year") -> DataFrame:
     """Quantity by platform, list, period and part: parts with an even key are on alpha, the others on beta; a list is an order priority."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     lines = read("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    orders = read("orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    # the period is made of orders, before each of their lines has it
+    orders = read("orders").select("o_orderkey", F.trunc("o_orderdate", grain).alias("snapshot_date"), F.col("o_orderpriority").alias("rank_family"))
     # the number of lines says how many tasks it takes: orders, parts and lists are dealt out so that none grows with the tables
     parts = parts_of(spark, lines.count())
     joined = lines.repartition(parts, "l_orderkey").join(orders, lines.l_orderkey == orders.o_orderkey).repartition(parts, "l_partkey")
     platform = F.when(F.col("l_partkey") % 2 == 0, "alpha").otherwise("beta")
-    return joined.groupBy(
-        platform.alias("platform"),
-        F.col("o_orderpriority").alias("rank_family"),
-        F.lit("").alias("rank_sub_cat"),
-        F.trunc("o_orderdate", grain).alias("snapshot_date"),
-        F.col("l_partkey").alias("novel_uid"),
-    ).agg(F.sum("l_quantity").cast("long").alias("metric"))
+    sums = joined.groupBy("l_partkey", "rank_family", "snapshot_date").agg(F.sum("l_quantity").cast("long").alias("metric"))
+    return sums.select(platform.alias("platform"), "rank_family", F.lit("").alias("rank_sub_cat"), "snapshot_date", F.col("l_partkey").alias("novel_uid"), "metric")
 
 
 def star(spark: SparkSession, sf_dir: str, list_size: int | None = None, grain: str = "year") -> Tables:
     """All tables but chapters, from orders, lineitem and part; of each list the first list_size items, or all.
 
-    The ranked facts, the parts on lists and the three small tables are written once; all tables are read from them.
+    The facts, by part, their ranks, the parts on lists and the three small tables are written once; all tables are read from them. Facts are ranked
+    by the number of their list, so no names are shuffled and sorted with them.
     """
-    of = ["platform", "rank_family", "rank_sub_cat", "snapshot_date"]
+    made = cut(facts(spark, sf_dir, grain))
+    keys = ["platform", "rank_family", "rank_sub_cat"]
+    lists = made.select(*keys).distinct().withColumn("rank_list_id", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+    lists = cut(lists.select("rank_list_id", *keys, F.concat(F.lit("https://example.org/"), "platform").alias("source_url")))
+    of = ["rank_list_id", "snapshot_date"]
     order = Window.partitionBy(*of).orderBy(F.desc("metric"), "novel_uid")
-    parts = parts_of(spark, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
-    ranked = facts(spark, sf_dir, grain).repartition(parts, *of).withColumn("rank", F.row_number().over(order))
+    same = [made[k].eqNullSafe(lists[k]) for k in keys]
+    listed = made.join(lists, same[0] & same[1] & same[2]).select(*of, "novel_uid", "metric")
+    ranked = listed.repartition(parts_of(spark, made.count()), *of).withColumn("rank", F.row_number().over(order))
     if list_size is not None:
         ranked = ranked.filter(F.col("rank") <= list_size)
     ranked = cut(ranked)
-    keys = ["platform", "rank_family", "rank_sub_cat"]
-    lists = ranked.select(*keys).distinct().withColumn("rank_list_id", F.row_number().over(Window.orderBy(*keys)).cast("long"))
-    lists = cut(lists.select("rank_list_id", *keys, F.concat(F.lit("https://example.org/"), "platform").alias("source_url")))
     period = F.year("snapshot_date") * 100 + F.month("snapshot_date")
-    placed = ranked.join(lists.drop("source_url"), keys).withColumn("snapshot_id", F.col("rank_list_id") * 1000000 + period)
+    placed = ranked.join(lists.na.drop(subset=keys).select("rank_list_id", "platform"), "rank_list_id").withColumn("snapshot_id", F.col("rank_list_id") * 1000000 + period)
     snapshots = cut(placed.groupBy("snapshot_id", "rank_list_id", "snapshot_date").agg(F.count(F.lit(1)).cast("int").alias("item_count")))
     entries = placed.select(
         "snapshot_id",
@@ -65,7 +64,8 @@ def star(spark: SparkSession, sf_dir: str, list_size: int | None = None, grain:
         F.lit("{}").alias("extra_json"),
     )
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    seen = ranked.groupBy("novel_uid", "platform").agg(F.min("snapshot_date").alias("created_date"), F.max("snapshot_date").alias("last_seen_date"))
+    top = made if list_size is None else ranked.join(lists, "rank_list_id")
+    seen = top.groupBy("novel_uid", "platform").agg(F.min("snapshot_date").alias("created_date"), F.max("snapshot_date").alias("last_seen_date"))
     parts = cut(seen.join(part, F.col("novel_uid") == F.col("p_partkey")))
     alpha = F.col("platform") == "alpha"
     novels = parts.select(
