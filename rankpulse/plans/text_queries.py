@@ -292,14 +292,15 @@ def stream_monthly_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_replays(spark: SparkSession, d: str) -> DataFrame:
-    """Events of which every third comes once more in the next file: each once. The state holds the events of the last days only."""
+    """Events of which every third comes once more with the next part: each once. A batch is compared with the events of the last days only. All files of a part are one
+    batch, so parts are written and read by many tasks; the stream is stopped after each and gone on with."""
     source, kept, checkpoint = (shared_folder(spark) for _ in range(3))
     again = None
     for part in _arriving(spark, d):
-        _arrive(part if again is None else part.unionByName(again), source)
+        (part if again is None else part.unionByName(again)).write.mode("append").parquet(source)
         again = part.filter("event_id % 3 = 0").filter(F.col("ts") >= F.lit(part.agg(F.max("ts").cast("string")).first()[0]).cast("timestamp") - F.expr("interval 3 days"))
-    stream = streams.dedupe(streams.read_events(spark, source, EVENTS, files=1), ["event_id"], "7 days")
-    streams.keep_changes(stream.select("event_id", "user_id", "event_type"), kept, checkpoint, "append")
+        stream = streams.read_events(spark, source, EVENTS).select("event_id", "ts", "user_id", "event_type")
+        streams.dedupe_kept(stream, ["event_id"], kept, checkpoint, "event_id long, ts timestamp, user_id long, event_type string", "7 days")
     return spark.read.schema("event_id long, user_id long, event_type string").parquet(kept).select("event_id", "user_id", "event_type")
 
 

@@ -13,6 +13,7 @@ from rankpulse.operators import panelstate
 from rankpulse.operators.upsert import empty_tables, newest, save_snapshots
 from rankpulse.schema import Tables
 from rankpulse.sources import versions
+from rankpulse.sources.shared import parts_of
 
 
 #: Where streams keep their state: on the executors' disks, with its changes in the checkpoint folder, so it may outgrow memory.
@@ -93,6 +94,31 @@ def dedupe(events: DataFrame, keys: Sequence[str], delay: str = "1 day") -> Data
     return newest(events, keys, "ts")
 
 
+def dedupe_kept(stream: DataFrame, keys: Sequence[str], kept: str, checkpoint: str, schema: str, delay: str = "7 days") -> list[dict]:
+    """Writes of each batch the first event of each key, unless the batches before wrote the key at most `delay` earlier or later. Gives the progress of the batches.
+
+    As dedupe, but what is written is the state: a batch is joined with the written events of its own time and `delay` around it, so no store of keys is kept beside
+    them, searched key by key and cleared. Keys that are null are equal. A batch reads batches of smaller numbers and overwrites its own, so it is exactly once.
+    schema: the stream's columns.
+    """
+    spark = stream.sparkSession
+    key = F.struct(*keys).alias("_key")
+    span = F.expr(f"interval {delay}")
+
+    def each(batch: DataFrame, i: int) -> None:
+        n, first, last = batch.agg(F.count(F.lit(1)), F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+        parts = parts_of(spark, n)
+        rows = newest(batch.select("*", key).repartition(parts, "_key"), ["_key"], "ts")
+        if first is not None and _exists(spark, kept):
+            near = F.col("ts").between(F.timestamp_micros(F.lit(first)) - span, F.timestamp_micros(F.lit(last)) + span)
+            known = spark.read.schema(f"{schema}, batch int").parquet(kept).filter((F.col("batch") < i) & near).select(key.alias("_known"), F.col("ts").alias("_at"))
+            same = (F.col("_key") == F.col("_known")) & F.col("_at").between(F.col("ts") - span, F.col("ts") + span)
+            rows = rows.join(known.repartition(parts, "_known"), same, "left_anti")
+        rows.drop("_key").write.mode("overwrite").parquet(f"{kept}/batch={i}")
+
+    return run_available(stream, each, checkpoint)
+
+
 def split_late(events: DataFrame, last: str, days: int) -> tuple[DataFrame, DataFrame]:
     """Rows not older than `days` before the last time, and those for quarantine."""
     late = F.col("ts") < F.lit(last).cast("timestamp") - F.expr(f"interval {days} days")
