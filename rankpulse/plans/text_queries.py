@@ -264,29 +264,29 @@ def _arriving(spark: SparkSession, d: str, parts: int = 4) -> list[DataFrame]:
 
 
 def _arrive(part: DataFrame, folder: str) -> None:
-    """A part comes as one file, later than those before it."""
-    part.coalesce(1).write.mode("append").parquet(folder)
+    """A part comes as files that many tasks write; a run of a stream takes all that are there as one batch."""
+    part.write.mode("append").parquet(folder)
 
 
 def stream_daily_panel(spark: SparkSession, d: str) -> DataFrame:
-    """A daily panel with state, in batches of a file, stopped in the middle and gone on with from its checkpoint: what its changes come to. Distinct users are exact."""
+    """A daily panel with state, in a batch for each half, stopped in the middle and gone on with from its checkpoint: what its changes come to. Distinct users are exact."""
     source, kept, checkpoint = (shared_folder(spark) for _ in range(3))
     parts = _arriving(spark, d)
     for run in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):
         for part in run:
             _arrive(part, source)
         if run:
-            streams.keep_changes(streams.user_state(streams.read_events(spark, source, EVENTS, files=1)), kept, checkpoint)
+            streams.keep_changes(streams.user_state(streams.read_events(spark, source, EVENTS)), kept, checkpoint)
     state = streams.latest(spark, kept, ["day", "event_type", "user_id"], "day date, event_type string, user_id long, n_events long, total double, n_values long")
     return streams.panel_of_users(state).withColumn("mean_value", F.round("mean_value", 6))
 
 
 def stream_monthly_panel(spark: SparkSession, d: str) -> DataFrame:
     """The monthly panel merged from the daily states of a stream, without its events."""
-    source, kept = shared_folder(spark), shared_folder(spark)
+    source, kept, checkpoint = (shared_folder(spark) for _ in range(3))
     for part in _arriving(spark, d, 2):
         _arrive(part, source)
-    streams.keep_changes(streams.panel_state(streams.read_events(spark, source, EVENTS, files=1)), kept, shared_folder(spark))
+        streams.keep_changes(streams.panel_state(streams.read_events(spark, source, EVENTS)), kept, checkpoint)
     state = streams.latest(spark, kept, ["day", "event_type"], "day date, event_type string, n_events long, total double, n_values long, users binary")
     return streams.merge_panels(state, "month").select(F.col("day").alias("month"), "event_type", "n_events", F.round("mean_value", 6).alias("mean_value"))
 
@@ -297,7 +297,7 @@ def stream_replays(spark: SparkSession, d: str) -> DataFrame:
     source, kept, checkpoint = (shared_folder(spark) for _ in range(3))
     again = None
     for part in _arriving(spark, d):
-        (part if again is None else part.unionByName(again)).write.mode("append").parquet(source)
+        _arrive(part if again is None else part.unionByName(again), source)
         again = part.filter("event_id % 3 = 0").filter(F.col("ts") >= F.lit(part.agg(F.max("ts").cast("string")).first()[0]).cast("timestamp") - F.expr("interval 3 days"))
         stream = streams.read_events(spark, source, EVENTS).select("event_id", "ts", "user_id", "event_type")
         streams.dedupe_kept(stream, ["event_id"], kept, checkpoint, "event_id long, ts timestamp, user_id long, event_type string", "7 days")
@@ -313,22 +313,21 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The latest value of each user, in batches of a file, stopped in the middle and gone on with."""
+    """The latest value of each user, in a batch for each half, stopped in the middle and gone on with."""
     source, kept, checkpoint = (shared_folder(spark) for _ in range(3))
     for part in _arriving(spark, d, 2):
         _arrive(part, source)
-        streams.keep_changes(streams.last_of(streams.read_events(spark, source, EVENTS, files=1), ["user_id"], "event_id", "value"), kept, checkpoint)
+        streams.keep_changes(streams.last_of(streams.read_events(spark, source, EVENTS), ["user_id"], "event_id", "value"), kept, checkpoint)
     return streams.latest(spark, kept, ["user_id"], "user_id long, event_id long, value double")
 
 
 def stream_late_days(spark: SparkSession, d: str) -> DataFrame:
     """The daily panel of a stream in which every fiftieth event comes last of all: those of the last 30 days count, and their days are computed anew, the others are in quarantine."""
-    source, kept = shared_folder(spark), shared_folder(spark)
+    source, kept, checkpoint = (shared_folder(spark) for _ in range(3))
     late = F.coalesce(F.col("event_id") % 50 == 0, F.lit(False))
-    for part in _arriving(spark, d):
-        _arrive(part.filter(~late), source)
-    _arrive(table(spark, d, "events").filter(late), source)
-    streams.late_days(streams.read_events(spark, source, EVENTS, files=1), kept, shared_folder(spark), EVENTS, 30)
+    for part in [*(p.filter(~late) for p in _arriving(spark, d)), table(spark, d, "events").filter(late)]:
+        _arrive(part, source)
+        streams.late_days(streams.read_events(spark, source, EVENTS), kept, checkpoint, EVENTS, 30)
     panel = spark.read.parquet(f"{kept}/panel").select("day", "event_type", "n_events", "n_users", F.round("mean_value", 6).alias("mean_value"), F.lit("panel").alias("side"))
     held = spark.read.schema(EVENTS).parquet(f"{kept}/quarantine")
     return panel.unionByName(streams.daily_panel(held, exact=True).select("day", "event_type", "n_events", "n_users", F.round("mean_value", 6).alias("mean_value"), F.lit("quarantine").alias("side")))

@@ -45,3 +45,10 @@ def test_parts_come_in_many_files(spark, sf, tmp_path, monkeypatch):
     assert out.count() == out.select("event_id").distinct().count() == spark.read.parquet(f"{sf}/events.parquet").count()
     assert len(set(folders)) == 1 and len(glob.glob(f"{folders[0]}/part-*")) > 8
     assert sum(p["numInputRows"] > 0 for p in batches) == 4
+
+
+def test_arriving_parts_keep_their_tasks(spark, tmp_path):
+    """The other streams' parts are written by the tasks that have their rows, not by one."""
+    part = spark.range(400).selectExpr("id as event_id", "timestamp'2026-01-01' as ts", "id as user_id").repartition(4)
+    text_queries._arrive(part, str(tmp_path / "source"))
+    assert len(glob.glob(f"{tmp_path}/source/part-*")) == 4
