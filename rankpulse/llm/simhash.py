@@ -145,7 +145,8 @@ def within(index: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFr
     apart = sum((F.bit_count(F.col(f"_query{at}").bitwiseXOR(F.col(f"_found{at}"))) for at in (1, 17)), F.lit(0))
     on = (F.col("_t_query") == F.col("_t_found")) & (F.col("_key_query") == F.col("_key_found")) & (apart <= radius)
     text = lambda name: F.lower(F.concat(*[F.lpad(F.hex(f"_{name}{at}"), 16, "0") for at in (1, 17)])).alias(name)
-    pairs = left.join(right, on).select(text("query"), text("found"), "n", F.col("_t_query").alias("_t"))
+    # Spark takes the keys of a query for no larger than the query itself, so by its size it would broadcast all of them
+    pairs = left.join(right.hint("merge"), on).select(text("query"), text("found"), "n", F.col("_t_query").alias("_t"))
     earlier = F.lit(False)
     for i, (at, n) in enumerate(cuts):
         earlier = earlier | ((F.lit(i) < F.col("_t")) & (F.bit_count(_key(F.col("query"), at, n).bitwiseXOR(_key(F.col("found"), at, n))) <= flips))
@@ -172,7 +173,8 @@ def compare(docs: DataFrame, search_every: int = 20) -> DataFrame:
     asked = F.col("doc_id") % search_every == 0
     pairs = cut(within(prints, prints.filter(asked), NEAR))
     classes = prints.groupBy(F.col("fingerprint").alias("found")).agg(F.min("doc_id").alias("_first"))
-    ids = pairs.join(classes, "found").groupBy("query").agg(F.sort_array(F.collect_set(F.when(F.col("query") != F.col("found"), F.col("_first")))).alias("near_ids"))
+    # a file of pairs is many times smaller than its rows, so its size must not decide on a broadcast either
+    ids = pairs.join(classes.hint("merge"), "found").groupBy("query").agg(F.sort_array(F.collect_set(F.when(F.col("query") != F.col("found"), F.col("_first")))).alias("near_ids"))
     near = pairs.groupBy("query").agg((F.sum("n") - 1).alias("_near")).join(ids, "query")
     # rows that ask nothing have keys that no fingerprint has, each its own: as nulls they would all meet in one task
     own = F.concat_ws("-", F.lit(""), F.col("doc_id").cast("string"), "_sha")
