@@ -6,7 +6,9 @@ import functools
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -48,8 +50,8 @@ def priority_match(incoming: DataFrame, stored: DataFrame, key: str, uid: str, r
 SIGNATURE = 16
 
 
-def _ordered(sets: DataFrame, *columns: Column) -> DataFrame:
-    """Of each set (_h, _words): _h, _n, and _all, its words' hashes from the rarest on; and aggregates of them.
+def _ordered(sets: DataFrame) -> DataFrame:
+    """Of each set (_h, _words): _h, _n, and _all, its words' hashes from the rarest on.
 
     Words go by a 64-bit hash: two that share one only add candidates. The empty set has the empty word.
     """
@@ -57,7 +59,7 @@ def _ordered(sets: DataFrame, *columns: Column) -> DataFrame:
     hashes = F.transform(F.when(n == 0, F.array(F.lit(""))).otherwise(F.col("_words")), lambda x: F.xxhash64(x))
     each = sets.select("_h", n.alias("_n"), F.explode(hashes).alias("_word"))
     often = each.groupBy("_word").agg(F.count(F.lit(1)).alias("_often"))
-    return each.join(often, "_word").groupBy("_h", "_n").agg(F.sort_array(F.collect_list(F.struct("_often", "_word"))).alias("_all"), *columns)
+    return each.join(often, "_word").groupBy("_h", "_n").agg(F.sort_array(F.collect_list(F.struct("_often", "_word"))).alias("_all"))
 
 
 def _first(ordered: DataFrame, least: float) -> DataFrame:
@@ -71,45 +73,176 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
     return _first(_ordered(sets), least)
 
 
-def _parities() -> list[Column]:
-    """Which of 64 * SIGNATURE groups of words a set has an odd number of: two sets differ in at least as many words as in groups."""
-    group = F.pmod(F.col("_word"), F.lit(64 * SIGNATURE))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(_word, {64 * SIGNATURE}) % 64 as int))")
-    return [F.coalesce(F.bit_xor(F.when(F.floor(group / 64) == k, bit)), F.lit(0).cast("long")).alias(f"_s{k}") for k in range(SIGNATURE)]
+#: Texts of a tile: those of a block are dealt out by their number of words, and two tiles are compared in one task.
+TILE = 1 << 13
+#: Texts of one tile and of the other that are compared at once, so that what is in between stays in a core's cache.
+STEP = 32, 2048
+#: Texts that are fetched by sending their hashes to all executors; more are fetched by a shuffle of all texts.
+FEW = 500_000
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces _hashes, those of a set's words, by _n and its signature: which of 64 * SIGNATURE groups of words it has an odd number of.
+
+    Two sets differ in at least as many words as in groups. Large sets have the same for at least four groups a word too, in _wide; halves that are put together by
+    exclusive or are the signature of half the groups.
+    """
+    for batch in batches:
+        lists = batch.column("_hashes")
+        sizes, values = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
+        ends = np.cumsum(sizes)
+        narrow, wide = np.empty((len(sizes), SIGNATURE), np.uint64), []
+        for i in range(0, len(sizes), 512):
+            n = sizes[i : i + 512]
+            bits = 64 * SIGNATURE << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) * 4 / (64 * SIGNATURE)))).astype(np.int64)
+            start = np.cumsum(bits) - bits
+            own = values[ends[i] - sizes[i] : ends[i] - sizes[i] + n.sum()]
+            odd = np.bincount(np.repeat(start, n) + (own & np.repeat(bits - 1, n)), minlength=bits.sum()) & 1
+            words = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+            for k, (at, size) in enumerate(zip(start // 64, bits // 64, strict=True)):
+                whole = words[at : at + size]
+                narrow[i + k] = np.bitwise_xor.reduce(whole.reshape(-1, SIGNATURE), axis=0)
+                wide.append(whole.tobytes() if size > SIGNATURE else b"")
+        kept = [x for x in batch.schema.names if x != "_hashes"]
+        columns = [batch.column(x) for x in kept] + [pa.array(sizes, pa.int64())] + [pa.array(narrow[:, k].view(np.int64)) for k in range(SIGNATURE)] + [pa.array(wide, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, [*kept, "_n", *[f"_s{k}" for k in range(SIGNATURE)], "_wide"])
+
+
+def _near(least: float) -> Callable[[pa.Table], pa.Table]:
+    """Compares all texts of two tiles, or of one with itself: the pairs whose signatures allow a Jaccard similarity of `least`, from each incoming text to each stored one."""
+    low = least - 1e-9
+    # of sets of both words together, no more can be apart
+    share = (1 - low) / (1 + low)
+
+    def near(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["_n"].to_numpy(), kind="stable")
+        column = lambda name: table[name].to_numpy()[order]
+        n, side, h, asked, held = column("_n"), column("_side"), column("_h"), column("_asked"), column("_held")
+        signs = np.stack([column(f"_s{k}") for k in range(SIGNATURE)]).view(np.uint64)
+        wide = table["_wide"].to_pylist()
+        width = np.array([len(wide[i]) // 8 for i in order], np.int64)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = not len(b)
+        if alone:
+            b = a
+        na, nb, sa, sb = n[a], n[b], np.ascontiguousarray(signs[:, a]), np.ascontiguousarray(signs[:, b])
+        folds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def folded(size: int) -> tuple[np.ndarray, np.ndarray]:
+            """Signatures of so many numbers, and the place of each text's."""
+            if size not in folds:
+                rows = np.flatnonzero(width >= size)
+                place = np.zeros(len(n), np.int64)
+                place[rows] = np.arange(len(rows))
+                folds[size] = np.array([np.bitwise_xor.reduce(np.frombuffer(wide[order[r]], "<u8").reshape(-1, size), axis=0) for r in rows], np.uint64), place
+            return folds[size]
+
+        def finer(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of pairs of places those that larger signatures allow too."""
+            size = 2 * SIGNATURE
+            while (both := np.flatnonzero((width[p] >= size) & (width[q] >= size))).size:
+                keep = np.ones(len(p), bool)
+                prints, place = folded(size)
+                for k in range(0, len(both), max(1, (1 << 21) // size)):
+                    some = both[k : k + max(1, (1 << 21) // size)]
+                    apart = np.bitwise_count(prints[place[p[some]]] ^ prints[place[q[some]]]).sum(1, dtype=np.int64)
+                    keep[some] = apart <= (n[p[some]] + n[q[some]]) * share
+                p, q, size = p[keep], q[keep], 2 * size
+            return p, q
+
+        found, waiting = [], []
+        for i in range(0, len(a), STEP[0]):
+            x, nx = sa[:, i : i + STEP[0]], na[i : i + STEP[0]]
+            first = max(np.searchsorted(nb, low * nx[0] - 1e-6), i if alone else 0)
+            last = np.searchsorted(nb, nx[-1] / low + 1e-6, "right") if low > 0 else len(nb)
+            for j in range(first, last, STEP[1]):
+                y, ny = sb[:, j : min(j + STEP[1], last)], nb[j : min(j + STEP[1], last)]
+                most = ((nx[:, None] + ny[None, :]) * share).astype(np.int32)
+                apart = np.zeros(most.shape, np.int32)
+                for k in range(SIGNATURE // 2):
+                    apart += np.bitwise_count(x[k][:, None] ^ y[k][None, :])
+                p, q = np.nonzero(apart <= most)
+                rest = np.bitwise_count(x[SIGNATURE // 2 :, p] ^ y[SIGNATURE // 2 :, q]).sum(0, dtype=np.int32)
+                keep = apart[p, q] + rest <= most[p, q]
+                if alone:
+                    keep &= p + i < q + j
+                waiting.append((a[p[keep] + i], b[q[keep] + j]))
+                if sum(len(w[0]) for w in waiting) > 1 << 16:
+                    found.append(finer(*map(np.concatenate, zip(*waiting, strict=True))))
+                    waiting = []
+        if waiting:
+            found.append(finer(*map(np.concatenate, zip(*waiting, strict=True))))
+        p, q = map(np.concatenate, zip(*found, strict=True)) if found else (a[:0], a[:0])
+        one, two = asked[p] & held[q], asked[q] & held[p]
+        left, right = np.concatenate([h[p[one]], h[q[two]]]), np.concatenate([h[q[one]], h[p[two]]])
+        block = np.full(len(left), table["_block"][0].as_py(), np.int64)
+        return pa.table({"_block": block, "_l": left, "_r": right})
+
+    return near
+
+
+def _tiled(texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (_block, _l, _r) of different texts of a block, incoming (_asked) and stored (_held), whose signatures allow a similarity of `least`.
+
+    All texts of a block are compared that differ little enough in their number of words: the time grows with the square of a block, but only pairs that are left over are written, and a
+    text is sent once for each tile that it is compared with.
+    """
+    sizes = texts.groupBy("_block", "_n").agg(F.count(F.lit(1)).alias("_texts"))
+    before = Window.partitionBy("_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_texts").over(before), F.lit(0)))
+    dealt = texts.join(sizes, ["_block", "_n"]).withColumn("_tile", F.floor((F.col("_before") + F.pmod("_h", "_texts")) / TILE).cast("long"))
+    dealt = cut(dealt.drop("_before", "_texts", "_chars"))
+    tiles = dealt.groupBy("_block", F.col("_tile").alias("_i")).agg(F.max("_n").alias("_most"))
+    others = dealt.groupBy("_block", F.col("_tile").alias("_j")).agg(F.min("_n").alias("_least"))
+    pairs = tiles.join(others, "_block").filter((F.col("_i") <= F.col("_j")) & (F.col("_most") >= least * F.col("_least") - 1e-6))
+    both = F.array(F.struct(F.col("_i").alias("_tile"), F.lit(0).alias("_side")), F.struct(F.col("_j").alias("_tile"), F.lit(1).alias("_side")))
+    asked = pairs.select("_block", "_i", "_j", F.inline(both)).filter("_side = 0 or _i < _j")
+    # a pair of tiles is few bytes and long time: a given number of partitions isn't merged by size
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.join(asked, ["_block", "_tile"]).repartition(parts, "_block", "_i", "_j")
+    return met.groupBy("_block", "_i", "_j").applyInArrow(_near(least), "_block long, _l long, _r long")
 
 
 def similarity_match(incoming: DataFrame, stored: DataFrame, block: Sequence[str], key: str, uid: str, text: str, seen: str, threshold: float = 0.84, cap: int | None = None, sequence: bool = True) -> DataFrame:
     """The best stored match of each incoming record in its block, if it scores at least the threshold.
 
     All rows of a block are compared, or the newest `cap`, where the data model limits them. With sequence=False only words count.
-    Ties go to the newest, then the smallest uid. Candidates share one of their rarest words, which all pairs of enough words in
-    common do; each pair of different texts is scored once. What signatures of 128 bytes and lengths rule out goes before texts are fetched.
-    Texts are told apart by a 64-bit hash.
+    Ties go to the newest, then the smallest uid. All texts of a block are compared by signatures, those of enough words in common to be possible; each pair of different
+    texts that is left is scored once. What signatures of 128 bytes and lengths rule out goes before texts are fetched. Texts and blocks are told apart by a 64-bit hash.
+    A table that is compared with itself is normalised once.
     """
     normal = T.normalize_text(F.col(text))
-    words = F.sort_array(F.array_distinct(F.filter(F.split(normal, " "), lambda t: t != "")))
-    same = normal if sequence else F.array_join(words, " ")
-    if cap is not None:
-        newest = Window.partitionBy(*block).orderBy(F.desc(seen), uid)
-        stored = stored.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= cap)
+    words = F.array_distinct(F.filter(F.split(normal, " "), lambda t: t != ""))
+    same = normal if sequence else F.array_join(F.sort_array(words), " ")
+    schema = ", ".join(["_block long", "_h long", "_chars int", "_n long", *[f"_s{k} long" for k in range(SIGNATURE)], "_wide binary"])
+
+    def prepared(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The rows with their texts, and a row with the signature of each."""
+        rows = df.select(F.col(name).alias("_id"), F.col(seen).alias("_seen"), F.xxhash64(F.to_json(F.struct(*block))).alias("_block"), same.alias("_text")).withColumn("_h", F.xxhash64("_text"))
+        rows = cut(rows)
+        hashes = F.transform(F.array_distinct(F.filter(F.split("_text", " "), lambda t: t != "")), lambda x: F.xxhash64(x))
+        return rows, rows.select("_block", "_h", F.length("_text").alias("_chars"), hashes.alias("_hashes")).mapInArrow(_sign, schema)
+
     # a record's own row aside, one of the two best rows of a text is its best match among the rows of that text
-    at = [f"_b_{b}" for b in block]
-    right = stored.select(*[F.col(b).alias(f"_b_{b}") for b in block], F.col(uid).alias("_uid"), same.alias("_text"), words.alias("_words"), F.col(seen).alias("_seen")).withColumn("_r", F.xxhash64("_text"))
-    rows = right.groupBy(*at, "_r", "_uid").agg(F.max("_seen").alias("_seen"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*at, "_r").orderBy(F.desc("_seen"), "_uid"))).filter("_n <= 2").drop("_n")
-    left = incoming.select(key, *block, same.alias("_text"), words.alias("_words")).withColumn("_l", F.xxhash64("_text"))
-    texts = left.select(F.col("_l").alias("_h"), "_text", "_words").unionByName(right.select(F.col("_r").alias("_h"), "_text", "_words")).dropDuplicates(["_h"])
-    texts = cut(texts)
+    lefts, asked = prepared(incoming, key)
+    rights, held = (lefts, asked) if incoming is stored and key == uid else prepared(stored, uid)
+    known = rights.select("_block", "_h", "_id", "_seen")
+    if cap is not None:
+        newest = Window.partitionBy("_block").orderBy(F.desc("_seen"), "_id")
+        known = cut(known.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= cap).drop("_n"))
+        held = held.join(known.select("_block", "_h").distinct(), ["_block", "_h"], "left_semi")
+    rows = known.groupBy("_block", F.col("_h").alias("_r"), F.col("_id").alias("_uid")).agg(F.max("_seen").alias("_seen"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_block", "_r").orderBy(F.desc("_seen"), "_uid"))).filter("_n <= 2").drop("_n")
 
     least = (threshold - 0.35) / 0.65 if sequence else threshold
-    ordered = cut(_ordered(texts.select("_h", "_words"), *_parities()))
-    index = _first(ordered, least)
-    asked = left.select(*block, "_l").distinct().join(index.withColumnsRenamed({"_h": "_l", "_n": "_own_n"}), "_l")
-    found = right.select(*at, "_r").distinct().join(index.withColumnsRenamed({"_h": "_r", "_word": "_found"}), "_r")
-    on = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in block] + [F.col("_word") == F.col("_found"), F.least("_n", "_own_n") >= least * F.greatest("_n", "_own_n") - 1e-6]
-    pairs = asked.join(found, on).select(*block, "_l", "_r").distinct()
-    signed = ordered.join(texts.select("_h", F.length("_text").alias("_chars")), "_h").select("_h", "_n", "_chars", *[f"_s{k}" for k in range(SIGNATURE)])
-    pairs = pairs.join(signed.select(F.col("_h").alias("_l"), *[F.col(c).alias(f"_own{c}") for c in signed.columns[1:]]), "_l").join(signed.withColumnRenamed("_h", "_r"), "_r")
+    marked = lambda df, a, b: df.withColumns({"_asked": F.lit(a), "_held": F.lit(b)})
+    signed = marked(asked, True, True) if held is asked else marked(asked, True, False).unionByName(marked(held, False, True))
+    signs = ["_n", "_chars", *[f"_s{k}" for k in range(SIGNATURE)]]
+    signed = signed.groupBy("_block", "_h").agg(*[F.max(c).alias(c) for c in ("_asked", "_held")], *[F.first(c).alias(c) for c in [*signs, "_wide"]])
+    signed = cut(signed)
+    pairs = cut(_tiled(signed, least))
+    own = signed.select("_block", F.col("_h").alias("_l"), *[F.col(c).alias(f"_own{c}") for c in signs])
+    pairs = pairs.join(own, ["_block", "_l"]).join(signed.select("_block", F.col("_h").alias("_r"), *signs), ["_block", "_r"])
     apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"_s{k}").bitwiseXOR(F.col(f"_own_s{k}"))) for k in range(SIGNATURE)])
     both = F.col("_n") + F.col("_own_n")
     most_words = F.when(both == 0, 1.0).otherwise((both - apart) / F.nullif(both + apart, F.lit(0)))
@@ -119,9 +252,14 @@ def similarity_match(incoming: DataFrame, stored: DataFrame, block: Sequence[str
     possible = most_words >= least - 1e-9
     if sequence:
         possible = possible & (0.65 * most_words + 0.35 * most >= threshold - 1e-6)
-    pairs = pairs.filter(possible).select(*block, "_l", "_r")
-    pairs = pairs.join(texts.select(F.col("_h").alias("_l"), F.col("_text").alias("_own_text"), F.col("_words").alias("_own_words")), "_l").join(texts.withColumnRenamed("_h", "_r"), "_r")
-    common, n, m = F.size(F.array_intersect("_own_words", "_words")), F.size("_own_words"), F.size("_words")
+    pairs = pairs.filter(possible).select("_block", "_l", "_r")
+    needed = pairs.select(F.col("_l").alias("_h")).unionByName(pairs.select(F.col("_r").alias("_h"))).distinct()
+    fetched = lefts.select("_h", "_text") if rights is lefts else lefts.select("_h", "_text").unionByName(rights.select("_h", "_text"))
+    texts = fetched.join(F.broadcast(needed) if needed.count() <= FEW else needed, "_h", "left_semi").dropDuplicates(["_h"])
+    parts = int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.join(texts.select(F.col("_h").alias("_l"), F.col("_text").alias("_own_text")), "_l").repartition(parts, "_r").join(texts.withColumnRenamed("_h", "_r"), "_r")
+    words_of = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda t: t != ""))
+    common, n, m = F.size(F.array_intersect(words_of("_own_text"), words_of("_text"))), F.size(words_of("_own_text")), F.size(words_of("_text"))
     pairs = pairs.withColumn("_jaccard", F.when((n == 0) & (m == 0), 1.0).otherwise(common / F.nullif(n + m - common, F.lit(0)))).filter(F.col("_jaccard") >= least)
     score = F.col("_jaccard")
     if sequence:
@@ -129,10 +267,12 @@ def similarity_match(incoming: DataFrame, stored: DataFrame, block: Sequence[str
         most = F.when(a + b == 0, 1.0).otherwise(2 * F.least(a, b) / F.nullif(a + b, F.lit(0)))
         pairs = pairs.filter(0.65 * F.col("_jaccard") + 0.35 * most >= threshold - 1e-6)
         score = 0.65 * F.col("_jaccard") + 0.35 * sequence_ratio("_own_text", "_text")
-    scored = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select(*block, "_l", "_r", "score")
-    own = left.select(key, *[F.col(b).alias(f"_o_{b}") for b in block], F.col("_l").alias("_own"))
-    scored = scored.join(rows.withColumnRenamed("_r", "_found"), [F.col("_r") == F.col("_found")] + [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in block])
-    scored = scored.join(own, [F.col("_l") == F.col("_own")] + [F.col(b).eqNullSafe(F.col(f"_o_{b}")) for b in block]).filter(F.col(key) != F.col("_uid"))
+    scored = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select("_block", "_l", "_r", "score")
+    # a text is as itself
+    if threshold <= 1:
+        scored = scored.unionByName(signed.filter("_asked and _held").select("_block", F.col("_h").alias("_l"), F.col("_h").alias("_r"), F.lit(1.0).alias("score")))
+    mine = lefts.select(F.col("_id").alias(key), "_block", F.col("_h").alias("_l"))
+    scored = scored.join(rows, ["_block", "_r"]).join(mine, ["_block", "_l"]).filter(F.col(key) != F.col("_uid"))
     best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("_seen"), "_uid")
     return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(key, F.col("_uid").alias("matched_uid"), "score")
 
