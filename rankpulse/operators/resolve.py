@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
@@ -17,11 +18,67 @@ from rankpulse.functions import text as T
 from rankpulse.sources.shared import cut
 
 
+def ratio(a: str, b: str) -> float:
+    """SequenceMatcher(None, a, b).ratio(), the same number in less time for long texts.
+
+    There, in b of 200 characters or more, frequent characters begin no match. So matches begin in runs of the others, which are short and few: a stretch is searched run by
+    run, runs no longer than the match that is known are skipped, and characters of b outside of the stretch are never looked at.
+    """
+    if not a and not b:
+        return 1.0
+    places: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    if len(b) >= 200:
+        places = {x: js for x, js in places.items() if len(js) <= len(b) // 100 + 1}
+    starts, ends = [], []
+    for i, x in enumerate(a):
+        if x in places:
+            if ends and ends[-1] == i:
+                ends[-1] = i + 1
+            else:
+                starts.append(i)
+                ends.append(i + 1)
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        at, to, size = alo, blo, 0
+        for r in range(bisect_right(ends, alo), len(starts)):
+            first, last = starts[r], ends[r]
+            if first >= ahi:
+                break
+            if last - first <= size:
+                continue
+            first, last = max(first, alo), min(last, ahi)
+            if last - first <= size:
+                continue
+            known: dict[int, int] = {}
+            for i in range(first, last):
+                js = places[a[i]]
+                js = js[bisect_left(js, blo) : bisect_left(js, bhi)]
+                known = {j: known.get(j - 1, 0) + 1 for j in js} if known else dict.fromkeys(js, 1)
+                if known and (most := max(known.values())) > size:
+                    # the first of the longest is what one after the other would have kept
+                    j = next(j for j, k in known.items() if k == most)
+                    at, to, size = i - most + 1, j - most + 1, most
+        while at > alo and to > blo and a[at - 1] == b[to - 1]:
+            at, to, size = at - 1, to - 1, size + 1
+        while at + size < ahi and to + size < bhi and a[at + size] == b[to + size]:
+            size += 1
+        if size:
+            total += size
+            if alo < at and blo < to:
+                todo.append((alo, at, blo, to))
+            if at + size < ahi and to + size < bhi:
+                todo.append((at + size, ahi, to + size, bhi))
+    return 2.0 * total / (len(a) + len(b))
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity of two texts, the first being the incoming one; two empty ones are equal."""
     for a, b in parts:
-        yield pd.Series([1.0 if x == y else SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+        yield pd.Series([1.0 if x == y else ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def match_score(intro: Column, chapters: Column, title: Column, same_category: Column) -> Column:
@@ -137,8 +194,8 @@ def _near(least: float) -> Callable[[pa.Table], pa.Table]:
                 folds[size] = np.array([np.bitwise_xor.reduce(np.frombuffer(wide[order[r]], "<u8").reshape(-1, size), axis=0) for r in rows], np.uint64), place
             return folds[size]
 
-        def finer(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Of pairs of places those that larger signatures allow too."""
+        def finer(p: np.ndarray, q: np.ndarray, least_apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of pairs of places those that larger signatures allow too, and in how many words they differ at least."""
             size = 2 * SIGNATURE
             while (both := np.flatnonzero((width[p] >= size) & (width[q] >= size))).size:
                 keep = np.ones(len(p), bool)
@@ -146,9 +203,9 @@ def _near(least: float) -> Callable[[pa.Table], pa.Table]:
                 for k in range(0, len(both), max(1, (1 << 21) // size)):
                     some = both[k : k + max(1, (1 << 21) // size)]
                     apart = np.bitwise_count(prints[place[p[some]]] ^ prints[place[q[some]]]).sum(1, dtype=np.int64)
-                    keep[some] = apart <= (n[p[some]] + n[q[some]]) * share
-                p, q, size = p[keep], q[keep], 2 * size
-            return p, q
+                    least_apart[some], keep[some] = apart, apart <= (n[p[some]] + n[q[some]]) * share
+                p, q, least_apart, size = p[keep], q[keep], least_apart[keep], 2 * size
+            return p, q, least_apart
 
         found, waiting = [], []
         for i in range(0, len(a), STEP[0]):
@@ -163,26 +220,27 @@ def _near(least: float) -> Callable[[pa.Table], pa.Table]:
                     apart += np.bitwise_count(x[k][:, None] ^ y[k][None, :])
                 p, q = np.nonzero(apart <= most)
                 rest = np.bitwise_count(x[SIGNATURE // 2 :, p] ^ y[SIGNATURE // 2 :, q]).sum(0, dtype=np.int32)
-                keep = apart[p, q] + rest <= most[p, q]
+                rest += apart[p, q]
+                keep = rest <= most[p, q]
                 if alone:
                     keep &= p + i < q + j
-                waiting.append((a[p[keep] + i], b[q[keep] + j]))
+                waiting.append((a[p[keep] + i], b[q[keep] + j], rest[keep].astype(np.int64)))
                 if sum(len(w[0]) for w in waiting) > 1 << 16:
                     found.append(finer(*map(np.concatenate, zip(*waiting, strict=True))))
                     waiting = []
         if waiting:
             found.append(finer(*map(np.concatenate, zip(*waiting, strict=True))))
-        p, q = map(np.concatenate, zip(*found, strict=True)) if found else (a[:0], a[:0])
+        p, q, apart = map(np.concatenate, zip(*found, strict=True)) if found else (a[:0], a[:0], a[:0])
         one, two = asked[p] & held[q], asked[q] & held[p]
         left, right = np.concatenate([h[p[one]], h[q[two]]]), np.concatenate([h[q[one]], h[p[two]]])
         block = np.full(len(left), table["_block"][0].as_py(), np.int64)
-        return pa.table({"_block": block, "_l": left, "_r": right})
+        return pa.table({"_block": block, "_l": left, "_r": right, "_apart": np.concatenate([apart[one], apart[two]]).astype(np.int64)})
 
     return near
 
 
 def _tiled(texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (_block, _l, _r) of different texts of a block, incoming (_asked) and stored (_held), whose signatures allow a similarity of `least`.
+    """Pairs (_block, _l, _r, _apart) of different texts of a block, incoming (_asked) and stored (_held), whose signatures allow a similarity of `least`; they differ in _apart words or more.
 
     All texts of a block are compared that differ little enough in their number of words: the time grows with the square of a block, but only pairs that are left over are written, and a
     text is sent once for each tile that it is compared with.
@@ -200,16 +258,15 @@ def _tiled(texts: DataFrame, least: float) -> DataFrame:
     # a pair of tiles is few bytes and long time: a given number of partitions isn't merged by size
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = dealt.join(asked, ["_block", "_tile"]).repartition(parts, "_block", "_i", "_j")
-    return met.groupBy("_block", "_i", "_j").applyInArrow(_near(least), "_block long, _l long, _r long")
+    return met.groupBy("_block", "_i", "_j").applyInArrow(_near(least), "_block long, _l long, _r long, _apart long")
 
 
 def similarity_match(incoming: DataFrame, stored: DataFrame, block: Sequence[str], key: str, uid: str, text: str, seen: str, threshold: float = 0.84, cap: int | None = None, sequence: bool = True) -> DataFrame:
     """The best stored match of each incoming record in its block, if it scores at least the threshold.
 
     All rows of a block are compared, or the newest `cap`, where the data model limits them. With sequence=False only words count.
-    Ties go to the newest, then the smallest uid. All texts of a block are compared by signatures, those of enough words in common to be possible; each pair of different
-    texts that is left is scored once. What signatures of 128 bytes and lengths rule out goes before texts are fetched. Texts and blocks are told apart by a 64-bit hash.
-    A table that is compared with itself is normalised once.
+    Ties go to the newest, then the smallest uid. All texts of a block are compared by signatures; what these and lengths rule out goes before texts are fetched. Of each text the pair that can
+    be best is scored first, and then those that can still be as good. Texts and blocks are told apart by a 64-bit hash. A table that is compared with itself is normalised once.
     """
     normal = T.normalize_text(F.col(text))
     words = F.array_distinct(F.filter(F.split(normal, " "), lambda t: t != ""))
@@ -240,39 +297,55 @@ def similarity_match(incoming: DataFrame, stored: DataFrame, block: Sequence[str
     signs = ["_n", "_chars", *[f"_s{k}" for k in range(SIGNATURE)]]
     signed = signed.groupBy("_block", "_h").agg(*[F.max(c).alias(c) for c in ("_asked", "_held")], *[F.first(c).alias(c) for c in [*signs, "_wide"]])
     signed = cut(signed)
-    pairs = cut(_tiled(signed, least))
-    own = signed.select("_block", F.col("_h").alias("_l"), *[F.col(c).alias(f"_own{c}") for c in signs])
-    pairs = pairs.join(own, ["_block", "_l"]).join(signed.select("_block", F.col("_h").alias("_r"), *signs), ["_block", "_r"])
-    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"_s{k}").bitwiseXOR(F.col(f"_own_s{k}"))) for k in range(SIGNATURE)])
+    pairs = _tiled(signed, least)
+    slim = signed.select("_block", F.col("_h").alias("_r"), "_n", "_chars", functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"_s{k}") for k in range(SIGNATURE)]).alias("_odd"))
+    pairs = pairs.join(slim.withColumnsRenamed({"_r": "_l", "_n": "_own_n", "_chars": "_own_chars", "_odd": "_own_odd"}), ["_block", "_l"]).join(slim, ["_block", "_r"])
     both = F.col("_n") + F.col("_own_n")
-    most_words = F.when(both == 0, 1.0).otherwise((both - apart) / F.nullif(both + apart, F.lit(0)))
+    words_at_most = lambda apart: F.when(both == 0, 1.0).otherwise((both - apart) / F.nullif(both + apart, F.lit(0)))
     # of texts of these lengths no more can be in sequence
     chars = F.col("_chars") + F.col("_own_chars")
     most = F.when(chars == 0, 1.0).otherwise(2 * F.least("_chars", "_own_chars") / F.nullif(chars, F.lit(0)))
-    possible = most_words >= least - 1e-9
-    if sequence:
-        possible = possible & (0.65 * most_words + 0.35 * most >= threshold - 1e-6)
-    pairs = pairs.filter(possible).select("_block", "_l", "_r")
-    needed = pairs.select(F.col("_l").alias("_h")).unionByName(pairs.select(F.col("_r").alias("_h"))).distinct()
-    fetched = lefts.select("_h", "_text") if rights is lefts else lefts.select("_h", "_text").unionByName(rights.select("_h", "_text"))
-    texts = fetched.join(F.broadcast(needed) if needed.count() <= FEW else needed, "_h", "left_semi").dropDuplicates(["_h"])
+    pairs = pairs.withColumn("_most", 0.65 * words_at_most(F.col("_apart")) + 0.35 * most if sequence else words_at_most(F.col("_apart"))).filter(F.col("_most") >= threshold - 1e-6)
+    pairs = cut(pairs.select("_block", "_l", "_r", "_most", "_n", "_own_n", "_odd", "_own_odd"))
+
     parts = int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.join(texts.select(F.col("_h").alias("_l"), F.col("_text").alias("_own_text")), "_l").repartition(parts, "_r").join(texts.withColumnRenamed("_h", "_r"), "_r")
+    both_sides = lefts.select("_h", "_text") if rights is lefts else lefts.select("_h", "_text").unionByName(rights.select("_h", "_text"))
+    needed = pairs.select(F.col("_l").alias("_h")).unionByName(pairs.select(F.col("_r").alias("_h"))).distinct()
+    texts = cut(both_sides.join(F.broadcast(needed) if needed.count() <= FEW else needed, "_h", "left_semi").dropDuplicates(["_h"]))
     words_of = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda t: t != ""))
-    common, n, m = F.size(F.array_intersect(words_of("_own_text"), words_of("_text"))), F.size(words_of("_own_text")), F.size(words_of("_text"))
-    pairs = pairs.withColumn("_jaccard", F.when((n == 0) & (m == 0), 1.0).otherwise(common / F.nullif(n + m - common, F.lit(0)))).filter(F.col("_jaccard") >= least)
-    score = F.col("_jaccard")
-    if sequence:
-        a, b = F.length("_own_text"), F.length("_text")
-        most = F.when(a + b == 0, 1.0).otherwise(2 * F.least(a, b) / F.nullif(a + b, F.lit(0)))
-        pairs = pairs.filter(0.65 * F.col("_jaccard") + 0.35 * most >= threshold - 1e-6)
-        score = 0.65 * F.col("_jaccard") + 0.35 * sequence_ratio("_own_text", "_text")
-    scored = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select("_block", "_l", "_r", "score")
-    # a text is as itself
-    if threshold <= 1:
-        scored = scored.unionByName(signed.filter("_asked and _held").select("_block", F.col("_h").alias("_l"), F.col("_h").alias("_r"), F.lit(1.0).alias("score")))
     mine = lefts.select(F.col("_id").alias(key), "_block", F.col("_h").alias("_l"))
-    scored = scored.join(rows, ["_block", "_r"]).join(mine, ["_block", "_l"]).filter(F.col(key) != F.col("_uid"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """The pairs that score at least the threshold."""
+        pairs = pairs.join(texts.select(F.col("_h").alias("_l"), F.col("_text").alias("_own_text")), "_l").repartition(parts, "_r").join(texts.withColumnRenamed("_h", "_r"), "_r")
+        pairs = pairs.withColumn("_x", F.struct(words_of("_own_text").alias("a"), words_of("_text").alias("b")))
+        common, n, m = F.size(F.array_intersect("_x.a", "_x.b")), F.size("_x.a"), F.size("_x.b")
+        # exploded, so that the words aren't split again wherever the similarity is used
+        pairs = pairs.withColumn("_jaccard", F.explode(F.array(F.when((n == 0) & (m == 0), 1.0).otherwise(common / F.nullif(n + m - common, F.lit(0)))))).filter(F.col("_jaccard") >= least)
+        score = F.col("_jaccard")
+        if sequence:
+            a, b = F.length("_own_text"), F.length("_text")
+            most = F.when(a + b == 0, 1.0).otherwise(2 * F.least(a, b) / F.nullif(a + b, F.lit(0)))
+            pairs = pairs.filter(0.65 * F.col("_jaccard") + 0.35 * most >= threshold - 1e-6)
+            score = 0.65 * F.col("_jaccard") + 0.35 * sequence_ratio("_own_text", "_text")
+        return pairs.withColumn("score", score).filter(F.col("score") >= threshold).select("_block", "_l", "_r", "score")
+
+    def given(scored: DataFrame) -> DataFrame:
+        """Matches of records, from those of texts."""
+        return scored.join(rows, ["_block", "_r"]).join(mine, ["_block", "_l"]).filter(F.col(key) != F.col("_uid"))
+
+    # a text is as itself, and of the others the one that can be best is scored first: others that can't be as good needn't be
+    order = Window.partitionBy("_block", "_l").orderBy(F.desc("_most"), "_r")
+    ranked = pairs.withColumn("_place", F.row_number().over(order))
+    same_text = signed.filter("_asked and _held").select("_block", F.col("_h").alias("_l"), F.col("_h").alias("_r"), F.lit(1.0).alias("score"))
+    first = cut(scored(ranked.filter("_place = 1")).unionByName(same_text.filter(F.col("score") >= threshold)))
+    reached = given(first).groupBy("_block", "_l", key).agg(F.max("score").alias("_score"))
+    # what all records of a text have: one without a match has 0
+    reached = mine.distinct().join(reached, ["_block", "_l", key], "left").groupBy("_block", "_l").agg(F.min(F.coalesce("_score", F.lit(0.0))).alias("_reached"))
+    rest = ranked.filter("_place > 1").join(reached, ["_block", "_l"]).filter(F.col("_most") >= F.col("_reached") - 1e-9)
+    # the signatures put together to 64 groups, which _most implies: a last check before texts are fetched
+    rest = rest.filter(words_at_most(F.bit_count(F.col("_odd").bitwiseXOR(F.col("_own_odd")))) >= least - 1e-9)
+    scored = given(first.unionByName(scored(rest)))
     best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("_seen"), "_uid")
     return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(key, F.col("_uid").alias("matched_uid"), "score")
 
